@@ -87,8 +87,15 @@ def json_object(**values: Column) -> Column:
 
 
 def json_valid(text: Column) -> Column:
-    """Whether the text parses as JSON; NULL stays NULL."""
-    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+    """Whether the text is one JSON value and nothing else; NULL stays NULL.
+
+    The parser stops after the first value and does not see what follows it, so the text is
+    placed in an array, where it must fill one place, and in an object, where a bracket that
+    closes the array too early is an error.
+    """
+    one_value = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    parses = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(text.isNotNull(), parses & F.coalesce(one_value, F.lit(False)))
 
 
 def json_list(text: Column) -> Column:

@@ -84,14 +84,18 @@ def _stream(rows: DataFrame, opening: DataFrame, keys: Sequence[str], fold: Fold
     )
 
 
-def _walk(fold: Fold, n_keys: int, batches: Iterator[pa.RecordBatch], emit: Callable):
-    """Run the steps over sorted batches, carrying the state from batch to batch."""
-    n_state = len(fold.state)
+def _walk(
+    step: Callable, widths: tuple[int, int, int], batches: Iterator[pa.RecordBatch], emit: Callable
+) -> Iterator[pa.RecordBatch]:
+    """Run the steps over sorted batches, carrying the state from batch to batch.
+
+    `widths` counts the key, state and input columns each batch begins with.
+    """
+    n_keys, n_state, n_inputs = widths
     current: tuple | None = None
     state: State | None = None
     for batch in batches:
-        width = n_keys + 1 + n_state + len(fold.inputs)
-        columns = [batch.column(i).to_pylist() for i in range(width)]
+        columns = [batch.column(i).to_pylist() for i in range(n_keys + 1 + n_state + n_inputs)]
         kinds = columns[n_keys]
         key_rows = zip(*columns[:n_keys])
         opened_at = n_keys + 1
@@ -107,7 +111,7 @@ def _walk(fold: Fold, n_keys: int, batches: Iterator[pa.RecordBatch], emit: Call
             if kind == 0:
                 state = opened
             else:
-                state, out = fold.step(state, inputs)
+                state, out = step(state, inputs)
                 outputs.append(out)
         yield from emit(batch, outputs, ended)
     if current is not None:
@@ -119,6 +123,10 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     return [pa.array(list(v), type=f.type) for v, f in zip(values, schema)]
 
 
+def _widths(keys: Sequence[str], fold: Fold) -> tuple[int, int, int]:
+    return len(keys), len(fold.state), len(fold.inputs)
+
+
 def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
     """Every row with the outputs of its step."""
     schema = T.StructType([*rows.schema.fields, *fold.outputs.fields])
@@ -126,6 +134,7 @@ def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fo
     out_arrow = to_arrow_schema(fold.outputs)
     kept = rows.columns
     n_keys = len(keys)
+    step, widths = fold.step, _widths(keys, fold)
 
     def emit(batch, outputs, _ended):
         if batch is None or not outputs:
@@ -135,7 +144,7 @@ def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fo
         arrays = [taken.column(c).cast(arrow.field(c).type) for c in kept]
         yield pa.RecordBatch.from_arrays([*arrays, *_columns(outputs, out_arrow)], schema=arrow)
 
-    return stream.mapInArrow(lambda batches: _walk(fold, n_keys, batches, emit), schema)
+    return stream.mapInArrow(lambda batches: _walk(step, widths, batches, emit), schema)
 
 
 def _fold_ends(stream: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
@@ -145,13 +154,14 @@ def _fold_ends(stream: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
     nothing = (None,) * len(fold.state)
+    step, widths = fold.step, _widths(keys, fold)
 
     def emit(_batch, _outputs, ended):
         if ended:
             rows = [(*key, *(state or nothing)) for key, state in ended]
             yield pa.RecordBatch.from_arrays(_columns(rows, arrow), schema=arrow)
 
-    return stream.mapInArrow(lambda batches: _walk(fold, len(keys), batches, emit), schema)
+    return stream.mapInArrow(lambda batches: _walk(step, widths, batches, emit), schema)
 
 
 def run_fold(
