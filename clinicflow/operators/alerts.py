@@ -212,15 +212,12 @@ def low_stock_alerts(
         F.when(F.col("readings") > 1, F.col("_last.created_at")).alias("updated_at"),
         F.col("_last.created_at").alias("_seen"),
     )
-    mine = is_kind(LOW_STOCK) & is_open()
-    standing = alerts.filter(mine)
-    carried = standing.select("item_id", F.lit(True).alias("_standing"))
-    rows = rows.join(carried, "item_id", "left")
-    continues = (F.col("episode") == 0) & F.col("_standing").isNotNull()
-    first = rows.filter(continues)
-    others = rows.filter(~continues & (F.col("readings") > 0))
-    refreshed = upsert(
-        standing, first, KEY,
+    mine = F.coalesce(is_kind(LOW_STOCK) & is_open(), F.lit(False))
+    standing = alerts.filter(mine).withColumns(
+        {"alert_type": F.lit(LOW_STOCK), "episode": F.lit(0).cast("bigint"), "readings": F.lit(1).cast("bigint")}
+    )
+    after = upsert(
+        standing, rows, [*KEY, "episode"],
         {
             "alert_level": F.coalesce("new.alert_level", "old.alert_level"),
             "current_value": F.coalesce("new.current_value", "old.current_value"),
@@ -230,9 +227,8 @@ def low_stock_alerts(
             "updated_at": F.coalesce("new._seen", "old.updated_at"),
         },
     )
-    new = others.select(*[c for c in alerts.columns if c in others.columns])
-    untouched = alerts.filter(~F.coalesce(mine, F.lit(False)))
-    return untouched.unionByName(refreshed).unionByName(new, allowMissingColumns=True)
+    raised = after.filter("readings > 0").select(*alerts.columns)
+    return alerts.filter(~mine).unionByName(raised)
 
 
 def resolve_replenished(

@@ -52,7 +52,7 @@ class Fold:
     state: Sequence[str]
     outputs: T.StructType
     step: Callable[[State | None, tuple], tuple[State | None, tuple]]
-    bucket: Column
+    bucket: Column | None = None
     sums: Sequence[str] = ()
     guess: dict[str, str] = field(default_factory=dict)
 
@@ -70,11 +70,14 @@ def shared_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def _stream(rows: DataFrame, opening: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
+def _stream(
+    rows: DataFrame, opening: DataFrame | None, keys: Sequence[str], fold: Fold
+) -> DataFrame:
     """Opening states followed by rows, one key after the other, in order."""
-    both = opening.select(*keys, *fold.state, F.lit(0).alias("_kind")).unionByName(
-        rows.withColumn("_kind", F.lit(1)), allowMissingColumns=True
-    )
+    both = rows.withColumn("_kind", F.lit(1))
+    if opening is not None:
+        opened = opening.select(*keys, *fold.state, F.lit(0).alias("_kind"))
+        both = opened.unionByName(both, allowMissingColumns=True)
     lead = [*keys, "_kind", *fold.state, *fold.inputs]
     rest = [c for c in both.columns if c not in lead]
     return (
@@ -166,12 +169,13 @@ def _fold_ends(stream: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
 
 def run_fold(
     rows: DataFrame,
-    opening: DataFrame,
+    opening: DataFrame | None,
     fold: Fold,
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Fold `rows` from the states in `opening` (one row per key); returns rows + outputs.
 
+    Without `opening` every key starts with no state, which is then any value `step` likes.
     `chunk_rows` is None where the rows of a key are bounded by construction.
     """
     hot = _hot_keys(rows, fold, chunk_rows) if chunk_rows else None

@@ -11,7 +11,7 @@ Durations must be positive, which the declared checks demand.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,13 +113,12 @@ def _bookings(existing: DataFrame) -> DataFrame:
         .select(*DAY, marks.alias("m"))
         .groupBy(*DAY, F.col("m.t").alias("t"))
         .agg(F.sum("m.o").alias("opened"), F.sum("m.c").alias("closed"))
-        .withColumn("reach", F.lit(None).cast("int"))
     )
 
 
-def _windows(slots: DataFrame, working_hours: DataFrame) -> DataFrame:
+def _windows(appointments: DataFrame, working_hours: DataFrame) -> DataFrame:
     """Latest end of the working windows that open at each time of a dentist's day."""
-    days = slots.select(*DAY).distinct()
+    days = appointments.select(*DAY).distinct()
     w = working_hours.filter("is_active").alias("w")
     on = (
         (F.col("d.dentist_id") == F.col("w.dentist_id"))
@@ -131,50 +130,54 @@ def _windows(slots: DataFrame, working_hours: DataFrame) -> DataFrame:
         .join(w, on)
         .groupBy("d.dentist_id", "d.appointment_date", F.col("w.start_time").alias("t"))
         .agg(F.max("w.end_time").alias("reach"))
-        .select(*DAY, "t", F.lit(0).alias("opened"), F.lit(0).alias("closed"), "reach")
     )
 
 
-def _timeline(slots: DataFrame, *events: DataFrame) -> DataFrame:
-    """Per dentist, date and time: visits begun before, visits over, furthest open window.
+def _look_up(
+    slots: DataFrame, existing: DataFrame | None = None, windows: DataFrame | None = None
+) -> DataFrame:
+    """Slots with `booked` (existing visits they overlap) and `in_hours`.
 
-    The slots' own starts and ends are added as times to look up.
+    Each slot asks at its start and at its end, in one ordered pass over its dentist's day.
+    Visits begun before a slot's end, less those over by its start, are those it overlaps.
+    A window that opened by its start must reach its end. The pass and the regrouping by
+    slot share one shuffle, by dentist and date, of rows that are already aggregated.
     """
-    asked = slots.select(
-        *DAY,
-        F.explode(F.array("appointment_time", "end_time")).alias("t"),
-        F.lit(0).alias("opened"),
-        F.lit(0).alias("closed"),
-        F.lit(None).cast("int").alias("reach"),
-    )
-    points = asked
-    for event in events:
-        points = points.unionByName(event)
-    points = points.groupBy(*DAY, "t").agg(
-        F.sum("opened").alias("opened"), F.sum("closed").alias("closed"),
-        F.max("reach").alias("reach"),
-    )
+    kept = [c for c in slots.columns if c not in DAY]
+    asks = F.explode(F.array(F.lit(True), F.lit(False)))
+    points = slots.select(*DAY, F.struct(*kept).alias("slot"), asks.alias("at_start")).withColumn(
+        "t", F.when(F.col("at_start"), F.col("slot.appointment_time")).otherwise(F.col("slot.end_time"))
+    )
+    if existing is not None:
+        points = points.unionByName(_bookings(existing), allowMissingColumns=True)
+    else:
+        points = points.withColumns({"opened": F.lit(0), "closed": F.lit(0)})
+    if windows is not None:
+        points = points.unionByName(windows, allowMissingColumns=True)
+    else:
+        points = points.withColumn("reach", F.lit(None).cast("int"))
     by_time = Window.partitionBy(*DAY).orderBy("t")
-    upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.select(
-        *DAY,
-        "t",
-        (F.sum("opened").over(upto) - F.col("opened")).alias("begun"),
-        F.sum("closed").over(upto).alias("over"),
-        F.max("reach").over(upto).alias("reach"),
-    )
-
-
-def _look_up(slots: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Slots with `booked` (visits they overlap) and `in_hours`."""
-    at_start = timeline.select(*DAY, F.col("t").alias("appointment_time"), "over", "reach")
-    at_end = timeline.select(*DAY, F.col("t").alias("end_time"), "begun")
+    upto = by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = by_time.rangeBetween(Window.unboundedPreceding, -1)
+    passed = points.withColumns(
+        {
+            "begun": F.coalesce(F.sum("opened").over(earlier), F.lit(0)),
+            "over": F.coalesce(F.sum("closed").over(upto), F.lit(0)),
+            "reach": F.max("reach").over(upto),
+        }
+    ).filter(F.col("slot").isNotNull())
+    start, end = F.col("at_start"), ~F.col("at_start")
     return (
-        slots.join(at_start, [*DAY, "appointment_time"])
-        .join(at_end, [*DAY, "end_time"])
-        .withColumn("booked", F.col("begun") - F.col("over"))
-        .withColumn("in_hours", F.coalesce(F.col("reach") >= F.col("end_time"), F.lit(False)))
-        .drop("begun", "over", "reach")
+        passed.groupBy(*DAY, "slot")
+        .agg(
+            F.max(F.when(end, F.col("begun"))).alias("begun"),
+            F.max(F.when(start, F.col("over"))).alias("over"),
+            F.max(F.when(start, F.col("reach"))).alias("reach"),
+        )
+        .select(
+            *DAY, "slot.*", (F.col("begun") - F.col("over")).alias("booked"),
+            F.coalesce(F.col("reach") >= F.col("slot.end_time"), F.lit(False)).alias("in_hours"),
+        )
     )
 
 
@@ -183,9 +186,8 @@ def check_slots(
 ) -> DataFrame:
     """Distinct slots with `on_holiday`, `in_hours` and `booked`, the count of overlaps."""
     closed = holidays.filter("is_active").select(F.col("date").alias("appointment_date")).distinct()
-    timeline = _timeline(slots, _bookings(existing), _windows(slots, working_hours))
     return (
-        _look_up(slots, timeline)
+        _look_up(slots, existing, _windows(slots, working_hours))
         .join(closed.withColumn("on_holiday", F.lit(True)), "appointment_date", "left")
         .withColumn("on_holiday", F.coalesce("on_holiday", F.lit(False)))
     )
@@ -201,9 +203,7 @@ def overlap_counts(appointments: DataFrame, existing: DataFrame) -> DataFrame:
     An appointment that is itself in `existing` is counted; subtract it where needed.
     """
     slots = distinct_slots(appointments)
-    booked = _look_up(slots, _timeline(slots, _bookings(existing))).select(
-        *SLOT, F.col("booked").alias("overlaps")
-    )
+    booked = _look_up(slots, existing).select(*SLOT, F.col("booked").alias("overlaps"))
     counted = with_end(appointments).join(booked, SLOT, "left")
     return counted.withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
 
@@ -243,7 +243,7 @@ def overlap_flags(appointments: DataFrame) -> DataFrame:
 def within_hours(appointments: DataFrame, working_hours: DataFrame) -> DataFrame:
     """Appointments that lie inside one active working window of their dentist."""
     slots = distinct_slots(appointments)
-    open_slots = _look_up(slots, _timeline(slots, _windows(slots, working_hours)))
+    open_slots = _look_up(slots, windows=_windows(appointments, working_hours))
     return with_end(appointments).join(
         open_slots.filter("in_hours").select(*SLOT), SLOT, "left_semi"
     )
@@ -274,33 +274,33 @@ def overlap_check_active(
     )
 
 
-def _first_come(candidates: DataFrame) -> DataFrame:
-    """Slots granted in order of `first_id`, each unless it overlaps one granted before.
+def _first_come(slots: DataFrame) -> DataFrame:
+    """Grant slots that are `able` in order of `first_id`, unless one granted before overlaps.
 
-    `candidates` has one row per distinct slot, so a dentist's day stays small. The state is
-    the sorted list of granted visits, which cannot overlap each other.
+    There is one row per distinct slot, so a dentist's day stays small. The state is the
+    sorted list of granted visits, which cannot overlap each other.
     """
     fold = Fold(
         keys=DAY,
         order=["first_id"],
-        inputs=["appointment_time", "end_time"],
+        inputs=["able", "appointment_time", "end_time"],
         state=[],
         outputs=T.StructType([T.StructField("granted", T.BooleanType())]),
         step=_grant,
-        bucket=F.lit(0),
     )
-    opening = candidates.select(*DAY).filter(F.lit(False))
-    return run_fold(candidates, opening, fold, chunk_rows=None)
+    return run_fold(slots, None, fold, chunk_rows=None)
 
 
-def _grant(granted: list | None, slot: tuple) -> tuple[list, tuple]:
+def _grant(granted: list | None, row: tuple) -> tuple[list, tuple]:
     granted = granted or []
-    start, end = slot
+    able, start, end = row
+    if not able:
+        return granted, (False,)
     at = bisect_left(granted, (start,))
     free_before = at == 0 or granted[at - 1][1] <= start
     free_after = at == len(granted) or granted[at][0] >= end
     if free_before and free_after:
-        insort(granted, slot)
+        granted.insert(at, (start, end))
         return granted, (True,)
     return granted, (False,)
 
@@ -331,9 +331,8 @@ def admit_appointments(
     slots = requests.groupBy(*SLOT).agg(F.min("id").alias("first_id"))
     checked = check_slots(slots, existing, working_hours, holidays)
     able = ~F.col("on_holiday") & F.col("in_hours") & (F.col("booked") == 0)
-    granted = _first_come(checked.filter(able).select(*SLOT, "first_id")).filter("granted")
-    verdicts = checked.join(granted.select(*SLOT, "granted"), SLOT, "left")
-    wins = F.col("granted").isNotNull() & (F.col("id") == F.col("first_id"))
+    verdicts = _first_come(checked.withColumn("able", able)).drop("booked", "able")
+    wins = F.col("granted") & (F.col("id") == F.col("first_id"))
     decided = (
         requests.join(verdicts, SLOT, "left")
         .withColumn("message", _verdict(F.col("on_holiday"), F.col("in_hours"), wins))
@@ -383,7 +382,8 @@ def change_appointments(
     judged = moved.join(checked, SLOT, "left").withColumn("booked", F.col("booked") - F.col("_itself"))
     able = ~F.col("on_holiday") & F.col("in_hours") & (F.col("booked") == 0)
     candidates = judged.filter(able).groupBy(*SLOT).agg(F.min("id").alias("first_id"))
-    granted = _first_come(candidates).filter("granted").select(*SLOT, "first_id")
+    granted = _first_come(candidates.withColumn("able", F.lit(True))).filter("granted")
+    granted = granted.select(*SLOT, "first_id")
     wins = F.col("id") == F.col("first_id")
     decided = (
         judged.join(granted, SLOT, "left")
