@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from clinicflow.functions import texts
 from clinicflow.functions.scalars import blank, leading_number, padded, stored
-from clinicflow.operators.folds import CHUNK_ROWS, Fold, run_fold
+from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import BUCKET_WIDTH, assign_numbers, id_bucket
+from clinicflow.operators.skew import CHUNK_ROWS
 
 CORRELATIVE_DIGITS = 8
 

@@ -14,21 +14,19 @@ quantities that add up is the running sum.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clinicflow.operators.sequences import running_totals
-
-CHUNK_ROWS = 1_000_000
+from clinicflow.operators.sequences import bucketed_totals
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
 
 State = tuple[int | None, ...]
 
@@ -57,19 +55,6 @@ class Fold:
     guess: dict[str, str] = field(default_factory=dict)
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure checkpoint() writes to the shared folder the session names."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="clinicflow-checkpoints-")
-    context.setCheckpointDir(folder)
-
-
 def _stream(
     rows: DataFrame, opening: DataFrame | None, keys: Sequence[str], fold: Fold
 ) -> DataFrame:
@@ -178,39 +163,29 @@ def run_fold(
     Without `opening` every key starts with no state, which is then any value `step` likes.
     `chunk_rows` is None where the rows of a key are bounded by construction.
     """
-    hot = _hot_keys(rows, fold, chunk_rows) if chunk_rows else None
+    hot = hot_keys(rows, fold.keys, chunk_rows) if chunk_rows else None
     if hot is None:
         stream = _stream(rows, opening, fold.keys, fold)
         return _fold_rows(stream, rows, fold.keys, fold)
-    keys = list(fold.keys)
-    cold_rows, hot_rows = rows.join(hot, keys, "left_anti"), rows.join(hot, keys, "left_semi")
-    cold_open, hot_open = opening.join(hot, keys, "left_anti"), opening.join(hot, keys, "left_semi")
-    cold = _fold_rows(_stream(cold_rows, cold_open, keys, fold), rows, keys, fold)
+    cold_rows, hot_rows = split(rows, hot, fold.keys)
+    cold_open, hot_open = split(opening, hot, fold.keys)
+    cold = _fold_rows(_stream(cold_rows, cold_open, fold.keys, fold), rows, fold.keys, fold)
     return cold.unionByName(_run_chunked(hot_rows, hot_open, hot, fold, chunk_rows))
 
 
-def _hot_keys(rows: DataFrame, fold: Fold, chunk_rows: int) -> DataFrame | None:
-    """Keys with more than `chunk_rows` rows, or None. There are at most rows / chunk_rows."""
-    hot = rows.groupBy(*fold.keys).count().filter(F.col("count") > chunk_rows)
-    if hot.isEmpty():
-        return None
-    shared_checkpoints(rows.sparkSession)
-    return hot.select(*fold.keys, F.floor((F.col("count") - 1) / chunk_rows).alias("_last")).checkpoint()
-
-
 def _run_chunked(
     rows: DataFrame, opening: DataFrame, hot: DataFrame, fold: Fold, chunk_rows: int
 ) -> DataFrame:
     keys = list(fold.keys)
-    ranked = running_totals(rows, keys, fold.bucket, fold.order, {"_rank": F.lit(1)})
+    ranked = bucketed_totals(rows, keys, fold.bucket, fold.order, {"_rank": F.lit(1)})
     chunked = ranked.withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk_rows)).drop("_rank")
     by_chunk = [*keys, "_chunk"]
     opened = opening.select(*keys, *fold.state, F.lit(True).alias("_known"))
 
-    starts = (
-        hot.select(*keys, F.explode(F.sequence(F.lit(0), "_last")).cast("bigint").alias("_chunk"))
-        .join(opened, keys, "left")
-    )
+    last_chunk = F.floor((F.col("count") - 1) / chunk_rows)
+    starts = hot.select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("_chunk")
+    ).join(opened, keys, "left")
     if fold.guess:
         first_row = F.struct(*fold.order)
         claims = chunked.groupBy(*by_chunk).agg(

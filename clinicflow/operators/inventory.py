@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from clinicflow.functions import texts
 from clinicflow.functions.scalars import folded, from_hundredths, hundredths, stored
-from clinicflow.operators.folds import CHUNK_ROWS, Fold, run_fold
+from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import running_totals
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
 
 # How movement types count, and which large ones need approval.
 IN_TYPES = ("purchase", "return")
@@ -108,21 +109,16 @@ def critical_stock_report(
     )
 
 
-def ledger_breaks(movements: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """Movements that do not continue the item's ledger, or whose stock does not add up.
-
-    The row before is looked up inside an item's day; the first row of a day looks at the
-    last row of the item's previous day, taken from one row per item and day.
-    """
-    day = F.to_date(order[0]).alias("_day")
-    rows = movements.withColumn("_day", day)
-    arrival = F.struct(*order)
-    last = rows.groupBy("item_id", "_day").agg(F.max_by("new_stock", arrival).alias("_last"))
-    by_day = Window.partitionBy("item_id").orderBy("_day")
-    last = last.select("item_id", "_day", F.lag("_last").over(by_day).alias("_carried"))
-    inside = Window.partitionBy("item_id", "_day").orderBy(*order)
-    before = F.coalesce(F.lag("new_stock").over(inside), F.col("_carried"))
-    checked = rows.join(last, ["item_id", "_day"], "left").withColumn("expected_stock", before)
+def ledger_breaks(
+    movements: DataFrame, order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Movements that do not continue the item's ledger, or whose stock does not add up."""
+    hot = hot_keys(movements, ["item_id"], chunk_rows)
+    cold_rows, hot_rows = split(movements, hot, ["item_id"]) if hot is not None else (movements, None)
+    by_item = Window.partitionBy("item_id").orderBy(*order)
+    checked = cold_rows.withColumn("expected_stock", F.lag("new_stock").over(by_item))
+    if hot_rows is not None:
+        checked = checked.unionByName(_expected_by_day(hot_rows, order))
     gap = F.col("previous_stock") != F.col("expected_stock")
     wrong = folded(F.col("movement_category")).isin("in", "out") & (
         F.col("new_stock") != F.col("previous_stock") + F.col("quantity")
@@ -131,16 +127,39 @@ def ledger_breaks(movements: DataFrame, order: Sequence[str] = ORDER) -> DataFra
         checked.withColumn("breaks_chain", F.coalesce(gap, F.lit(False)))
         .withColumn("wrong_sum", F.coalesce(wrong, F.lit(False)))
         .filter("breaks_chain or wrong_sum")
+    )
+
+
+def _expected_by_day(movements: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The stock left by the row before, looked up inside an item's day.
+
+    The first row of a day looks at the last row of the item's previous day, taken from one
+    row per item and day.
+    """
+    rows = movements.withColumn("_day", F.to_date(order[0]))
+    last = rows.groupBy("item_id", "_day").agg(
+        F.max_by(F.struct("new_stock"), F.struct(*order)).alias("_last")
+    )
+    by_day = Window.partitionBy("item_id").orderBy("_day")
+    last = last.select("item_id", "_day", F.lag("_last").over(by_day).alias("_carried"))
+    inside = Window.partitionBy("item_id", "_day").orderBy(*order)
+    before = F.lag(F.struct("new_stock")).over(inside)
+    return (
+        rows.join(last, ["item_id", "_day"], "left")
+        .withColumn("expected_stock", F.coalesce(before, F.col("_carried"))["new_stock"])
         .drop("_day", "_carried")
     )
 
 
 def running_stock(
-    movements: DataFrame, items: DataFrame, order: Sequence[str] = ORDER
+    movements: DataFrame,
+    items: DataFrame,
+    order: Sequence[str] = ORDER,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Stock after each movement if every movement is accepted."""
-    day = F.to_date(order[0])
-    summed = running_totals(movements, ["item_id"], day, order, {"_moved": F.col("quantity")})
+    moved = {"_moved": F.col("quantity")}
+    summed = running_totals(movements, ["item_id"], F.to_date(order[0]), order, moved, chunk_rows)
     opening = items.select(F.col("id").alias("item_id"), F.col("current_stock").alias("_open"))
     return (
         summed.join(opening, "item_id", "left")

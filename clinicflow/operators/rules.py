@@ -81,20 +81,24 @@ def _comparable(df: DataFrame, column: str) -> Column:
 
 
 def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
-    """Primary and unique keys held by more than one row; keys with a NULL do not count."""
+    """Primary and unique keys held by more than one row; keys with a NULL do not count.
+
+    `key_value` shows the key as it was compared and `first_id` the lowest row that has it.
+    """
     reports = []
     for key in (("id",), *UNIQUE.get(table, ())):
         if not set(key) <= set(df.columns):
             continue
-        shown = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+        compared = [_comparable(df, c).alias(f"_{n}") for n, c in enumerate(key)]
+        shown = [F.col(f"_{n}").cast("string") for n in range(len(key))]
         reports.append(
             df.dropna(subset=list(key))
-            .groupBy(*[_comparable(df, c).alias(f"_{c}") for c in key])
-            .agg(F.count("*").alias("copies"), F.min(shown).alias("key_value"))
+            .groupBy(*compared)
+            .agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
             .filter("copies > 1")
             .select(
                 F.lit(table).alias("table_name"), F.lit(",".join(key)).alias("rule"),
-                "key_value", "copies",
+                F.concat_ws("|", *shown).alias("key_value"), "copies", "first_id",
             )
         )
     return stack(reports)

@@ -339,14 +339,14 @@ def admit_appointments(
         .select(*requests.columns, "message")
     )
     coded = assign_codes(
-        decided.filter(F.col("message").isNull()), existing, "CITA", "appointment_code",
-        F.col("appointment_date"), keep_supplied=True,
+        decided, existing, "CITA", "appointment_code", F.col("appointment_date"),
+        keep_supplied="appointment_code" in requests.columns, wanted=F.col("message").isNull(),
     )
-    accepted = coded.withColumn(
-        "message", F.when(F.col("code_overflow"), F.lit(texts.CODES_EXHAUSTED))
-    ).drop("code_overflow")
-    return accepted.unionByName(decided.filter(F.col("message").isNotNull())).withColumn(
-        "is_accepted", F.col("message").isNull()
+    reason = F.when(F.col("code_overflow"), F.lit(texts.CODES_EXHAUSTED)).otherwise(F.col("message"))
+    return (
+        coded.withColumn("message", reason)
+        .withColumn("is_accepted", F.col("message").isNull())
+        .drop("code_overflow")
     )
 
 

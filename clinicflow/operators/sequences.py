@@ -1,7 +1,7 @@
-"""Running numbers over ordered rows, without one task per key.
+"""Running sums and numbers over ordered rows, without one task per large key.
 
-A month or an invoice series may hold most of a table, so no window here runs over a
-whole key. Rows are cut into buckets of the arrival id; a bucket holds at most
+A month or an invoice series may hold most of a table, so numbering never runs a window
+over a whole key. Rows are cut into buckets of the arrival id; a bucket holds at most
 `bucket_width` rows because ids are unique. The window runs inside a bucket, and a second,
 small window over the bucket totals supplies what went before.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.functions.scalars import LAST_CODE, blank, code_number, month_key, padded
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
 
 BUCKET_WIDTH = 1 << 18
 
@@ -28,8 +29,32 @@ def running_totals(
     bucket: Column,
     order: Sequence[str],
     totals: dict[str, Column],
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums per key. `bucket` must not decrease along `order`.
+    """Add inclusive running sums per key.
+
+    One window per key, except for keys with more than `chunk_rows` rows, which are cut by
+    `bucket`, an expression that must not decrease along `order`.
+    """
+    hot = hot_keys(df, keys, chunk_rows)
+    cold_rows, hot_rows = split(df, hot, keys) if hot is not None else (df, None)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    summed = cold_rows.withColumns({name: F.sum(v).over(upto) for name, v in totals.items()})
+    if hot_rows is None:
+        return summed
+    return summed.unionByName(bucketed_totals(hot_rows, keys, bucket, order, totals))
+
+
+def bucketed_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[str],
+    totals: dict[str, Column],
+) -> DataFrame:
+    """Running sums per key with windows inside (key, bucket) only.
 
     The rows are shuffled once, by (key, bucket); what is shuffled besides is one
     partially aggregated row per key and bucket.
@@ -66,53 +91,63 @@ def assign_numbers(
     order: str,
     base: DataFrame,
     supplied: str | None = None,
+    wanted: Column | None = None,
     bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """Add `number`: the next free number of the key as each row arrives.
 
     `base` holds (keys, last_number), one row per key, and may lack keys. A row whose
     `supplied` number is set keeps it, and later rows continue after the largest number
-    seen so far, as if the rows had been inserted one by one.
+    seen so far, as if the rows had been inserted one by one. Rows that are not `wanted`
+    get no number and use none up.
     """
-    cut = new.withColumn("_bucket", id_bucket(order, bucket_width))
-    by_bucket = [*keys, "_bucket"]
     given = F.col(supplied) if supplied else F.lit(None).cast("bigint")
-    needed = F.when(given.isNull(), 1).otherwise(0)
-
+    wanted = F.coalesce(wanted, F.lit(False)) if wanted is not None else F.lit(True)
+    cut = new.withColumns(
+        {
+            "_bucket": id_bucket(order, bucket_width),
+            "_given": F.when(wanted, given),
+            "_needed": (wanted & given.isNull()).cast("int"),
+        }
+    )
+    by_bucket = [*keys, "_bucket"]
     inside = Window.partitionBy(*by_bucket).orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_count", F.sum(needed).over(upto))
+    local = cut.withColumn("_count", F.sum("_needed").over(upto))
     if supplied:
-        local = local.withColumn("_lead", given - F.col("_count"))
+        local = local.withColumn("_lead", F.col("_given") - F.col("_count"))
         totals = local.groupBy(*by_bucket).agg(
-            F.sum(needed).alias("_total"), F.max("_lead").alias("_peak")
+            F.sum("_needed").alias("_total"), F.max("_lead").alias("_peak")
         )
         local = local.withColumn("_lead", F.max("_lead").over(earlier))
     else:
         local = local.withColumn("_lead", F.lit(None).cast("bigint"))
         totals = cut.groupBy(*by_bucket).agg(
-            F.count("*").alias("_total"), F.lit(None).cast("bigint").alias("_peak")
+            F.sum("_needed").alias("_total"), F.lit(None).cast("bigint").alias("_peak")
         )
 
+    # The numbers used before count as a bucket ahead of all others.
+    used = base.select(
+        *keys, F.lit(-1).cast("bigint").alias("_bucket"), F.lit(0).cast("bigint").alias("_total"),
+        F.col("last_number").cast("bigint").alias("_peak"),
+    )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     totals = (
-        totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        totals.unionByName(used)
+        .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .withColumn("_peak", F.max(F.col("_peak") - F.col("_before")).over(before))
-        .join(base.select(*keys, "last_number"), list(keys), "left")
-        .select(*by_bucket, "_before", "_peak", "last_number")
-    )
-    start = F.greatest(
-        F.coalesce(F.col("last_number"), F.lit(0)),
-        F.col("_peak"),
-        F.col("_lead") - F.col("_before"),
+        .filter("_bucket >= 0")
+        .select(*by_bucket, "_before", "_peak")
     )
-    number = F.coalesce(given, F.col("_before") + F.col("_count") + start).cast("bigint")
+    start = F.greatest(F.lit(0), F.col("_peak"), F.col("_lead") - F.col("_before"))
+    next_free = F.col("_before") + F.col("_count") + start
+    number = F.coalesce("_given", F.when(F.col("_needed") == 1, next_free))
     return (
         local.join(totals, by_bucket, "left")
-        .withColumn("number", number)
+        .withColumn("number", number.cast("bigint"))
         .select(*new.columns, "number")
     )
 
@@ -136,18 +171,20 @@ def assign_codes(
     day: Column,
     order: str = "id",
     keep_supplied: bool = False,
+    wanted: Column | None = None,
     bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """Give documents their monthly codes `KIND-YYYYMM-NNNN`.
 
     `new` may carry a `code` column; with `keep_supplied` its non-empty values stay and
     count. Adds `code_overflow`: true where the month has no code left, and then the
-    code is NULL rather than a truncated number.
+    code is NULL rather than a truncated number. Rows that are not `wanted` get no code.
     """
     month = F.concat(F.lit(f"{kind}-"), month_key(day))
     columns = [c for c in new.columns if c != code]
+    wanted = F.coalesce(wanted, F.lit(False)) if wanted is not None else F.lit(True)
     own = F.col(code) if keep_supplied else F.lit(None).cast("string")
-    keeps = ~blank(own)
+    keeps = wanted & ~blank(own)
     prefix = F.when(
         keeps, F.regexp_extract(F.upper(own), r"^([A-Z]+-[0-9]{6})-", 1)
     ).otherwise(month)
@@ -155,14 +192,16 @@ def assign_codes(
         *columns,
         F.when(keeps, own).alias("_own"),
         prefix.alias("code_prefix"),
-        F.when(keeps, code_number(own)).alias("_given"),
+        F.when(keeps, code_number(own)).alias("_number"),
+        wanted.alias("_wanted"),
     )
     numbered = assign_numbers(
         keyed,
         ["code_prefix"],
         order,
         last_codes(existing, code),
-        supplied="_given" if keep_supplied else None,
+        supplied="_number" if keep_supplied else None,
+        wanted=F.col("_wanted"),
         bucket_width=bucket_width,
     )
     fits = F.col("number") <= LAST_CODE
@@ -170,5 +209,5 @@ def assign_codes(
     return numbered.select(
         *columns,
         F.coalesce(F.col("_own"), F.when(fits, made)).alias(code),
-        (F.col("_own").isNull() & ~fits).alias("code_overflow"),
+        F.coalesce(F.col("_own").isNull() & ~fits, F.lit(False)).alias("code_overflow"),
     )

@@ -564,11 +564,11 @@ oracle("dq_enum", "audit_logs", _report(
 ))
 
 oracle("dq_unique", "appointments", """
-select 'appointments' table_name, 'appointment_code' as rule, appointment_code key_value, count(*) copies
+select 'appointments' table_name, 'appointment_code' as rule, lower(appointment_code) key_value, count(*) copies, min(id) first_id
 from appointments group by appointment_code having count(*)>1
 union all
 select 'appointments', 'dentist_id,appointment_date,appointment_time',
-  concat(dentist_id,'|',appointment_date,'|',appointment_time), count(*)
+  concat(dentist_id,'|',appointment_date,'|',appointment_time), count(*), min(id)
 from appointments group by dentist_id, appointment_date, appointment_time having count(*)>1""")
 
 _LOST = "not exists(select 1 from users_new u where u.is_active and u.id={0})"
