@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clinicflow.operators.sequences import bucketed_totals
-from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split, written
 
 State = tuple[int | None, ...]
 
@@ -177,31 +177,11 @@ def _run_chunked(
     rows: DataFrame, opening: DataFrame, hot: DataFrame, fold: Fold, chunk_rows: int
 ) -> DataFrame:
     keys = list(fold.keys)
-    ranked = bucketed_totals(rows, keys, fold.bucket, fold.order, {"_rank": F.lit(1)})
-    chunked = ranked.withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk_rows)).drop("_rank")
     by_chunk = [*keys, "_chunk"]
-    opened = opening.select(*keys, *fold.state, F.lit(True).alias("_known"))
-
-    last_chunk = F.floor((F.col("count") - 1) / chunk_rows)
-    starts = hot.select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("_chunk")
-    ).join(opened, keys, "left")
-    if fold.guess:
-        first_row = F.struct(*fold.order)
-        claims = chunked.groupBy(*by_chunk).agg(
-            *[F.min_by(c, first_row).alias(f"_claim_{s}") for s, c in fold.guess.items()]
-        )
-        later = F.col("_known") & (F.col("_chunk") > 0)
-        starts = starts.join(claims, by_chunk, "left").select(
-            *by_chunk,
-            *[
-                F.when(later, F.col(f"_claim_{s}")).otherwise(F.col(s)).alias(s)
-                if s in fold.guess else F.col(s)
-                for s in fold.state
-            ],
-            "_known",
-        )
-    starts = starts.checkpoint()
+    ranked = bucketed_totals(rows, keys, fold.bucket, fold.order, {"_rank": F.lit(1)})
+    chunk = F.floor((F.col("_rank") - 1) / chunk_rows)
+    chunked = written(ranked.withColumn("_chunk", chunk).drop("_rank"))
+    starts = _first_starts(chunked, opening, hot, fold, chunk_rows)
     pending, ends = starts, None
     while True:
         todo = chunked.join(pending.select(*by_chunk), by_chunk, "left_semi")
@@ -210,42 +190,58 @@ def _run_chunked(
         )
         if ends is not None:
             fresh = fresh.unionByName(ends.join(pending.select(*by_chunk), by_chunk, "left_anti"))
-        ends = fresh.checkpoint()
-        corrected = _corrected_starts(starts, ends, opened, fold).checkpoint()
-        same = F.lit(True)
-        for name in fold.state:
-            same = same & F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
-        wrong = corrected.alias("new").join(starts.alias("old"), by_chunk).filter(~same)
-        pending = wrong.select("new.*").checkpoint()
-        starts = corrected
+        ends = written(fresh)
+        starts = written(_corrected_starts(starts, ends, fold))
+        pending = starts.filter("_wrong")
         if pending.isEmpty():
             break
     stream = _stream(chunked, starts.filter("_known"), by_chunk, fold)
     return _fold_rows(stream, chunked, by_chunk, fold).drop("_chunk")
 
 
-def _corrected_starts(
-    starts: DataFrame, ends: DataFrame, opened: DataFrame, fold: Fold
+def _first_starts(
+    chunked: DataFrame, opening: DataFrame, hot: DataFrame, fold: Fold, chunk_rows: int
 ) -> DataFrame:
+    """A starting state for every chunk: the opening one, or what its first row claims."""
+    by_chunk = [*fold.keys, "_chunk"]
+    last_chunk = F.floor((F.col("count") - 1) / chunk_rows)
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
+    opened = opening.select(*fold.keys, *fold.state, F.lit(True).alias("_known"))
+    starts = hot.select(*fold.keys, numbers.alias("_chunk")).join(opened, list(fold.keys), "left")
+    if fold.guess:
+        first_row = F.struct(*fold.order)
+        claims = chunked.groupBy(*by_chunk).agg(
+            *[F.min_by(c, first_row).alias(f"_claim_{s}") for s, c in fold.guess.items()]
+        )
+        later = F.col("_known") & (F.col("_chunk") > 0)
+        claimed = {
+            s: F.when(later, F.col(f"_claim_{s}")).otherwise(F.col(s)) for s in fold.guess
+        }
+        starts = starts.join(claims, by_chunk, "left").withColumns(claimed)
+    return written(starts.select(*by_chunk, *fold.state, "_known"))
+
+
+def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFrame:
     """Where each chunk should start, given where the chunk before it ended.
 
     A summing state starts at the opening plus what all earlier chunks added; any other
     state starts where the previous chunk ended. Both agree with the true sequence once
-    every chunk before has its true start.
+    every chunk before has its true start. `_wrong` marks the chunks that must run again.
     """
     keys = list(fold.keys)
     by_chunk = [*keys, "_chunk"]
     ran = starts.alias("s").join(ends.alias("e"), by_chunk)
     ordered = Window.partitionBy(*keys).orderBy("_chunk")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    columns = []
+    corrected, same = [], F.lit(True)
     for name in fold.state:
-        first = F.first(F.col(f"s.{name}")).over(ordered)
-        previous = F.lag(F.col(f"e.{name}")).over(ordered)
+        start, end = F.col(f"s.{name}"), F.col(f"e.{name}")
         if name in fold.sums:
-            added = F.sum(F.col(f"e.{name}") - F.col(f"s.{name}")).over(before)
-            following = F.greatest(first + F.coalesce(added, F.lit(0)), F.lit(0))
+            added = F.coalesce(F.sum(end - start).over(before), F.lit(0))
+            following = F.greatest(F.first(start).over(ordered) + added, F.lit(0))
         else:
-            following = previous
-        columns.append(F.when(F.col("_chunk") == 0, F.col(f"s.{name}")).otherwise(following).alias(name))
-    return ran.select(*by_chunk, *columns, "_known")
+            following = F.lag(end).over(ordered)
+        start_now = F.when(F.col("_chunk") == 0, start).otherwise(following)
+        corrected.append(start_now.alias(name))
+        same = same & start_now.eqNullSafe(start)
+    return ran.select(*by_chunk, *corrected, "_known", (~same).alias("_wrong"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,28 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1_000_000
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure checkpoint() writes to the shared folder the session names."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the session names for checkpoints.
+
+    Only a local session without that setting falls back to a temporary folder.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="clinicflow-checkpoints-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="clinicflow-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder: computed once, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/clinicflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
@@ -35,8 +47,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | No
     hot = rows.groupBy(*keys).count().filter(F.col("count") > limit)
     if hot.isEmpty():
         return None
-    shared_checkpoints(rows.sparkSession)
-    return hot.checkpoint()
+    return written(hot)
 
 
 def split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
