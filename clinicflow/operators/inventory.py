@@ -201,7 +201,7 @@ def validate_movements(
         inputs=["_before", "_after", "_quantity", "_exact"],
         state=["_stock", "_active"],
         outputs=T.StructType([T.StructField("message", T.StringType())]),
-        step=_validate,
+        step=validate_step,
         bucket=F.to_date(order[0]),
         guess={"_stock": "_before"},
     )
@@ -225,7 +225,7 @@ def needs_approval() -> Column:
     return F.coalesce(F.col("is_accepted") & large, F.lit(False))
 
 
-def _validate(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
+def validate_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     before, after, quantity, exact = row
     stock, active = state or (None, None)
     if active == 0:
@@ -320,6 +320,14 @@ def post_movements(
     )
 
 
+def weighted_average(weight: int, cost: int, quantity: int, price: int) -> int:
+    """Average cost in cents after an incoming quantity, rounded half up."""
+    if weight <= 0:
+        return price
+    units = weight + quantity
+    return (2 * (weight * cost + quantity * price) + units) // (2 * units)
+
+
 def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     if state is None:
         return None, (texts.UNKNOWN_ITEM, False, None, None, None, None, None)
@@ -334,12 +342,7 @@ def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | No
     if refusal:
         return state, (refusal, False, stock, None, cost, last, episode)
     if incoming and price is not None:
-        weight = after if as_written else stock
-        if weight > 0:
-            units = weight + quantity
-            cost = (2 * (weight * cost + quantity * price) + units) // (2 * units)
-        else:
-            cost = price
+        cost = weighted_average(after if as_written else stock, cost, quantity, price)
         if bought:
             last = price
     result = (texts.MOVEMENT_DONE, True, stock, after, cost, last, episode)

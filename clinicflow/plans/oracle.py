@@ -275,7 +275,7 @@ oracle("item_available_stock", "inventory_items",
 _LINED = "row_number() over (partition by item_id order by " + ORDER + ") rn"
 
 oracle("movement_validation", "movement_claims inventory_items", f"""
-select m.item_id, {_prefixed('m')}, m.movement_category, m.previous_stock, m.new_stock,
+select m.item_id, {_prefixed('m')}, m.movement_category, m.previous_stock, m.new_stock, m.unit_cost,
   m.movement_type in ('waste','expired','adjustment') and abs(m.quantity)>100 and w.why is null approval_required,
   not (m.movement_type in ('waste','expired','adjustment') and abs(m.quantity)>100 and w.why is null) is_approved,
   w.why message, w.why is null is_accepted
@@ -296,8 +296,8 @@ walk as (
 
 oracle("ledger_continuity", "movement_claims", f"""
 select * from (
-  select item_id, {ORDER}, movement_category, previous_stock, new_stock, approval_required,
-    is_approved, expected_stock, coalesce(previous_stock<>expected_stock,false) breaks_chain,
+  select item_id, {ORDER}, movement_category, previous_stock, new_stock, unit_cost,
+    approval_required, is_approved, expected_stock, coalesce(previous_stock<>expected_stock,false) breaks_chain,
     coalesce(movement_category in ('in','out') and new_stock<>previous_stock+quantity,false) wrong_sum
   from (select *, lag(new_stock) over (partition by item_id order by {ORDER}) expected_stock
     from movement_claims) c) r
@@ -622,4 +622,34 @@ select id, case when user_id not in (select id from users_new where not is_activ
 oracle("delete_restrict", "invoices users_new", """
 select id from users_new where not is_active and id in (select patient_id from invoices)""")
 
+# Streams
+
+oracle("stream_stock_state", "movement_claims inventory_items", f"""
+select m.item_id, {_prefixed('m')}, w.why is null is_accepted, w.why message,
+  cast(w.stock as decimal(10,2)) current_stock,
+  cast(cast(w.average as bigint)*0.01 as decimal(10,2)) average_cost,
+  cast(cast(w.bought as bigint)*0.01 as decimal(10,2)) last_purchase_cost
+from lined m join walk w on w.item_id=m.item_id and w.rn=m.rn""", f"""
+lined as (select *, cast(unit_cost*100 as hugeint) p, cast(quantity*100 as hugeint) q, {_LINED}
+  from movement_claims),
+walk as (
+  select id item_id, 0::bigint rn, current_stock stock, cast(unit_cost*100 as hugeint) average,
+    cast(last_purchase_cost*100 as hugeint) bought, is_active active, null::varchar why
+  from inventory_items
+  union all
+  select item_id, rn, case when why is null then new_stock else stock end,
+    case when why is null and movement_category='in' and p is not null then
+      case when s>0 then (2*(s*average+q*p)+s+q)//(2*(s+q)) else p end else average end,
+    case when why is null and movement_type='purchase' and p is not null then p else bought end,
+    active, why
+  from (select l.item_id, l.rn, l.new_stock, l.movement_category, l.movement_type, l.p, l.q,
+      w.stock, cast(w.stock*100 as hugeint) s, w.average, w.bought, w.active,
+      case when not w.active then '{texts.INACTIVE_ITEM}'
+        when l.previous_stock<>w.stock then '{texts.STALE_STOCK}'
+        when l.new_stock<0 then '{texts.NEGATIVE_STOCK}'
+        when l.movement_category in ('in','out') and l.new_stock<>l.previous_stock+l.quantity
+          then '{texts.WRONG_STOCK}' end why
+    from walk w join lined l on l.item_id=w.item_id and l.rn=w.rn+1) n)""")
+ORACLE["stream_reminders"] = ORACLE["appointment_reminder_plan"]
+
 assert all(t in TABLES for t in _DERIVED)

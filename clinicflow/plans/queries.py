@@ -13,8 +13,11 @@ from clinicflow.operators import audit, billing, inventory, rules, scheduling, s
 from clinicflow.operators.checks import CHECKS
 from clinicflow.sources import driver_tables
 from clinicflow.sources.driver_tables import AS_OF, MOVEMENT_ORDER, NOW
-from clinicflow.sources.tables import fill_defaults
 from clinicflow.sources.schemas import CASCADE, RESTRICT, SET_NULL
+from clinicflow.sources.tables import fill_defaults
+from clinicflow.streaming.reminders import plan_reminders
+from clinicflow.streaming.sinks import run_available
+from clinicflow.streaming.stock_state import track_stock
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,9 @@ class Tables:
     def __getattr__(self, table: str) -> DataFrame:
         return driver_tables.read(self.spark, self.sf_dir, table)
 
+    def stream(self, table: str) -> DataFrame:
+        return driver_tables.read(self.spark, self.sf_dir, table, stream=True)
+
 
 QUERIES: dict[str, Query] = {}
 
@@ -497,3 +503,19 @@ def delete_restrict(t: Tables) -> DataFrame:
     _, blocked = snapshots.on_delete(t.invoices, "patient_id", gone, RESTRICT)
     return blocked
 
+
+# Streams
+
+
+@query
+def stream_stock_state(t: Tables) -> DataFrame:
+    tracked = track_stock(t.stream("movement_claims"), t.inventory_items, MOVEMENT_ORDER)
+    return run_available(tracked, partition_by=("is_accepted",)).select(
+        "item_id", *MOVEMENT_ORDER, "is_accepted", "message", "current_stock", "average_cost",
+        "last_purchase_cost",
+    )
+
+
+@query
+def stream_reminders(t: Tables) -> DataFrame:
+    return run_available(plan_reminders(t.stream("appointments"), AS_OF))

@@ -16,6 +16,9 @@ from clinicflow.sources.tables import generated
 AS_OF = date(2024, 1, 15)
 NOW = datetime(2024, 1, 15, 12, 0, 0)
 
+# What one trigger of a stream reads at most.
+STREAM_BYTES = 1 << 30
+
 # Total order of movements; equal rows are equal in every column.
 MOVEMENT_ORDER = [
     "created_at", "order_no", "line_no", "supplier_id", "movement_type", "quantity",
@@ -177,6 +180,9 @@ TABLES: dict[str, str] = {
         cast(case when line_no=7 and supplier_id%3=0 then -5
           when line_no=6 and supplier_id%5=0 then base+60*was+quantity+1
           else base+60*was+quantity end as decimal(10,2)) new_stock,
+        case when movement_type='purchase' or (movement_type='return' and supplier_id%4<>0) then
+          cast(cast((item_id*7+supplier_id*13+line_no*101)%5000+50 as decimal(12,2))*0.01
+            as decimal(10,2)) end unit_cost,
         false approval_required, true is_approved
       from (
         select item_id, order_no, line_no, supplier_id, created_at, base, was,
@@ -261,12 +267,23 @@ DUCKDB_NAMES = {
 }
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One clinic table, with the columns it derives from its own row."""
+def read(spark: SparkSession, sf_dir: str, table: str, stream: bool = False) -> DataFrame:
+    """One clinic table, with the columns it derives from its own row.
+
+    With `stream` the source files are read as a stream.
+    """
     used = [s for s in SOURCES if "{" + s + "}" in TABLES[table]]
-    names = {s: "{" + s + "}" for s in used}
-    text = sql(table, str="string", days="explode(array(1,2,3,4,5))", **names)
-    frames = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in used}
-    df = spark.sql(text, **frames)
+    text = sql(
+        table, str="string", days="explode(array(1,2,3,4,5))", **{s: "{" + s + "}" for s in used}
+    )
+    frames = {}
+    for source in used:
+        path = f"{sf_dir}/{source}.parquet"
+        frames[source] = spark.read.parquet(path)
+        if stream:
+            # A pattern, because the stream reader takes a single file in no other way.
+            files = f"{sf_dir}/{source}[.]parquet"
+            reader = spark.readStream.schema(frames[source].schema)
+            frames[source] = reader.option("maxBytesPerTrigger", STREAM_BYTES).parquet(files)
     kind = "appointments" if table in ("bookings", "requests", "appointment_proposals") else table
-    return generated(kind, df)
+    return generated(kind, spark.sql(text, **frames))
