@@ -170,24 +170,21 @@ def low_stock_episodes(
     episode without readings is kept if a replenishment ended it, to resolve an alert that
     was open before.
     """
-    minimums = items.select(F.col("id").alias("item_id"), "name", "minimum_stock")
-    arrival = F.struct(*order)
-    low = F.col("new_stock") <= F.col("minimum_stock")
-    full = (F.col("movement_category") == "in") & (F.col("new_stock") > F.col("minimum_stock"))
+    named = items.select(F.col("id").alias("item_id"), "name", "minimum_stock")
+    low, arrival = F.col("is_low"), F.struct(*order)
     reading = F.struct("new_stock", "created_at")
     return (
-        posted.filter("is_accepted")
-        .join(minimums, "item_id")
-        .filter(low | full)
-        .groupBy("item_id", "name", "minimum_stock", "episode")
+        posted.filter(low | F.col("is_refilled"))
+        .groupBy("item_id", "episode")
         .agg(
             F.min_by(reading, F.when(low, arrival)).alias("_first"),
             F.max_by(reading, F.when(low, arrival)).alias("_last"),
             F.count(F.when(low, 1)).alias("readings"),
-            F.max(F.when(full, F.col("created_at"))).alias("resolved_at"),
+            F.max(F.when(F.col("is_refilled"), F.col("created_at"))).alias("resolved_at"),
         )
         .withColumn("_first", F.when(F.col("readings") > 0, F.col("_first")))
         .withColumn("_last", F.when(F.col("readings") > 0, F.col("_last")))
+        .join(named, "item_id")
     )
 
 
@@ -231,17 +228,10 @@ def low_stock_alerts(
     return alerts.filter(~mine).unionByName(raised)
 
 
-def resolve_replenished(
-    alerts: DataFrame, posted: DataFrame, items: DataFrame
-) -> DataFrame:
+def resolve_replenished(alerts: DataFrame, posted: DataFrame) -> DataFrame:
     """Resolve open low-stock alerts of items that a movement brought above the minimum."""
-    minimums = items.select(F.col("id").alias("item_id"), "minimum_stock")
     refilled = (
-        posted.filter(F.col("is_accepted") & (F.col("movement_category") == "in"))
-        .join(minimums, "item_id")
-        .filter(F.col("new_stock") > F.col("minimum_stock"))
-        .groupBy("item_id")
-        .agg(F.min("created_at").alias("_at"))
+        posted.filter("is_refilled").groupBy("item_id").agg(F.min("created_at").alias("_at"))
     )
     hit = is_kind(LOW_STOCK) & is_open() & F.col("_at").isNotNull()
     return update_where(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from clinicflow.functions import texts
 from clinicflow.functions.scalars import blank, leading_number, padded, stored
 from clinicflow.operators.folds import Fold, run_fold
-from clinicflow.operators.sequences import BUCKET_WIDTH, assign_numbers, id_bucket
+from clinicflow.operators.sequences import BUCKET_WIDTH, assign_numbers
 from clinicflow.operators.skew import CHUNK_ROWS
 
 CORRELATIVE_DIGITS = 8
@@ -109,7 +109,6 @@ def admit_invoices(
             [T.StructField("_number", T.LongType()), T.StructField("is_accepted", T.BooleanType())]
         ),
         step=_next_correlative,
-        bucket=id_bucket("id"),
         sums=["_last"],
     )
     folded = run_fold(new.withColumn("_given", given), opening, fold, chunk_rows)

@@ -20,13 +20,12 @@ from itertools import repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clinicflow.operators.sequences import bucketed_totals
-from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split, written
+from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split, written
 
 State = tuple[int | None, ...]
 
@@ -39,7 +38,6 @@ class Fold:
     state: names of the bigint state columns; `step(state, inputs)` gets them as a tuple, or
     None where the key has no opening state, and returns (next state, output values).
     sums: states that a chunk changes by about the same amount whatever it starts from.
-    bucket: an expression that never decreases along the order and splits a hot key.
     guess: states whose value at the start of a chunk its first row claims to know, and the
     column with the claim.
     """
@@ -50,7 +48,6 @@ class Fold:
     state: Sequence[str]
     outputs: T.StructType
     step: Callable[[State | None, tuple], tuple[State | None, tuple]]
-    bucket: Column | None = None
     sums: Sequence[str] = ()
     guess: dict[str, str] = field(default_factory=dict)
 
@@ -178,10 +175,8 @@ def _run_chunked(
 ) -> DataFrame:
     keys = list(fold.keys)
     by_chunk = [*keys, "_chunk"]
-    ranked = bucketed_totals(rows, keys, fold.bucket, fold.order, {"_rank": F.lit(1)})
-    chunk = F.floor((F.col("_rank") - 1) / chunk_rows)
-    chunked = written(ranked.withColumn("_chunk", chunk).drop("_rank"))
-    starts = _first_starts(chunked, opening, hot, fold, chunk_rows)
+    chunked = cut(rows, hot, keys, fold.order, chunk_rows)
+    starts = _first_starts(chunked, opening, fold)
     pending, ends = starts, None
     while True:
         todo = chunked.join(pending.select(*by_chunk), by_chunk, "left_semi")
@@ -199,25 +194,20 @@ def _run_chunked(
     return _fold_rows(stream, chunked, by_chunk, fold).drop("_chunk")
 
 
-def _first_starts(
-    chunked: DataFrame, opening: DataFrame, hot: DataFrame, fold: Fold, chunk_rows: int
-) -> DataFrame:
+def _first_starts(chunked: DataFrame, opening: DataFrame, fold: Fold) -> DataFrame:
     """A starting state for every chunk: the opening one, or what its first row claims."""
     by_chunk = [*fold.keys, "_chunk"]
-    last_chunk = F.floor((F.col("count") - 1) / chunk_rows)
-    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
+    first_row = F.struct(*fold.order)
+    claims = [F.min_by(c, first_row).alias(f"_claim_{s}") for s, c in fold.guess.items()]
+    chunks = chunked.groupBy(*by_chunk).agg(F.count("*").alias("_rows"), *claims)
     opened = opening.select(*fold.keys, *fold.state, F.lit(True).alias("_known"))
-    starts = hot.select(*fold.keys, numbers.alias("_chunk")).join(opened, list(fold.keys), "left")
-    if fold.guess:
-        first_row = F.struct(*fold.order)
-        claims = chunked.groupBy(*by_chunk).agg(
-            *[F.min_by(c, first_row).alias(f"_claim_{s}") for s, c in fold.guess.items()]
-        )
-        later = F.col("_known") & (F.col("_chunk") > 0)
-        claimed = {
-            s: F.when(later, F.col(f"_claim_{s}")).otherwise(F.col(s)) for s in fold.guess
-        }
-        starts = starts.join(claims, by_chunk, "left").withColumns(claimed)
+    later = F.col("_known") & (
+        F.row_number().over(Window.partitionBy(*fold.keys).orderBy("_chunk")) > 1
+    )
+    claimed = {
+        s: F.when(later, F.col(f"_claim_{s}")).otherwise(F.col(s)) for s in fold.guess
+    }
+    starts = chunks.join(opened, list(fold.keys), "left").withColumns(claimed)
     return written(starts.select(*by_chunk, *fold.state, "_known"))
 
 
@@ -241,7 +231,7 @@ def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFra
             following = F.greatest(F.first(start).over(ordered) + added, F.lit(0))
         else:
             following = F.lag(end).over(ordered)
-        start_now = F.when(F.col("_chunk") == 0, start).otherwise(following)
+        start_now = F.when(F.row_number().over(ordered) == 1, start).otherwise(following)
         corrected.append(start_now.alias(name))
         same = same & start_now.eqNullSafe(start)
     return ran.select(*by_chunk, *corrected, "_known", (~same).alias("_wrong"))

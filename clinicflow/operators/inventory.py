@@ -14,7 +14,7 @@ from clinicflow.functions import texts
 from clinicflow.functions.scalars import folded, from_hundredths, hundredths, stored
 from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import running_totals
-from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
+from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split
 
 # How movement types count, and which large ones need approval.
 IN_TYPES = ("purchase", "return")
@@ -118,7 +118,8 @@ def ledger_breaks(
     by_item = Window.partitionBy("item_id").orderBy(*order)
     checked = cold_rows.withColumn("expected_stock", F.lag("new_stock").over(by_item))
     if hot_rows is not None:
-        checked = checked.unionByName(_expected_by_day(hot_rows, order))
+        chunked = cut(hot_rows, hot, ["item_id"], order, chunk_rows)
+        checked = checked.unionByName(_expected_by_chunk(chunked, order))
     gap = F.col("previous_stock") != F.col("expected_stock")
     wrong = folded(F.col("movement_category")).isin("in", "out") & (
         F.col("new_stock") != F.col("previous_stock") + F.col("quantity")
@@ -130,24 +131,24 @@ def ledger_breaks(
     )
 
 
-def _expected_by_day(movements: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The stock left by the row before, looked up inside an item's day.
+def _expected_by_chunk(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The stock left by the row before, looked up inside a chunk.
 
-    The first row of a day looks at the last row of the item's previous day, taken from one
-    row per item and day.
+    The first row of a chunk looks at the last row of the item's chunk before, taken from one
+    row per item and chunk.
     """
-    rows = movements.withColumn("_day", F.to_date(order[0]))
-    last = rows.groupBy("item_id", "_day").agg(
+    by_chunk = ["item_id", "_chunk"]
+    last = rows.groupBy(*by_chunk).agg(
         F.max_by(F.struct("new_stock"), F.struct(*order)).alias("_last")
     )
-    by_day = Window.partitionBy("item_id").orderBy("_day")
-    last = last.select("item_id", "_day", F.lag("_last").over(by_day).alias("_carried"))
-    inside = Window.partitionBy("item_id", "_day").orderBy(*order)
+    in_line = Window.partitionBy("item_id").orderBy("_chunk")
+    last = last.select(*by_chunk, F.lag("_last").over(in_line).alias("_carried"))
+    inside = Window.partitionBy(*by_chunk).orderBy(*order)
     before = F.lag(F.struct("new_stock")).over(inside)
     return (
-        rows.join(last, ["item_id", "_day"], "left")
+        rows.join(last, by_chunk, "left")
         .withColumn("expected_stock", F.coalesce(before, F.col("_carried"))["new_stock"])
-        .drop("_day", "_carried")
+        .drop("_chunk", "_carried")
     )
 
 
@@ -159,7 +160,7 @@ def running_stock(
 ) -> DataFrame:
     """Stock after each movement if every movement is accepted."""
     moved = {"_moved": F.col("quantity")}
-    summed = running_totals(movements, ["item_id"], F.to_date(order[0]), order, moved, chunk_rows)
+    summed = running_totals(movements, ["item_id"], order, moved, chunk_rows)
     opening = items.select(F.col("id").alias("item_id"), F.col("current_stock").alias("_open"))
     return (
         summed.join(opening, "item_id", "left")
@@ -202,7 +203,6 @@ def validate_movements(
         state=["_stock", "_active"],
         outputs=T.StructType([T.StructField("message", T.StringType())]),
         step=validate_step,
-        bucket=F.to_date(order[0]),
         guess={"_stock": "_before"},
     )
     judged = run_fold(rows, opening, fold, chunk_rows).withColumn(
@@ -247,6 +247,8 @@ _POSTED = T.StructType(
         T.StructField("_after", T.LongType()),
         T.StructField("_average", T.LongType()),
         T.StructField("_purchase", T.LongType()),
+        T.StructField("is_low", T.BooleanType()),
+        T.StructField("is_refilled", T.BooleanType()),
         T.StructField("episode", T.LongType()),
     ]
 )
@@ -263,8 +265,9 @@ def post_movements(
 
     A refused request leaves stock and costs as they were. The average cost weighs the stock
     before an incoming movement and is rounded to cents each time; `basis="as_written"`
-    weighs the stock after it instead. `episode` counts how often the item was replenished
-    above its minimum before the row; the alert operators use it.
+    weighs the stock after it instead. `is_low` and `is_refilled` tell whether an accepted row
+    left the stock at or below the minimum, or brought more of the item to above it, and
+    `episode` counts the refills before the row; the alert operators use them.
     """
     opening = items.filter("is_active").select(
         F.col("id").alias("item_id"),
@@ -300,7 +303,6 @@ def post_movements(
         state=["_stock", "_cost", "_last", "_minimum", "_episode"],
         outputs=_POSTED,
         step=partial(_post, basis == "as_written"),
-        bucket=F.to_date(order[0]),
         sums=["_stock", "_episode"],
     )
     posted = run_fold(rows, opening, fold, chunk_rows)
@@ -316,7 +318,7 @@ def post_movements(
     ).select(
         *requests.columns, "movement_category", "is_accepted", "message", "previous_stock",
         "new_stock", "average_cost", "last_purchase_cost", "approval_required", "is_approved",
-        "episode",
+        "is_low", "is_refilled", "episode",
     )
 
 
@@ -330,7 +332,7 @@ def weighted_average(weight: int, cost: int, quantity: int, price: int) -> int:
 
 def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     if state is None:
-        return None, (texts.UNKNOWN_ITEM, False, None, None, None, None, None)
+        return None, (texts.UNKNOWN_ITEM, False, *[None] * 4, False, False, None)
     stock, cost, last, minimum, episode = state
     quantity, price, bought, sound, incoming, outgoing = row
     after = None if quantity is None else stock + quantity
@@ -340,15 +342,15 @@ def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | No
     elif after is None or not sound or not 0 <= after <= LARGEST_STOCK:
         refusal = texts.MOVEMENT_FAILED
     if refusal:
-        return state, (refusal, False, stock, None, cost, last, episode)
+        return state, (refusal, False, stock, None, cost, last, False, False, episode)
     if incoming and price is not None:
         cost = weighted_average(after if as_written else stock, cost, quantity, price)
         if bought:
             last = price
-    result = (texts.MOVEMENT_DONE, True, stock, after, cost, last, episode)
-    if incoming and after > minimum:
-        episode += 1
-    return (after, cost, last, minimum, episode), result
+    low = after <= minimum
+    refilled = incoming and not low
+    result = (texts.MOVEMENT_DONE, True, stock, after, cost, last, low, refilled, episode)
+    return (after, cost, last, minimum, episode + refilled), result
 
 
 def item_state_after(items: DataFrame, posted: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.functions.scalars import LAST_CODE, blank, code_number, month_key, padded
-from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, split
+from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split
 
 BUCKET_WIDTH = 1 << 18
 
@@ -26,15 +26,14 @@ def id_bucket(order: str, width: int = BUCKET_WIDTH) -> Column:
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[str],
     totals: dict[str, Column],
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums per key.
 
-    One window per key, except for keys with more than `chunk_rows` rows, which are cut by
-    `bucket`, an expression that must not decrease along `order`.
+    One window per key, except for keys with more than `chunk_rows` rows, which are cut into
+    chunks.
     """
     hot = hot_keys(df, keys, chunk_rows)
     cold_rows, hot_rows = split(df, hot, keys) if hot is not None else (df, None)
@@ -44,7 +43,10 @@ def running_totals(
     summed = cold_rows.withColumns({name: F.sum(v).over(upto) for name, v in totals.items()})
     if hot_rows is None:
         return summed
-    return summed.unionByName(bucketed_totals(hot_rows, keys, bucket, order, totals))
+    chunked = cut(hot_rows, hot, keys, order, chunk_rows)
+    return summed.unionByName(
+        bucketed_totals(chunked, keys, F.col("_chunk"), order, totals).drop("_chunk")
+    )
 
 
 def bucketed_totals(
@@ -56,7 +58,7 @@ def bucketed_totals(
 ) -> DataFrame:
     """Running sums per key with windows inside (key, bucket) only.
 
-    The rows are shuffled once, by (key, bucket); what is shuffled besides is one
+    `bucket` must not decrease along `order`. The rows are shuffled once, by (key, bucket); what is shuffled besides is one
     partially aggregated row per key and bucket.
     """
     cut = df.withColumn("_bucket", bucket)

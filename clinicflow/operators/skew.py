@@ -54,3 +54,25 @@ def split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame
     """Rows of ordinary keys and rows of hot keys."""
     named = hot.select(*keys)
     return df.join(named, list(keys), "left_anti"), df.join(named, list(keys), "left_semi")
+
+
+def cut(
+    rows: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int
+) -> DataFrame:
+    """Rows of hot keys with `_chunk`, which grows along a key's order.
+
+    The rows are range-partitioned and sorted by key and order, so a chunk is at most
+    `chunk_rows` consecutive rows however the order columns are distributed. They are written
+    once, because the cut must not change when a task is repeated.
+    """
+    n_rows = hot.agg(F.sum("count")).first()[0]
+    by = [*keys, *order]
+    placed = (
+        rows.repartitionByRange(-(-n_rows // chunk_rows), *by)
+        .sortWithinPartitions(*by)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    # The id is the partition number, shifted left by 33 bits, plus the place inside it.
+    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    chunk = F.shiftleft(part, 33) + F.floor(inside / chunk_rows)
+    return written(placed.withColumn("_chunk", chunk).drop("_place"))

@@ -304,7 +304,7 @@ def low_stock_alerts(t: Tables) -> DataFrame:
 
 @query
 def alerts_resolve_replenished(t: Tables) -> DataFrame:
-    return al.resolve_replenished(t.inventory_alerts, _posted(t), t.inventory_items).select(
+    return al.resolve_replenished(t.inventory_alerts, _posted(t)).select(
         "id", "is_resolved", "resolved_at", "auto_resolve_date"
     )
 

@@ -153,7 +153,7 @@ def test_low_stock_alerts_follow_the_movements(spark):
     assert (by_id[1].is_resolved, by_id[1].alert_level, by_id[1].resolved_at) == (True, "info", NOW + timedelta(hours=4))
     assert (by_id[2].alert_level, by_id[2].current_value, by_id[2].title) == ("warning", D("7.00"), "old")
     assert by_id[4].is_resolved and by_id[3].alert_type == "expired"
-    resolved = {r.id: r.is_resolved for r in al.resolve_replenished(standing, done, items).collect()}
+    resolved = {r.id: r.is_resolved for r in al.resolve_replenished(standing, done).collect()}
     assert resolved == {1: True, 2: False, 3: False, 4: True}
 
 
