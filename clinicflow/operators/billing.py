@@ -109,7 +109,7 @@ def admit_invoices(
             [T.StructField("_number", T.LongType()), T.StructField("is_accepted", T.BooleanType())]
         ),
         step=_next_correlative,
-        sums=["_last"],
+        predict=_last_from,
     )
     folded = run_fold(new.withColumn("_given", given), opening, fold, chunk_rows)
     accepted = F.col("is_accepted")
@@ -132,3 +132,8 @@ def _next_correlative(state: tuple | None, inputs: tuple) -> tuple[tuple, tuple]
     if inputs[0] is None or inputs[0] == following:
         return (following,), (following, True)
     return (last,), (inputs[0], False)
+
+
+def _last_from(assumed: tuple, end: tuple, now: tuple) -> tuple:
+    """As many numbers are given out from another start, unless supplied ones interfere."""
+    return (end[0] + now[0] - assumed[0],)

@@ -8,14 +8,15 @@ A key with more than `chunk_rows` rows is not left to one task. Its rows are cut
 chunks, all chunks run at once from an assumed starting state, and every chunk whose
 assumption proves wrong is run again from the corrected one. When all assumptions hold the
 result is exactly the sequential one. Each round settles at least one further chunk per
-key, so the loop always ends; how few rounds it takes depends on the assumption, which for
-quantities that add up is the running sum.
+key, so the loop always ends; how few rounds it takes depends on how well the end of a chunk
+can be predicted for a start it has not run from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import repeat
 
 import pyarrow as pa
@@ -37,9 +38,11 @@ class Fold:
     keys: columns that identify one sequence; order: columns that sort it (total order).
     state: names of the bigint state columns; `step(state, inputs)` gets them as a tuple, or
     None where the key has no opening state, and returns (next state, output values).
-    sums: states that a chunk changes by about the same amount whatever it starts from.
     guess: states whose value at the start of a chunk its first row claims to know, and the
     column with the claim.
+    predict: where a chunk would end if it started from `now`, given that it ended at `end`
+    when started from `assumed`. It must return the true end if `now` equals `assumed`; the
+    better it is otherwise, the fewer rounds a hot key takes.
     """
 
     keys: Sequence[str]
@@ -48,8 +51,8 @@ class Fold:
     state: Sequence[str]
     outputs: T.StructType
     step: Callable[[State | None, tuple], tuple[State | None, tuple]]
-    sums: Sequence[str] = ()
     guess: dict[str, str] = field(default_factory=dict)
+    predict: Callable[[State, State, State], State] = lambda assumed, end, now: end
 
 
 def _stream(
@@ -212,26 +215,34 @@ def _first_starts(chunked: DataFrame, opening: DataFrame, fold: Fold) -> DataFra
 
 
 def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFrame:
-    """Where each chunk should start, given where the chunk before it ended.
+    """Where each chunk should start: one pass over the chunks, a few numbers each.
 
-    A summing state starts at the opening plus what all earlier chunks added; any other
-    state starts where the previous chunk ended. Both agree with the true sequence once
-    every chunk before has its true start. `_wrong` marks the chunks that must run again.
+    A chunk starts where the one before is predicted to end. If that is where it was assumed
+    to start, its end is known; otherwise it is marked `_wrong` and must run again. When no
+    chunk is wrong, every start is the true end of the chunk before.
     """
-    keys = list(fold.keys)
-    by_chunk = [*keys, "_chunk"]
-    ran = starts.alias("s").join(ends.alias("e"), by_chunk)
-    ordered = Window.partitionBy(*keys).orderBy("_chunk")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    corrected, same = [], F.lit(True)
-    for name in fold.state:
-        start, end = F.col(f"s.{name}"), F.col(f"e.{name}")
-        if name in fold.sums:
-            added = F.coalesce(F.sum(end - start).over(before), F.lit(0))
-            following = F.greatest(F.first(start).over(ordered) + added, F.lit(0))
-        else:
-            following = F.lag(end).over(ordered)
-        start_now = F.when(F.row_number().over(ordered) == 1, start).otherwise(following)
-        corrected.append(start_now.alias(name))
-        same = same & start_now.eqNullSafe(start)
-    return ran.select(*by_chunk, *corrected, "_known", (~same).alias("_wrong"))
+    keys, n = list(fold.keys), len(fold.state)
+    found = ends.select(*keys, "_chunk", *[F.col(s).alias(f"_end_{s}") for s in fold.state])
+    outputs = [T.StructField(f"_now_{s}", T.LongType()) for s in fold.state]
+    chain = Fold(
+        keys=keys,
+        order=["_chunk"],
+        inputs=["_known", *fold.state, *[f"_end_{s}" for s in fold.state]],
+        state=[],
+        outputs=T.StructType([*outputs, T.StructField("_wrong", T.BooleanType())]),
+        step=partial(_next_start, n, fold.predict),
+    )
+    chunks = starts.select(*keys, "_chunk", *fold.state, "_known").join(found, [*keys, "_chunk"])
+    ran = run_fold(chunks, None, chain, chunk_rows=None)
+    now = [F.col(f"_now_{s}").alias(s) for s in fold.state]
+    return ran.select(*keys, "_chunk", *now, "_known", "_wrong")
+
+
+def _next_start(
+    n: int, predict: Callable, now: State | None, row: tuple
+) -> tuple[State | None, tuple]:
+    known, assumed, end = row[0], row[1 : n + 1], row[n + 1 :]
+    if not known:
+        return None, (*assumed, False)
+    now = assumed if now is None else now
+    return predict(assumed, end, now), (*now, now != assumed)

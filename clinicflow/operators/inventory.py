@@ -25,6 +25,9 @@ APPROVAL_ABOVE = 100
 HALF_MINIMUM = "0.5"
 LARGEST_STOCK = 10**10 - 1  # hundredths a DECIMAL(10,2) holds
 
+# How much of an earlier average cost is left in a later one, in billionths.
+FULL_WEIGHT = 10**9
+
 ORDER = ("created_at", "id")
 
 
@@ -276,6 +279,7 @@ def post_movements(
         hundredths(F.col("last_purchase_cost")).alias("_last"),
         hundredths(F.col("minimum_stock")).alias("_minimum"),
         F.lit(0).cast("bigint").alias("_episode"),
+        F.lit(FULL_WEIGHT).cast("bigint").alias("_weight"),
     )
     category = movement_category(F.col("movement_type"))
     quantity, price = F.col("quantity"), F.col("unit_cost")
@@ -300,10 +304,10 @@ def post_movements(
         keys=["item_id"],
         order=list(order),
         inputs=["_quantity", "_price", "_bought", "_sound", "_in", "_out"],
-        state=["_stock", "_cost", "_last", "_minimum", "_episode"],
+        state=["_stock", "_cost", "_last", "_minimum", "_episode", "_weight"],
         outputs=_POSTED,
         step=partial(_post, basis == "as_written"),
-        sums=["_stock", "_episode"],
+        predict=_posted_from,
     )
     posted = run_fold(rows, opening, fold, chunk_rows)
     return posted.withColumns(
@@ -333,7 +337,7 @@ def weighted_average(weight: int, cost: int, quantity: int, price: int) -> int:
 def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     if state is None:
         return None, (texts.UNKNOWN_ITEM, False, *[None] * 4, False, False, None)
-    stock, cost, last, minimum, episode = state
+    stock, cost, last, minimum, episode, weight = state
     quantity, price, bought, sound, incoming, outgoing = row
     after = None if quantity is None else stock + quantity
     refusal = None
@@ -344,13 +348,24 @@ def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | No
     if refusal:
         return state, (refusal, False, stock, None, cost, last, False, False, episode)
     if incoming and price is not None:
-        cost = weighted_average(after if as_written else stock, cost, quantity, price)
+        basis = after if as_written else stock
+        cost = weighted_average(basis, cost, quantity, price)
+        weight = weight * max(basis, 0) // (max(basis, 0) + quantity)
         if bought:
             last = price
     low = after <= minimum
     refilled = incoming and not low
     result = (texts.MOVEMENT_DONE, True, stock, after, cost, last, low, refilled, episode)
-    return (after, cost, last, minimum, episode + refilled), result
+    return (after, cost, last, minimum, episode + refilled, weight), result
+
+
+def _posted_from(assumed: tuple, end: tuple, now: tuple) -> tuple:
+    """Stock and episodes shift with the start; the cost by the weight it still carries."""
+    stock = max(end[0] + now[0] - assumed[0], 0)
+    cost = end[1] + (end[5] * (now[1] - assumed[1]) + FULL_WEIGHT // 2) // FULL_WEIGHT
+    last = now[2] if end[2] == assumed[2] else end[2]
+    episode = end[4] + now[4] - assumed[4]
+    return stock, cost, last, end[3], episode, FULL_WEIGHT
 
 
 def item_state_after(items: DataFrame, posted: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
