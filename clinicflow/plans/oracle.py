@@ -266,7 +266,7 @@ _CATEGORY = """case when movement_type in ('purchase','return') then 'in'
   when movement_type in ('consumption','waste','expired','transfer') then 'out'
   else 'adjustment' end"""
 
-oracle("movement_categories", "inventory_movements",
+oracle("movement_category", "inventory_movements",
        f"select item_id, {ORDER}, total_cost, {_CATEGORY} movement_category from inventory_movements")
 
 oracle("item_available_stock", "inventory_items",
@@ -584,7 +584,8 @@ from inventory_alerts where not exists(select 1 from inventory_items i where i.i
 
 oracle("dq_checks",
        "appointments working_hours invoices invoice_details inventory_items inventory_batches "
-       "inventory_categories medical_records prescriptions laboratory_orders audit_logs users",
+       "inventory_categories medical_records prescriptions laboratory_orders audit_logs users "
+       "movement_claims",
        _report(
     ("appointments", "duration", "not duration_minutes between 15 and 480"),
     ("appointments", "date in the past", f"not appointment_date>={TODAY}"),
@@ -609,7 +610,14 @@ oracle("dq_checks",
     ("audit_logs", "new values", "not json_valid(new_values)"),
     ("users", "failed attempts", "failed_login_attempts>10"),
     ("users", "document", """document_type='CE' and not regexp_full_match(document_number,'[0-9]{9}')"""),
-       ), _TOTALS)
+    ("invoice_lines:invoice_details", "quantity", "quantity<=0"),
+    ("invoice_lines:invoice_details", "tax percentage", "tax_percentage not between 0 and 25"),
+    ("movements:inventory_movements", "stock values", "previous_stock<0 or new_stock<0"),
+    ("movements:inventory_movements", "quantity", """case movement_category when 'in' then quantity<=0
+       when 'out' then quantity>=0 else false end"""),
+       ), _TOTALS + """,
+invoice_lines as (select *, invoice_id id from lines),
+movements as (select *, order_no id from movement_claims)""")
 
 # Deleting
 

@@ -185,7 +185,7 @@ def critical_stock_report(t: Tables) -> DataFrame:
 
 
 @query
-def movement_categories(t: Tables) -> DataFrame:
+def movement_category(t: Tables) -> DataFrame:
     return t.inventory_movements.select(
         "item_id", *MOVEMENT_ORDER, "total_cost",
         inventory.movement_category(F.col("movement_type")).alias("movement_category"),
@@ -449,6 +449,7 @@ def dq_orphans(t: Tables) -> DataFrame:
 
 @query
 def dq_checks(t: Tables) -> DataFrame:
+    """Invoice lines and movements have no id of their own and name their document."""
     lines = billing.line_amounts(t.invoice_details)
     totals = billing.invoice_totals(t.invoices, lines)
     checked = {
@@ -458,6 +459,8 @@ def dq_checks(t: Tables) -> DataFrame:
         "inventory_categories": t.inventory_categories, "medical_records": t.medical_records,
         "prescriptions": t.prescriptions, "laboratory_orders": t.laboratory_orders,
         "audit_logs": t.audit_logs, "users": t.users,
+        "invoice_details": lines.withColumn("id", F.col("invoice_id")),
+        "inventory_movements": t.movement_claims.withColumn("id", F.col("order_no")),
     }
     reports = []
     for table, df in checked.items():
@@ -476,7 +479,7 @@ def usable_checks(df: DataFrame, table: str) -> dict:
 MISSING = {
     "invoices": ("payment reference",),
     "users": ("lockouts", "birth date"),
-    "inventory_categories": ("sort order",),
+    "inventory_categories": ("sort order",), "inventory_movements": ("approval",),
 }
 
 
