@@ -21,12 +21,10 @@ NAMES = ("name", "first_name", "last_name")
 def violations(df: DataFrame, table: str, broken: dict[str, Column]) -> DataFrame:
     """One row per row and rule it breaks. A NULL verdict is not a violation."""
     named = [F.when(verdict, F.lit(rule)) for rule, verdict in broken.items()]
-    if not named:
-        named = [F.lit(None).cast("string")]
-    hits = F.filter(F.array(*named), lambda rule: rule.isNotNull())
+    verdicts = F.array(*(named or [F.lit(None).cast("string")]))
     return df.select(
-        F.lit(table).alias("table_name"), F.explode(hits).alias("rule"), F.col("id").alias("id")
-    )
+        F.lit(table).alias("table_name"), F.explode(verdicts).alias("rule"), F.col("id").alias("id")
+    ).filter(F.col("rule").isNotNull())
 
 
 def stack(reports: list[DataFrame]) -> DataFrame:
