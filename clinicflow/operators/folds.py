@@ -83,21 +83,21 @@ def _walk(
     current: tuple | None = None
     state: State | None = None
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(n_keys + 1 + n_state + n_inputs)]
-        kinds = columns[n_keys]
-        key_rows = zip(*columns[:n_keys])
-        opened_at = n_keys + 1
-        states = zip(*columns[opened_at : opened_at + n_state]) if n_state else repeat(())
-        values = zip(*columns[opened_at + n_state :])
+        kinds = _values(batch.column(n_keys))
+        opened = batch.filter(pc.equal(batch.column(n_keys), 0))
+        first, after = n_keys + 1, n_keys + 1 + n_state
+        states = _tuples(opened, range(first, after))
+        key_rows = _tuples(batch, range(n_keys))
+        values = _tuples(batch, range(after, after + n_inputs))
         outputs: list[tuple] = []
         ended: list[tuple] = []
-        for key, kind, opened, inputs in zip(key_rows, kinds, states, values):
+        for key, kind, inputs in zip(key_rows, kinds, values):
             if key != current:
                 if current is not None:
                     ended.append((current, state))
                 current, state = key, None
             if kind == 0:
-                state = opened
+                state = next(states)
             else:
                 state, out = step(state, inputs)
                 outputs.append(out)
@@ -106,6 +106,24 @@ def _walk(
         yield from emit(None, [], [(current, state)])
 
 
+def _values(column: pa.Array) -> list:
+    """The column as Python values; whole numbers and flags take a faster way."""
+    plain = pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)
+    if not plain:
+        return column.to_pylist()
+    if column.null_count == 0:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    filled = pc.fill_null(column, pa.scalar(0).cast(column.type))
+    present = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    values = filled.to_numpy(zero_copy_only=False).tolist()
+    return [value if there else None for value, there in zip(values, present)]
+
+
+def _tuples(batch: pa.RecordBatch, places: range) -> Iterator[tuple]:
+    """The rows of some columns as tuples; endless empty ones for no columns."""
+    return zip(*[_values(batch.column(i)) for i in places]) if places else repeat(())
+
+
 def _columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     values = zip(*rows) if rows else [[] for _ in schema]
     return [pa.array(list(v), type=f.type) for v, f in zip(values, schema)]

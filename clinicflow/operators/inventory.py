@@ -242,6 +242,11 @@ def validate_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]
     return (None if state is None else (after, active)), (None,)
 
 
+POSTED_COLUMNS = (
+    "movement_category", "is_accepted", "message", "previous_stock", "new_stock",
+    "average_cost", "last_purchase_cost", "approval_required", "is_approved", "is_low",
+    "is_refilled", "episode",
+)
 _POSTED = T.StructType(
     [
         T.StructField("message", T.StringType()),
@@ -270,8 +275,10 @@ def post_movements(
     before an incoming movement and is rounded to cents each time; `basis="as_written"`
     weighs the stock after it instead. `is_low` and `is_refilled` tell whether an accepted row
     left the stock at or below the minimum, or brought more of the item to above it, and
-    `episode` counts the refills before the row; the alert operators use them.
+    `episode` counts the refills before the row; the alert operators use them. Columns of
+    these names in the requests are replaced.
     """
+    requests = requests.drop(*POSTED_COLUMNS)
     opening = items.filter("is_active").select(
         F.col("id").alias("item_id"),
         hundredths(F.col("current_stock")).alias("_stock"),
@@ -320,9 +327,7 @@ def post_movements(
             "is_approved": ~needs_approval(),
         }
     ).select(
-        *requests.columns, "movement_category", "is_accepted", "message", "previous_stock",
-        "new_stock", "average_cost", "last_purchase_cost", "approval_required", "is_approved",
-        "is_low", "is_refilled", "episode",
+        *requests.columns, *POSTED_COLUMNS
     )
 
 

@@ -215,9 +215,8 @@ def running_stock(t: Tables) -> DataFrame:
 
 
 def _posted(t: Tables, basis: str = "previous") -> DataFrame:
-    return inventory.post_movements(
-        t.inventory_movements, t.inventory_items, MOVEMENT_ORDER, basis
-    )
+    requests = t.inventory_movements.select("item_id", *MOVEMENT_ORDER, "unit_cost")
+    return inventory.post_movements(requests, t.inventory_items, MOVEMENT_ORDER, basis)
 
 
 @query
