@@ -31,5 +31,5 @@ NORMAL = "NORMAL"
 # Weekday names, Monday first
 DAY_NAMES = ("Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado", "Domingo")
 
-# Raised by this library when a month has used all its codes
-CODES_EXHAUSTED = "code range of the month is exhausted"
+# This library's own reason when a month or a series has used all its numbers
+CODES_EXHAUSTED = "no number left in this range"

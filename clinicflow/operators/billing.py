@@ -20,6 +20,7 @@ from clinicflow.operators.sequences import BUCKET_WIDTH, assign_numbers
 from clinicflow.operators.skew import CHUNK_ROWS
 
 CORRELATIVE_DIGITS = 8
+LAST_CORRELATIVE = 10**CORRELATIVE_DIGITS - 1
 
 TOTALS = {
     "subtotal": "subtotal", "discount_amount": "discount_amount",
@@ -82,16 +83,20 @@ def last_correlatives(invoices: DataFrame) -> DataFrame:
 def number_invoices(
     new: DataFrame, existing: DataFrame, bucket_width: int = BUCKET_WIDTH
 ) -> DataFrame:
-    """Number new invoices that bring no correlative, without gaps, in order of id."""
+    """Number new invoices that bring no correlative, without gaps, in order of id.
+
+    `correlative_overflow` marks invoices for which the series has no number left.
+    """
     numbered = assign_numbers(
         new, ["series"], "id", last_correlatives(existing), bucket_width=bucket_width
     )
     kept = [c for c in new.columns if c not in ("correlative", "invoice_number")]
-    return numbered.withColumn(
-        "correlative", padded(F.col("number"), CORRELATIVE_DIGITS)
-    ).select(
+    fits = F.col("number") <= LAST_CORRELATIVE
+    correlative = F.when(fits, padded(F.col("number"), CORRELATIVE_DIGITS))
+    return numbered.withColumn("correlative", correlative).select(
         *kept, "correlative",
         F.concat("series", F.lit("-"), "correlative").alias("invoice_number"),
+        (~fits).alias("correlative_overflow"),
     )
 
 
@@ -101,7 +106,8 @@ def admit_invoices(
     """Number new invoices of which some bring a correlative of their own.
 
     In order of id, an empty correlative takes the next number and a supplied one must be
-    that number; otherwise the invoice is refused and the number stays free.
+    that number; otherwise the invoice is refused and the number stays free. An invoice is
+    also refused when the series has no number left.
     """
     last = last_correlatives(existing).withColumnRenamed("last_number", "_last")
     opening = new.select("series").distinct().join(last, "series", "left").select(
@@ -130,14 +136,15 @@ def admit_invoices(
         correlative.alias("correlative"),
         F.when(accepted, F.concat("series", F.lit("-"), correlative)).alias("invoice_number"),
         "is_accepted",
-        F.when(~accepted, F.lit(texts.NOT_SEQUENTIAL)).alias("message"),
+        F.when(~accepted, F.when(F.col("_given").isNull(), F.lit(texts.CODES_EXHAUSTED))
+               .otherwise(F.lit(texts.NOT_SEQUENTIAL))).alias("message"),
     )
 
 
 def _next_correlative(state: tuple | None, inputs: tuple) -> tuple[tuple, tuple]:
     (last,) = state or (0,)
     following = last + 1
-    if inputs[0] is None or inputs[0] == following:
+    if following <= LAST_CORRELATIVE and inputs[0] in (None, following):
         return (following,), (following, True)
     return (last,), (inputs[0], False)
 

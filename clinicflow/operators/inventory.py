@@ -279,10 +279,10 @@ def post_movements(
     these names in the requests are replaced.
     """
     requests = requests.drop(*POSTED_COLUMNS)
-    opening = items.filter("is_active").select(
+    opening = items.filter("is_active and current_stock is not null").select(
         F.col("id").alias("item_id"),
         hundredths(F.col("current_stock")).alias("_stock"),
-        hundredths(F.col("unit_cost")).alias("_cost"),
+        F.coalesce(hundredths(F.col("unit_cost")), F.lit(0)).alias("_cost"),
         hundredths(F.col("last_purchase_cost")).alias("_last"),
         hundredths(F.col("minimum_stock")).alias("_minimum"),
         F.lit(0).cast("bigint").alias("_episode"),
@@ -358,8 +358,8 @@ def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | No
         weight = weight * max(basis, 0) // (max(basis, 0) + quantity)
         if bought:
             last = price
-    low = after <= minimum
-    refilled = incoming and not low
+    low = minimum is not None and after <= minimum
+    refilled = minimum is not None and incoming and after > minimum
     result = (texts.MOVEMENT_DONE, True, stock, after, cost, last, low, refilled, episode)
     return (after, cost, last, minimum, episode + refilled, weight), result
 

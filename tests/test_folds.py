@@ -11,6 +11,7 @@ from clinicflow.operators import billing, inventory
 
 DAY0 = datetime(2024, 1, 1, 8)
 CENT = Decimal("0.01")
+D0 = Decimal(0)
 ITEM = (
     "id bigint, name string, current_stock decimal(10,2), reserved_stock decimal(10,2), "
     "minimum_stock decimal(10,2), unit_cost decimal(10,2), last_purchase_cost decimal(10,2), "
@@ -133,6 +134,18 @@ def test_refused_movement_leaves_stock_for_the_next(spark):
     assert rows[1].new_stock == 0
 
 
+def test_items_without_stock_or_minimum(spark):
+    items = spark.createDataFrame(
+        [(1, "x", None, D0, D0, D0, None, True), (2, "y", D0, D0, None, None, None, True)], ITEM
+    )
+    requests = spark.createDataFrame(
+        [(1, 1, "purchase", Decimal(1), None, DAY0), (2, 2, "purchase", Decimal(1), Decimal(2), DAY0)], REQUEST
+    )
+    rows = inventory.post_movements(requests, items).orderBy("id").collect()
+    assert [r.message for r in rows] == [texts.UNKNOWN_ITEM, texts.MOVEMENT_DONE]
+    assert (rows[1].average_cost, rows[1].is_low, rows[1].is_refilled) == (Decimal("2.00"), False, False)
+
+
 def test_two_batches_end_like_one(spark):
     _, items = make_items(spark)
     _, requests = make_requests(spark, 5, 200)

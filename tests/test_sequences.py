@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from clinicflow.functions import texts
 from clinicflow.operators import billing, sequences
 
 
@@ -72,6 +73,16 @@ def test_invoice_numbers_have_no_gaps(spark, width):
         assert [n for _, n in mine] == [f"{series}-{first + k:08d}" for k in range(len(mine))]
 
 
+def test_a_series_can_run_out_of_numbers(spark):
+    new = spark.createDataFrame([(1, "F001", None), (2, "F001", ""), (3, "F001", "100000000")],
+                                "id bigint, series string, correlative string")
+    existing = spark.createDataFrame([("F001", "99999998")], "series string, correlative string")
+    numbered = billing.number_invoices(new, existing).orderBy("id").collect()
+    assert [(r.correlative, r.correlative_overflow) for r in numbered] == [("99999999", False), (None, True), (None, True)]
+    admitted = billing.admit_invoices(new, existing).orderBy("id").collect()
+    assert [r.message for r in admitted] == [None, texts.CODES_EXHAUSTED, texts.NOT_SEQUENTIAL]
+
+
 def test_bucketed_totals_equal_plain_sums(spark):
     rows = [(k % 3, k, Decimal(k % 7 - 3)) for k in range(100)]
     df = spark.createDataFrame(rows, "k bigint, at bigint, q decimal(10,2)").repartition(5)
