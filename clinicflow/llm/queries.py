@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicflow.llm import exact_dedup, sentencepieces
+from clinicflow.llm import decontamination, exact_dedup, sentencepieces
 
 # The model is a public vocabulary file; where it lies is a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,8 +27,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op6_exact_dedup)
+    f.__name__: f for f in (op1_sentencepiece, op6_exact_dedup, op10_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {
@@ -41,4 +46,40 @@ LLM_ORACLE: dict[str, str] = {
         from documents
         window same as (partition by coalesce(text, ''))
     """,
+    "op10_decontamination": r"""
+        with doc_words as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents
+        ), item_words as (
+            select item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from benchmark
+        ), item_sizes as (
+            select item_id, words, least(13, len(words)) as size from item_words where len(words) > 0
+        ), phrases as (
+            select distinct item_id, size, array_to_string(words[pos : pos + size - 1], ' ') as phrase
+            from (select *, unnest(range(1, len(words) - size + 2)) as pos from item_sizes)
+        ), doc_places as (
+            select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as pos
+            from doc_words cross join (select distinct size from phrases)
+        ), found as (
+            select doc_id, pos, p.size, item_id
+            from (select doc_id, pos, size, array_to_string(words[pos : pos + size - 1], ' ') as phrase from doc_places) d
+            join phrases p on p.phrase = d.phrase and p.size = d.size
+        ), hit as (
+            select doc_id, count(distinct place) as n_hit
+            from (select doc_id, unnest(range(pos, pos + size)) as place from (select distinct doc_id, pos, size from found))
+            group by doc_id
+        ), named as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+            from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id
+        )
+        select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+        from doc_words left join hit using (doc_id) left join named using (doc_id)
+    """,
 }
