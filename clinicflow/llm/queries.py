@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicflow.llm import decontamination, exact_dedup, sentencepieces, toxicity
+from clinicflow.llm import decontamination, exact_dedup, near_dedup, sentencepieces, toxicity
 
 # The model is a public vocabulary file; where it lies is a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op6_exact_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op10_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {
