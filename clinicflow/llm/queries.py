@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicflow.llm import decontamination, exact_dedup, near_dedup, sentencepieces, toxicity
+from clinicflow.llm import decontamination, exact_dedup, near_dedup, sentencepieces, substring_dedup, toxicity
 
 # The model is a public vocabulary file; where it lies is a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,13 +35,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "spans")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op9_substring_dedup, op10_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {
