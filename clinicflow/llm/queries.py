@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicflow.llm import decontamination, exact_dedup, language, near_dedup, sentencepieces, substring_dedup, toxicity
+from clinicflow.llm import decontamination, exact_dedup, language, near_dedup, personal_data, sentencepieces, substring_dedup, toxicity
 
 # The model is a public vocabulary file; where it lies is a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op8_language, op9_substring_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op7_pii, op8_language, op9_substring_dedup, op10_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {
