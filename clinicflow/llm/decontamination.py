@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinicflow.llm.arrays import Words, slices, text_bytes, words
-from clinicflow.llm.shared import text_of
+from clinicflow.llm.shared import text_of, whole
 
 WINDOW = 13
 # A document is contaminated if at least one in SHARE of its words is hit.
@@ -231,14 +231,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _hits(docs: DataFrame, kept: list[str], benchmark: DataFrame, text: str, window: int) -> DataFrame:
-    """_doc (struct of the kept columns), _hits (spans of words), _items and _n_words of every document."""
+def _hits(docs: DataFrame, kept: list[str] | None, benchmark: DataFrame, text: str, window: int) -> DataFrame:
+    """_doc (struct of the kept columns, or of all), _hits (spans of words), _items and _n_words of every document."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), text_of().alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(
-        F.struct(*kept).alias("_doc"),
+        whole(docs.select(*kept)) if kept else whole(docs),
         text_of(text).alias("_text"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_hits"),
         F.array().cast("array<string>").alias("_items"),
@@ -289,5 +289,5 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    found = _hits(docs, docs.columns, benchmark, text, window)
+    found = _hits(docs, None, benchmark, text, window)
     return found.filter(~F.col("_contaminated")).select("_doc.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.shared import text_of, written
+from clinicflow.llm.shared import text_of, whole, written
 
 # Share of the rows from which on a digest counts as frequent. Misra-Gries keeps 1 / SUPPORT
 # counters, so at most so many winners are broadcast: 1,000 rows of about 100 bytes.
@@ -79,13 +79,12 @@ def drop_exact_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT
 ) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    tagged = written(docs.withColumn("_exact_row", F.monotonically_increasing_id()))
-    rows = written(
-        tagged.select(
-            F.col("_exact_row").alias("_row"),
-            F.col(doc_id).alias("doc_id"),
-            F.sha2(text_of(text).cast("binary"), 256).alias("text_sha256"),
-        )
+    kept = judge(digests(docs, doc_id, text), support).filter("kept").select("doc_id", "text_sha256").alias("k")
+    tagged = docs.select(
+        whole(docs),
+        F.col(doc_id).alias("_id"),
+        F.sha2(text_of(text).cast("binary"), 256).alias("_sha"),
     )
-    kept = judge(rows, support).filter("kept").select(F.col("_row").alias("_exact_row"))
-    return tagged.join(kept, "_exact_row", "left_semi").select(*docs.columns)
+    same = F.col("_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_sha") == F.col("k.text_sha256"))
+    # Repeated rows are equal in id and text; the join has brought them together.
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import GOLDEN, mix, slices, text_bytes, words
-from clinicflow.llm.shared import text_of, written
+from clinicflow.llm.shared import text_of, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -327,7 +327,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = classes(docs, doc_id, text).filter("kept").select(*ROW).alias("k")
     value = text_of(text)
     tagged = docs.select(
-        F.struct(*docs.columns).alias("_doc"),
+        whole(docs),
         F.col(doc_id).alias("_id"),
         F.xxhash64(value).alias("_h1"),
         F.xxhash64(F.lit(1), value).alias("_h2"),

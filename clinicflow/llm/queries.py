@@ -7,11 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicflow.llm import decontamination, exact_dedup, language, near_dedup, personal_data, sentencepieces, substring_dedup, toxicity
+from clinicflow.llm import (
+    decontamination,
+    exact_dedup,
+    language,
+    near_dedup,
+    personal_data,
+    quality,
+    sentencepieces,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
+from clinicflow.llm.url_filter import Rule
 
 # The model is a public vocabulary file; where it lies is a parameter of the operator.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +42,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +54,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_toxicity, op6_exact_dedup, op7_pii, op8_language, op9_substring_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_near_dedup, op4_toxicity, op5_quality, op6_exact_dedup, op7_pii, op8_language, op9_substring_dedup, op10_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {

@@ -40,3 +40,8 @@ def fold(doc_id: str | Column) -> Column:
 def text_of(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, `_doc`, so that their names cannot clash with an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_doc")

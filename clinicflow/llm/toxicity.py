@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.shared import fold, text_of
+from clinicflow.llm.shared import fold, text_of, whole
 
 # Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     A text without words, null and empty ones included, has the score of the bias alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), text_of(text).alias("_text"))
+    rows = docs.select(whole(docs), text_of(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_scores(shared)
