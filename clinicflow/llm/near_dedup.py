@@ -7,15 +7,14 @@ signature, down to weights of one. A document sees the points below its counts,
 signatures agree in a place with a probability equal to the weighted Jaccard similarity.
 
 Bands of the signature propose pairs. Documents with equal multisets are one node first. In every
-bucket the nodes are compared with two representatives, never with each other, and a
-bucket whose nodes do not all become one class goes on with a representative of the rest until
-a round links nothing more. Proposed pairs are verified on the full multisets; classes are the
-connected components of the verified links.
+bucket the nodes are compared with a few representatives, never all with each other; while a
+round links classes, buckets with more than one class go on with other representatives. Proposed
+pairs are verified on the full multisets; classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ SIMILARITY = 0.8
 # 25 bands of 5 places: a pair at 0.8 shares no band with a probability of 5e-5.
 BANDS, ROWS = 25, 5
 PLACES = 128
+# Nodes of a bucket that the others are compared with in one round.
+REPRESENTATIVES = 3
 # Points drawn per process and round while few processes are open.
 BURST = 32
 
@@ -199,7 +200,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 linked[k] = common >= SIMILARITY * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
+        ends = [batch.column("label_a"), batch.column("label_b")]
+        yield pa.RecordBatch.from_arrays(ends, ["label_a", "label_b"]).filter(pa.array(linked))
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -234,49 +236,84 @@ def components(edges: DataFrame) -> DataFrame:
             spread.join(jump, "next").select("node", F.least("next", "further").alias("label"), F.col("label").alias("was"))
         )
         labels = moved.select("node", "label")
-        if moved.filter("label <> was").isEmpty():
+        if moved.filter("label <> was").count() == 0:
             return labels
 
 
-def _links(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes that connect every class."""
-    texts = docs.mapInArrow(
-        _bags, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text") + ", bag binary"
-    )
-    bags = None
+def _verifier(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the proposed pairs (a, b, ...) whose multisets overlap enough."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
+    texts = docs.mapInArrow(_bags, f"{columns}, bag binary").alias("t")
+    # The multisets of nodes in shared buckets only, once for all rounds.
+    asked = keys.select("node").distinct().join(nodes.select("node", *ROW), "node").alias("n")
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ROW]
+    found = asked.join(texts, same[0] & same[1] & same[2]).select("node", "bag")
+    bags = written(found.dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal bags
-        if bags is None:
-            # The multisets of nodes in shared buckets only, once for all rounds.
-            asked = keys.select("node").distinct().join(nodes.select("node", *ROW), "node").alias("n")
-            same = [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ROW]
-            found = asked.join(texts.alias("t"), same[0] & same[1] & same[2]).select("node", "bag")
-            bags = written(found.dropDuplicates(["node"]))
         a = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
         b = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_similar, "a bigint, b bigint"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "label_a", "label_b", "bag_a", "bag_b")
+        return both.mapInArrow(_similar, "label_a bigint, label_b bigint")
 
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    both = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
-    pairs = both.filter("node <> other").select(
-        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-    )
-    links = verified(pairs.distinct())
-    open_keys = keys
+    return verified
+
+
+def _representatives(keys: DataFrame, turn: int) -> DataFrame:
+    """For each key a few nodes, as key and an array of (node, label).
+
+    In the first turn one is the node with the fewest shingles: documents that share no more than a
+    common passage are linked to each other only if they are linked to the shortest of them.
+    The others have the least hash, another one in every turn.
+    """
+    chosen = []
+    for k in range(REPRESENTATIVES):
+        least = F.col("size") if turn == k == 0 else F.xxhash64(F.lit(turn * REPRESENTATIVES + k), "node")
+        chosen.append(F.min(F.struct(least.alias("least"), "node", "label")))
+    first = keys.groupBy("key").agg(F.array(*chosen).alias("chosen"))
+    ends = F.transform("chosen", lambda c: F.struct(c["node"].alias("node"), c["label"].alias("label")))
+    return first.select("key", F.array_distinct(ends).alias("chosen"))
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, label): the class of every node that is linked to another.
+
+    In a round every node meets REPRESENTATIVES nodes of each of its buckets that are not yet in
+    its class, others in each round. It ends with the first round that links nothing.
+    """
+    verified = _verifier(docs, nodes, keys)
+    labels, turn = None, 0
     while True:
-        labels = components(links)
-        known = open_keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        first = known.groupBy("key").agg(F.min(F.struct("node", "label")).alias("low"))
-        # Nodes outside the class of their representative go on with one of their own.
-        rest = known.join(first, "key").filter("label <> low.label").select("key", "node", "label")
-        open_keys = written(rest.select("key", "node"))
-        low = open_keys.groupBy("key").agg(F.min("node").alias("low"))
-        pairs = open_keys.join(low, "key").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-        more = verified(pairs.distinct().join(links, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            return links
-        links = written(links.union(more).distinct())
+        if labels is None:
+            known = keys.withColumn("label", F.col("node"))
+        else:
+            known = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        chosen = _representatives(known, turn)
+        met = known.join(chosen, "key").select("node", "label", F.explode("chosen").alias("c"))
+        pairs = (
+            met.filter("label <> c.label")
+            .select(
+                F.least("node", "c.node").alias("a"),
+                F.greatest("node", "c.node").alias("b"),
+                F.least("label", "c.label").alias("label_a"),
+                F.greatest("label", "c.label").alias("label_b"),
+            )
+            .distinct()
+        )
+        links = written(verified(pairs).distinct())
+        if links.count() == 0:
+            return labels if labels is not None else links.select(F.col("label_a").alias("node"), F.col("label_b").alias("label"))
+        # Classes are joined as a graph of their labels, which is small after the first round.
+        joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        if labels is None:
+            labels = joined
+        else:
+            own = joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
+            new = joined.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = written(
+                labels.unionByName(own).join(new, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+            )
+        turn += 1
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,11 +329,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     bag = [F.when(F.col("size") > 0, F.col(b)).otherwise(F.col(h)).alias(b) for b, h in (("bag1", "h1"), ("bag2", "h2"))]
     members = rows.select("row", *ROW, *bag, "size")
     equal = written(members.groupBy("bag1", "bag2", "size").agg(F.min("row").alias("node")))
-    nodes = equal.select("node").join(rows, F.col("node") == F.col("row")).select("node", *ROW, "keys")
-    all_keys = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = equal.select("node").join(rows, F.col("node") == F.col("row")).select("node", *ROW, "size", "keys")
+    all_keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    keys = written(all_keys.join(shared, "key").select("key", "node"))
-    labels = components(_links(docs, nodes, keys))
+    keys = written(all_keys.join(shared, "key").select("key", "node", "size"))
+    labels = _labels(docs, nodes, keys)
     placed = members.join(equal, ["bag1", "bag2", "size"]).select("row", *ROW, "node")
     placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
