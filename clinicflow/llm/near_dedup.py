@@ -7,18 +7,20 @@ signature, down to weights of one. A document sees the points below its counts,
 signatures agree in a place with a probability equal to the weighted Jaccard similarity.
 
 Bands of the signature propose pairs. Documents with equal multisets are one node first. In every
-bucket the nodes are compared with a few representatives, never all with each other; while a
-round links classes, buckets with more than one class go on with other representatives. Proposed
-pairs are verified on the full multisets; classes are the connected components of the links.
+bucket the nodes are compared with a few representatives, never all with each other. The nodes
+of buckets that then hold more than one class are dealt out anew by the rarest shingles of each,
+of which two similar documents share at least one, and meet other representatives there in
+turns until a turn links nothing. Proposed pairs are verified on the full multisets; classes are
+the connected components of the links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import GOLDEN, mix, slices, text_bytes, words
@@ -240,29 +242,52 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verifier(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function that keeps the proposed pairs (a, b, ...) whose multisets overlap enough."""
+def _node_bags(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, bag) of the nodes in shared buckets."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
     texts = docs.mapInArrow(_bags, f"{columns}, bag binary").alias("t")
-    # The multisets of nodes in shared buckets only, once for all rounds.
     asked = keys.select("node").distinct().join(nodes.select("node", *ROW), "node").alias("n")
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ROW]
     found = asked.join(texts, same[0] & same[1] & same[2]).select("node", "bag")
-    bags = written(found.dropDuplicates(["node"]))
+    return written(found.dropDuplicates(["node"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
-        b = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "label_a", "label_b", "bag_a", "bag_b")
-        return both.mapInArrow(_similar, "label_a bigint, label_b bigint")
 
-    return verified
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The labels of those pairs (a, b, label_a, label_b) whose multisets overlap enough."""
+    a = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+    b = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "label_a", "label_b", "bag_a", "bag_b")
+    return both.mapInArrow(_similar, "label_a bigint, label_b bigint")
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, bag in zip(batch.column("node").to_pylist(), batch.column("bag"), strict=True):
+            own = np.frombuffer(bag.as_buffer(), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "key"])
+
+
+def _prefixes(bags: DataFrame) -> DataFrame:
+    """(key, node, size): the shared ones among the rarest shingles of each node.
+
+    Two bags of which the one with n shingles shares at least 0.8 n with the other have a shingle in
+    common among the n - ceil(0.8 n) + 1 rarest of each.
+    """
+    rows = bags.mapInArrow(_elements, "node bigint, key bigint")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("node")
+    size = F.count(F.lit(1)).over(own)
+    ranked = rows.join(counts, "key").select(
+        "key", "node", "n", size.alias("size"), F.row_number().over(own.orderBy("n", "key")).alias("place")
+    )
+    longest = F.col("size") - F.ceil(F.col("size") * SIMILARITY) + 1
+    return written(ranked.filter((F.col("place") <= longest) & (F.col("n") > 1)).select("key", "node", "size"))
 
 
 def _representatives(keys: DataFrame, turn: int) -> DataFrame:
     """For each key a few nodes, as key and an array of (node, label).
 
-    In the first turn one is the node with the fewest shingles: documents that share no more than a
+    In turn 0 one is the node with the fewest shingles: documents that share no more than a
     common passage are linked to each other only if they are linked to the shortest of them.
     The others have the least hash, another one in every turn.
     """
@@ -275,45 +300,55 @@ def _representatives(keys: DataFrame, turn: int) -> DataFrame:
     return first.select("key", F.array_distinct(ends).alias("chosen"))
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, label): the class of every node that is linked to another.
-
-    In a round every node meets REPRESENTATIVES nodes of each of its buckets that are not yet in
-    its class, others in each round. It ends with the first round that links nothing.
-    """
-    verified = _verifier(docs, nodes, keys)
-    labels, turn = None, 0
-    while True:
-        if labels is None:
-            known = keys.withColumn("label", F.col("node"))
-        else:
-            known = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        chosen = _representatives(known, turn)
-        met = known.join(chosen, "key").select("node", "label", F.explode("chosen").alias("c"))
-        pairs = (
-            met.filter("label <> c.label")
-            .select(
-                F.least("node", "c.node").alias("a"),
-                F.greatest("node", "c.node").alias("b"),
-                F.least("label", "c.label").alias("label_a"),
-                F.greatest("label", "c.label").alias("label_b"),
-            )
-            .distinct()
+def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The keys with the class of each node, which is itself until it is linked."""
+    if labels is None:
+        return keys.withColumn("label", F.col("node"))
+    return keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _joined(keys: DataFrame, bags: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame | None:
+    """New labels after every node met the representatives of its buckets; None if nothing was linked."""
+    known = _labelled(keys, labels)
+    met = known.join(_representatives(known, turn), "key").select("node", "label", F.explode("chosen").alias("c"))
+    pairs = (
+        met.filter("label <> c.label")
+        .select(
+            F.least("node", "c.node").alias("a"),
+            F.greatest("node", "c.node").alias("b"),
+            F.least("label", "c.label").alias("label_a"),
+            F.greatest("label", "c.label").alias("label_b"),
         )
-        links = written(verified(pairs).distinct())
-        if links.count() == 0:
-            return labels if labels is not None else links.select(F.col("label_a").alias("node"), F.col("label_b").alias("label"))
-        # Classes are joined as a graph of their labels, which is small after the first round.
-        joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        if labels is None:
-            labels = joined
-        else:
-            own = joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
-            new = joined.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            labels = written(
-                labels.unionByName(own).join(new, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-            )
-        turn += 1
+        .distinct()
+    )
+    links = written(_verified(pairs, bags).distinct())
+    if links.count() == 0:
+        return None
+    # Classes are joined as a graph of their labels, which is small after the first turn.
+    joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    if labels is None:
+        return joined
+    own = joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    both = labels.unionByName(own).join(new, "label", "left")
+    return written(both.select("node", F.coalesce("further", "label").alias("label")))
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, label): the class of every node that is linked to another."""
+    bags = _node_bags(docs, nodes, keys)
+    labels = _joined(keys, bags, None, 0)
+    # Where a bucket holds several classes, two of its nodes may be alike that no representative is
+    # like. There the rare shingles that such nodes must share make finer buckets.
+    mixed = _labelled(keys, labels).groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    unsure = keys.join(mixed.filter("l <> h").select("key"), "key", "left_semi").select("node").distinct()
+    finer = _prefixes(bags.join(unsure, "node", "left_semi"))
+    turn = 0
+    while (more := _joined(finer, bags, labels, turn)) is not None:
+        labels, turn = more, turn + 1
+    if labels is None:
+        return keys.select("node", F.col("node").alias("label")).limit(0)
+    return labels
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
