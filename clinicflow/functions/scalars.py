@@ -15,8 +15,8 @@ LAST_CODE = 10**CODE_DIGITS - 1
 
 
 def stored(value: Column, precision: int = 10, scale: int = 2) -> Column:
-    """The value as a DECIMAL(precision, scale) column would hold it."""
-    return value.cast(f"decimal({precision},{scale})")
+    """The value as a DECIMAL(precision, scale) column would hold it; NULL where it does not fit."""
+    return value.try_cast(f"decimal({precision},{scale})")
 
 
 def hundredths(value: Column) -> Column:
@@ -25,7 +25,8 @@ def hundredths(value: Column) -> Column:
 
 
 def from_hundredths(value: Column, precision: int = 10) -> Column:
-    return (value.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(
+    """NULL where the column cannot hold the amount."""
+    return (value.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).try_cast(
         f"decimal({precision},2)"
     )
 
@@ -91,7 +92,8 @@ def json_valid(text: Column) -> Column:
 
     The parser stops after the first value and does not see what follows it, so the text is
     placed in an array, where it must fill one place, and in an object, where a bracket that
-    closes the array too early is an error.
+    closes the array too early is an error. A repeated key is valid if the session allows it
+    (spark.sql.variant.allowDuplicateKeys, as `session.SETTINGS` does).
     """
     one_value = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
     parses = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()

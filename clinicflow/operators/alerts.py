@@ -113,23 +113,30 @@ def _item_feed(items: DataFrame, now: datetime) -> DataFrame:
 
 
 def _batch_feed(batches: DataFrame, items: DataFrame) -> DataFrame:
-    """One alert per item with a depleted batch; the batch with the lowest id is named."""
+    """One alert per item with a depleted batch; the batch with the lowest id is named.
+
+    `raised_again` tells that a further batch finds the alert already there.
+    """
     empty = (
         batches.filter((F.col("quantity_current") == 0) & F.col("is_active"))
         .groupBy("item_id")
-        .agg(F.min_by("batch_number", "id").alias("batch_number"))
+        .agg(F.min_by("batch_number", "id").alias("batch_number"), F.count("*").alias("n_batches"))
     )
     names = items.select(F.col("id").alias("item_id"), "name")
     return empty.join(names, "item_id").select(
         "item_id", F.lit(DEPLETED).alias("alert_type"), F.lit("info").alias("alert_level"),
         filled(DEPLETED_TITLE, F.col("name")).alias("title"),
         filled(DEPLETED_MESSAGE, F.col("batch_number"), F.col("name")).alias("message"),
-        "batch_number",
+        "batch_number", (F.col("n_batches") > 1).alias("raised_again"),
     )
 
 
 def expiration_feed(items: DataFrame, batches: DataFrame, now: datetime) -> DataFrame:
     """Alerts due today: expiring items, expired items, depleted batches."""
+    return _raised(items, batches, now).drop("raised_again")
+
+
+def _raised(items: DataFrame, batches: DataFrame, now: datetime) -> DataFrame:
     feed = _item_feed(items, now).unionByName(_batch_feed(batches, items), allowMissingColumns=True)
     return feed.withColumn("created_at", F.lit(now))
 
@@ -140,11 +147,13 @@ def daily_alerts(
     """The alert table after the daily run: purge, then raise or refresh.
 
     Only an open alert is refreshed; resolved ones are history. An expiring alert gets a new
-    level and message but keeps its title; the other kinds only note the time.
+    level and message but keeps its title; the other kinds only note the time. The second
+    depleted batch of an item refreshes the alert that the first one raised in the same run.
     """
     kept = purge_alerts(alerts, now)
-    fresh = expiration_feed(items, batches, now).withColumns(
-        {"is_read": F.lit(False), "is_resolved": F.lit(False)}
+    again = F.when(F.col("raised_again"), F.lit(now))
+    fresh = _raised(items, batches, now).withColumns(
+        {"is_read": F.lit(False), "is_resolved": F.lit(False), "updated_at": again}
     )
     expiring = F.col("old.alert_type") == EXPIRING
     after = upsert(

@@ -16,7 +16,7 @@ from clinicflow.functions.scalars import (
     stored,
 )
 from clinicflow.operators.folds import Fold, run_fold
-from clinicflow.operators.sequences import BUCKET_WIDTH, assign_numbers
+from clinicflow.operators.sequences import assign_numbers
 from clinicflow.operators.skew import CHUNK_ROWS
 
 CORRELATIVE_DIGITS = 8
@@ -29,7 +29,11 @@ TOTALS = {
 
 
 def line_amounts(details: DataFrame) -> DataFrame:
-    """Gross, discount, subtotal, tax and total of each line, each rounded when stored."""
+    """Gross, discount, subtotal, tax and total of each line, each rounded when stored.
+
+    An amount that its column cannot hold is NULL, and so is all that follows from it;
+    `lines_out_of_range` reports such lines.
+    """
     percent = F.lit("0.01").cast("decimal(3,2)")
     return (
         details.withColumn("gross_amount", stored(F.col("quantity") * F.col("unit_price")))
@@ -45,13 +49,24 @@ def line_amounts(details: DataFrame) -> DataFrame:
     )
 
 
+def lines_out_of_range(lines: DataFrame) -> DataFrame:
+    """Lines of `line_amounts` that the tables would refuse, because an amount does not fit."""
+    given = [F.col(c).isNotNull() for c in ("quantity", "unit_price", "discount_percentage", "tax_percentage")]
+    lost = F.col("total_price").isNull()
+    for known in given:
+        lost = lost & known
+    return lines.filter(lost)
+
+
 def invoice_totals(invoices: DataFrame, details: DataFrame) -> DataFrame:
     """Invoices with their four totals; an invoice without lines gets zeros.
 
     Lines are summed before they are shuffled, so a huge invoice costs no more than others.
-    The sums run over whole cents, which is exact and cheaper than wide decimals.
+    The sums run over whole cents, which is exact and cheaper than wide decimals. Lines whose
+    amounts do not fit their columns would not be stored and do not count; a total that does
+    not fit is NULL.
     """
-    sums = details.groupBy(F.col("invoice_id").alias("id")).agg(
+    sums = details.filter(F.col("total_price").isNotNull()).groupBy(F.col("invoice_id").alias("id")).agg(
         *[F.sum(hundredths(F.col(line))).alias(f"_{total}") for total, line in TOTALS.items()]
     )
     kept = [c for c in invoices.columns if c not in TOTALS]
@@ -80,16 +95,12 @@ def last_correlatives(invoices: DataFrame) -> DataFrame:
     )
 
 
-def number_invoices(
-    new: DataFrame, existing: DataFrame, bucket_width: int = BUCKET_WIDTH
-) -> DataFrame:
+def number_invoices(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Number new invoices that bring no correlative, without gaps, in order of id.
 
     `correlative_overflow` marks invoices for which the series has no number left.
     """
-    numbered = assign_numbers(
-        new, ["series"], "id", last_correlatives(existing), bucket_width=bucket_width
-    )
+    numbered = assign_numbers(new, ["series"], "id", last_correlatives(existing))
     kept = [c for c in new.columns if c not in ("correlative", "invoice_number")]
     fits = F.col("number") <= LAST_CORRELATIVE
     correlative = F.when(fits, padded(F.col("number"), CORRELATIVE_DIGITS))

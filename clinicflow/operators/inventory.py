@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinicflow.functions import texts
-from clinicflow.functions.scalars import folded, from_hundredths, hundredths, stored
+from clinicflow.functions.scalars import collated, folded, from_hundredths, hundredths, stored
 from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import running_totals
-from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split
+from clinicflow.operators.skew import CHUNK_ROWS, positioned
 
 # How movement types count, and which large ones need approval.
 IN_TYPES = ("purchase", "return")
@@ -99,7 +99,7 @@ def critical_stock_report(
     return (
         _with_category(short, categories, "category")
         .join(bought, "id", "left")
-        .orderBy(urgency, "current_stock", "name")
+        .orderBy(urgency, "current_stock", collated(F.col("name")))
         .select(
             "code", "name", "category", "current_stock", "minimum_stock", "unit_of_measure",
             "location", "primary_supplier",
@@ -112,17 +112,9 @@ def critical_stock_report(
     )
 
 
-def ledger_breaks(
-    movements: DataFrame, order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def ledger_breaks(movements: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Movements that do not continue the item's ledger, or whose stock does not add up."""
-    hot = hot_keys(movements, ["item_id"], chunk_rows)
-    cold_rows, hot_rows = split(movements, hot, ["item_id"]) if hot is not None else (movements, None)
-    by_item = Window.partitionBy("item_id").orderBy(*order)
-    checked = cold_rows.withColumn("expected_stock", F.lag("new_stock").over(by_item))
-    if hot_rows is not None:
-        chunked = cut(hot_rows, hot, ["item_id"], order, chunk_rows)
-        checked = checked.unionByName(_expected_by_chunk(chunked, order))
+    checked = _expected_by_chunk(positioned(movements, ["item_id", *order]), order)
     gap = F.col("previous_stock") != F.col("expected_stock")
     wrong = folded(F.col("movement_category")).isin("in", "out") & (
         F.col("new_stock") != F.col("previous_stock") + F.col("quantity")
@@ -159,11 +151,10 @@ def running_stock(
     movements: DataFrame,
     items: DataFrame,
     order: Sequence[str] = ORDER,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Stock after each movement if every movement is accepted."""
     moved = {"_moved": F.col("quantity")}
-    summed = running_totals(movements, ["item_id"], order, moved, chunk_rows)
+    summed = running_totals(movements, ["item_id"], order, moved)
     opening = items.select(F.col("id").alias("item_id"), F.col("current_stock").alias("_open"))
     return (
         summed.join(opening, "item_id", "left")
@@ -233,11 +224,13 @@ def validate_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]
     stock, active = state or (None, None)
     if active == 0:
         return state, (texts.INACTIVE_ITEM,)
-    if None not in (before, stock) and before != stock:
+    if None in (before, after, quantity):
+        return state, (texts.INCOMPLETE_MOVEMENT,)
+    if stock is not None and before != stock:
         return state, (texts.STALE_STOCK,)
-    if after is not None and after < 0:
+    if after < 0:
         return state, (texts.NEGATIVE_STOCK,)
-    if exact and None not in (after, before, quantity) and after != before + quantity:
+    if exact and after != before + quantity:
         return state, (texts.WRONG_STOCK,)
     return (None if state is None else (after, active)), (None,)
 

@@ -21,10 +21,10 @@ NAMES = ("name", "first_name", "last_name")
 def violations(df: DataFrame, table: str, broken: dict[str, Column]) -> DataFrame:
     """One row per row and rule it breaks. A NULL verdict is not a violation."""
     named = [F.when(verdict, F.lit(rule)) for rule, verdict in broken.items()]
-    verdicts = F.array(*(named or [F.lit(None).cast("string")]))
-    return df.select(
-        F.lit(table).alias("table_name"), F.explode(verdicts).alias("rule"), F.col("id").alias("id")
-    ).filter(F.col("rule").isNotNull())
+    verdicts = F.array_compact(F.array(*(named or [F.lit(None).cast("string")])))
+    # Sound rows, which are nearly all, go before anything is exploded.
+    found = df.select(F.col("id").alias("id"), verdicts.alias("rules")).filter(F.size("rules") > 0)
+    return found.select(F.lit(table).alias("table_name"), F.explode("rules").alias("rule"), "id")
 
 
 def stack(reports: list[DataFrame]) -> DataFrame:
@@ -35,9 +35,15 @@ def _declared(df: DataFrame, table: str):
     return [(n, f) for n, f in TABLES[table].items() if n in df.columns]
 
 
-def missing_values(df: DataFrame, table: str) -> DataFrame:
-    """Required columns that are NULL."""
-    broken = {n: F.col(n).isNull() for n, f in _declared(df, table) if f.need}
+def missing_values(df: DataFrame, table: str, complete: bool = True) -> DataFrame:
+    """Required columns that are NULL. A required column that the input lacks is NULL in every row,
+    unless the input is said not to be `complete`, a projection of the table.
+    """
+    broken = {
+        n: F.col(n).isNull() if n in df.columns else F.lit(True)
+        for n, f in TABLES[table].items()
+        if f.need and (complete or n in df.columns)
+    }
     return violations(df, table, broken)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinicflow.functions import texts
-from clinicflow.functions.scalars import changed, end_seconds, folded, iso_weekday, moment
+from clinicflow.functions.scalars import changed, collated, end_seconds, folded, iso_weekday, moment
 from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import assign_codes
 
@@ -87,7 +87,7 @@ def dentist_availability(users: DataFrame, working_hours: DataFrame) -> DataFram
     u, w = users.alias("u"), working_hours.filter("is_active").alias("w")
     return (
         u.join(w, F.col("u.id") == F.col("w.dentist_id"))
-        .orderBy("u.first_name", "u.last_name", "w.day_of_week")
+        .orderBy(collated(F.col("u.first_name")), collated(F.col("u.last_name")), "w.day_of_week")
         .select(
             "w.dentist_id", full_name("u").alias("dentist_name"), "w.day_of_week",
             day_name(F.col("w.day_of_week")).alias("day_name"), "w.start_time", "w.end_time",

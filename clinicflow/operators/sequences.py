@@ -1,52 +1,34 @@
 """Running sums and numbers over ordered rows, without one task per large key.
 
 A month or an invoice series may hold most of a table, so numbering never runs a window
-over a whole key. Rows are cut into buckets of the arrival id; a bucket holds at most
-`bucket_width` rows because ids are unique. The window runs inside a bucket, and a second,
-small window over the bucket totals supplies what went before.
+over a whole key. Rows are cut by position into chunks, the partitions of a range partitioning
+by key and order; ids may have gaps, be negative or be hashed. The window runs inside a key's
+rows of a chunk, and a second, small window over the chunk totals supplies what went before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.functions.scalars import LAST_CODE, blank, code_number, month_key, padded
-from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split
+from clinicflow.operators.skew import positioned
 
-BUCKET_WIDTH = 1 << 18
 
-
-def id_bucket(order: str, width: int = BUCKET_WIDTH) -> Column:
-    return F.floor(F.col(order) / width)
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Join condition on equal keys; NULL equals NULL."""
+    return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    totals: dict[str, Column],
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Add inclusive running sums per key.
-
-    One window per key, except for keys with more than `chunk_rows` rows, which are cut into
-    chunks.
-    """
-    hot = hot_keys(df, keys, chunk_rows)
-    cold_rows, hot_rows = split(df, hot, keys) if hot is not None else (df, None)
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    summed = cold_rows.withColumns({name: F.sum(v).over(upto) for name, v in totals.items()})
-    if hot_rows is None:
-        return summed
-    chunked = cut(hot_rows, hot, keys, order, chunk_rows)
-    return summed.unionByName(
-        bucketed_totals(chunked, keys, F.col("_chunk"), order, totals).drop("_chunk")
-    )
+    """Add inclusive running sums per key."""
+    cut = positioned(df, [*keys, *order])
+    return bucketed_totals(cut, keys, F.col("_chunk"), order, totals).drop("_chunk")
 
 
 def bucketed_totals(
@@ -58,8 +40,8 @@ def bucketed_totals(
 ) -> DataFrame:
     """Running sums per key with windows inside (key, bucket) only.
 
-    `bucket` must not decrease along `order`. The rows are shuffled once, by (key, bucket); what is shuffled besides is one
-    partially aggregated row per key and bucket.
+    `bucket` must not decrease along `order`. The rows are shuffled once, by (key, bucket); what
+    is shuffled besides is one partially aggregated row per key and bucket.
     """
     cut = df.withColumn("_bucket", bucket)
     by_bucket = [*keys, "_bucket"]
@@ -80,11 +62,11 @@ def bucketed_totals(
         ],
     )
     local = cut.withColumns({name: F.sum(v).over(inside) for name, v in totals.items()})
-    joined = local.join(offsets, by_bucket, "left")
-    summed = {
-        name: F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in totals
-    }
-    return joined.withColumns(summed).select(*df.columns, *totals)
+    joined = local.alias("l").join(offsets.alias("o"), _same("l", "o", by_bucket), "left")
+    summed = [
+        (F.col(f"l.{name}") + F.coalesce(F.col(f"o._before_{name}"), F.lit(0))).alias(name) for name in totals
+    ]
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *summed)
 
 
 def assign_numbers(
@@ -94,24 +76,20 @@ def assign_numbers(
     base: DataFrame,
     supplied: str | None = None,
     wanted: Column | None = None,
-    bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
-    """Add `number`: the next free number of the key as each row arrives.
+    """Add `number`: the next free number of the key as each row arrives, in the order of `order`.
 
     `base` holds (keys, last_number), one row per key, and may lack keys. A row whose
     `supplied` number is set keeps it, and later rows continue after the largest number
     seen so far, as if the rows had been inserted one by one. Rows that are not `wanted`
-    get no number and use none up.
+    get no number and use none up. Rows with a NULL order come first.
     """
     given = F.col(supplied) if supplied else F.lit(None).cast("bigint")
     wanted = F.coalesce(wanted, F.lit(False)) if wanted is not None else F.lit(True)
-    cut = new.withColumns(
-        {
-            "_bucket": id_bucket(order, bucket_width),
-            "_given": F.when(wanted, given),
-            "_needed": (wanted & given.isNull()).cast("int"),
-        }
-    )
+    cut = positioned(
+        new.withColumns({"_given": F.when(wanted, given), "_needed": (wanted & given.isNull()).cast("int")}),
+        [*keys, order],
+    ).withColumnRenamed("_chunk", "_bucket")
     by_bucket = [*keys, "_bucket"]
     inside = Window.partitionBy(*by_bucket).orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,27 +109,24 @@ def assign_numbers(
 
     # The numbers used before count as a bucket ahead of all others.
     used = base.select(
-        *keys, F.lit(-1).cast("bigint").alias("_bucket"), F.lit(0).cast("bigint").alias("_total"),
-        F.col("last_number").cast("bigint").alias("_peak"),
+        *keys, F.lit(None).cast("int").alias("_bucket"), F.lit(0).cast("bigint").alias("_total"),
+        F.col("last_number").cast("bigint").alias("_peak"), F.lit(True).alias("_used"),
     )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    before = Window.partitionBy(*keys).orderBy(F.col("_used").desc(), "_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     totals = (
-        totals.unionByName(used)
+        totals.withColumn("_used", F.lit(False)).unionByName(used)
         .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .withColumn("_peak", F.max(F.col("_peak") - F.col("_before")).over(before))
-        .filter("_bucket >= 0")
+        .filter("not _used")
         .select(*by_bucket, "_before", "_peak")
     )
-    start = F.greatest(F.lit(0), F.col("_peak"), F.col("_lead") - F.col("_before"))
-    next_free = F.col("_before") + F.col("_count") + start
-    number = F.coalesce("_given", F.when(F.col("_needed") == 1, next_free))
-    return (
-        local.join(totals, by_bucket, "left")
-        .withColumn("number", number.cast("bigint"))
-        .select(*new.columns, "number")
-    )
+    start = F.greatest(F.lit(0), F.col("t._peak"), F.col("l._lead") - F.col("t._before"))
+    next_free = F.col("t._before") + F.col("l._count") + start
+    number = F.coalesce("l._given", F.when(F.col("l._needed") == 1, next_free))
+    joined = local.alias("l").join(totals.alias("t"), _same("l", "t", by_bucket), "left")
+    return joined.select(*[F.col(f"l.{c}") for c in new.columns], number.cast("bigint").alias("number"))
 
 
 def last_codes(existing: DataFrame, code: str) -> DataFrame:
@@ -174,7 +149,6 @@ def assign_codes(
     order: str = "id",
     keep_supplied: bool = False,
     wanted: Column | None = None,
-    bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """Give documents their monthly codes `KIND-YYYYMM-NNNN`.
 
@@ -204,7 +178,6 @@ def assign_codes(
         last_codes(existing, code),
         supplied="_number" if keep_supplied else None,
         wanted=F.col("_wanted"),
-        bucket_width=bucket_width,
     )
     fits = F.col("number") <= LAST_CODE
     made = F.concat(F.col("code_prefix"), F.lit("-"), padded(F.col("number"), 4))

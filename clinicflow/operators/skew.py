@@ -37,6 +37,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positioned(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows with `_chunk`, which does not decrease along the sort columns.
+
+    Chunks are the partitions of a range partitioning, so they are about equally large however
+    the columns are distributed, and a key with most of the rows has many of them. NULLs come
+    first. The rows are written once, because the cut must be the same wherever it is used.
+    """
+    return written(rows.repartitionByRange(*by).withColumn("_chunk", F.spark_partition_id()))
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """(keys, count) of the keys with more than `limit` rows, or None if there are none.
 

@@ -426,7 +426,9 @@ select a.id, a.item_id, a.alert_type,
 from kept a left join feed f on f.item_id=a.item_id and f.alert_type=a.alert_type and not a.is_resolved
 union all
 select null, f.item_id, f.alert_type, f.alert_level, f.title, f.message, null, null,
-  f.expiration_date, f.batch_number, false, false, null, null, {NOW}, null
+  f.expiration_date, f.batch_number, false, false, null, null, {NOW},
+  case when f.alert_type='batch_depleted' and (select count(*) from inventory_batches b
+    where b.item_id=f.item_id and b.quantity_current=0 and b.is_active)>1 then {NOW} end
 from feed f where not exists(select 1 from kept a where not a.is_resolved
   and a.item_id=f.item_id and a.alert_type=f.alert_type)""",
        _FEED + f", kept as (select * from inventory_alerts where not ({_OLD}))")
@@ -545,8 +547,8 @@ def _report(*rules: tuple[str, str, str]) -> str:
     )
 
 
-oracle("dq_not_null", "requests medical_records invoices audit_logs", _report(
-    ("requests:appointments", "appointment_code", "appointment_code is null"),
+oracle("dq_not_null", "asked_visits medical_records invoices audit_logs", _report(
+    ("asked_visits:appointments", "appointment_code", "appointment_code is null"),
     ("medical_records", "record_number", "record_number is null"),
     ("invoices", "correlative", "correlative is null"),
 ))

@@ -383,10 +383,10 @@ def password_rotation(t: Tables) -> DataFrame:
 def dq_not_null(t: Tables) -> DataFrame:
     return rules.stack(
         [
-            rules.missing_values(t.requests, "appointments"),
-            rules.missing_values(t.medical_records, "medical_records"),
-            rules.missing_values(t.invoices, "invoices"),
-            rules.missing_values(t.audit_logs, "audit_logs"),
+            rules.missing_values(t.asked_visits, "appointments", complete=False),
+            rules.missing_values(t.medical_records, "medical_records", complete=False),
+            rules.missing_values(t.invoices, "invoices", complete=False),
+            rules.missing_values(t.audit_logs, "audit_logs", complete=False),
         ]
     )
 

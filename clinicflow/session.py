@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # JSON text may repeat a key, as the tables allow.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
 }
 

@@ -16,9 +16,6 @@ from clinicflow.sources.tables import generated
 AS_OF = date(2024, 1, 15)
 NOW = datetime(2024, 1, 15, 12, 0, 0)
 
-# What one trigger of a stream reads at most.
-STREAM_BYTES = 1 << 30
-
 # Total order of movements; equal rows are equal in every column.
 MOVEMENT_ORDER = [
     "created_at", "order_no", "line_no", "supplier_id", "movement_type", "quantity",
@@ -37,8 +34,9 @@ _VISIT = """
   cast(null as timestamp) finished_at, cast(ts as timestamp) created_at, cast(null as timestamp) updated_at
 """
 
-_CODE = """concat('CITA-', replace(substr(cast(cast(ts as date) as {str}),1,7),'-',''), '-',
-  lpad(cast(event_id%1000 as {str}),4,'0')) appointment_code"""
+_CODE_VALUE = """concat('CITA-', replace(substr(cast(cast(ts as date) as {str}),1,7),'-',''), '-',
+  lpad(cast(event_id%1000 as {str}),4,'0'))"""
+_CODE = f"{_CODE_VALUE} appointment_code"
 
 _HOUR = """
   (d.dentist_id*10+d.day_of_week) id, d.dentist_id, d.day_of_week,
@@ -54,7 +52,10 @@ TABLES: dict[str, str] = {
     # One part of the visits is booked already, the other part asks for a slot.
     "bookings": f"select {_CODE}, {_VISIT} from {{events}} where event_type in ('purchase','signup')",
     "requests": f"""select cast(null as {{str}}) appointment_code, {_VISIT} from {{events}}
-      where event_type not in ('purchase','signup')""",
+      where event_type is null or event_type not in ('purchase','signup')""",
+    # All visits as they were asked for: only those booked have a code.
+    "asked_visits": f"""select case when event_type in ('purchase','signup') then {_CODE_VALUE} end appointment_code,
+      {_VISIT} from {{events}}""",
     # Proposed new versions: some visits move by half an hour or a day, or change dentist.
     "appointment_proposals": """
       select id, appointment_code, patient_id,
@@ -284,6 +285,7 @@ def read(spark: SparkSession, sf_dir: str, table: str, stream: bool = False) ->
             # A pattern, because the stream reader takes a single file in no other way.
             files = f"{sf_dir}/{source}[.]parquet"
             reader = spark.readStream.schema(frames[source].schema)
-            frames[source] = reader.option("maxBytesPerTrigger", STREAM_BYTES).parquet(files)
-    kind = "appointments" if table in ("bookings", "requests", "appointment_proposals") else table
+            # No limit for a trigger: what is there is one ordered batch, however it is cut into files.
+            frames[source] = reader.parquet(files)
+    kind = "appointments" if table in ("bookings", "requests", "asked_visits", "appointment_proposals") else table
     return generated(kind, spark.sql(text, **frames))

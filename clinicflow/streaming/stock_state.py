@@ -22,7 +22,6 @@ _OUT = [
     T.StructField("_purchase", T.LongType()),
 ]
 _OPENING = ("_open_stock", "_open_active", "_open_cost", "_open_last")
-UNKNOWN = -1  # in the state: no such item, or never bought
 _INPUTS = ("_before", "_after", "_quantity", "_exact", "_price", "_in", "_bought")
 
 
@@ -34,18 +33,19 @@ def track_stock(
     `movements` is a stream of rows that state the stock before and after. A row whose stock
     before is not the item's current stock came too early, too late or twice; it is marked
     as refused and changes nothing, so `is_accepted = false` is the side output. Items start
-    from `items` when their first movement arrives. Rows of one trigger are put in order
-    per item; how many rows a trigger takes bounds what a task holds, so set the source's
-    maxFilesPerTrigger or maxBytesPerTrigger.
+    from `items` when their first movement arrives; NULL in the state says that there is no
+    such item or no such cost. Rows of one trigger are put in order per item. If the source
+    is read in several triggers, as a live stream is, a row that comes after its successors
+    is refused; to get the same result however the input is cut into files, read all of it
+    in one trigger. A task holds the rows of one item and trigger.
     """
     opening = items.select(
         F.col("id").alias("item_id"),
         hundredths(F.col("current_stock")).alias("_open_stock"),
         F.col("is_active").cast("bigint").alias("_open_active"),
-        hundredths(F.col("unit_cost")).alias("_open_cost"),
+        F.coalesce(hundredths(F.col("unit_cost")), F.lit(0)).alias("_open_cost"),
         hundredths(F.col("last_purchase_cost")).alias("_open_last"),
     )
-    unknown = {name: F.coalesce(name, F.lit(UNKNOWN)) for name in _OPENING}
     category = folded(F.col("movement_category"))
     rows = movements.withColumns(
         {
@@ -57,7 +57,7 @@ def track_stock(
             "_in": category == "in",
             "_bought": folded(F.col("movement_type")) == "purchase",
         }
-    ).join(opening, "item_id", "left").withColumns(unknown)
+    ).join(opening, "item_id", "left")
     kept = movements.columns
     schema = T.StructType([rows.schema[c] for c in kept] + _OUT)
     ordering = list(order)
@@ -69,7 +69,7 @@ def track_stock(
         keys = list(zip(*[rows[c].tolist() for c in ordering]))
         rows = rows.iloc[sorted(range(len(keys)), key=keys.__getitem__)]
         current = tuple(state.get) if state.exists else tuple(rows[c].iloc[0] for c in _OPENING)
-        current = tuple(int(v) for v in current)
+        current = tuple(_whole(v) for v in current)
         outputs = []
         for row in zip(*[rows[c].tolist() for c in _INPUTS]):
             current, out = _step(current, tuple(_whole(v) for v in row))
@@ -100,7 +100,7 @@ def _whole(value: object) -> object:
 def _step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
     stock, active, cost, last = state
     before, after, quantity, exact, price, incoming, bought = row
-    known = None if active == UNKNOWN else (stock, active)
+    known = None if active is None else (stock, active)
     following, (message,) = validate_step(known, (before, after, quantity, exact))
     if message is None and following is not None:
         if incoming and price is not None:
@@ -108,5 +108,4 @@ def _step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         if bought and price is not None:
             last = price
         stock = following[0]
-    shown = (None if v == UNKNOWN else v for v in (stock, cost, last))
-    return (stock, active, cost, last), (message, message is None, *shown)
+    return (stock, active, cost, last), (message, message is None, stock, cost, last)

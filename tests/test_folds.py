@@ -217,8 +217,9 @@ def test_invoice_admission_matches_a_plain_loop(spark, chunk_rows, share):
     assert {r.id: (r.is_accepted, r.invoice_number) for r in got} == expected
 
 
-@pytest.mark.parametrize("chunk_rows", [1_000_000, 20])
-def test_running_stock_and_ledger_breaks(spark, chunk_rows):
+@pytest.mark.parametrize("merged", ["false", "true"])
+def test_running_stock_and_ledger_breaks(spark, merged):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
     items, item_df = make_items(spark)
     rnd = random.Random(4)
     stock, rows, sums = {}, [], {}
@@ -240,7 +241,7 @@ def test_running_stock_and_ledger_breaks(spark, chunk_rows):
             breaks[k] = (gap, wrong)
         last[item] = new
     df = spark.createDataFrame(rows, CLAIM).repartition(3)
-    got = inventory.running_stock(df, item_df, chunk_rows=chunk_rows).collect()
+    got = inventory.running_stock(df, item_df).collect()
     assert {r.id: r.running_stock for r in got} == sums
-    found = inventory.ledger_breaks(df, chunk_rows=chunk_rows).collect()
+    found = inventory.ledger_breaks(df).collect()
     assert {r.id: (r.breaks_chain, r.wrong_sum) for r in found} == breaks

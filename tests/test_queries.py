@@ -13,9 +13,6 @@ from clinicflow.sources.driver_tables import SOURCES
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test data not there")
 
-# Registered without SQL; covered by tests of their own.
-WITHOUT_SQL = {"stream_stock_state", "stream_reminders"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -41,7 +38,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql():
-    assert set(QUERIES) - set(ORACLE) <= WITHOUT_SQL
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -58,3 +55,4 @@ def test_entry_point(spark):
     spec.loader.exec_module(module)
     assert module.entry(spark).count() > 0
     assert set(module.oracle_sql()) <= set(module.queries())
+    assert set(QUERIES) <= set(module.queries())

@@ -247,3 +247,11 @@ def test_declarations_name_real_columns(spark):
     for table, columns in REFERENCES.items():
         assert set(columns) <= set(TABLES[table])
         assert {parent for parent, _ in columns.values()} <= set(TABLES)
+
+
+def test_absent_required_columns_are_reported(spark):
+    users = spark.createDataFrame([(1,), (2,)], "id bigint")
+    found = rules.missing_values(users, "users").collect()
+    needed = [n for n, f in TABLES["users"].items() if f.need and n != "id"]
+    assert len(found) == 2 * len(needed) > 0
+    assert rules.missing_values(users, "users", complete=False).count() == 0

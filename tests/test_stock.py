@@ -201,3 +201,32 @@ def test_open_alerts_are_counted(spark):
     got = {r.id: (r.stock_status, r.active_alerts) for r in inventory.inventory_status(items, categories, rows).collect()}
     assert got == {1: (texts.CRITICAL, 2), 2: (texts.NORMAL, 0)}
     assert isinstance(TODAY, date)
+
+
+def test_a_second_depleted_batch_refreshes_the_first_alert(spark):
+    items = rows_as(spark, "inventory_items", [{"id": n, "name": f"item {n}", "is_active": True} for n in (1, 2)])
+    batches = rows_as(
+        spark, "inventory_batches",
+        [
+            {"id": k, "item_id": item, "batch_number": f"L{k}", "quantity_current": D(0), "is_active": True}
+            for k, item in ((1, 1), (2, 1), (3, 2))
+        ],
+    )
+    after = al.daily_alerts(rows_as(spark, "inventory_alerts", []), items, batches, NOW)
+    assert {r.item_id: r.updated_at for r in after.collect()} == {1: NOW, 2: None}
+
+
+def test_names_sort_without_case_and_accents(spark):
+    names = ["Zeta", "beta", "álcali", "Alfa"]
+    items = rows_as(
+        spark, "inventory_items",
+        [
+            {"id": k, "code": n, "name": n, "is_active": True, "current_stock": D(0), "minimum_stock": D(1),
+             "unit_cost": D(1), "category_id": 1, "created_at": NOW}
+            for k, n in enumerate(names)
+        ],
+    )
+    report = inventory.critical_stock_report(
+        items, rows_as(spark, "inventory_categories", [{"id": 1, "name": "c"}]), rows_as(spark, "inventory_movements", []), TODAY
+    )
+    assert [r.name for r in report.collect()] == ["álcali", "Alfa", "beta", "Zeta"]

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from clinicflow.functions import texts
 from clinicflow.streaming.reminders import plan_reminders
@@ -65,3 +66,35 @@ def test_reminders_are_planned_once(spark, tmp_path):
     assert sorted((r.appointment_id, r.hours_before) for r in plan) == [(1, 2), (1, 24), (2, 24)]
     with pytest.raises(ValueError, match="takes a stream"):
         plan_reminders(spark.createDataFrame([], visits), date(2024, 1, 8))
+
+
+def test_missing_values_are_refused_and_change_nothing(spark, tmp_path):
+    items = spark.createDataFrame([(1, D(10), None, None, True)], ITEM)
+    rows = [list(move(k, 1, q, b, D("4.00"))) for k, q, b in ((1, 5, 10), (2, 5, 15), (3, 5, 15), (4, 5, 15))]
+    rows[1][4], rows[2][7] = None, None
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([tuple(r) for r in rows], MOVE).write.parquet(source)
+    stream = spark.readStream.schema(spark.createDataFrame([], MOVE).schema).parquet(source)
+    found = {r.id: r for r in run_available(track_stock(stream, items), folder).collect()}
+    assert [found[k].message for k in (1, 2, 3, 4)] == [None, texts.INCOMPLETE_MOVEMENT, texts.INCOMPLETE_MOVEMENT, None]
+    # An item without a cost counts as free, as in the batch form.
+    assert (found[1].average_cost, found[3].average_cost, found[4].average_cost) == (D("1.33"), D("1.33"), D("2.00"))
+
+
+def test_stock_state_does_not_depend_on_the_files(spark, tmp_path):
+    items = spark.createDataFrame([(k, D(100), D(1), None, True) for k in range(3)], ITEM)
+    stock, rows = {k: 100 for k in range(3)}, []
+    for k in range(120):
+        item, quantity = k % 3, (k * 7) % 11 - 5 or 1
+        rows.append(move(k, item, quantity, stock[item] + (k % 17 == 0)))
+        stock[item] += 0 if k % 17 == 0 else quantity
+    df = spark.createDataFrame(rows, MOVE)
+    results = []
+    for n in (1, 6):
+        source = str(tmp_path / f"in{n}")
+        df.orderBy(F.desc("id")).coalesce(1).repartition(n).write.parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        found = run_available(track_stock(stream, items), str(tmp_path / f"out{n}"))
+        results.append(sorted((r.id, r.is_accepted, r.current_stock) for r in found.collect()))
+    assert results[0] == results[1]
+    assert sum(accepted for _, accepted, _ in results[0]) > 90

@@ -97,3 +97,20 @@ def test_refresh_touches_only_the_named_invoices(spark):
     touched = spark.createDataFrame([(1,), (3,), (1,)], "invoice_id bigint")
     got = {r.id: r.total_amount for r in billing.refresh_totals(stale, lines, touched).collect()}
     assert got == {1: D("11.80"), 2: D("7.00"), 3: D("0.00")}
+
+
+def test_one_line_too_large_does_not_end_the_job(spark):
+    rows = [(1, D(2), D("10.00"), D(0), D(18)), (1, D(10), D("99999999.00"), D(0), D(18)), (2, D(1), D("5.00"), D(0), D(0))]
+    schema = (
+        "invoice_id bigint, quantity decimal(10,2), unit_price decimal(10,2), discount_percentage decimal(5,2), "
+        "tax_percentage decimal(5,2)"
+    )
+    lines = billing.line_amounts(spark.createDataFrame(rows, schema))
+    assert [r.total_price for r in lines.collect()] == [D("23.60"), None, D("5.00")]
+    assert [r.unit_price for r in billing.lines_out_of_range(lines).collect()] == [D("99999999.00")]
+    totals = billing.invoice_totals(spark.createDataFrame([(1,), (2,)], "id bigint"), lines)
+    assert {r.id: r.total_amount for r in totals.collect()} == {1: D("23.60"), 2: D("5.00")}
+
+
+def test_json_with_repeated_keys_is_valid(spark):
+    assert one(spark, s.json_valid(F.lit('{"a":1,"a":2}'))) == (True,)
