@@ -101,24 +101,58 @@ def run_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _ranks(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """The order of the texts of a slice or chunk: by id, nulls last, then by hash. Equal rows rank alike."""
+    names = [(x is None, x or 0, h) for x, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
+    ranked = {name: k for k, name in enumerate(sorted(set(names)))}
+    return np.array([ranked[n] for n in names], np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per run of strings: the text it is in, where it starts, how many strings, key and digest."""
+    """One row per run of strings: the text it is in, where it starts, how many strings, key and digest.
+
+    Runs that occur earlier in the same slice are known repeats. They come as merged spans (`known`)
+    with a key of their own, so a common passage has one row for each slice that holds it.
+    """
     for batch in slices(batches, "_text"):
         data, offsets = text_bytes(batch.column("_text"))
         starts, counts, keys = segments(data, offsets)
         digests = run_digests(data, starts, starts + counts + LENGTH - 1)
         owner = np.searchsorted(offsets, starts, "right") - 1
-        at = pa.array(owner)
+        starts = starts - offsets[owner]
+        place = _ranks(batch.column("doc_id"), batch.column("h"))[owner] << 32 | starts
+        order = np.lexsort((place, digests, keys))
+        again = np.zeros(len(order), bool)
+        again[1:] = (keys[order[1:]] == keys[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
+        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+        repeat = np.zeros(len(order), bool)
+        repeat[order] = again & (place[order] != place[first])
+        fresh = np.zeros(len(order), bool)
+        fresh[order] = ~again
+        # Runs of a text are in order, and so are their ends.
+        at = np.flatnonzero(repeat)
+        ends = starts[at] + counts[at] + LENGTH - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (starts[at[1:]] > ends[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(at)) - 1 if len(head) else head
+        lengths = ends[tail] - starts[at[head]] - LENGTH + 1
+        rows = np.concatenate([np.flatnonzero(fresh), at[head]])
+        known = np.arange(len(rows)) >= int(fresh.sum())
+        hashes = batch.column("h").to_numpy()[owner[rows]]
+        with np.errstate(over="ignore"):
+            own = mix(hashes.view(np.uint64) + mix(starts[rows].astype(np.uint64) + GOLDEN))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys.view(np.int64)),
-                pa.array(digests.view(np.int64)),
-                batch.column("doc_id").take(at),
-                batch.column("h").take(at),
-                pa.array((starts - offsets[owner]).astype(np.int32)),
-                pa.array(counts.astype(np.int32)),
+                pa.array(np.where(known, own, keys[rows]).view(np.int64)),
+                pa.array(np.where(known, mix(own), digests[rows]).view(np.int64)),
+                batch.column("doc_id").take(pa.array(owner[rows])),
+                pa.array(hashes),
+                pa.array(starts[rows].astype(np.int32)),
+                pa.array(np.concatenate([counts[fresh], lengths]).astype(np.int32)),
+                pa.array(known),
             ],
-            ["key", "digest", "doc_id", "h", "start", "n"],
+            ["key", "digest", "doc_id", "h", "start", "n", "known"],
         )
 
 
@@ -161,20 +195,21 @@ class SuffixArray:
     """Suffixes of the runs of a chunk that are at least LENGTH long, in order, with common prefixes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        """Run i is data[offsets[i] : offsets[i + 1]]; prefixes end with their run."""
-        self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) - LENGTH + 1)
-        first = np.cumsum(np.diff(offsets) - LENGTH + 1) - (np.diff(offsets) - LENGTH + 1)
-        self.places = np.arange(len(self.owner)) - first[self.owner] + offsets[:-1][self.owner]
-        room = offsets[1:][self.owner] - self.places
-        # ranks[s]: the order of the s bytes from each place, by doubling.
-        padded = np.concatenate([data, np.zeros(2 * LENGTH, np.uint8)]).astype(np.uint64)
-        word, ranks, size = padded, {1: padded}, 1
-        while size < 8:
-            word = word[:-size] << np.uint64(8 * size) | word[size:]
-            size *= 2
-            ranks[size] = word
-        rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
-        ranks[8] = rank
+        """Run i is data[offsets[i] : offsets[i + 1]]. An end mark follows each run, less than any byte,
+        so a suffix comes before the longer ones that it begins, and prefixes end with their run.
+        """
+        runs = np.arange(len(offsets) - 1)
+        symbols = np.zeros(len(data) + len(runs) + 2 * LENGTH, np.uint64)
+        symbols[np.arange(len(data)) + np.repeat(runs, np.diff(offsets))] = data.astype(np.uint64) + np.uint64(1)
+        begins, ends = offsets[:-1] + runs, offsets[1:] + runs
+        counts = ends - begins - LENGTH + 1
+        self.owner = np.repeat(runs, counts)
+        self.places = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts - begins, counts)
+        room = ends[self.owner] - self.places
+        # ranks[s]: the order of the s symbols from each place, by doubling.
+        two = symbols[:-1] << np.uint64(9) | symbols[1:]
+        rank, size = np.unique(two[:-2] << np.uint64(18) | two[2:], return_inverse=True)[1].astype(np.uint64), 4
+        ranks = {1: symbols, 2: two, 4: rank}
         while size < 64:
             rank = np.unique(rank[:-size] << np.uint64(32) | rank[size:], return_inverse=True)[1].astype(np.uint64)
             size *= 2
@@ -194,8 +229,10 @@ class SuffixArray:
             equal = own[np.minimum(a + shared, len(own) - 1)] == own[np.minimum(b + shared, len(own) - 1)]
             shared += np.where(equal & (shared + step <= most), step, 0)
         self.common = np.concatenate([[0], np.where(same, np.maximum(shared, LENGTH), np.minimum(shared, LENGTH - 1)), [0]])
-        before = np.where(self.places > offsets[:-1][self.owner], data[self.places - 1].astype(np.int64), -1 - self.owner)
-        self.before = before
+        inside = self.places > begins[self.owner]
+        self.before = np.where(inside, symbols[self.places - 1].astype(np.int64), -1 - self.owner)
+        # From now on: where a suffix begins in its run.
+        self.places -= begins[self.owner]
 
     def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
         """(length, first, last) of every maximal repeat: occurrences are the suffixes first to last.
@@ -236,7 +273,7 @@ def repeats(runs: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[li
     sizes = np.array([len(r) for r in runs])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     array = SuffixArray(np.frombuffer(b"".join(runs), np.uint8), offsets)
-    inner = array.places - offsets[:-1][array.owner]
+    inner = array.places
     rank = order[array.owner].astype(np.int64) << 32 | (inner + starts[array.owner])
     out: list[list[tuple[int, int]]] = [[] for _ in runs]
     for length, first, last in array.maximal_repeats():
@@ -284,9 +321,7 @@ def _scan_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held).combine_chunks()
     ids = rows.column("doc_id").combine_chunks()
-    names = [(x is None, x, h) for x, h in zip(ids.to_pylist(), rows.column("h").to_pylist(), strict=True)]
-    ranked = {name: k for k, name in enumerate(sorted(set(names), key=lambda n: (n[0], n[1] if n[1] is not None else 0, n[2])))}
-    order = np.array([ranked[n] for n in names])
+    order = _ranks(ids, rows.column("h").combine_chunks())
     parts = repeats(rows.column("bytes").to_pylist(), order, rows.column("start").to_numpy().astype(np.int64))
     at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     spans = np.array([s for p in parts for s in p], np.int64).reshape(-1, 2)
@@ -332,23 +367,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(value).alias("h"), value.alias("_text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     runs = docs.mapInArrow(
-        _runs, f"key bigint, digest bigint, doc_id {id_type}, h bigint, start int, n int"
+        _runs, f"key bigint, digest bigint, doc_id {id_type}, h bigint, start int, n int, known boolean"
     )
     # Where an anchor comes more than once, its runs are sorted so that equal ones follow each other.
     by_bytes = Window.partitionBy("key").orderBy("digest", F.col("doc_id").asc_nulls_last(), "h", "start")
-    at = F.struct(F.col("doc_id"), F.col("h"), F.col("start"))
-    judged = (
-        runs.withColumn("same", F.lag("digest").over(by_bytes) == F.col("digest"))
-        .withColumn("again", F.lag(at).over(by_bytes).eqNullSafe(at))
-        .withColumn("_next", F.lead("digest").over(by_bytes))
-        .withColumn("_last", F.lag("digest").over(by_bytes))
-        .filter("_next is not null or _last is not null")
-    )
-    # first: the first occurrence of a run's bytes. mixed: the anchor has other runs as well.
     whole = Window.partitionBy("key").orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.struct(F.col("doc_id"), F.col("h"), F.col("start"))
+    # same: an earlier run has these bytes. mixed: the anchor has other runs as well.
     judged = written(
-        judged.withColumn("mixed", F.min("digest").over(whole) != F.max("digest").over(whole))
-        .select("key", "doc_id", "h", "start", "n", F.coalesce("same", F.lit(False)).alias("same"), "again", "mixed")
+        runs.withColumn("_last", F.lag("digest").over(by_bytes))
+        .withColumn("_next", F.lead("digest").over(by_bytes))
+        .withColumn("again", F.lag(at).over(by_bytes).eqNullSafe(at))
+        .filter("known or _next is not null or _last is not null")
+        .withColumn("mixed", F.min("digest").over(whole) != F.max("digest").over(whole))
+        .select(
+            "key", "doc_id", "h", "start", "n", "again",
+            (F.col("known") | F.coalesce(F.col("_last") == F.col("digest"), F.lit(False))).alias("same"),
+            (F.col("mixed") & ~F.col("known")).alias("mixed"),
+        )
         .filter("same or mixed")
     )
     # A repeated run whose occurrence is that of a repeated row is not a repeat of itself.
