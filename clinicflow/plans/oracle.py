@@ -587,8 +587,39 @@ from inventory_alerts where not exists(select 1 from inventory_items i where i.i
 oracle("dq_checks",
        "appointments working_hours invoices invoice_details inventory_items inventory_batches "
        "inventory_categories medical_records prescriptions laboratory_orders audit_logs users "
-       "movement_claims",
+       "movement_claims invoice_references user_limits category_places movement_approvals "
+       "appointment_unavailabilities appointment_reminders services invoice_payments treatment_types "
+       "treatment_records medical_record_files notifications support_ticket_messages "
+       "system_maintenance user_profiles",
        _report(
+    ("invoice_references:invoices", "payment reference",
+     "payment_method_id is not null and strlen(payment_reference)<3"),
+    ("user_limits:users", "lockouts", "lockout_count>50"),
+    ("user_limits:users", "birth date", f"birth_date>{TODAY}"),
+    ("category_places:inventory_categories", "sort order", "sort_order<0"),
+    ("movement_approvals:inventory_movements", "approval",
+     "approval_required and is_approved<>(approved_by is not null)"),
+    ("appointment_unavailabilities", "dates", "end_date<start_date"),
+    ("appointment_unavailabilities", "times",
+     "(start_time is null)<>(end_time is null) or start_time>=end_time"),
+    ("appointment_reminders", "retries", "retry_count>5"),
+    ("appointment_reminders", "hours before", "hours_before<1 or hours_before>168"),
+    ("appointment_reminders", "system hours before", "hours_before not in (1,2,6,12,24,48,72)"),
+    ("services", "price", "price<0"),
+    ("services", "duration", "duration_minutes not between 5 and 480"),
+    ("invoice_payments", "amount", "amount<=0"),
+    ("treatment_types", "duration", "estimated_duration not between 5 and 480"),
+    ("treatment_types", "price", "base_price<0"),
+    ("treatment_records", "price", "final_price<0"),
+    ("treatment_records", "tooth number", "not regexp_full_match(tooth_number,'[1-8][1-8]')"),
+    ("medical_record_files", "size", "file_size<=0"),
+    ("medical_record_files", "file type", "file_type='text/html'"),
+    ("notifications", "retries", "retry_count>5"),
+    ("support_ticket_messages", "attachments", "not json_valid(attachments)"),
+    ("system_maintenance", "dates", "ends_at<=starts_at"),
+    ("system_maintenance", "modules", "not json_valid(affected_modules)"),
+    ("user_profiles", "experience", "years_experience>70"),
+    ("user_profiles", "salary", "salary<0"),
     ("appointments", "duration", "not duration_minutes between 15 and 480"),
     ("appointments", "date in the past", f"not appointment_date>={TODAY}"),
     ("appointments", "arrival times", f"""not ((arrived_at is null or arrived_at<=coalesce(started_at,{NOW}))

@@ -461,25 +461,31 @@ def dq_checks(t: Tables) -> DataFrame:
         "invoice_details": lines.withColumn("id", F.col("invoice_id")),
         "inventory_movements": t.movement_claims.withColumn("id", F.col("order_no")),
     }
-    reports = []
-    for table, df in checked.items():
-        usable = usable_checks(df, table)
-        reports.append(rules.failed_checks(df, table, usable))
+    apart = {
+        ("invoices", "payment reference"): t.invoice_references,
+        ("users", "lockouts"): t.user_limits,
+        ("users", "birth date"): t.user_limits,
+        ("inventory_categories", "sort order"): t.category_places,
+        ("inventory_movements", "approval"): t.movement_approvals,
+    }
+    reports = [rules.failed_checks(df, table, _checks(table, None, apart)) for table, df in checked.items()]
+    for table, rule in apart:
+        reports.append(rules.failed_checks(apart[table, rule], table, _checks(table, {(table, rule)}, apart)))
+    alone = (
+        "appointment_unavailabilities", "appointment_reminders", "services", "invoice_payments",
+        "treatment_types", "treatment_records", "medical_record_files", "notifications",
+        "support_ticket_messages", "system_maintenance", "user_profiles",
+    )
+    reports += [rules.failed_checks(getattr(t, table), table, CHECKS[table](NOW)) for table in alone]
     return rules.stack(reports)
 
 
-def usable_checks(df: DataFrame, table: str) -> dict:
-    """The checks of a table whose columns the input has."""
-    missing = MISSING.get(table, ())
-    return {rule: c for rule, c in CHECKS[table](NOW).items() if rule not in missing}
-
+def _checks(table: str, mine: set | None, apart: dict) -> dict:
+    """The checks of a table that are in `mine`, or that no other projection is asked for."""
+    def here(rule: str) -> bool:
+        return (table, rule) not in apart if mine is None else (table, rule) in mine
 
-# Checks on columns that the derived tables do not have.
-MISSING = {
-    "invoices": ("payment reference",),
-    "users": ("lockouts", "birth date"),
-    "inventory_categories": ("sort order",), "inventory_movements": ("approval",),
-}
+    return {rule: c for rule, c in CHECKS[table](NOW).items() if here(rule)}
 
 
 # Deleting

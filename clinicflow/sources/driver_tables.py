@@ -239,6 +239,59 @@ TABLES: dict[str, str] = {
         date '2024-01-16' - cast(page_id%200 as int) order_date,
         concat('["',url,'"]') tests_requested, cast(null as {str}) order_number
       from {pages}""",
+    # Columns that only checks look at, beside the projections above.
+    "invoice_references": """
+      select o_orderkey id, case when o_orderkey%4<>0 then o_orderkey%5 end payment_method_id,
+        case o_orderkey%6 when 0 then null when 1 then 'é' when 2 then '12' else concat('OP-',cast(o_orderkey as {str})) end
+          payment_reference
+      from {orders}""",
+    "user_limits": """
+      select c_custkey id, cast(c_custkey%60 as int) lockout_count,
+        date '2024-01-25' - cast(c_custkey*37 as int) birth_date
+      from {customer}""",
+    "category_places": """
+      select distinct cast(substr(p_brand,7) as bigint) id, cast(substr(p_brand,7) as bigint)%5-1 sort_order
+      from {part}""",
+    "movement_approvals": """
+      select l_orderkey id, l_linenumber%2=0 approval_required, l_linenumber%3=0 is_approved,
+        case when l_partkey%2=0 then l_suppkey end approved_by
+      from {lineitem}""",
+    "appointment_unavailabilities": """
+      select event_id id, cast(ts as date) start_date, cast(ts as date) + cast(event_id%6-1 as int) end_date,
+        case when event_id%4<>0 then cast(28800+event_id%7*3600 as int) end start_time,
+        case when event_id%5<>0 then cast(36000+event_id%11*1800 as int) end end_time
+      from {events}""",
+    "appointment_reminders": """
+      select event_id id, cast(event_id%8 as int) retry_count, cast(event_id%180 as int) hours_before
+      from {events}""",
+    "services": """
+      select p_partkey id, cast(p_retailprice-1000 as decimal(10,2)) price, cast(p_size*11 as int) duration_minutes
+      from {part}""",
+    "invoice_payments": """
+      select o_orderkey id, cast(o_orderkey%40-1 as decimal(10,2)) amount from {orders}""",
+    "treatment_types": """
+      select p_partkey id, cast(p_size*10 as int) estimated_duration, cast(p_partkey%30-1 as decimal(10,2)) base_price
+      from {part}""",
+    "treatment_records": """
+      select l_orderkey*10+l_linenumber id, cast(l_suppkey%25-1 as decimal(10,2)) final_price,
+        case when l_linenumber%3<>0 then cast(l_partkey%100 as {str}) end tooth_number
+      from {lineitem}""",
+    "medical_record_files": """
+      select doc_id id, doc_id%50-1 file_size,
+        case doc_id%5 when 0 then 'IMAGE/PNG ' when 1 then 'application/pdf' when 2 then 'text/html' else 'image/jpeg' end file_type
+      from {documents}""",
+    "notifications": "select event_id id, cast(event_id%9 as int) retry_count from {events}",
+    "support_ticket_messages": """
+      select conv_id*1000+turn id, case turn%4 when 0 then '[1' when 1 then null else concat('[',cast(turn as {str}),']') end attachments
+      from {conversations}""",
+    "system_maintenance": """
+      select s_suppkey id, timestamp '2024-01-10 00:00:00' starts_at,
+        cast(date '2024-01-08' + cast(s_suppkey%9 as int) as timestamp) ends_at,
+        case when s_suppkey%6=0 then 'all' else '["billing"]' end affected_modules
+      from {supplier}""",
+    "user_profiles": """
+      select c_custkey id, cast(c_custkey%80 as int) years_experience, cast(c_acctbal as decimal(12,2)) salary
+      from {customer}""",
     "audit_logs": """
       select event_id id, case when event_id%8=0 then null else user_id end user_id,
         event_type action, 'users' table_name, user_id record_id,
