@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.sources.schemas import CASCADE, RESTRICT, SET_NULL
+from clinicflow.sources.schemas import CASCADE, REFERENCES, RESTRICT, SET_NULL
 
 
 def upsert(
@@ -64,3 +65,66 @@ def on_delete(
         used = child.filter(F.col(column).isNotNull()).select(column).distinct()
         return child, ids.join(used, column, "left_semi").withColumnRenamed(column, "id")
     raise ValueError(f"unknown action {action!r}")
+
+
+def delete_rows(
+    tables: dict[str, DataFrame], table: str, gone: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete rows (`gone`: id) of a table with all that its references ask for.
+
+    `tables` has the tables of the schema by name, each with an `id`; references from tables
+    or by columns that are not there are passed over. Returns the tables afterwards and the ids
+    that stay because a restricting reference still uses them, or a row that would go with them.
+    Cascades go on to the rows that depend on deleted rows; columns that are set to NULL lose
+    the references to any row deleted on the way.
+    """
+    asked = gone.select(F.col("id").alias("_row"), F.col("id").alias("_root")).distinct()
+    doomed: list[tuple[str, DataFrame]] = []
+    blocking: list[DataFrame] = []
+    _follow(tables, table, asked, doomed, blocking)
+    nothing = asked.select("_root").filter(F.lit(False))
+    blocked = reduce(DataFrame.union, blocking, nothing).distinct()
+    deleted: dict[str, DataFrame] = {}
+    for name in {name for name, _ in doomed}:
+        rows = reduce(DataFrame.union, [found for other, found in doomed if other == name])
+        deleted[name] = rows.join(blocked, "_root", "left_anti").select(F.col("_row").alias("id")).distinct()
+    after = {
+        name: df.join(deleted[name], "id", "left_anti") if name in deleted else df for name, df in tables.items()
+    }
+    for name, column, parent, action in _references(tables):
+        if action == SET_NULL and parent in deleted:
+            after[name], _ = on_delete(after[name], column, deleted[parent], SET_NULL)
+    return after, blocked.select(F.col("_root").alias("id"))
+
+
+def _references(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
+    """(table, column, parent, action) of the references among the tables."""
+    return [
+        (name, column, parent, action)
+        for name, df in tables.items()
+        for column, (parent, action) in REFERENCES.get(name, {}).items()
+        if column in df.columns and parent in tables
+    ]
+
+
+def _follow(
+    tables: dict[str, DataFrame],
+    table: str,
+    rows: DataFrame,
+    doomed: list[tuple[str, DataFrame]],
+    blocking: list[DataFrame],
+) -> None:
+    """Collect the rows that go with `rows` (_row, _root), and the roots that something restricts.
+
+    The schema's cascades have no cycles, so the walk ends.
+    """
+    doomed.append((table, rows))
+    for name, column, parent, action in _references(tables):
+        if parent != table or action == SET_NULL:
+            continue
+        found = tables[name].select(F.col(column).alias("_parent"), F.col("id").alias("_child"))
+        hit = found.join(rows, F.col("_parent") == F.col("_row"))
+        if action == RESTRICT:
+            blocking.append(hit.select("_root").distinct())
+        else:
+            _follow(tables, name, hit.select(F.col("_child").alias("_row"), "_root").distinct(), doomed, blocking)

@@ -660,6 +660,19 @@ where invoice_id not in (select id from invoices where o_orderstatus='F')""")
 oracle("delete_set_null", "audit_logs users_new", """
 select id, case when user_id not in (select id from users_new where not is_active) then user_id end user_id,
   record_id from audit_logs""")
+oracle("delete_users", "users_new invoices appointments audit_logs working_hours medical_records prescriptions", """
+select 'users' table_name, id, null::bigint reference from users_new where id not in (select id from removed)
+union all
+select 'audit_logs', id, case when user_id not in (select id from removed) then user_id end from audit_logs
+union all
+select 'working_hours', id, dentist_id from working_hours where dentist_id not in (select id from removed)
+union all
+select 'blocked', id, null from users_new where not is_active and id in (select id from used)""", """
+used as (select patient_id id from invoices union select patient_id from appointments
+  union select dentist_id from appointments union select patient_id from medical_records
+  union select dentist_id from medical_records union select patient_id from prescriptions
+  union select dentist_id from prescriptions),
+removed as (select id from users_new where not is_active and id not in (select id from used))""")
 oracle("delete_restrict", "invoices users_new", """
 select id from users_new where not is_active and id in (select patient_id from invoices)""")
 

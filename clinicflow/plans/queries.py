@@ -512,6 +512,25 @@ def delete_restrict(t: Tables) -> DataFrame:
     return blocked
 
 
+@query
+def delete_users(t: Tables) -> DataFrame:
+    """What is left of users, and of the tables that refer to them, when inactive users go."""
+    tables = {
+        "users": t.users_new, "invoices": t.invoices, "appointments": t.appointments,
+        "audit_logs": t.audit_logs, "working_hours": t.working_hours,
+        "medical_records": t.medical_records, "prescriptions": t.prescriptions,
+    }
+    gone = t.users_new.filter(~F.col("is_active")).select("id")
+    after, blocked = snapshots.delete_rows(tables, "users", gone)
+    shown = {"users": F.lit(None), "audit_logs": F.col("user_id"), "working_hours": F.col("dentist_id")}
+    left = [
+        after[name].select(F.lit(name).alias("table_name"), "id", column.cast("bigint").alias("reference"))
+        for name, column in shown.items()
+    ]
+    kept = blocked.select(F.lit("blocked").alias("table_name"), "id", F.lit(None).cast("bigint").alias("reference"))
+    return rules.stack([*left, kept])
+
+
 # Streams
 
 

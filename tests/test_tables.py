@@ -124,3 +124,32 @@ def test_logins_and_passwords(spark):
     got = {r.id: (r.jwt_version, r.session_id, r.password_changed_at) for r in audit.rotate_after_password(old, changed, NOW).collect()}
     assert got == {1: (4, None, NOW), 2: (3, "s", None)}
 
+
+
+def test_deleting_follows_the_schema(spark):
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+
+    tables = {
+        "users": rows("id bigint", (1,), (2,), (3,), (4,)),
+        "appointments": rows("id bigint, patient_id bigint, modified_by bigint", (10, 1, 2), (11, 4, 4)),
+        "appointment_reminders": rows("id bigint, appointment_id bigint", (20, 10)),
+        "working_hours": rows("id bigint, dentist_id bigint", (30, 2), (31, 3)),
+        "inventory_alerts": rows("id bigint, item_id bigint, resolved_by bigint", (40, 7, 2)),
+        "invoices": rows("id bigint, patient_id bigint", (50, 4)),
+        "invoice_details": rows("id bigint, invoice_id bigint, service_id bigint", (60, 50, 9)),
+        "services": rows("id bigint", (9,)),
+    }
+    after, blocked = snapshots.delete_rows(tables, "users", rows("id bigint", (1,), (2,), (2,)))
+    left = {name: sorted(tuple(r) for r in df.collect()) for name, df in after.items()}
+    assert [r.id for r in blocked.collect()] == [1]
+    assert left["users"] == [(1,), (3,), (4,)]
+    assert sorted(map(str, left["appointments"])) == ["(10, 1, None)", "(11, 4, 4)"]
+    assert left["working_hours"] == [(31, 3)] and left["inventory_alerts"] == [(40, 7, None)]
+    # Cascades go on, and stop at what a grandchild restricts.
+    after, blocked = snapshots.delete_rows(tables, "appointments", rows("id bigint", (10,)))
+    assert after["appointment_reminders"].count() == 0 and blocked.count() == 0
+    after, _ = snapshots.delete_rows(tables, "invoices", rows("id bigint", (50,)))
+    assert after["invoice_details"].count() == 0
+    after, blocked = snapshots.delete_rows(tables, "services", rows("id bigint", (9,)))
+    assert [r.id for r in blocked.collect()] == [9] and after["services"].count() == 1
