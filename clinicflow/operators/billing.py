@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from clinicflow.functions.scalars import (
     padded,
     stored,
 )
-from clinicflow.operators.folds import Fold, run_fold
+from clinicflow.operators.folds import Fold, Summary, run_fold
 from clinicflow.operators.sequences import assign_numbers
 from clinicflow.operators.skew import CHUNK_ROWS
 
@@ -134,7 +136,7 @@ def admit_invoices(
             [T.StructField("_number", T.LongType()), T.StructField("is_accepted", T.BooleanType())]
         ),
         step=_next_correlative,
-        predict=_last_from,
+        summary=NumbersGiven,
     )
     folded = run_fold(new.withColumn("_given", given), opening, fold, chunk_rows)
     accepted = F.col("is_accepted")
@@ -160,6 +162,33 @@ def _next_correlative(state: tuple | None, inputs: tuple) -> tuple[tuple, tuple]
     return (last,), (inputs[0], False)
 
 
-def _last_from(assumed: tuple, end: tuple, now: tuple) -> tuple:
-    """As many numbers are given out from another start, unless supplied ones interfere."""
-    return (end[0] + now[0] - assumed[0],)
+class NumbersGiven(Summary):
+    """The last number after a chunk for any last number before it.
+
+    Every empty correlative adds one. A supplied number adds one to those that stand right
+    before it, which from then on go with those that stand on it: starts that ended side by
+    side end together. So the starts of an end are always a range, and few ends have more
+    than one start. Ends are kept without what all have added, to move none of them.
+    """
+
+    top = LAST_CORRELATIVE
+
+    def __init__(self):
+        self.ranges: dict[int, tuple[int, int] | None] = {}
+
+    def add(self, inputs: tuple) -> None:
+        (given,) = inputs
+        if given is None:
+            self.shift += 1
+        elif given <= LAST_CORRELATIVE:
+            before, on = given - 1 - self.shift, given - self.shift
+            moved = self.ranges.get(before, (before, before))
+            if moved is not None:
+                there = self.ranges.get(on, (on, on))
+                self.ranges[on] = (moved[0], there[1] if there else moved[1])
+                self.ranges[before] = None
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        for end, starts in self.ranges.items():
+            if starts is not None and starts != (end, end):
+                yield (*starts, min(end + self.shift, LAST_CORRELATIVE))

@@ -5,23 +5,25 @@ nothing is collected. Opening states travel as ordinary rows ahead of a key's fi
 one shuffle by key is all a fold costs.
 
 A key with more than `chunk_rows` rows is not left to one task. Its rows are cut into
-chunks, all chunks run at once from an assumed starting state, and every chunk whose
-assumption proves wrong is run again from the corrected one. When all assumptions hold the
-result is exactly the sequential one. Each round settles at least one further chunk per
-key, so the loop always ends; how few rounds it takes depends on how well the end of a chunk
-can be predicted for a start it has not run from.
+chunks. Where a fold can say what a chunk does to any start (`summary`), each chunk is
+summarised once, the summaries are chained, and the chunks run from their true starts: three
+passes, however many chunks there are. Otherwise all chunks run at once from an assumed starting
+state, and every chunk whose assumption proves wrong is run again from the corrected one. When
+all assumptions hold the result is exactly the sequential one. Each round settles at least one
+further chunk per key, so the loop always ends; how few rounds it takes depends on how well the
+end of a chunk can be predicted for a start it has not run from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 from itertools import repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +45,9 @@ class Fold:
     predict: where a chunk would end if it started from `now`, given that it ended at `end`
     when started from `assumed`. It must return the true end if `now` equals `assumed`; the
     better it is otherwise, the fewer rounds a hot key takes.
+    summary: makes an empty summary of a chunk for the first state column, if the others never
+    change. `add(inputs)` takes the rows in order; `shift` is what the chunk adds to a start,
+    `top` the largest end, and `rows()` the ranges of starts (low, high, end) that end elsewhere.
     """
 
     keys: Sequence[str]
@@ -53,6 +58,21 @@ class Fold:
     step: Callable[[State | None, tuple], tuple[State | None, tuple]]
     guess: dict[str, str] = field(default_factory=dict)
     predict: Callable[[State, State, State], State] = lambda assumed, end, now: end
+    summary: Callable[[], Summary] | None = None
+
+
+class Summary:
+    """What a chunk does to any start: nothing, until a subclass says otherwise."""
+
+    shift: int = 0
+    top: int | None = None
+    unset: int | None = None  # where a start that is not known ends
+
+    def add(self, inputs: tuple) -> None:
+        raise NotImplementedError
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        raise NotImplementedError
 
 
 def _stream(
@@ -186,17 +206,98 @@ def run_fold(
         stream = _stream(rows, opening, fold.keys, fold)
         return _fold_rows(stream, rows, fold.keys, fold)
     cold_rows, hot_rows = split(rows, hot, fold.keys)
-    cold_open, hot_open = split(opening, hot, fold.keys)
+    cold_open, hot_open = split(opening, hot, fold.keys) if opening is not None else (None, None)
     cold = _fold_rows(_stream(cold_rows, cold_open, fold.keys, fold), rows, fold.keys, fold)
     return cold.unionByName(_run_chunked(hot_rows, hot_open, hot, fold, chunk_rows))
 
 
+def _chained(chunked: DataFrame, opening: DataFrame, fold: Fold) -> DataFrame:
+    """(keys, chunk, state): the true start of every chunk of the keys in `opening`."""
+    keys, first = list(fold.keys), fold.state[0]
+    by_chunk = [*keys, "_chunk"]
+    whole = ["_chunk", "_low", "_high", "_end", "_shift", "_top"]
+    fields = [chunked.schema[k] for k in by_chunk] + [T.StructField(n, T.LongType()) for n in whole[1:]]
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+    n_keys, make = len(by_chunk), fold.summary
+
+    def told(key: tuple, summary: Summary) -> list[tuple]:
+        return [
+            (*key, None, None, summary.unset, summary.shift, summary.top),
+            *((*key, low, high, end, None, None) for low, high, end in summary.rows()),
+        ]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, summary = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            inputs = _tuples(batch, range(n_keys, n_keys + len(fold.inputs)))
+            for key, row in zip(_tuples(batch, range(n_keys)), inputs):
+                if key != current:
+                    if current is not None:
+                        out += told(current, summary)
+                    current, summary = key, make()
+                summary.add(row)
+            yield pa.RecordBatch.from_arrays(_columns(out, arrow), schema=arrow)
+        if current is not None:
+            yield pa.RecordBatch.from_arrays(_columns(told(current, summary), arrow), schema=arrow)
+
+    lead = chunked.select(*by_chunk, *fold.inputs, *[c for c in fold.order if c not in fold.inputs])
+    summaries = lead.repartition(*by_chunk).sortWithinPartitions(*by_chunk, *fold.order).mapInArrow(summarise, schema)
+    # Openings come first, then the chunks in order, each with its shift before its ranges.
+    opened = opening.select(*keys, F.col(first).alias("_end"))
+    lines = opened.unionByName(summaries, allowMissingColumns=True).select(*keys, *whole)
+    found = T.StructType([*[chunked.schema[k] for k in by_chunk], T.StructField("_start", T.LongType())])
+    found_arrow = to_arrow_schema(found)
+    width = len(keys)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # at: where the chunk starts; then: where it ends, as far as its lines have told.
+        current, chunk, opened, at, then = None, None, False, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for line in _tuples(batch, range(batch.num_columns)):
+                key, (place, low, high, end, shift, top) = line[:width], line[width:]
+                if place is None:
+                    current, chunk, opened, at, then = key, None, True, end, end
+                    continue
+                if key != current:
+                    # A key without an opening state never gets one.
+                    current, chunk, opened = key, None, False
+                if place != chunk and opened:
+                    chunk, at = place, then
+                    out.append((*key, place, at))
+                if low is None:
+                    if at is None:
+                        then = end
+                    else:
+                        then = at + shift if top is None else min(top, at + shift)
+                elif at is not None and low <= at <= high:
+                    then = end
+            yield pa.RecordBatch.from_arrays(_columns(out, found_arrow), schema=found_arrow)
+
+    ordered = lines.repartition(*keys).sortWithinPartitions(
+        *keys, F.col("_chunk").asc_nulls_first(), F.col("_low").asc_nulls_first()
+    )
+    starts, rest = ordered.mapInArrow(chain, found).alias("s"), opening.alias("o")
+    same = reduce(Column.__and__, [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return starts.join(rest, same).select(
+        *[F.col(f"s.{k}") for k in by_chunk], F.col("s._start").alias(first), *[F.col(f"o.{s}") for s in fold.state[1:]]
+    )
+
+
 def _run_chunked(
-    rows: DataFrame, opening: DataFrame, hot: DataFrame, fold: Fold, chunk_rows: int
+    rows: DataFrame, opening: DataFrame | None, hot: DataFrame, fold: Fold, chunk_rows: int
 ) -> DataFrame:
     keys = list(fold.keys)
     by_chunk = [*keys, "_chunk"]
     chunked = cut(rows, hot, keys, fold.order, chunk_rows)
+    if opening is None:
+        fields = [rows.schema[k] for k in keys] + [T.StructField(s, T.LongType()) for s in fold.state]
+        opening = rows.sparkSession.createDataFrame([], T.StructType(fields))
+    if fold.summary is not None:
+        stream = _stream(chunked, _chained(chunked, opening, fold), by_chunk, fold)
+        return _fold_rows(stream, chunked, by_chunk, fold).drop("_chunk")
     starts = _first_starts(chunked, opening, fold)
     pending, ends = starts, None
     while True:

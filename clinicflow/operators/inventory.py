@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date
 from functools import partial
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from clinicflow.functions import texts
 from clinicflow.functions.scalars import collated, folded, from_hundredths, hundredths, stored
-from clinicflow.operators.folds import Fold, run_fold
+from clinicflow.operators.folds import Fold, Summary, run_fold
 from clinicflow.operators.sequences import running_totals
 from clinicflow.operators.skew import CHUNK_ROWS, positioned
 
@@ -197,7 +197,7 @@ def validate_movements(
         state=["_stock", "_active"],
         outputs=T.StructType([T.StructField("message", T.StringType())]),
         step=validate_step,
-        guess={"_stock": "_before"},
+        summary=StockClaimed,
     )
     judged = run_fold(rows, opening, fold, chunk_rows).withColumn(
         "is_accepted", F.col("message").isNull()
@@ -219,6 +219,38 @@ def needs_approval() -> Column:
     return F.coalesce(F.col("is_accepted") & large, F.lit(False))
 
 
+class StockClaimed(Summary):
+    """The stock after a chunk for any stock before it, of an active item.
+
+    A sound row moves exactly those starts that now stand where it claims to begin. An inactive
+    item refuses all rows, whatever it starts from, so for it the end does not matter.
+    """
+
+    def __init__(self):
+        self.starts: dict[int, list[int]] = {}
+
+    def add(self, inputs: tuple) -> None:
+        before, after, quantity, exact = inputs
+        if None in inputs[:3] or after < 0 or (exact and after != before + quantity):
+            return
+        if self.unset in (None, before):
+            self.unset = after
+        if before == after:
+            return
+        moved = self.starts.setdefault(before, [before])
+        there = self.starts.setdefault(after, [after])
+        if len(there) < len(moved):
+            moved, there = there, moved
+        there += moved
+        self.starts[before], self.starts[after] = [], there
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        for end, starts in self.starts.items():
+            for start in starts:
+                if start != end:
+                    yield start, start, end
+
+
 def validate_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     before, after, quantity, exact = row
     stock, active = state or (None, None)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one key that one task may handle in order.
@@ -61,9 +62,10 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | No
 
 
 def split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of hot keys."""
-    named = hot.select(*keys)
-    return df.join(named, list(keys), "left_anti"), df.join(named, list(keys), "left_semi")
+    """Rows of ordinary keys and rows of hot keys; NULL keys may be hot as well."""
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    rows, named, on = df.alias("d"), hot.select(*keys).alias("h"), reduce(Column.__and__, same)
+    return rows.join(named, on, "left_anti"), rows.join(named, on, "left_semi")
 
 
 def cut(

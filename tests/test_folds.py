@@ -217,6 +217,37 @@ def test_invoice_admission_matches_a_plain_loop(spark, chunk_rows, share):
     assert {r.id: (r.is_accepted, r.invoice_number) for r in got} == expected
 
 
+def test_the_jobs_of_a_hot_key_do_not_grow_with_its_chunks(spark):
+    new = spark.range(600).selectExpr(
+        "id", "'F001' as series", "if(id % 2 = 0, cast(id + 1 as string), null) as correlative"
+    )
+    existing = spark.createDataFrame([], "series string, correlative string")
+
+    def jobs(chunk_rows):
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        got = billing.admit_invoices(new, existing, chunk_rows=chunk_rows).collect()
+        assert all(r.is_accepted for r in got) and len(got) == 600
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+
+    assert jobs(30) <= jobs(200) + 2
+
+
+def test_chunks_of_null_keys_and_unknown_stock(spark):
+    rows = [(k, None if k % 2 else "F001", None) for k in range(80)]
+    new = spark.createDataFrame(rows, "id bigint, series string, correlative string")
+    existing = spark.createDataFrame([("F001", "7")], "series string, correlative string")
+    got = {r.id: r.correlative for r in billing.admit_invoices(new, existing, chunk_rows=9).collect()}
+    assert got == {k: f"{k // 2 + (1 if k % 2 else 8):08d}" for k in range(80)}
+    items = spark.createDataFrame([(1, "x", None, D0, D0, D0, None, True)], ITEM)
+    claims = [
+        (k, 1, "purchase", "in", Decimal(1), Decimal(k), Decimal(k + 1), False, True, DAY0 + timedelta(hours=k))
+        for k in range(60)
+    ]
+    claims[30] = (*claims[30][:5], Decimal(99), Decimal(100), *claims[30][7:])
+    found = inventory.validate_movements(spark.createDataFrame(claims, CLAIM), items, chunk_rows=7).collect()
+    assert {r.id for r in found if r.message is None} == set(range(30))
+
+
 @pytest.mark.parametrize("merged", ["false", "true"])
 def test_running_stock_and_ledger_breaks(spark, merged):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
