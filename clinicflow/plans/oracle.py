@@ -547,38 +547,52 @@ def _report(*rules: tuple[str, str, str]) -> str:
     )
 
 
-oracle("dq_not_null", "asked_visits medical_records invoices audit_logs", _report(
+oracle("dq_not_null", "asked_visits medical_records invoices audit_logs support_tickets", _report(
     ("asked_visits:appointments", "appointment_code", "appointment_code is null"),
     ("medical_records", "record_number", "record_number is null"),
     ("invoices", "correlative", "correlative is null"),
+    ("support_tickets", "title", "title is null"),
+    ("support_tickets", "status", "status is null"),
 ))
 
-oracle("dq_domain", "inventory_batches inventory_movements", f"""
+oracle("dq_domain", "inventory_batches inventory_movements support_tickets user_profiles", f"""
 select 'inventory_batches' table_name, 'quantity_current too small' as rule, id from (
   select b.id, b.quantity_current+coalesce(m.taken,0) is_left
   from inventory_batches b left join (select item_id, batch_number, sum(quantity) taken
     from inventory_movements where {_CATEGORY}='out' group by 1,2) m
-  on m.item_id=b.item_id and m.batch_number=b.batch_number) x where is_left<0""")
+  on m.item_id=b.item_id and m.batch_number=b.batch_number) x where is_left<0
+union all """ + _report(
+    ("support_tickets", "title too long", "length(title)>255"),
+    ("support_tickets", "estimated_hours too large", "estimated_hours>=100"),
+    ("user_profiles", "salary too small", "salary<0"),
+))
 
-oracle("dq_enum", "audit_logs", _report(
+oracle("dq_enum", "audit_logs support_tickets", _report(
     ("audit_logs", "action", "action not in ('insert','create','update','delete','login','logout','access_denied')"),
     ("audit_logs", "risk_level", "lower(rtrim(risk_level)) not in ('low','medium','high','critical')"),
+    ("support_tickets", "category", "category='question'"),
+    ("support_tickets", "priority", "priority='urgent'"),
 ))
 
-oracle("dq_unique", "appointments", """
+oracle("dq_unique", "appointments support_tickets", """
 select 'appointments' table_name, 'appointment_code' as rule, lower(appointment_code) key_value, count(*) copies, min(id) first_id
 from appointments group by appointment_code having count(*)>1
 union all
 select 'appointments', 'dentist_id,appointment_date,appointment_time',
   concat(dentist_id,'|',appointment_date,'|',appointment_time), count(*), min(id)
-from appointments group by dentist_id, appointment_date, appointment_time having count(*)>1""")
+from appointments group by dentist_id, appointment_date, appointment_time having count(*)>1
+union all
+select 'support_tickets', 'ticket_number', lower(ticket_number), count(*), min(id)
+from support_tickets group by ticket_number having count(*)>1""")
 
 _LOST = "not exists(select 1 from users_new u where u.is_active and u.id={0})"
-oracle("dq_orphans", "appointments audit_logs inventory_alerts inventory_items users_new", f"""
+oracle("dq_orphans", "appointments audit_logs inventory_alerts inventory_items users_new support_tickets", f"""
 select 'appointments' table_name, 'patient_id -> users' as rule, id, patient_id as value
 from appointments where {_LOST.format('patient_id')}
 union all select 'appointments', 'dentist_id -> users', id, dentist_id
 from appointments where {_LOST.format('dentist_id')}
+union all select 'support_tickets', 'user_id -> users', id, user_id
+from support_tickets where {_LOST.format('user_id')}
 union all select 'audit_logs', 'user_id -> users', id, user_id
 from audit_logs where user_id is not null and {_LOST.format('user_id')}
 union all select 'inventory_alerts', 'item_id -> inventory_items', id, item_id

@@ -387,6 +387,7 @@ def dq_not_null(t: Tables) -> DataFrame:
             rules.missing_values(t.medical_records, "medical_records", complete=False),
             rules.missing_values(t.invoices, "invoices", complete=False),
             rules.missing_values(t.audit_logs, "audit_logs", complete=False),
+            rules.missing_values(t.support_tickets, "support_tickets", complete=False),
         ]
     )
 
@@ -401,6 +402,8 @@ def dq_domain(t: Tables) -> DataFrame:
             rules.out_of_domain(t.inventory_items, "inventory_items"),
             rules.out_of_domain(t.users, "users"),
             rules.out_of_domain(t.appointments, "appointments"),
+            rules.out_of_domain(t.support_tickets, "support_tickets"),
+            rules.out_of_domain(t.user_profiles, "user_profiles"),
         ]
     )
 
@@ -412,6 +415,7 @@ def dq_enum(t: Tables) -> DataFrame:
             rules.unknown_choices(t.audit_logs, "audit_logs"),
             rules.unknown_choices(t.users, "users"),
             rules.unknown_choices(t.inventory_alerts, "inventory_alerts"),
+            rules.unknown_choices(t.support_tickets, "support_tickets"),
         ]
     )
 
@@ -424,6 +428,7 @@ def dq_unique(t: Tables) -> DataFrame:
             rules.duplicate_keys(t.inventory_batches, "inventory_batches"),
             rules.duplicate_keys(t.inventory_alerts, "inventory_alerts"),
             rules.duplicate_keys(t.users, "users"),
+            rules.duplicate_keys(t.support_tickets, "support_tickets"),
         ]
     )
 
@@ -442,6 +447,7 @@ def dq_orphans(t: Tables) -> DataFrame:
             rules.orphans(t.audit_logs, "audit_logs", parents),
             rules.orphans(t.inventory_alerts, "inventory_alerts", parents),
             rules.orphans(t.inventory_items, "inventory_items", parents),
+            rules.orphans(t.support_tickets, "support_tickets", parents),
         ]
     )
 

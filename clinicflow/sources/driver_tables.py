@@ -281,6 +281,14 @@ TABLES: dict[str, str] = {
         case doc_id%5 when 0 then 'IMAGE/PNG ' when 1 then 'application/pdf' when 2 then 'text/html' else 'image/jpeg' end file_type
       from {documents}""",
     "notifications": "select event_id id, cast(event_id%9 as int) retry_count from {events}",
+    "support_tickets": """
+      select doc_id id, concat('TK-',cast(case when doc_id%17=0 then doc_id-doc_id%34 else doc_id end as {str})) ticket_number,
+        doc_id%1500 user_id, substr(text,1,240+doc_id%30) title,
+        case doc_id%6 when 0 then 'Technical ' when 1 then 'question' else 'billing' end category,
+        case when doc_id%9=0 then 'urgent' else 'low' end priority,
+        case when doc_id%23<>0 then 'open' end status,
+        cast(doc_id%120 as decimal(8,2)) estimated_hours
+      from {documents}""",
     "support_ticket_messages": """
       select conv_id*1000+turn id, case turn%4 when 0 then '[1' when 1 then null else concat('[',cast(turn as {str}),']') end attachments
       from {conversations}""",
