@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,10 +21,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """The column `_text`, or where it is not sent apart, the field `text` of `_doc`."""
+    return batch.column("_text") if "_text" in batch.schema.names else batch.column("_doc").field(text)
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "_text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each piece have at most `size` bytes, or are one text."""
     for batch in batches:
-        ends = text_bytes(batch.column(text))[1]
+        ends = text_bytes(texts_of(batch, text))[1]
         at = 0
         while at < batch.num_rows:
             upto = int(np.searchsorted(ends, ends[at] + size, "right")) - 1

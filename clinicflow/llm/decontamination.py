@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinicflow.llm.arrays import Words, slices, text_bytes, words
-from clinicflow.llm.shared import text_of, whole
+from clinicflow.llm.arrays import Words, slices, text_bytes, texts_of, words
+from clinicflow.llm.shared import held, text_of, whole
 
 WINDOW = 13
 # A document is contaminated if at least one in SHARE of its words is hit.
@@ -185,11 +185,11 @@ def occurrences(w: Words, known: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return which[right], first[right]
 
 
-def _search(batches: Iterator[pa.RecordBatch], known: Phrases) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], known: Phrases, text: str) -> Iterator[pa.RecordBatch]:
     """Add the hits of one block of phrases to the hits of the blocks before."""
-    for batch in slices(batches, "_text"):
-        data, offsets = text_bytes(batch.column("_text"))
-        w = words(data, offsets)
+    held(None)
+    for batch in slices(batches, text):
+        w = words(*text_bytes(texts_of(batch, text)))
         which, first = occurrences(w, known)
         n_rows = batch.num_rows
         spans: list[list[dict]] = batch.column("_hits").to_pylist()
@@ -208,12 +208,11 @@ def _search(batches: Iterator[pa.RecordBatch], known: Phrases) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("_doc"),
-                batch.column("_text"),
                 pa.array(spans, SPANS),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(np.diff(w.first) if n_rows else [], pa.int64()),
             ],
-            ["_doc", "_text", "_hits", "_items", "_n_words"],
+            ["_doc", "_hits", "_items", "_n_words"],
         )
 
 
@@ -231,15 +230,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _hits(docs: DataFrame, kept: list[str] | None, benchmark: DataFrame, text: str, window: int) -> DataFrame:
-    """_doc (struct of the kept columns, or of all), _hits (spans of words), _items and _n_words of every document."""
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int) -> DataFrame:
+    """_doc (all columns), _hits (spans of words), _items and _n_words of every document."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), text_of().alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(
-        whole(docs.select(*kept)) if kept else whole(docs),
-        text_of(text).alias("_text"),
+        whole(docs),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_hits"),
         F.array().cast("array<string>").alias("_items"),
     )
@@ -250,8 +248,8 @@ def _hits(docs: DataFrame, kept: list[str] | None, benchmark: DataFrame, text: s
         known = spark.sparkContext.broadcast(
             phrases([(str(r.item), r.text) for r in part.toLocalIterator()], window)
         )
-        rows = rows.select("_doc", "_text", "_hits", "_items").mapInArrow(
-            lambda batches, known=known: _search(batches, known.value), schema
+        rows = rows.select("_doc", "_hits", "_items").mapInArrow(
+            lambda batches, known=known: _search(batches, known.value, text), schema
         )
     n_hit = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
     return rows.withColumn("_n_hit", n_hit).withColumn(
@@ -272,7 +270,7 @@ def contamination(
     alike, null ids stay null, other columns are not read. A null item_id counts as "None".
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = _hits(docs, ["doc_id"], benchmark, "text", window)
+    found = _hits(docs, benchmark, "text", window)
     return found.select(
         F.col("_doc.doc_id").alias("doc_id"),
         F.col("_n_words").alias("n_words"),
@@ -289,5 +287,5 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    found = _hits(docs, None, benchmark, text, window)
+    found = _hits(docs, benchmark, text, window)
     return found.filter(~F.col("_contaminated")).select("_doc.*")

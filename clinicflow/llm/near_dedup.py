@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import GOLDEN, mix, slices, text_bytes, words
-from clinicflow.llm.shared import text_of, whole, written
+from clinicflow.llm.shared import held, text_of, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -146,7 +146,8 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "_text"):
+    held(None)
+    for batch in slices(batches):
         owner, element, count = shingles(batch, "_text")
         n = batch.num_rows
         with np.errstate(over="ignore"):
@@ -174,7 +175,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The multiset of every text as sorted 32-bit numbers; repeats of a shingle are numbered apart."""
-    for batch in slices(batches, "_text"):
+    for batch in slices(batches):
         owner, element, count = shingles(batch, "_text")
         repeat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         with np.errstate(over="ignore"):

@@ -129,4 +129,38 @@ LLM_ORACLE: dict[str, str] = {
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
         from doc_words left join hit using (doc_id) left join named using (doc_id)
     """,
+    "op3_near_dedup": r"""
+        with recursive doc_words as (
+            select doc_id, coalesce(text, '') as content, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents
+        ), shingles as (
+            select doc_id, shingle, count(*) as n
+            from (select doc_id, array_to_string(words[pos : pos + 4], ' ') as shingle
+                  from (select *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as pos
+                        from doc_words where len(words) > 0))
+            group by doc_id, shingle
+        ), sizes as (
+            select doc_id, sum(n) as size from shingles group by doc_id
+        ), common as (
+            select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as n
+            from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id
+            group by 1, 2
+        ), links as (
+            select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+            where 5 * n >= 4 * (x.size + y.size - n)
+            union
+            select x.doc_id, y.doc_id from doc_words x join doc_words y using (content)
+            where len(x.words) = 0 and x.doc_id < y.doc_id
+        ), both_ways as (
+            select a, b from links union select b, a from links
+        ), reach as (
+            select doc_id, doc_id as other from documents
+            union
+            select r.doc_id, e.b from reach r join both_ways e on e.a = r.other
+        )
+        select doc_id, min(other) as class_id, count(*) as class_size, doc_id = min(other) as kept
+        from reach group by doc_id
+    """,
 }

@@ -29,11 +29,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.shared import text_of
+from clinicflow.llm.shared import held, text_of
 
 SPACE = "▁"
 # Words and pairs of pieces remembered by a Python worker, and the longest word remembered.
-WORDS, PAIRS, WORD_CHARS = 600_000, 600_000, 80
+WORDS, PAIRS, WORD_CHARS = 250_000, 150_000, 80
 
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -219,12 +219,6 @@ def _replaced(raw: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(2)
-def codec(model_file: str) -> Codec:
-    """The codec of a model file, built once per Python worker."""
-    return Codec(model_file)
-
-
 FIELDS = {
     "ids": pa.list_(pa.int32()),
     "decoded": pa.string(),
@@ -255,7 +249,7 @@ def tokenize(
     columns = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
+        c = held(("codec", model_file), lambda: Codec(model_file))
         digits = [str(i) for i in range(len(c.out))]
         for batch in batches:
             made: dict[str, list] = {f: [] for f in fields}

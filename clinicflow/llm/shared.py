@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see.
@@ -45,3 +50,21 @@ def text_of(column: str = "text") -> Column:
 def whole(docs: DataFrame) -> Column:
     """All columns as one, `_doc`, so that their names cannot clash with an operator's own."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_doc")
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T] | None = None) -> T | None:
+    """What a Python worker keeps from task to task, made when first asked for.
+
+    Workers serve one operator after another; only what was asked for last is kept, so that the
+    memory of one operator is free for the next. Without `make` everything is let go.
+    """
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)

@@ -25,12 +25,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import BYTE_VALUES, GOLDEN, mix, slices, text_bytes
-from clinicflow.llm.shared import text_of, written
+from clinicflow.llm.shared import held, text_of, written
 
 # Length of the strings that may not repeat, and of the pieces whose least hash stands for a string.
 LENGTH, PIECE = 100, 32
 # Strings looked at together; their places fit into 24 bits.
 BLOCK = 1 << 22
+# Bytes of texts in whose runs repeats are found before anything is shuffled.
+SLICE_BYTES = 4 << 20
 # Bytes of runs that enter one suffix array, unless a single anchor has more.
 ARRAY_BYTES = 2 << 20
 
@@ -114,7 +116,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Runs that occur earlier in the same slice are known repeats. They come as merged spans (`known`)
     with a key of their own, so a common passage has one row for each slice that holds it.
     """
-    for batch in slices(batches, "_text"):
+    held(None)
+    for batch in slices(batches, size=SLICE_BYTES):
         data, offsets = text_bytes(batch.column("_text"))
         starts, counts, keys = segments(data, offsets)
         digests = run_digests(data, starts, starts + counts + LENGTH - 1)
@@ -158,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in slices(batches, "_text"):
+    for batch in slices(batches):
         data, offsets = text_bytes(batch.column("_text"))
         raw = data.tobytes()
         packed = [pack(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

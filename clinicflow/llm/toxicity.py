@@ -13,6 +13,7 @@ softmax are linear, so every word has one number, and a text the mean of its wor
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.shared import fold, text_of, whole
+from clinicflow.llm.arrays import texts_of
+from clinicflow.llm.shared import fold, held, text_of, whole
 
 # Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
+SAMPLE_PARTS = 12
 BUCKETS, DIMENSIONS = 1 << 18, 4
 SHORTEST, LONGEST = 3, 5
 # A subword must occur in so many texts of the sample to have a vector.
@@ -37,7 +40,7 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 12, 32, 0.05, 1e-5, 7
 THRESHOLD = 0.7
 
 WORD = re.compile(r"\w+")
-WORDS, WORD_CHARS = 500_000, 80
+WORDS, WORD_CHARS = 300_000, 80
 
 
 def subwords(word: str) -> list[int]:
@@ -106,8 +109,8 @@ def train(rows: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray)
     for own in rows:
         texts[own] += 1
     common = texts >= LEAST_TEXTS
-    weights = [w[common[r]] for r, w in zip(rows, weights, strict=True)]
-    rows = [r[common[r]] for r in rows]
+    for k, own in enumerate(rows):
+        rows[k], weights[k] = own[common[own]], weights[k][common[own]]
     random = np.random.default_rng(SEED)
     table = np.where(common[:, None], random.normal(0, 0.1, (BUCKETS, DIMENSIONS)), 0)
     softmax = random.normal(0, 0.5, (DIMENSIONS, 2))
@@ -172,20 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 [
                     batch.column("_id").cast(pa.string()),
                     batch.column("_toxic"),
-                    pa.array([r.astype(np.int32) for r, _ in found], pa.list_(pa.int32())),
-                    pa.array([w.astype(np.float32) for _, w in found], pa.list_(pa.float32())),
+                    pa.array([r.astype(np.int32).tobytes() for r, _ in found], pa.binary()),
+                    pa.array([w.astype(np.float32).tobytes() for _, w in found], pa.binary()),
                 ],
                 ["id", "toxic", "rows", "weights"],
             )
 
-    bags = sample.mapInArrow(run, "id string, toxic int, rows array<int>, weights array<float>").toArrow()
-    # Sorted, because the model must not depend on the order in which tasks end.
-    bags = bags.sort_by("id")
-    return train(
-        [np.asarray(r.values) for r in bags.column("rows")],
-        [np.asarray(w.values) for w in bags.column("weights")],
-        bags.column("toxic").to_numpy().astype(np.int64),
-    )
+    # The sample is of bounded size, so are its parts. One after the other comes to the driver, as
+    # packed numbers.
+    bags = sample.coalesce(SAMPLE_PARTS).mapInArrow(run, "id string, toxic int, rows binary, weights binary")
+    found = [(r.id, r.toxic, bytes(r.rows), bytes(r.weights)) for r in bags.toLocalIterator(prefetchPartitions=True)]
+    # Sorted, because the model must not depend on the order of the tasks.
+    found.sort(key=lambda bag: bag[0])
+    toxic = np.array([bag[1] for bag in found], np.int64)
+    rows = [np.frombuffer(bag[2], np.int32) for bag in found]
+    weights = [np.frombuffer(bag[3], np.float32) for bag in found]
+    del found  # train lets go of rare subwords text by text
+    return train(rows, weights, toxic)
 
 
 def average(known: WordScores, text: str) -> float:
@@ -201,16 +207,16 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     A text without words, null and empty ones included, has the score of the bias alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(whole(docs), text_of(text).alias("_text"))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    rows = docs.select(whole(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_scores(shared)
+        known = held(key, lambda: WordScores(shared.value))
         bias = known.model.bias
         for batch in batches:
             logits = np.empty(batch.num_rows)
-            for k, value in enumerate(batch.column("_text")):
-                logits[k] = average(known, value.as_py()) + bias
+            for k, value in enumerate(texts_of(batch, text)):
+                logits[k] = average(known, value.as_py() or "") + bias
             score = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(score)], ["_doc", "_score"])
 
@@ -218,18 +224,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     return rows.mapInArrow(run, schema)
 
 
-_KNOWN: dict[int, WordScores] = {}
-
-
-def _word_scores(shared) -> WordScores:
-    """The words a Python worker has seen with this model; earlier models are forgotten."""
-    key = id(shared.value)
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = WordScores(shared.value)
-    return _KNOWN[key]
-
-
 def toxicity(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
