@@ -10,8 +10,9 @@ Bands of the signature propose pairs. Documents with equal multisets are one nod
 bucket the nodes are compared with a few representatives, never all with each other. The nodes
 of buckets that then hold more than one class are dealt out anew by the rarest shingles of each,
 of which two similar documents share at least one, and meet other representatives there in
-turns until a turn links nothing. Proposed pairs are verified on the full multisets; classes are
-the connected components of the links.
+turns until a turn links nothing. Then all pairs of different classes that still share a rare
+shingle meet, except those whose sizes or places of the shingle rule the overlap out. Proposed pairs
+are verified on the full multisets; classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BANDS, ROWS = 25, 5
 PLACES = 128
 # Nodes of a bucket that the others are compared with in one round.
 REPRESENTATIVES = 3
+# Nodes of a bucket that meet all others as one block in one join.
+BLOCK = 256
 # Points drawn per process and round while few processes are open.
 BURST = 32
 
@@ -269,7 +272,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(bags: DataFrame) -> DataFrame:
-    """(key, node, size): the shared ones among the rarest shingles of each node.
+    """(key, node, size, place): the shared ones among the rarest shingles of each node, with their rank.
 
     Two bags of which the one with n shingles shares at least 0.8 n with the other have a shingle in
     common among the n - ceil(0.8 n) + 1 rarest of each.
@@ -282,19 +285,23 @@ def _prefixes(bags: DataFrame) -> DataFrame:
         "key", "node", "n", size.alias("size"), F.row_number().over(own.orderBy("n", "key")).alias("place")
     )
     longest = F.col("size") - F.ceil(F.col("size") * SIMILARITY) + 1
-    return written(ranked.filter((F.col("place") <= longest) & (F.col("n") > 1)).select("key", "node", "size"))
+    return written(ranked.filter((F.col("place") <= longest) & (F.col("n") > 1)).select("key", "node", "size", "place"))
 
 
 def _representatives(keys: DataFrame, turn: int) -> DataFrame:
     """For each key a few nodes, as key and an array of (node, label).
 
     In turn 0 one is the node with the fewest shingles: documents that share no more than a
-    common passage are linked to each other only if they are linked to the shortest of them.
-    The others have the least hash, another one in every turn.
+    common passage are linked to each other only if they are linked to the shortest of them. In
+    buckets of rare shingles another one has the least place, as the original of edited copies has
+    no shingles of its own before the shared ones. The others have the least hash, another one in
+    every turn.
     """
     chosen = []
     for k in range(REPRESENTATIVES):
-        least = F.col("size") if turn == k == 0 else F.xxhash64(F.lit(turn * REPRESENTATIVES + k), "node")
+        least = F.xxhash64(F.lit(turn * REPRESENTATIVES + k), "node")
+        if turn == 0 and k < 2 and ("size", "place")[k] in keys.columns:
+            least = F.col(("size", "place")[k])
         chosen.append(F.min(F.struct(least.alias("least"), "node", "label")))
     first = keys.groupBy("key").agg(F.array(*chosen).alias("chosen"))
     ends = F.transform("chosen", lambda c: F.struct(c["node"].alias("node"), c["label"].alias("label")))
@@ -308,20 +315,74 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _joined(keys: DataFrame, bags: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame | None:
-    """New labels after every node met the representatives of its buckets; None if nothing was linked."""
+def _met(keys: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """The pairs (a, b, label_a, label_b) of every node and the representatives of its buckets."""
     known = _labelled(keys, labels)
     met = known.join(_representatives(known, turn), "key").select("node", "label", F.explode("chosen").alias("c"))
-    pairs = (
-        met.filter("label <> c.label")
+    return _pairs(met.filter("label <> c.label"), "node", "label", "c.node", "c.label")
+
+
+def _pairs(rows: DataFrame, a: str, label_a: str, b: str, label_b: str) -> DataFrame:
+    return rows.select(
+        F.least(a, b).alias("a"),
+        F.greatest(a, b).alias("b"),
+        F.least(label_a, label_b).alias("label_a"),
+        F.greatest(label_a, label_b).alias("label_b"),
+    ).distinct()
+
+
+def _unmet(finer: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """All pairs (a, b, label_a, label_b) of different classes in a bucket that may overlap enough.
+
+    Nodes outside the largest class of a bucket meet all its nodes, block by block, so a bucket is
+    not the work of one task. At the first shingle that two nodes share, what follows it bounds what
+    they have in common; a pair that is ruled out there or by its sizes is not alike.
+    """
+    known = written(_labelled(finer, labels))
+    counts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        counts.groupBy("key")
+        .agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+        .filter("most.n < n")
         .select(
-            F.least("node", "c.node").alias("a"),
-            F.greatest("node", "c.node").alias("b"),
-            F.least("label", "c.label").alias("label_a"),
-            F.greatest("label", "c.label").alias("label_b"),
+            "key",
+            F.col("most.label").alias("most"),
+            F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("others"),
+            F.ceil(F.col("n") / BLOCK).alias("all"),
         )
-        .distinct()
     )
+    rows = known.join(mixed, "key").withColumns(
+        {
+            # Sizes of similar nodes differ by at most 1 / SIMILARITY, so by at most one step.
+            "step": F.floor(F.log("size") / F.log(F.lit(1.01 / SIMILARITY))),
+            "hash": F.xxhash64("node"),
+        }
+    )
+    steps = F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1)))).alias("step")
+    blocks = ["key", "step", "block_a", "block_b"]
+    own = ("node", "label", "size", "place")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = (
+        rows.filter("label <> most")
+        .withColumn("block_a", F.pmod("hash", "others"))
+        .withColumn("block_b", every("all"))
+        .select("key", steps, "block_a", "block_b", *(F.col(c).alias(f"{c}_a") for c in own))
+    )
+    right = (
+        rows.withColumn("block_b", F.pmod("hash", "all"))
+        .withColumn("block_a", every("others"))
+        .select(*blocks, "most", *(F.col(c).alias(f"{c}_b") for c in own))
+    )
+    # Two nodes outside the largest class meet twice.
+    once = (F.col("label_b") == F.col("most")) | (F.col("node_a") < F.col("node_b"))
+    common = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = common * (1 + SIMILARITY) + 1e-6 >= (F.col("size_a") + F.col("size_b")) * SIMILARITY
+    met = left.join(right, blocks).filter((F.col("label_a") != F.col("label_b")) & once & enough)
+    return _pairs(met, "node_a", "label_a", "node_b", "label_b")
+
+
+def _joined(pairs: DataFrame, bags: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """New labels after the pairs (a, b, label_a, label_b) met; None if nothing was linked."""
     links = written(_verified(pairs, bags).distinct())
     if links.count() == 0:
         return None
@@ -338,15 +399,17 @@ def _joined(keys: DataFrame, bags: DataFrame, labels: DataFrame | None, turn: in
 def _labels(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """(node, label): the class of every node that is linked to another."""
     bags = _node_bags(docs, nodes, keys)
-    labels = _joined(keys, bags, None, 0)
+    labels = _joined(_met(keys, None, 0), bags, None)
     # Where a bucket holds several classes, two of its nodes may be alike that no representative is
     # like. There the rare shingles that such nodes must share make finer buckets.
     mixed = _labelled(keys, labels).groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
     unsure = keys.join(mixed.filter("l <> h").select("key"), "key", "left_semi").select("node").distinct()
     finer = _prefixes(bags.join(unsure, "node", "left_semi"))
     turn = 0
-    while (more := _joined(finer, bags, labels, turn)) is not None:
+    while (more := _joined(_met(finer, labels, turn), bags, labels)) is not None:
         labels, turn = more, turn + 1
+    # No turn proves that a bucket holds no more links; the pairs that have not met do.
+    labels = _joined(_unmet(finer, labels), bags, labels) or labels
     if labels is None:
         return keys.select("node", F.col("node").alias("label")).limit(0)
     return labels

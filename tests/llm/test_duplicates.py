@@ -100,6 +100,26 @@ def test_near_duplicates_with_null_ids(spark):
     assert sum(r.kept for r in found) == 2
 
 
+def edited_copies(seed, n, edits=4, size=200):
+    """Copies that are alike to a text given after them, but not to each other."""
+    draw = random.Random(seed)
+    words = [f"s{seed}w{draw.randrange(10**6)}" for _ in range(size)]
+    docs = []
+    for k in range(n):
+        copy = list(words)
+        for e in range(edits):
+            copy[draw.randrange(5 + e * size // edits, (e + 1) * size // edits - 5)] = f"s{seed}new{k}x{e}"
+        docs.append(" ".join(copy))
+    return [*docs, " ".join(words)]
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    texts = [t for seed in range(6) for t in edited_copies(seed, 60)]
+    docs = list(enumerate(texts))
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in found) == near_classes(docs)
+
+
 def test_signatures_estimate_weighted_similarity():
     draw = np.random.default_rng(0)
     errors = []
