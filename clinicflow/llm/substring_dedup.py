@@ -7,7 +7,8 @@ comparison: all but the first occurrence are repeats. Of the runs that share an
 all their bytes, the first occurrence of each enters a suffix array with common-prefix lengths. A
 stack scan over it builds the tree of common-prefix intervals; an interval whose occurrences differ
 in the byte before (left-extension diversity) is a maximal repeat, output with all its occurrences,
-of which the first stays.
+of which the first stays. Where an anchor has too many runs for one array, its strings are dealt out
+by their digests instead, and all but the first of equal ones are repeats.
 
 Texts are shuffled twice, compressed; else only hashes and places are.
 """
@@ -35,6 +36,8 @@ BLOCK = 1 << 22
 SLICE_BYTES = 4 << 20
 # Bytes of runs that enter one suffix array, unless a single anchor has more.
 ARRAY_BYTES = 2 << 20
+# Different runs, of at most 168 bytes each, of one anchor that enter a suffix array.
+ANCHOR_RUNS = 1 << 14
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -194,6 +197,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of the runs as a digest of 16 bytes."""
+    digest = hashlib.blake2b
+    for batch in batches:
+        runs = batch.column("bytes").to_pylist()
+        counts = np.array([len(r) - LENGTH + 1 for r in runs], np.int64)
+        at = np.repeat(np.arange(len(runs)), counts)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        names = [digest(r[k : k + LENGTH], digest_size=16).digest() for r in runs for k in range(len(r) - LENGTH + 1)]
+        rows = pa.array(at)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(names, pa.binary()),
+                batch.column("doc_id").take(rows),
+                batch.column("h").take(rows),
+                pa.array((batch.column("start").to_numpy()[at] + inner).astype(np.int32)),
+            ],
+            ["string", "doc_id", "h", "start"],
+        )
+
+
+def _repeated_strings(cut: DataFrame, id_type: str) -> DataFrame:
+    """(doc_id, h, start, end) of the strings that occur earlier in the runs."""
+    strings = written(cut.mapInArrow(_strings, f"string binary, doc_id {id_type}, h bigint, start int"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
+    first = strings.groupBy("string").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = strings.join(first, "string").filter(~place.eqNullSafe(F.col("first")))
+    return again.select("doc_id", "h", F.col("start").cast("bigint"), (F.col("start") + LENGTH).cast("bigint").alias("end"))
+
+
 class SuffixArray:
     """Suffixes of the runs of a chunk that are at least LENGTH long, in order, with common prefixes."""
 
@@ -376,15 +409,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_bytes = Window.partitionBy("key").orderBy("digest", F.col("doc_id").asc_nulls_last(), "h", "start")
     whole = Window.partitionBy("key").orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = F.struct(F.col("doc_id"), F.col("h"), F.col("start"))
-    # same: an earlier run has these bytes. mixed: the anchor has other runs as well.
+    # same: an earlier run has these bytes. mixed: the anchor has other runs as well. crowded: too
+    # many for one suffix array.
     judged = written(
         runs.withColumn("_last", F.lag("digest").over(by_bytes))
         .withColumn("_next", F.lead("digest").over(by_bytes))
         .withColumn("again", F.lag(at).over(by_bytes).eqNullSafe(at))
         .filter("known or _next is not null or _last is not null")
         .withColumn("mixed", F.min("digest").over(whole) != F.max("digest").over(whole))
+        .withColumn("different", F.sum(F.when(F.col("_last") == F.col("digest"), 0).otherwise(1)).over(whole))
         .select(
             "key", "doc_id", "h", "start", "n", "again",
+            (F.col("different") > ANCHOR_RUNS).alias("crowded"),
             (F.col("known") | F.coalesce(F.col("_last") == F.col("digest"), F.lit(False))).alias("same"),
             (F.col("mixed") & ~F.col("known")).alias("mixed"),
         )
@@ -395,21 +431,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "h", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end")
     )
     packed = docs.mapInArrow(_packed, f"doc_id {id_type}, h bigint, packed binary")
-    asked = (
-        judged.filter("mixed and not same")
-        .groupBy("doc_id", "h")
-        .agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
-    )
     same_row = ["doc_id", "h"]
     on = lambda left, right: left.doc_id.eqNullSafe(right.doc_id) & (left.h == right.h)
-    cut = (
-        packed.join(asked, on(packed, asked))
-        .select(packed.doc_id, packed.h, "packed", "asked")
-        .dropDuplicates(same_row)
-        .mapInArrow(_cut, f"key bigint, doc_id {id_type}, h bigint, start int, bytes binary")
-    )
-    ordered = cut.repartition("key").sortWithinPartitions("key")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
+        return (
+            packed.join(asked, on(packed, asked))
+            .select(packed.doc_id, packed.h, "packed", "asked")
+            .dropDuplicates(same_row)
+            .mapInArrow(_cut, f"key bigint, doc_id {id_type}, h bigint, start int, bytes binary")
+        )
+
+    different = judged.filter("mixed and not same")
+    crowded = different.filter("crowded")
+    ordered = cut(different.filter("not crowded")).repartition("key").sortWithinPartitions("key")
     compared = ordered.mapInArrow(_scan_arrays, f"doc_id {id_type}, h bigint, start bigint, end bigint")
+    if not crowded.isEmpty():
+        compared = compared.unionByName(_repeated_strings(cut(crowded), id_type))
     spans = (
         plain.unionByName(compared)
         .groupBy("doc_id", "h")

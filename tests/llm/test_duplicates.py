@@ -176,6 +176,30 @@ def test_repeats_against_all_strings(spark, seed, monkeypatch):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_repeats_with_many_surroundings(spark, monkeypatch):
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passage, texts = noise(300), []
+    for _ in range(80):
+        texts += [noise(80) + passage + noise(80)] * draw.randrange(1, 3)
+        texts.append(texts[-1][:350] + noise(40))
+    docs = [*enumerate(texts), (None, passage + noise(90))]
+    limit, scan = 10, substring_dedup._scan_arrays
+
+    def watched(batches):
+        runs = Counter()
+        for batch in batches:
+            runs.update(batch.column("key").to_pylist())
+            assert max(runs.values(), default=0) <= limit, "one anchor has too many runs for an array"
+            yield from scan(iter([batch]))
+
+    monkeypatch.setattr(substring_dedup, "ANCHOR_RUNS", limit, raising=False)
+    monkeypatch.setattr(substring_dedup, "_scan_arrays", watched)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = substring_dedup.remove_repeats(frame).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == without_repeats(docs)
+
+
 def test_repeats_of_repeated_rows(spark):
     long = "".join(random.Random(1).choices("abcdef", k=300))
     rows = [(5, long), (5, long), (None, long + "zz"), (None, None), (6, "short"), (6, "short")]
