@@ -98,3 +98,27 @@ def test_stock_state_does_not_depend_on_the_files(spark, tmp_path):
         results.append(sorted((r.id, r.is_accepted, r.current_stock) for r in found.collect()))
     assert results[0] == results[1]
     assert sum(accepted for _, accepted, _ in results[0]) > 90
+
+
+def test_stock_state_of_a_hot_item_in_chunks(spark, tmp_path):
+    items = spark.createDataFrame([(k, D(100), D(1), None, k < 2) for k in range(3)], ITEM)
+    stock, rows = {k: 100 for k in range(3)}, []
+    for k in range(240):
+        item, quantity = (0, 1, 0, 2)[k % 4], (k * 7) % 11 - 5 or 1
+        wrong = k % 17 == 0
+        cost = D(k % 13 + 1) if quantity > 0 else None
+        rows.append(move(k, item, quantity, stock[item] + wrong, cost))
+        stock[item] += 0 if wrong or item == 2 else quantity
+    source = str(tmp_path / "in")
+    results = []
+    for n, part in enumerate((rows[:100], rows[100:])):
+        spark.createDataFrame(part, MOVE).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.createDataFrame([], MOVE).schema).parquet(source)
+        results = [
+            run_available(track_stock(stream, items, chunk_rows=limit), str(tmp_path / f"out{limit}"))
+            for limit in (7, 1000)
+        ]
+    names = ("id", "is_accepted", "message", "current_stock", "average_cost", "last_purchase_cost")
+    small, whole = (sorted(tuple(r[c] for c in names) for r in found.collect()) for found in results)
+    assert small == whole and len(whole) == 240
+    assert {(i, a) for i, a, *_ in whole} == {(k, k % 4 != 3 and k % 17 != 0) for k in range(240)}
