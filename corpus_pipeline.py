@@ -42,7 +42,8 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-# The models, the signatures and the encoder have no SQL; tests/llm/test_pipeline.py has a slow twin.
+# The models, the signatures and the encoder have no SQL; tests/llm/test_registered.py
+# has slow twins of all stages but toxicity, whose rows it takes from the operator.
 ORACLE_SQL = None
 
 
