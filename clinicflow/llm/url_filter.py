@@ -17,9 +17,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Suffixes are counted in so many hash buckets, so their statistics stay below 200 kB and are
-# broadcast; suffixes that share a bucket share its rate.
-SUFFIX_BUCKETS = 4096
 # Weight, in URLs, of the overall rate in the rate of a suffix.
 PRIOR = 10.0
 # Words of hosts that label a URL as one to block, for `labelled_by_words`.
@@ -85,7 +82,7 @@ FEATURES = (*LEXICAL, *(f"{s}_rate" for s in SUFFIXES))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Rows with _url, _host and _path, and their lexical features and suffix buckets."""
+    """Rows with _url, _host and _path, and their lexical features and suffixes."""
     url, host, path = F.coalesce("_url", F.lit("")), F.col("_host"), F.col("_path")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     length = F.length(url).cast("double")
@@ -105,8 +102,8 @@ def features(rows: DataFrame) -> DataFrame:
             "host_entropy": _entropy(host),
             "parameters": _count(query, "[^&]+"),
             "value_length": F.length(query).cast("double"),
-            "top": F.pmod(F.xxhash64(F.lit("top"), top), F.lit(SUFFIX_BUCKETS)),
-            "domain": F.pmod(F.xxhash64(F.lit("domain"), domain), F.lit(SUFFIX_BUCKETS)),
+            "top": top,
+            "domain": domain,
         }
     )
 
@@ -142,8 +139,7 @@ class Filter:
 
     def _with_rates(self, rows: DataFrame, own_label: Column, own: int) -> DataFrame:
         for s in SUFFIXES:
-            # At most SUFFIX_BUCKETS rows of three numbers.
-            rows = rows.join(F.broadcast(self.counts[s]), s, "left")
+            rows = rows.join(self.counts[s], s, "left")
             seen = F.coalesce(f"{s}_seen", F.lit(own)) - own
             blocked = F.coalesce(f"{s}_blocked", own_label) - own_label
             rows = rows.withColumn(f"{s}_rate", (blocked + PRIOR * self.share) / (seen + PRIOR))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from clinicflow.llm import language, quality, toxicity, url_filter
 from clinicflow.llm.url_filter import Rule
@@ -182,3 +183,12 @@ def test_trees_learn_lexical_features(spark):
     assert right >= 0.97 * 200
     only = url_filter.judge(pages, [], train.filter("label = 0")).select("verdict").distinct().collect()
     assert [r.verdict for r in only] == ["allow"]
+
+
+def test_every_domain_has_its_own_rate(spark):
+    urls = [(f"https://www.site{k}.org/a", k % 2) for k in range(6000) for _ in range(2)]
+    rows = spark.createDataFrame(urls, "_url string, _label int")
+    host, path = url_filter.parts(F.col("_url"))
+    found = url_filter.features(rows.withColumns({"_host": host, "_path": path}))
+    counts = found.groupBy("domain").agg(F.countDistinct("_label").alias("labels"), F.count("*").alias("n")).collect()
+    assert len(counts) == 6000 and all((r.labels, r.n) == (1, 2) for r in counts)
