@@ -18,11 +18,13 @@ from clinicflow.llm import (
     substring_dedup,
     toxicity,
     url_filter,
+    word_bpe,
 )
 from clinicflow.llm.url_filter import Rule
 
-# The model is a public vocabulary file; where it lies is a parameter of the operator.
+# The models are public vocabulary files; where they lie is a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 URL_RULES = [
     Rule("net", "/", "block"),
@@ -79,8 +81,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.tokenize(
+        table(spark, sf_dir, "documents"), WORD_TOKENIZER, fields=("n_tokens", "ids_sha256", "decoded_sha256")
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_near_dedup, op4_toxicity, op5_quality, op6_exact_dedup, op7_pii, op8_language, op9_substring_dedup, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_url_filter, op3_near_dedup, op4_toxicity, op5_quality, op6_exact_dedup, op7_pii,
+        op8_language, op9_substring_dedup, op10_decontamination, op13_word_bpe,
+    )
 }
 
 LLM_ORACLE: dict[str, str] = {
