@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clinicflow.llm import (
     decontamination,
     exact_dedup,
+    fill_in_middle,
     language,
     near_dedup,
     personal_data,
@@ -81,6 +82,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), fields=fields)
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.tokenize(
         table(spark, sf_dir, "documents"), WORD_TOKENIZER, fields=("n_tokens", "ids_sha256", "decoded_sha256")
@@ -91,7 +97,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_url_filter, op3_near_dedup, op4_toxicity, op5_quality, op6_exact_dedup, op7_pii,
-        op8_language, op9_substring_dedup, op10_decontamination, op13_word_bpe,
+        op8_language, op9_substring_dedup, op10_decontamination,
+        op11_fill_in_middle, op13_word_bpe,
     )
 }
 
@@ -141,6 +148,34 @@ LLM_ORACLE: dict[str, str] = {
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
         from doc_words left join hit using (doc_id) left join named using (doc_id)
     """,
+    "op11_fill_in_middle": r"""
+        with cut as (
+            select doc_id, coalesce(text, '') as content, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tokens
+            from documents
+        ), drawn as (
+            select *, len(tokens) as n, ('0x' || h[1:8])::ubigint as h1, ('0x' || h[9:16])::ubigint as h2,
+                   ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4
+            from cut
+        ), placed as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                   case when content = '' or contains(content, '<P>') or contains(content, '<S>')
+                             or contains(content, '<M>') or h3 % 100 >= 50 then 'plain'
+                        when h4 % 100 < 80 then 'spm' else 'psm' end as form
+            from drawn
+        ), parts as (
+            select *, array_to_string(tokens[1:a], '') as prefix, array_to_string(tokens[a + 1:b], '') as middle,
+                   array_to_string(tokens[b + 1:], '') as suffix
+            from placed
+        )
+        select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+               case when form <> 'plain' then length(middle) end as middle_chars,
+               sha256(case form when 'plain' then content
+                      when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(content) as restored_sha256
+        from parts
+    """,
     "op3_near_dedup": r"""
         with recursive doc_words as (
             select doc_id, coalesce(text, '') as content, regexp_extract_all(
