@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clinicflow.llm import (
+    conversation_repair,
     decontamination,
     exact_dedup,
     fill_in_middle,
@@ -87,6 +88,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), fields=fields)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(conversations), conversations)
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.tokenize(
         table(spark, sf_dir, "documents"), WORD_TOKENIZER, fields=("n_tokens", "ids_sha256", "decoded_sha256")
@@ -98,7 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_sentencepiece, op2_url_filter, op3_near_dedup, op4_toxicity, op5_quality, op6_exact_dedup, op7_pii,
         op8_language, op9_substring_dedup, op10_decontamination,
-        op11_fill_in_middle, op13_word_bpe,
+        op11_fill_in_middle, op12_conversation_repair, op13_word_bpe,
     )
 }
 
@@ -176,6 +182,89 @@ LLM_ORACLE: dict[str, str] = {
                sha256(content) as restored_sha256
         from parts
     """,
+    "op12_conversation_repair": r"""
+        with recursive crc_table as (
+            select list(list_reduce([byte::ubigint] || list_transform(range(8), lambda k: k::ubigint),
+                        lambda c, k: case when c & 1 = 1 then xor(3988292384::ubigint, c >> 1) else c >> 1 end)
+                        order by byte) as entries
+            from range(256) as bytes(byte)
+        ), damaged as (
+            select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+                   case kind when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '')
+                        else coalesce(text, ' ') end as text,
+                   unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+            from (select *, xor(4294967295::ubigint, list_reduce(
+                             [4294967295::ubigint] || list_transform(string_split(
+                                 coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+                                 lambda c: ascii(c)::ubigint),
+                             lambda c, x: xor(c >> 8, entries[((xor(c, x) & 255) + 1)::bigint]))) % 20 as kind
+                  from conversations, crc_table)
+            where kind <> 0
+        ), placed as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as pos,
+                   row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+                   not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+                   not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as open_end
+            from damaged
+        ), judged as (
+            select *, not blank and seen > 1 as duplicate, not blank and seen = 1 and open_end as truncated,
+                   case role[1] when 's' then 1 when 'u' then 2 when 'a' then 3 else 0 end as initial
+            from placed
+        ), facts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                   count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+                   count(*) filter (truncated) as truncated, count(*) filter (wrong) as illegal, count(*) as n
+            from (select *, coalesce((lag(initial) over (partition by conv_id order by pos), initial)
+                                     not in ((1, 2), (2, 3), (3, 2)), false)
+                            and pos > 1 as wrong
+                  from judged)
+            group by conv_id
+        ), ways as (
+            select * from (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) as v(place, after, role)
+        ), inserted as (
+            select place, place as after, 0 as cost, '' as letters, '' as added from ways
+            union all
+            select place, after, 5, 'I', chr(10) || role || ':' from ways
+            union all
+            select a.place, b.after, 10, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':'
+            from ways a join ways b on b.place = a.after
+        ), walk as (
+            select conv_id, 0::bigint as pos, 0 as place, {'cost': 0, 'audit': '', 'out': ''} as best from facts
+            union all
+            select conv_id, pos, place, min(best) as best
+            from (select w.conv_id, r.pos, e.place,
+                         {'cost': w.best.cost + i.cost + e.cost, 'audit': w.best.audit || i.letters || e.letter,
+                          'out': w.best.out || i.added || e.added} as best
+                  from walk w
+                  join inserted i on i.place = w.place
+                  join judged r on r.conv_id is not distinct from w.conv_id and r.pos = w.pos + 1
+                  join ways y on y.place = i.after,
+                  lateral (select i.after as place, 'D' as letter, 2 as cost, '' as added
+                           union all
+                           select r.initial, 'K', case when r.truncated then 5 else 0 end, chr(10) || r.role || ':' || r.text
+                           where not r.blank and not r.duplicate
+                                 and (r.initial = y.after or (i.after = 0 and r.initial = 1))
+                           union all
+                           select y.after, 'R', case when r.truncated then 6 else 1 end, chr(10) || y.role || ':' || r.text
+                           where not r.blank and not r.duplicate) e)
+            group by conv_id, pos, place
+        ), repaired as (
+            select w.conv_id, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.letters,
+                                   'out': w.best.out || i.added}) as best
+            from walk w
+            join facts f on f.conv_id is not distinct from w.conv_id and f.n = w.pos
+            join inserted i on i.place = w.place
+            where i.after in (0, 3)
+            group by w.conv_id
+        )
+        select c.conv_id, coalesce(f.gaps, 0) as gaps, coalesce(f.blank, 0) as blank,
+               coalesce(f.duplicate, 0) as duplicate, coalesce(f.truncated, 0) as truncated,
+               coalesce(f.illegal, 0) as illegal, coalesce(r.best.cost, 0)::bigint as cost,
+               coalesce(r.best.audit, '') as audit, sha256(coalesce(substr(r.best.out, 2), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) c
+        left join facts f on f.conv_id is not distinct from c.conv_id
+        left join repaired r on r.conv_id is not distinct from c.conv_id
+    """,
     "op3_near_dedup": r"""
         with recursive doc_words as (
             select doc_id, coalesce(text, '') as content, regexp_extract_all(

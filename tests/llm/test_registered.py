@@ -29,7 +29,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(LLM_ORACLE))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "conversations"):
         duck.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     expected = duck.execute(LLM_ORACLE[name])
     columns = [d[0] for d in expected.description]
