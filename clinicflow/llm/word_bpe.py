@@ -21,8 +21,8 @@ import hashlib
 import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +33,11 @@ from tokenizers.pre_tokenizers import ByteLevel
 from clinicflow.llm.arrays import slices
 from clinicflow.llm.shared import held, text_of
 
-# Chunks, words and pairs of tokens remembered by a Python worker, and the longest chunk remembered.
-CHUNKS, WORDS, PAIRS, CHUNK_CHARS = 350_000, 350_000, 300_000, 80
+# A Python worker forgets the chunks, words and pairs of tokens it knows when there are more than
+# this before a block, and longer chunks and words after each block.
+CHUNKS, WORDS, PAIRS, LONG = 350_000, 350_000, 400_000, 80
 # Characters of text whose words share a trie, and endings of prefixes remembered.
-BLOCK_CHARS, ENDINGS = 4_000_000, 300_000
+BLOCK_CHARS, ENDINGS = 8_000_000, 300_000
 
 # Characters with Unicode's property White_Space, and how the tokenizer splits words.
 WHITE = (
@@ -52,13 +53,15 @@ NORMAL = [
 
 BETWEEN = re.compile(f"[^{WHITE}]+")
 SPACE = re.compile(f"[{WHITE}]")
+# No character before this one is changed by composing it with its neighbours.
+COMBINING = "\N{COMBINING GRAVE ACCENT}"
 ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 # The symbol of a byte at the end of a word is the byte's character, moved up.
 ENDS = 0x1000
 
 
 class Trie:
-    """Words by their prefixes; an edge is a run of symbols and what comes after it."""
+    """Words by their prefixes; an edge is a run of symbols and what comes after it, or the word."""
 
     def __init__(self):
         self.root: dict[str, list] = {}
@@ -68,7 +71,7 @@ class Trie:
         while True:
             edge = edges.get(word[at])
             if edge is None:
-                edges[word[at]] = [word[at:], None]
+                edges[word[at]] = [word[at:], word]
                 return
             label, after = edge
             if not word.startswith(label, at):
@@ -76,39 +79,71 @@ class Trie:
                 while label[k] == word[at + k]:
                     k += 1
                 rest = word[at + k :]
-                edge[:] = label[:k], {label[k]: [label[k:], after], rest[0]: [rest, None]}
+                edge[:] = label[:k], {label[k]: [label[k:], after], rest[0]: [rest, word]}
                 return
-            if after is None:
+            if after is word or isinstance(after, str):
                 return
             edges, at = after, at + len(label)
 
 
-class Endings(dict):
-    """What a prefix ends with, found when first asked for; at most ENDINGS are held.
+class Endings:
+    """What prefixes end with, found when first asked for; at most ENDINGS are held.
 
-    Asked for the longest token beginning that ended the prefix before, plus one symbol, it
-    gives the longest one that ends the prefix now, and all tokens that do, longest first.
+    An ending is the longest token beginning that ends a prefix, as a tuple of the tokens
+    that end the prefix, longest first, the endings after one more symbol, and its text.
     """
 
     def __init__(self, tokens: Iterable[str]):
-        super().__init__()
         self.tokens = {t: t for t in tokens}
         self.beginnings = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        self.start()
+
+    def start(self) -> None:
+        self.nothing: tuple = ((), {}, "")
+        self.by_text = {"": self.nothing}
 
-    def __missing__(self, end: str) -> tuple[str, list[str]]:
-        tails = [end[k:] for k in range(len(end))]
+    def after(self, ending: tuple, symbol: str) -> tuple:
+        """The ending of a prefix that goes on with `symbol`."""
+        text = ending[2] + symbol
+        tails = [text[k:] for k in range(len(text))]
         longest = next(t for t in tails if t in self.beginnings)
-        if len(self) >= ENDINGS:
-            self.clear()
-        self[end] = longest, [self.tokens[t] for t in tails if t in self.tokens]
-        return self[end]
+        found = self.by_text.get(longest)
+        if found is None:
+            found = tuple((self.tokens[t], len(t)) for t in tails if t in self.tokens), {}, longest
+            self.by_text[longest] = found
+        ending[1][symbol] = found
+        return found
+
+
+class Characters:
+    """Splits chunks of characters that never combine, by what the library does with each of them."""
+
+    def __init__(self, normal: Callable[[str], str], split: Callable[[str], list]):
+        self.normal, self.split = normal, split
+        self.lowered = Table(normal)
+        self.symbols = Table(lambda c: split(c)[0][0])
+        # A character that takes its place in the patterns: itself, a letter, a digit, or a mark.
+        self.kinds = Table(lambda c: c if c.isascii() else self.kind(c))
 
+    def kind(self, character: str) -> str:
+        return next(k for k in "x!0" if k == "0" or len(self.split(k + character)) == 1)
+
+    def words(self, chunk: str) -> list[str]:
+        lower = chunk.translate(self.lowered)
+        kinds = lower.translate(self.kinds)
+        return [lower[m.start() : m.end()].translate(self.symbols) for m in ASCII_WORDS.finditer(kinds)]
+
+
+class Table(dict):
+    """For str.translate: what each character becomes, found when first asked for."""
+
+    def __init__(self, make: Callable[[str], str]):
+        super().__init__()
+        self.make = make
 
-def remember(held_ids: dict[str, tuple[int, ...]], new: dict[str, tuple[int, ...]], most: int) -> None:
-    """Add what is not too long; where that would be too much, start anew."""
-    if len(held_ids) + len(new) > most:
-        held_ids.clear()
-    held_ids.update(itertools.islice(((t, i) for t, i in new.items() if len(t) <= CHUNK_CHARS), most))
+    def __missing__(self, code: int) -> str:
+        self[code] = self.make(chr(code))
+        return self[code]
 
 
 class Codec:
@@ -154,10 +189,11 @@ class Codec:
         library = Tokenizer.from_file(path)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.out = {i: token for token, i in model["vocab"].items()} | {i: token for token, i in added.items()}
-        # The character of each control byte; the other ASCII characters stand for themselves.
-        self.shown = {b: self.split(chr(b))[0][0] for b in range(128) if not SPACE.match(chr(b))}
+        self.ends = {c: chr(ord(c) + ENDS) for c in alphabet}
+        self.characters = Characters(self.normal, self.split)
         self.endings = Endings(self.ids)
-        self.agree = lru_cache(PAIRS)(self._agree)
+        self.fits: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -181,8 +217,15 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _agree(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == ([left, right] if left else [right])
+    def agree(self, left: str, right: str) -> bool:
+        """Whether two tokens can be neighbours: merging their symbols gives them again."""
+        if self.pairs >= PAIRS:
+            self.fits.clear()
+            self.pairs = 0
+        self.pairs += 1
+        fits = self.merged(left + right) == ([left, right] if left else [right])
+        self.fits[left][right] = fits
+        return fits
 
     def split_chunk(self, chunk: str) -> list[str | int]:
         """The words of a chunk without white space, as symbols, and ids of added tokens in it."""
@@ -195,14 +238,17 @@ class Codec:
         return out + self.split_plain(chunk[at:]) if at else self.split_plain(chunk)
 
     def split_plain(self, part: str) -> list[str]:
-        if part.isascii():
+        ends = self.ends
+        if part.isascii() and part.isprintable():
+            part = part.lower()
             if part.isalpha():
-                word = part.lower()
-                return [word[:-1] + chr(ord(word[-1]) + ENDS)]
-            words = [w.translate(self.shown) for w in ASCII_WORDS.findall(part.lower())]
+                return [part[:-1] + ends[part[-1]]]
+            return [w[:-1] + ends[w[-1]] for w in ASCII_WORDS.findall(part)]
+        if part and max(part) < COMBINING:
+            words = self.characters.words(part)
         else:
             words = [w for w, _ in self.split(self.normal(part))]
-        return [w[:-1] + chr(ord(w[-1]) + ENDS) for w in words]
+        return [w[:-1] + ends[w[-1]] for w in words]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct words, given as symbols."""
@@ -210,51 +256,57 @@ class Codec:
         for word in words:
             trie.insert(word)
         found: dict[str, tuple[int, ...]] = {}
-        ids, agree, endings = self.ids, self.agree, self.endings
-        # last[d]: the last token of the first d symbols; tail[d]: the longest beginning that ends them.
-        last, tail = [""], [""]
+        if len(self.endings.by_text) > ENDINGS:
+            self.endings.start()
+        ids, fits, after_symbol = self.ids, self.fits, self.endings.after
+        # last[d]: the last token of the first d symbols; tail[d]: what they end with.
+        last, tail = [""], [self.endings.nothing]
         waiting = [(0, edge) for edge in trie.root.values()]
         while waiting:
             depth, (label, after) = waiting.pop()
             del last[depth + 1 :], tail[depth + 1 :]
-            beginning = tail[depth]
+            ending = tail[depth]
             for end, symbol in enumerate(label, depth + 1):
-                beginning, tokens = endings[beginning + symbol]
-                for token in tokens:
-                    if agree(last[end - len(token)], token):
-                        last.append(token)
+                ending = ending[1].get(symbol) or after_symbol(ending, symbol)
+                for token, size in ending[0]:
+                    left = last[end - size]
+                    good = fits[left].get(token)
+                    if good or good is None and self.agree(left, token):
                         break
                 else:
-                    raise AssertionError(f"no last token after {beginning!r}")
-                tail.append(beginning)
-            if after is not None:
-                waiting += [(len(last) - 1, edge) for edge in after.values()]
+                    raise AssertionError(f"no last token after {ending[2]!r}")
+                last.append(token)
+                tail.append(ending)
+            if not isinstance(after, str):
+                depth = len(last) - 1
+                waiting += [(depth, edge) for edge in after.values()]
                 continue
-            tokens, end = [], len(last) - 1
+            word, end = [], len(last) - 1
             while end:
-                tokens.append(last[end])
-                end -= len(last[end])
-            tokens.reverse()
-            found["".join(tokens)] = tuple(map(ids.__getitem__, tokens))
+                token = last[end]
+                word.append(ids[token])
+                end -= len(token)
+            word.reverse()
+            found[after] = tuple(word)
         return found
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of all given chunks; those of new words are found together."""
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of all given chunks; those of new words are found together."""
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        if len(self.words) > WORDS:
+            self.words.clear()
         fresh = {c: self.split_chunk(c) for c in chunks if c not in self.chunks}
-        words = {w for found in fresh.values() for w in found if isinstance(w, str)}
-        ids = {w: self.words[w] for w in words if w in self.words}
-        new = self.encode_words(words.difference(ids))
-        ids |= new
-        made = {}
+        new = {w for found in fresh.values() for w in found if isinstance(w, str) and w not in self.words}
+        self.words |= self.encode_words(new)
+        ids, known = self.words, self.chunks
         for chunk, found in fresh.items():
             if len(found) == 1 and isinstance(found[0], str):
-                made[chunk] = ids[found[0]]
+                known[chunk] = ids[found[0]]
             else:
-                made[chunk] = tuple(i for w in found for i in ((w,) if isinstance(w, int) else ids[w]))
-        known = {c: self.chunks[c] for c in chunks if c in self.chunks}
-        remember(self.words, new, WORDS)
-        remember(self.chunks, made, CHUNKS)
-        return known | made
+                known[chunk] = tuple([i for w in found for i in ((w,) if isinstance(w, int) else ids[w])])
+        for word in [w for w in new if len(w) > LONG]:
+            del self.words[word]
 
     def encode_all(self, texts: Iterable[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -263,8 +315,13 @@ class Codec:
         gc.disable()
         try:
             cut = [BETWEEN.findall(text) for text in texts]
-            ids = self.learn(set(itertools.chain.from_iterable(cut)))
-            return [list(itertools.chain.from_iterable(map(ids.__getitem__, chunks))) for chunks in cut]
+            chunks = set(itertools.chain.from_iterable(cut))
+            self.learn(chunks)
+            ids = self.chunks
+            made = [list(itertools.chain.from_iterable(map(ids.__getitem__, part))) for part in cut]
+            for chunk in [c for c in chunks if len(c) > LONG]:
+                del ids[chunk]
+            return made
         finally:
             gc.enable()
 
