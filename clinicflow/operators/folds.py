@@ -45,6 +45,10 @@ class Fold:
     predict: where a chunk would end if it started from `now`, given that it ended at `end`
     when started from `assumed`. It must return the true end if `now` equals `assumed`; the
     better it is otherwise, the fewer rounds a hot key takes.
+    part: the first input, if a key has parts with a number of their own (an item its batches): the
+    name of the part a row touches, or NULL. Opening rows of parts carry their name there, and the
+    number as the first state; the key's own opening row has an empty name. `step` then gets
+    a third argument, the numbers by name, which it may change.
     summary: makes an empty summary of a chunk for the first state column, if the others never
     change. `add(inputs)` takes the rows in order; `shift` is what the chunk adds to a start,
     `top` the largest end, and `rows()` the ranges of starts (low, high, end) that end elsewhere.
@@ -55,11 +59,16 @@ class Fold:
     inputs: Sequence[str]
     state: Sequence[str]
     outputs: T.StructType
-    step: Callable[[State | None, tuple], tuple[State | None, tuple]]
+    step: Callable[..., tuple[State | None, tuple]]
+    part: str = ""
     guess: dict[str, str] = field(default_factory=dict)
     predict: Callable[[State, State, State], State] = lambda assumed, end, now: end
     summary: Callable[[], Summary] | None = None
 
+    @property
+    def parts(self) -> list[str]:
+        return [self.part] if self.part else []
+
 
 class Summary:
     """What a chunk does to any start: nothing, until a subclass says otherwise."""
@@ -81,7 +90,7 @@ def _stream(
     """Opening states followed by rows, one key after the other, in order."""
     both = rows.withColumn("_kind", F.lit(1))
     if opening is not None:
-        opened = opening.select(*keys, *fold.state, F.lit(0).alias("_kind"))
+        opened = opening.select(*keys, *fold.parts, *fold.state, F.lit(0).alias("_kind"))
         both = opened.unionByName(both, allowMissingColumns=True)
     lead = [*keys, "_kind", *fold.state, *fold.inputs]
     rest = [c for c in both.columns if c not in lead]
@@ -93,15 +102,17 @@ def _stream(
 
 
 def _walk(
-    step: Callable, widths: tuple[int, int, int], batches: Iterator[pa.RecordBatch], emit: Callable
+    fold: Fold, n_keys: int, batches: Iterator[pa.RecordBatch], emit: Callable
 ) -> Iterator[pa.RecordBatch]:
     """Run the steps over sorted batches, carrying the state from batch to batch.
 
-    `widths` counts the key, state and input columns each batch begins with.
+    Batches begin with `n_keys` key columns, the kind, the state and the input columns.
     """
-    n_keys, n_state, n_inputs = widths
+    n_state, n_inputs = len(fold.state), len(fold.inputs)
+    step, parted = fold.step, bool(fold.part)
     current: tuple | None = None
     state: State | None = None
+    parts: dict[str, int | None] = {}
     for batch in batches:
         kinds = _values(batch.column(n_keys))
         opened = batch.filter(pc.equal(batch.column(n_keys), 0))
@@ -114,16 +125,20 @@ def _walk(
         for key, kind, inputs in zip(key_rows, kinds, values):
             if key != current:
                 if current is not None:
-                    ended.append((current, state))
-                current, state = key, None
+                    ended.append((current, state, parts))
+                current, state, parts = key, None, {}
             if kind == 0:
-                state = next(states)
+                opening = next(states)
+                if parted and inputs[0]:
+                    parts[inputs[0]] = opening[0]
+                else:
+                    state = opening
             else:
-                state, out = step(state, inputs)
+                state, out = step(state, inputs, parts) if parted else step(state, inputs)
                 outputs.append(out)
         yield from emit(batch, outputs, ended)
     if current is not None:
-        yield from emit(None, [], [(current, state)])
+        yield from emit(None, [], [(current, state, parts)])
 
 
 def _values(column: pa.Array) -> list:
@@ -149,10 +164,6 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     return [pa.array(list(v), type=f.type) for v, f in zip(values, schema)]
 
 
-def _widths(keys: Sequence[str], fold: Fold) -> tuple[int, int, int]:
-    return len(keys), len(fold.state), len(fold.inputs)
-
-
 def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
     """Every row with the outputs of its step."""
     schema = T.StructType([*rows.schema.fields, *fold.outputs.fields])
@@ -160,7 +171,6 @@ def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fo
     out_arrow = to_arrow_schema(fold.outputs)
     kept = rows.columns
     n_keys = len(keys)
-    step, widths = fold.step, _widths(keys, fold)
 
     def emit(batch, outputs, _ended):
         if batch is None or not outputs:
@@ -170,24 +180,28 @@ def _fold_rows(stream: DataFrame, rows: DataFrame, keys: Sequence[str], fold: Fo
         arrays = [taken.column(c).cast(arrow.field(c).type) for c in kept]
         yield pa.RecordBatch.from_arrays([*arrays, *_columns(outputs, out_arrow)], schema=arrow)
 
-    return stream.mapInArrow(lambda batches: _walk(step, widths, batches, emit), schema)
+    return stream.mapInArrow(lambda batches: _walk(fold, n_keys, batches, emit), schema)
 
 
 def _fold_ends(stream: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
-    """One row per key with the state after its last row; all NULL where there is none."""
-    fields = [stream.schema[k] for k in keys]
+    """One row per key with the state after its last row, all NULL where there is none, and one per part."""
+    fields = [stream.schema[k] for k in [*keys, *fold.parts]]
     fields += [T.StructField(s, T.LongType()) for s in fold.state]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
     nothing = (None,) * len(fold.state)
-    step, widths = fold.step, _widths(keys, fold)
+    own = ("",) if fold.part else ()
+    n_keys = len(keys)
 
     def emit(_batch, _outputs, ended):
-        if ended:
-            rows = [(*key, *(state or nothing)) for key, state in ended]
+        rows = []
+        for key, state, parts in ended:
+            rows.append((*key, *own, *(state or nothing)))
+            rows += [(*key, name, number, *nothing[1:]) for name, number in parts.items()]
+        if rows:
             yield pa.RecordBatch.from_arrays(_columns(rows, arrow), schema=arrow)
 
-    return stream.mapInArrow(lambda batches: _walk(step, widths, batches, emit), schema)
+    return stream.mapInArrow(lambda batches: _walk(fold, n_keys, batches, emit), schema)
 
 
 def run_fold(
@@ -196,7 +210,7 @@ def run_fold(
     fold: Fold,
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
-    """Fold `rows` from the states in `opening` (one row per key); returns rows + outputs.
+    """Fold `rows` from the states in `opening` (one row per key and part); returns rows + outputs.
 
     Without `opening` every key starts with no state, which is then any value `step` likes.
     `chunk_rows` is None where the rows of a key are bounded by construction.
@@ -293,7 +307,8 @@ def _run_chunked(
     by_chunk = [*keys, "_chunk"]
     chunked = cut(rows, hot, keys, fold.order, chunk_rows)
     if opening is None:
-        fields = [rows.schema[k] for k in keys] + [T.StructField(s, T.LongType()) for s in fold.state]
+        fields = [rows.schema[k] for k in [*keys, *fold.parts]]
+        fields += [T.StructField(s, T.LongType()) for s in fold.state]
         opening = rows.sparkSession.createDataFrame([], T.StructType(fields))
     if fold.summary is not None:
         stream = _stream(chunked, _chained(chunked, opening, fold), by_chunk, fold)
@@ -301,12 +316,12 @@ def _run_chunked(
     starts = _first_starts(chunked, opening, fold)
     pending, ends = starts, None
     while True:
-        todo = chunked.join(pending.select(*by_chunk), by_chunk, "left_semi")
-        fresh = _fold_ends(
-            _stream(todo, pending.filter("_known"), by_chunk, fold), by_chunk, fold
-        )
+        again = pending.select(*by_chunk).distinct()
+        todo = chunked.join(again, by_chunk, "left_semi")
+        opened = starts.filter("_known").join(again, by_chunk, "left_semi")
+        fresh = _fold_ends(_stream(todo, opened, by_chunk, fold), by_chunk, fold)
         if ends is not None:
-            fresh = fresh.unionByName(ends.join(pending.select(*by_chunk), by_chunk, "left_anti"))
+            fresh = fresh.unionByName(ends.join(again, by_chunk, "left_anti"))
         ends = written(fresh)
         starts = written(_corrected_starts(starts, ends, fold))
         pending = starts.filter("_wrong")
@@ -317,20 +332,28 @@ def _run_chunked(
 
 
 def _first_starts(chunked: DataFrame, opening: DataFrame, fold: Fold) -> DataFrame:
-    """A starting state for every chunk: the opening one, or what its first row claims."""
+    """A starting state for every chunk: the opening one, or what its first row claims.
+
+    Parts get one for each chunk whose rows name them; those without an opening row have none.
+    """
     by_chunk = [*fold.keys, "_chunk"]
     first_row = F.struct(*fold.order)
     claims = [F.min_by(c, first_row).alias(f"_claim_{s}") for s, c in fold.guess.items()]
     chunks = chunked.groupBy(*by_chunk).agg(F.count("*").alias("_rows"), *claims)
-    opened = opening.select(*fold.keys, *fold.state, F.lit(True).alias("_known"))
+    opened = opening.select(*fold.keys, *fold.parts, *fold.state, F.lit(True).alias("_known"))
+    own = opened.filter(F.col(fold.part) == "").drop(fold.part) if fold.part else opened
     later = F.col("_known") & (
         F.row_number().over(Window.partitionBy(*fold.keys).orderBy("_chunk")) > 1
     )
     claimed = {
         s: F.when(later, F.col(f"_claim_{s}")).otherwise(F.col(s)) for s in fold.guess
     }
-    starts = chunks.join(opened, list(fold.keys), "left").withColumns(claimed)
-    return written(starts.select(*by_chunk, *fold.state, "_known"))
+    starts = chunks.join(own, list(fold.keys), "left").withColumns(claimed)
+    if fold.part:
+        named = chunked.filter(F.col(fold.part).isNotNull()).select(*by_chunk, fold.part).distinct()
+        of_parts = named.join(opened, [*fold.keys, fold.part])
+        starts = starts.withColumn(fold.part, F.lit("")).unionByName(of_parts, allowMissingColumns=True)
+    return written(starts.select(*by_chunk, *fold.parts, *fold.state, "_known"))
 
 
 def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFrame:
@@ -340,18 +363,19 @@ def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFra
     to start, its end is known; otherwise it is marked `_wrong` and must run again. When no
     chunk is wrong, every start is the true end of the chunk before.
     """
-    keys, n = list(fold.keys), len(fold.state)
+    keys, n = [*fold.keys, *fold.parts], len(fold.state)
     found = ends.select(*keys, "_chunk", *[F.col(s).alias(f"_end_{s}") for s in fold.state])
     outputs = [T.StructField(f"_now_{s}", T.LongType()) for s in fold.state]
     chain = Fold(
         keys=keys,
         order=["_chunk"],
-        inputs=["_known", *fold.state, *[f"_end_{s}" for s in fold.state]],
+        inputs=["_known", "_own", *fold.state, *[f"_end_{s}" for s in fold.state]],
         state=[],
         outputs=T.StructType([*outputs, T.StructField("_wrong", T.BooleanType())]),
         step=partial(_next_start, n, fold.predict),
     )
-    chunks = starts.select(*keys, "_chunk", *fold.state, "_known").join(found, [*keys, "_chunk"])
+    own = F.col(fold.part) == "" if fold.part else F.lit(True)
+    chunks = starts.select(*keys, "_chunk", *fold.state, "_known", own.alias("_own")).join(found, [*keys, "_chunk"])
     ran = run_fold(chunks, None, chain, chunk_rows=None)
     now = [F.col(f"_now_{s}").alias(s) for s in fold.state]
     return ran.select(*keys, "_chunk", *now, "_known", "_wrong")
@@ -360,8 +384,14 @@ def _corrected_starts(starts: DataFrame, ends: DataFrame, fold: Fold) -> DataFra
 def _next_start(
     n: int, predict: Callable, now: State | None, row: tuple
 ) -> tuple[State | None, tuple]:
-    known, assumed, end = row[0], row[1 : n + 1], row[n + 1 :]
+    known, own, assumed, end = row[0], row[1], row[2 : n + 2], row[n + 2 :]
     if not known:
         return None, (*assumed, False)
     now = assumed if now is None else now
-    return predict(assumed, end, now), (*now, now != assumed)
+    return (predict if own else _part_from)(assumed, end, now), (*now, now != assumed)
+
+
+def _part_from(assumed: State, end: State, now: State) -> State:
+    """The number of a part shifts with its start, and does not fall below nothing."""
+    number = end[0] if now[0] == assumed[0] or None in (end[0], now[0]) else max(end[0] + now[0] - assumed[0], 0)
+    return (number, *end[1:])

@@ -293,9 +293,14 @@ def post_movements(
     order: Sequence[str] = ORDER,
     basis: str = "previous",
     chunk_rows: int = CHUNK_ROWS,
+    batches: DataFrame | None = None,
 ) -> DataFrame:
     """Post movement requests in order per item: outcome, stock and costs after each.
 
+    Given `batches`, an outgoing movement that names one of them also takes from its balance,
+    and fails where that would fall below nothing. Numbers that name no known batch only
+    count for the item, as an update of no row would.
+
     A refused request leaves stock and costs as they were. The average cost weighs the stock
     before an incoming movement and is rounded to cents each time; `basis="as_written"`
     weighs the stock after it instead. `is_low` and `is_refilled` tell whether an accepted row
@@ -321,8 +326,12 @@ def post_movements(
     for needed in ("reason", "user_id"):
         if needed in requests.columns:
             sound = sound & F.col(needed).isNotNull()
+    named = F.lit(None).cast("string")
+    if batches is not None and "batch_number" in requests.columns:
+        named = F.when(category == "out", _batch_name())
     rows = requests.withColumns(
         {
+            "_batch": named,
             "movement_category": category,
             "_quantity": hundredths(quantity),
             "_price": hundredths(price),
@@ -332,10 +341,19 @@ def post_movements(
             "_out": category == "out",
         }
     )
+    if batches is not None:
+        touched = rows.filter("_batch is not null").select("item_id", "_batch").distinct()
+        balances = batches.select(
+            "item_id", _batch_name().alias("_batch"), hundredths(F.col("quantity_current")).alias("_stock")
+        ).join(touched, ["item_id", "_batch"], "left_semi")
+        opening = opening.withColumn("_batch", F.lit("")).unionByName(balances, allowMissingColumns=True)
+    else:
+        opening = opening.withColumn("_batch", F.lit(""))
     fold = Fold(
         keys=["item_id"],
         order=list(order),
-        inputs=["_quantity", "_price", "_bought", "_sound", "_in", "_out"],
+        part="_batch",
+        inputs=["_batch", "_quantity", "_price", "_bought", "_sound", "_in", "_out"],
         state=["_stock", "_cost", "_last", "_minimum", "_episode", "_weight"],
         outputs=_POSTED,
         step=partial(_post, basis == "as_written"),
@@ -356,6 +374,11 @@ def post_movements(
     )
 
 
+def _batch_name() -> Column:
+    """The number of a batch as numbers compare; never empty."""
+    return F.concat(F.lit("="), folded(F.col("batch_number")))
+
+
 def weighted_average(weight: int, cost: int, quantity: int, price: int) -> int:
     """Average cost in cents after an incoming quantity, rounded half up."""
     if weight <= 0:
@@ -364,19 +387,26 @@ def weighted_average(weight: int, cost: int, quantity: int, price: int) -> int:
     return (2 * (weight * cost + quantity * price) + units) // (2 * units)
 
 
-def _post(as_written: bool, state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
+def _post(
+    as_written: bool, state: tuple | None, row: tuple, batches: dict[str, int | None]
+) -> tuple[tuple | None, tuple]:
     if state is None:
         return None, (texts.UNKNOWN_ITEM, False, *[None] * 4, False, False, None)
     stock, cost, last, minimum, episode, weight = state
-    quantity, price, bought, sound, incoming, outgoing = row
+    batch, quantity, price, bought, sound, incoming, outgoing = row
+    balance = batches.get(batch)
     after = None if quantity is None else stock + quantity
     refusal = None
     if after is not None and after < 0 and outgoing:
         refusal = texts.NOT_ENOUGH
     elif after is None or not sound or not 0 <= after <= LARGEST_STOCK:
         refusal = texts.MOVEMENT_FAILED
+    elif balance is not None and balance + quantity < 0:
+        refusal = texts.MOVEMENT_FAILED
     if refusal:
         return state, (refusal, False, stock, None, cost, last, False, False, episode)
+    if balance is not None:
+        batches[batch] = balance + quantity
     if incoming and price is not None:
         basis = after if as_written else stock
         cost = weighted_average(basis, cost, quantity, price)
@@ -426,20 +456,22 @@ def item_state_after(items: DataFrame, posted: DataFrame, order: Sequence[str] =
 
 
 def batch_balance(batches: DataFrame, movements: DataFrame) -> DataFrame:
-    """Batches after outgoing movements that name them; `overdrawn` where less than 0 is left."""
+    """Batches after accepted outgoing movements that name them; all rows count without `is_accepted`."""
+    if "is_accepted" in movements.columns:
+        movements = movements.filter("is_accepted")
     out = (
         movements.filter(
             F.col("batch_number").isNotNull() & (folded(F.col("movement_category")) == "out")
         )
-        .groupBy("item_id", "batch_number")
+        .groupBy("item_id", _batch_name().alias("_batch"))
         .agg(F.sum("quantity").alias("_taken"))
     )
     left = stored(F.col("quantity_current") + F.coalesce("_taken", F.lit(0)), 18)
     return (
-        batches.join(out, ["item_id", "batch_number"], "left")
+        batches.withColumn("_batch", _batch_name())
+        .join(out, ["item_id", "_batch"], "left")
         .withColumn("quantity_current", left)
-        .withColumn("overdrawn", F.col("quantity_current") < 0)
-        .select(*batches.columns, "overdrawn")
+        .select(*batches.columns)
     )
 
 

@@ -311,16 +311,19 @@ from inventory_movements m left join inventory_items i on i.id=m.item_id""")
 
 
 def _posting(weight: str = "stock") -> str:
-    """Post movements row by row; stock in hundredths, costs in cents."""
+    """Post movements row by row; stock in hundredths, costs in cents, batches as a map."""
     return f"""
+shelves as (select item_id, map_from_entries(list((lower(rtrim(batch_number)), cast(quantity_current*100 as bigint)))) held
+  from inventory_batches group by 1),
 requested as (select *, {_CATEGORY} movement_category, cast(quantity*100 as bigint) q,
+  case when {_CATEGORY}='out' then lower(rtrim(batch_number)) end batch,
   cast(unit_cost*100 as hugeint) p, {_LINED} from inventory_movements),
 walk as (
   select id item_id, 0::bigint rn, cast(current_stock*100 as bigint) stock,
     cast(unit_cost*100 as hugeint) average, cast(last_purchase_cost*100 as hugeint) bought,
     cast(minimum_stock*100 as bigint) minimum, 0::bigint episode, 0::bigint next_episode,
-    null::bigint was, null::varchar why
-  from inventory_items where is_active
+    null::bigint was, null::varchar why, coalesce(held, map_from_entries([('', 0::bigint)])) held
+  from inventory_items left join shelves on shelves.item_id=inventory_items.id where is_active
   union all
   select item_id, rn, case when why is null then after else stock end,
     case when why is null and movement_category='in' and p is not null then
@@ -329,11 +332,13 @@ walk as (
     case when why is null and movement_type='purchase' and p is not null then p else bought end,
     minimum, next_episode,
     next_episode + case when why is null and movement_category='in' and after>minimum then 1 else 0 end,
-    stock, why
-  from (select r.item_id, r.rn, r.q, r.p, r.movement_category, r.movement_type, w.minimum,
+    stock, why,
+    case when why is null and held[batch] is not null then map_concat(held, map_from_entries([(batch, held[batch]+q)]))
+      else held end
+  from (select r.item_id, r.rn, r.q, r.p, r.movement_category, r.movement_type, w.minimum, r.batch, w.held,
       w.next_episode, cast(w.stock as hugeint) stock, cast(w.stock+r.q as hugeint) after, w.average, w.bought,
       case when r.movement_category='out' and w.stock+r.q<0 then '{texts.NOT_ENOUGH}'
-        when w.stock+r.q<0 then '{texts.MOVEMENT_FAILED}' end why
+        when w.stock+r.q<0 or w.held[r.batch]+r.q<0 then '{texts.MOVEMENT_FAILED}' end why
     from walk w join requested r on r.item_id=w.item_id and r.rn=w.rn+1) n),
 posted as (select r.*, w.item_id is not null and w.why is null is_accepted,
     case when w.item_id is null then '{texts.UNKNOWN_ITEM}' else coalesce(w.why,'{texts.MOVEMENT_DONE}') end message,
@@ -345,31 +350,31 @@ posted as (select r.*, w.item_id is not null and w.why is null is_accepted,
 
 
 _LARGE = """is_accepted and movement_type in ('waste','expired','adjustment') and abs(quantity)>100"""
-oracle("movement_admission", "inventory_movements inventory_items", f"""
+oracle("movement_admission", "inventory_movements inventory_items inventory_batches", f"""
 select item_id, {ORDER}, movement_category, is_accepted, message, previous_stock, new_stock,
   {_LARGE} approval_required, not ({_LARGE}) is_approved from posted""", _posting())
 
 _LEDGER = f"""select item_id, {ORDER}, previous_stock, new_stock, average_cost,
   last_purchase_cost from posted where is_accepted"""
-oracle("stock_ledger", "inventory_movements inventory_items", _LEDGER, _posting())
-oracle("stock_ledger_as_written", "inventory_movements inventory_items", _LEDGER, _posting("after"))
+oracle("stock_ledger", "inventory_movements inventory_items inventory_batches", _LEDGER, _posting())
+oracle("stock_ledger_as_written", "inventory_movements inventory_items inventory_batches", _LEDGER, _posting("after"))
 
-oracle("item_state_after", "inventory_movements inventory_items", """
+_ITEMS_AFTER = """
 select i.id, coalesce(p.new_stock,i.current_stock) current_stock,
   cast(coalesce(p.new_stock,i.current_stock)-i.reserved_stock as decimal(10,2)) available_stock,
   coalesce(p.average_cost,i.unit_cost) unit_cost,
   coalesce(p.last_purchase_cost,i.last_purchase_cost) last_purchase_cost
 from inventory_items i left join (select * from posted where is_accepted
-  qualify row_number() over (partition by item_id order by rn desc)=1) p on p.item_id=i.id""",
-       _posting())
+  qualify row_number() over (partition by item_id order by rn desc)=1) p on p.item_id=i.id"""
+oracle("item_state_after", "inventory_movements inventory_items inventory_batches", _ITEMS_AFTER, _posting())
 
-oracle("batch_balance", "inventory_batches inventory_movements", f"""
+_BATCHES_AFTER = """
 select b.id, b.item_id, b.batch_number,
-  cast(b.quantity_current+coalesce(m.taken,0) as decimal(18,2)) quantity_current,
-  b.quantity_current+coalesce(m.taken,0)<0 overdrawn
-from inventory_batches b left join (select item_id, batch_number, sum(quantity) taken
-  from inventory_movements where {_CATEGORY}='out' group by 1,2) m
-on m.item_id=b.item_id and m.batch_number=b.batch_number""")
+  cast(b.quantity_current+coalesce(m.taken,0) as decimal(18,2)) quantity_current
+from inventory_batches b left join (select item_id, batch, sum(quantity) taken
+  from posted where is_accepted and batch is not null group by 1,2) m
+on m.item_id=b.item_id and m.batch=lower(rtrim(b.batch_number))"""
+oracle("batch_balance", "inventory_batches inventory_movements inventory_items", _BATCHES_AFTER, _posting())
 
 oracle("batches_deactivate", "inventory_batches",
        "select id, is_active and quantity_current<>0 is_active from inventory_batches")
@@ -433,7 +438,7 @@ from feed f where not exists(select 1 from kept a where not a.is_resolved
   and a.item_id=f.item_id and a.alert_type=f.alert_type)""",
        _FEED + f", kept as (select * from inventory_alerts where not ({_OLD}))")
 
-oracle("low_stock_alerts", "inventory_alerts inventory_movements inventory_items", f"""
+_ALERTS_AFTER = """
 select * from (
 select a.id, a.item_id, a.alert_type, coalesce(e.level,a.alert_level) alert_level, a.title,
   a.message, a.threshold_value, coalesce(e.latest,a.current_value) current_value,
@@ -452,7 +457,8 @@ select null, e.item_id, 'low_stock', e.level,
   e.since, case when e.readings>1 then e.seen end
 from episodes e where e.readings>0 and not (e.episode=0 and exists(
   select 1 from inventory_alerts a where a.item_id=e.item_id and a.alert_type='low_stock'
-  and not a.is_resolved))) x""", _posting() + """,
+  and not a.is_resolved))) x"""
+_EPISODES = _posting() + """,
 seen as (select p.*, i.name, i.minimum_stock, p.new_stock<=i.minimum_stock low,
     p.movement_category='in' and p.new_stock>i.minimum_stock full_again
   from posted p join inventory_items i on i.id=p.item_id where p.is_accepted),
@@ -463,9 +469,24 @@ episodes as (select item_id, name, minimum_stock, episode,
     case when arg_max(new_stock, rn) filter (low)=0 then 'critical'
       when count(*) filter (low)>0 then 'warning' end level,
     max(created_at) filter (full_again) resolved
-  from seen where low or full_again group by all)""")
+  from seen where low or full_again group by all)"""
+oracle("low_stock_alerts", "inventory_alerts inventory_movements inventory_items inventory_batches", _ALERTS_AFTER, _EPISODES)
 
-oracle("alerts_resolve_replenished", "inventory_alerts inventory_movements inventory_items", """
+oracle("movement_batch", "inventory_alerts inventory_movements inventory_items inventory_batches", f"""
+select 'inventory_movements' table_name, item_id, concat_ws('|',strftime(created_at,'%Y-%m-%d %H:%M:%S'),order_no,line_no,
+    supplier_id,movement_type,quantity) ref, cast(new_stock as decimal(18,2)) amount,
+  cast(average_cost as decimal(18,2)) as cost, message fact from posted
+union all
+select 'inventory_items', id, null, cast(current_stock as decimal(18,2)), cast(unit_cost as decimal(18,2)), null
+from ({_ITEMS_AFTER}) i
+union all
+select 'inventory_batches', item_id, cast(id as varchar), quantity_current, null, batch_number from ({_BATCHES_AFTER}) b
+union all
+select 'inventory_alerts', item_id, cast(id as varchar), cast(current_value as decimal(18,2)), null,
+  concat_ws('|',alert_type,alert_level,case when is_resolved then 'resolved' else 'open' end) from ({_ALERTS_AFTER}) a""",
+       _EPISODES)
+
+oracle("alerts_resolve_replenished", "inventory_alerts inventory_movements inventory_items inventory_batches", """
 select a.id, a.is_resolved or f.since is not null is_resolved,
   coalesce(f.since,a.resolved_at) resolved_at, coalesce(f.since,a.auto_resolve_date) auto_resolve_date
 from inventory_alerts a left join (

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinicflow.functions.scalars import json_list, stored
 from clinicflow.operators import alerts as al
-from clinicflow.operators import audit, billing, inventory, rules, scheduling, sequences, snapshots
+from clinicflow.operators import audit, billing, inventory, movements, rules, scheduling, sequences, snapshots
 from clinicflow.operators.checks import CHECKS
 from clinicflow.sources import driver_tables
 from clinicflow.sources.driver_tables import AS_OF, MOVEMENT_ORDER, NOW
@@ -214,9 +214,14 @@ def running_stock(t: Tables) -> DataFrame:
     ).select("item_id", *MOVEMENT_ORDER, "running_stock")
 
 
+def _movement_requests(t: Tables) -> DataFrame:
+    return t.inventory_movements.select("item_id", *MOVEMENT_ORDER, "unit_cost", "batch_number")
+
+
 def _posted(t: Tables, basis: str = "previous") -> DataFrame:
-    requests = t.inventory_movements.select("item_id", *MOVEMENT_ORDER, "unit_cost")
-    return inventory.post_movements(requests, t.inventory_items, MOVEMENT_ORDER, basis)
+    return inventory.post_movements(
+        _movement_requests(t), t.inventory_items, MOVEMENT_ORDER, basis, batches=t.inventory_batches
+    )
 
 
 @query
@@ -250,11 +255,37 @@ def item_state_after(t: Tables) -> DataFrame:
 
 @query
 def batch_balance(t: Tables) -> DataFrame:
-    category = inventory.movement_category(F.col("movement_type"))
-    movements = t.inventory_movements.withColumn("movement_category", category)
-    return inventory.batch_balance(t.inventory_batches, movements).select(
-        "id", "item_id", "batch_number", stored(F.col("quantity_current"), 18).alias("quantity_current"),
-        "overdrawn",
+    return inventory.batch_balance(t.inventory_batches, _posted(t)).select(
+        "id", "item_id", "batch_number", stored(F.col("quantity_current"), 18).alias("quantity_current")
+    )
+
+
+@query
+def movement_batch(t: Tables) -> DataFrame:
+    """The next states of four tables after one run of movements, one under the other."""
+    done = movements.post_batch(
+        _movement_requests(t), t.inventory_items, t.inventory_batches, t.inventory_alerts, MOVEMENT_ORDER
+    )
+    place = F.concat_ws("|", *MOVEMENT_ORDER)
+
+    def state(table: DataFrame, name: str, item: str, ref: Column, amount: str, cost: str | None, fact: Column) -> DataFrame:
+        return table.select(
+            F.lit(name).alias("table_name"), F.col(item).alias("item_id"), ref.cast("string").alias("ref"),
+            F.col(amount).cast("decimal(18,2)").alias("amount"),
+            (F.col(cost) if cost else F.lit(None)).cast("decimal(18,2)").alias("cost"),
+            fact.alias("fact"),
+        )
+
+    return rules.stack(
+        [
+            state(done.movements, "inventory_movements", "item_id", place, "new_stock", "average_cost", F.col("message")),
+            state(done.items, "inventory_items", "id", F.lit(None), "current_stock", "unit_cost", F.lit(None).cast("string")),
+            state(done.batches, "inventory_batches", "item_id", F.col("id"), "quantity_current", None, F.col("batch_number")),
+            state(
+                done.alerts, "inventory_alerts", "item_id", F.col("id"), "current_value", None,
+                F.concat_ws("|", "alert_type", "alert_level", F.when(F.col("is_resolved"), "resolved").otherwise("open")),
+            ),
+        ]
     )
 
 
@@ -394,8 +425,13 @@ def dq_not_null(t: Tables) -> DataFrame:
 
 @query
 def dq_domain(t: Tables) -> DataFrame:
-    """Balances are checked before they are cut to their columns' types."""
-    balance = batch_balance(t).drop("overdrawn")
+    """Balances are what would be left if no movement were refused."""
+    asked = t.inventory_movements.withColumn(
+        "movement_category", inventory.movement_category(F.col("movement_type"))
+    )
+    balance = inventory.batch_balance(t.inventory_batches, asked).select(
+        "id", "item_id", "batch_number", "quantity_current"
+    )
     return rules.stack(
         [
             rules.out_of_domain(balance, "inventory_batches"),

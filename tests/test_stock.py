@@ -179,8 +179,11 @@ def test_batches(spark):
         dict(item_id=1, batch_number="B", movement_category="in", quantity=D(4)),
         dict(item_id=2, batch_number=None, movement_category="out", quantity=D(-4)),
     ])
-    got = {r.id: (r.quantity_current, r.overdrawn) for r in inventory.batch_balance(batches, moves).collect()}
-    assert got == {1: (D("-1.00"), True), 2: (D("5.00"), False), 3: (D("0.00"), False)}
+    got = {r.id: r.quantity_current for r in inventory.batch_balance(batches, moves).collect()}
+    assert got == {1: D("-1.00"), 2: D("5.00"), 3: D("0.00")}
+    judged = moves.withColumn("is_accepted", F.col("quantity") > -4)
+    got = {r.id: r.quantity_current for r in inventory.batch_balance(batches, judged).collect()}
+    assert got == {1: D("3.00"), 2: D("5.00"), 3: D("0.00")}
     assert {r.id: r.is_active for r in inventory.deactivate_batches(batches).collect()} == {1: True, 2: True, 3: False}
 
 
