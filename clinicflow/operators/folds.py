@@ -142,7 +142,11 @@ def _walk(
 
 
 def _values(column: pa.Array) -> list:
-    """The column as Python values; whole numbers and flags take a faster way."""
+    """The column as Python values; whole numbers, flags and texts that repeat take a faster way."""
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        words = [*coded.dictionary.to_pylist(), None]
+        return [words[i] for i in pc.fill_null(coded.indices, len(words) - 1).to_numpy().tolist()]
     plain = pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)
     if not plain:
         return column.to_pylist()
