@@ -11,8 +11,9 @@ Durations must be positive, which the declared checks demand.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from clinicflow.functions import texts
 from clinicflow.functions.scalars import changed, collated, end_seconds, folded, iso_weekday, moment
 from clinicflow.operators.folds import Fold, run_fold
 from clinicflow.operators.sequences import assign_codes
+from clinicflow.operators.skew import written
 
 SLOT = ["dentist_id", "appointment_date", "appointment_time", "end_time"]
 DAY = ["dentist_id", "appointment_date"]
@@ -182,7 +184,7 @@ def _look_up(
 
 
 def check_slots(
-    slots: DataFrame, existing: DataFrame, working_hours: DataFrame, holidays: DataFrame
+    slots: DataFrame, existing: DataFrame | None, working_hours: DataFrame, holidays: DataFrame
 ) -> DataFrame:
     """Distinct slots with `on_holiday`, `in_hours` and `booked`, the count of overlaps."""
     closed = holidays.filter("is_active").select(F.col("date").alias("appointment_date")).distinct()
@@ -350,45 +352,135 @@ def admit_appointments(
     )
 
 
+class Occupied:
+    """Visits of a dentist's day, as sorted starts and ends; they may overlap each other."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.starts, start)
+        insort(self.ends, end)
+
+    def remove(self, start: int, end: int) -> None:
+        del self.starts[bisect_left(self.starts, start)]
+        del self.ends[bisect_left(self.ends, end)]
+
+    def meets(self, start: int, end: int) -> bool:
+        return bisect_left(self.starts, end) > bisect_right(self.ends, start)
+
+
+# Events of a dentist's day: a visit that is there, one that wants to come, one that wants to go.
+STANDS, COMES, GOES = range(3)
+
+
+def _move(day: tuple[Occupied, Occupied] | None, row: tuple) -> tuple[tuple, tuple]:
+    """Decide a visit that wants to come, as far as the visits before it are decided.
+
+    `sure` are the visits that are there, `open_` those that may be, because a change before is
+    not decided yet. A verdict is NULL as long as it depends on those.
+    """
+    sure, open_ = day = day or (Occupied(), Occupied())
+    kind, start, end, old_start, old_end, verdict = row
+    if kind == STANDS:
+        sure.add(start, end)
+        return day, (None,)
+    here = old_start is not None
+    if here:
+        sure.remove(old_start, old_end)
+    if kind == COMES and verdict is None:
+        if sure.meets(start, end):
+            verdict = False
+        elif not open_.meets(start, end):
+            verdict = True
+    if here and verdict is not True:
+        (open_ if verdict is None else sure).add(old_start, old_end)
+    if kind == COMES and verdict is not False:
+        (open_ if verdict is None else sure).add(start, end)
+    return day, (verdict,)
+
+
+def _event(kind: int, day: str, order: Column, now: str | None = None, old: Column | None = None) -> Column:
+    """A row for `_move`: in the day of `day`, for the slot of `now`, giving up the old slot if `old`."""
+    none, verdict = F.lit(None).cast("int"), F.col("verdict")
+    times = [none, none] if now is None else [F.col(f"{now}appointment_time"), F.col(f"{now}end_time")]
+    given = [none, none] if old is None else [F.when(old, F.col(f"_old.{c}")) for c in ("appointment_time", "end_time")]
+    return F.struct(
+        *[F.col(f"{day}{c}").alias(c) for c in DAY], order.alias("id"), F.lit(kind).alias("kind"),
+        times[0].alias("appointment_time"), times[1].alias("end_time"),
+        given[0].alias("old_start"), given[1].alias("old_end"),
+        (F.when(F.lit(False), verdict) if kind == STANDS else verdict).alias("verdict"),
+    )
+
+
+def settle_changes(movers: DataFrame) -> tuple[DataFrame, int]:
+    """(id, verdict) of visits that want to move, decided one by one in order of their id, and the rounds.
+
+    `movers` has id, the wanted slot, `_old` with the slot given up, and `blocked`, true where a
+    visit that never moves is in the way. A change meets the visits as changes before it left
+    them: a slot given up is free for those after it. In each round every dentist's day is
+    walked in order of id; what depends on another day's open change waits for the next round.
+    The first open change depends on nothing open, so each round decides some; a chain of
+    changes inside one day takes one round.
+    """
+    movers = written(movers)
+    same_day = reduce(Column.__and__, [F.col(c) == F.col(f"_old.{c}") for c in DAY])
+    # A visit without a time stands in nobody's way.
+    timed = F.col("_old.appointment_time").isNotNull() & F.col("_old.end_time").isNotNull()
+    fold = Fold(
+        keys=DAY,
+        order=["id", "kind"],
+        inputs=["kind", "appointment_time", "end_time", "old_start", "old_end", "verdict"],
+        state=[],
+        outputs=T.StructType([T.StructField("now", T.BooleanType())]),
+        step=_move,
+    )
+    verdicts = movers.select("id", F.when(F.col("blocked"), False).alias("verdict"))
+    rounds = 0
+    while True:
+        known = movers.join(verdicts, "id")
+        stands = _event(STANDS, "_old.", F.lit(None).cast("bigint"), now="_old.")
+        comes = _event(COMES, "", F.col("id"), now="", old=same_day & timed)
+        goes = _event(GOES, "_old.", F.col("id"), old=timed)
+        each = F.array(F.when(timed, stands), comes, F.when(timed & ~same_day, goes))
+        events = known.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("e.*")
+        if rounds:
+            waiting = events.filter((F.col("kind") == COMES) & F.col("verdict").isNull()).select(*DAY).distinct()
+            events = events.join(waiting, DAY, "left_semi")
+        walked = run_fold(events, None, fold, chunk_rows=None)
+        fresh = walked.filter((F.col("kind") == COMES) & F.col("verdict").isNull()).select("id", F.col("now").alias("verdict"))
+        verdicts = written(verdicts.filter("verdict is not null").unionByName(fresh))
+        rounds += 1
+        if verdicts.filter("verdict is null").isEmpty():
+            return verdicts, rounds
+
+
 def change_appointments(
     old: DataFrame, new: DataFrame, working_hours: DataFrame, holidays: DataFrame
 ) -> DataFrame:
-    """Apply proposed new versions of appointments, matched by id.
+    """Apply proposed new versions of appointments, matched by id, in order of id.
 
     If date, time, duration or dentist changes, the new slot is checked as for a request,
-    against every other appointment as stored and against slots granted to earlier changes of
-    the same batch. A slot that is given up in a batch is free from the next batch on. An
-    accepted row has its version raised by one; a refused one keeps its old values.
+    against every other appointment as the changes before it left them: slots they gave up are
+    free, slots they were granted are taken. An accepted row has its version raised by one; a
+    refused one keeps its old values. Changes are settled in rounds, see `settle_changes`.
     """
     old, new = with_end(old), with_end(new)
     moves = F.lit(False)
     for name in ("appointment_date", "appointment_time", "duration_minutes", "dentist_id"):
         moves = moves | changed(F.col(f"n.{name}"), F.col(f"o.{name}"))
     both = new.alias("n").join(old.alias("o"), F.col("n.id") == F.col("o.id"))
-    same_day = (F.col("n.dentist_id") == F.col("o.dentist_id")) & (
-        F.col("n.appointment_date") == F.col("o.appointment_date")
-    )
-    itself = (
-        same_day
-        & (F.col("n.appointment_time") < F.col("o.end_time"))
-        & (F.col("o.appointment_time") < F.col("n.end_time"))
-    )
-    proposals = both.select(
-        "n.*", F.struct("o.*").alias("_old"), moves.alias("moved"),
-        F.coalesce(itself, F.lit(False)).cast("int").alias("_itself"),
-    )
-    moved = proposals.filter("moved").drop("_old")
-    checked = check_slots(distinct_slots(moved), old, working_hours, holidays)
-    judged = moved.join(checked, SLOT, "left").withColumn("booked", F.col("booked") - F.col("_itself"))
-    able = ~F.col("on_holiday") & F.col("in_hours") & (F.col("booked") == 0)
-    candidates = judged.filter(able).groupBy(*SLOT).agg(F.min("id").alias("first_id"))
-    granted = _first_come(candidates.withColumn("able", F.lit(True))).filter("granted")
-    granted = granted.select(*SLOT, "first_id")
-    wins = F.col("id") == F.col("first_id")
-    decided = (
-        judged.join(granted, SLOT, "left")
-        .withColumn("message", _verdict(F.col("on_holiday"), F.col("in_hours"), able & wins))
-        .select("id", "message")
+    proposals = both.select("n.*", F.struct("o.*").alias("_old"), moves.alias("moved"))
+    moved = proposals.filter("moved").select("id", *SLOT, F.struct(*[F.col(f"_old.{c}") for c in SLOT]).alias("_old"))
+    closed = check_slots(distinct_slots(moved), None, working_hours, holidays)
+    judged = written(moved.join(closed.drop("booked"), SLOT, "left"))
+    able = judged.filter(~F.col("on_holiday") & F.col("in_hours"))
+    fixed = old.join(able.select("id"), "id", "left_anti")
+    blocked = _look_up(able.select(*SLOT).distinct(), fixed).select(*SLOT, (F.col("booked") > 0).alias("blocked"))
+    verdicts, _ = settle_changes(able.join(blocked, SLOT, "left").drop("on_holiday", "in_hours"))
+    decided = judged.join(verdicts, "id", "left").select(
+        "id", _verdict(F.col("on_holiday"), F.col("in_hours"), F.col("verdict")).alias("message")
     )
     outcome = proposals.join(decided, "id", "left").withColumn(
         "is_accepted", F.col("message").isNull()

@@ -155,14 +155,30 @@ proposals as (select n.*, n.appointment_date<>o.appointment_date
     or n.appointment_time<>o.appointment_time or n.duration_minutes<>o.duration_minutes
     or n.dentist_id<>o.dentist_id moved
   from appointment_proposals n join appointments o on o.id=n.id),
-judged as (select x.*, {_ON_HOLIDAY} holiday, {_IN_HOURS} open,
-  exists(select 1 from appointments y where {_CLASH} and y.id<>x.id) booked
-  from proposals x where moved),
-able as (select * from judged where not holiday and open and not booked),
-{_greedy('able')},
+judged as (select x.*, {_ON_HOLIDAY} holiday, {_IN_HOURS} open from proposals x where moved),
+able as (select n.id, n.dentist_id, n.appointment_date, n.appointment_time, n.end_time,
+    o.dentist_id old_dentist, o.appointment_date old_date, o.appointment_time old_start, o.end_time old_end
+  from judged n join appointments o on o.id=n.id where not holiday and open),
+pairs as (select x.id, y.id other, y.old_dentist=x.dentist_id and y.old_date=x.appointment_date
+    and y.old_start<x.end_time and x.appointment_time<y.old_end was,
+    {_CLASH} wants from able x join able y on x.id<>y.id
+    and ((y.old_dentist=x.dentist_id and y.old_date=x.appointment_date)
+      or (y.dentist_id=x.dentist_id and y.appointment_date=x.appointment_date))),
+earlier as materialized (select * from pairs where other<id and (was or wants)),
+fixed as (select x.id, exists(select 1 from appointments y where {_CLASH} and y.id<>x.id
+      and y.id not in (select id from able))
+    or exists(select 1 from pairs p where p.id=x.id and p.other>x.id and p.was) blocked from able x),
+walk as (
+  select id, case when blocked then false when id not in (select id from earlier) then true end granted, 0 n from fixed
+  union all
+  select w.id, coalesce(w.granted, x.granted), w.n+1
+  from walk w left join (select e.id, case when bool_or(case when o.granted then e.wants when not o.granted then e.was end)
+      then false when bool_or(o.granted is null) then null else true end granted
+    from earlier e join walk o on o.id=e.other group by e.id) x on x.id=w.id
+  where exists(select 1 from walk where granted is null)),
 decided as (select p.*, case when p.moved then {_REASON} end message
   from (select p.*, j.holiday, j.open, coalesce(w.granted,false) granted from proposals p
-    left join judged j on j.id=p.id left join walk w on w.id=p.id) p)""")
+    left join judged j on j.id=p.id left join (select * from walk where n=(select max(n) from walk)) w on w.id=p.id) p)""")
 
 oracle("appointment_reminder_plan", "appointments", f"""
 select id appointment_id, 'email' reminder_type, 24 hours_before,
