@@ -9,8 +9,9 @@ sizes gives the score; below MARGIN the answer is marked as rejected.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.shared import fold
+from clinicflow.llm.shared import fold, written
 
 # A dictionary is made of at most so many documents of a language (one of each hash bucket), of
-# each at most PART characters, and has at most DICTIONARY bytes.
+# each PART characters from a hashed place, and has at most DICTIONARY bytes, taken evenly from them.
 DOCUMENTS, PART, DICTIONARY = 64, 4_000, 96 * 1024
-# At most so many languages, the most frequent ones first.
-LANGUAGES = 200
+# Every language is learnt. All dictionaries together have at most so many bytes: with many languages
+# each gets an even share instead of DICTIONARY.
+DICTIONARIES = 64 << 20
+# Languages whose prepared dictionaries a task holds at once.
+BLOCK = 128
+# Rows of chosen ids that are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 LEVEL, PIECE = 6, 4_096
 # Relative difference of the best two sizes under which the language is not certain.
 MARGIN = 0.02
@@ -37,66 +43,100 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).strip().encode()
 
 
+def evenly(parts: list[bytes], size: int) -> list[bytes]:
+    """The parts cut so that they have `size` bytes together: short ones whole, of the others the same number."""
+    left, cut = size, {}
+    for k, n in enumerate(sorted(range(len(parts)), key=lambda n: len(parts[n]))):
+        cut[n] = min(len(parts[n]), left // (len(parts) - k))
+        left -= cut[n]
+    return [part[: cut[n]] for n, part in enumerate(parts)]
+
+
 def dictionaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw dictionary contents by language, from rows with a language outside the held-out fold."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != 1)).select(
-        F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text")
+        F.col(lang).cast("string").alias("lang"),
+        F.xxhash64(F.col(doc_id), F.lit(5)).alias("place"),
+        F.col(text).alias("text"),
     )
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     # The choice is made on numbers, so that only the chosen texts move.
-    place = known.select("lang", "id", F.xxhash64("id", F.lit(5)).alias("place"))
-    chosen = (
-        place.join(F.broadcast(most), "lang")
-        .withColumn("bucket", F.pmod("place", F.lit(DOCUMENTS)))
+    chosen = written(
+        known.withColumn("bucket", F.pmod("place", F.lit(DOCUMENTS)))
         .groupBy("lang", "bucket")
         .agg(F.min("place").alias("place"))
+        .select("lang", "place")
     )
-    # At most LANGUAGES * DOCUMENTS rows are broadcast. Rows of a repeated id count once.
+    languages, rows = chosen.agg(F.count_distinct("lang"), F.count("*")).first()
+    # A window of PART characters, whose place is a hash too. Rows of a repeated id count once.
+    shift = F.pmod(F.xxhash64("place"), F.greatest(F.length("text") - PART + 1, F.lit(1)))
     texts = (
-        known.withColumn("place", F.xxhash64("id", F.lit(5)))
-        .join(F.broadcast(chosen), ["lang", "place"])
+        known.join(F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen, ["lang", "place"])
         .groupBy("lang", "place")
-        .agg(F.min(F.substring("text", 1, PART)).alias("text"))
+        .agg(F.min(F.substring("text", (shift + 1).cast("int"), F.lit(PART))).alias("text"))
     )
-    parts: dict[str, list[str]] = {}
-    for row in texts.orderBy("lang", "place").toLocalIterator():
-        parts.setdefault(row.lang, []).append(row.text)
-    return {name: b" ".join(map(letters, found))[-DICTIONARY:] for name, found in parts.items()}
+    size = min(DICTIONARY, DICTIONARIES // max(languages, 1))
+    made: dict[str, bytes] = {}
+    ordered = ((r.lang, r.text) for r in texts.orderBy("lang", "place").toLocalIterator())
+    for name, found in itertools.groupby(ordered, key=lambda r: r[0]):
+        parts = [letters(part) for _, part in found]
+        made[name] = b" ".join(evenly(parts, size - len(parts) + 1))
+    return made
 
 
 class Identifier:
-    """Compressors with the dictionaries of all languages, in the order of their names."""
+    """Compressors with the dictionaries of all languages, in the order of their names, in blocks."""
 
     def __init__(self, contents: dict[str, bytes]):
+        self.contents = contents
         self.names = sorted(contents)
-        self.compress = []
-        for name in self.names:
-            raw = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.blocks = [self.names[at : at + BLOCK] for at in range(0, len(self.names), BLOCK)]
+        self.held = [self.compressors(block) for block in self.blocks[:1]]
+
+    def compressors(self, names: list[str]) -> list[Callable[[bytes], bytes]]:
+        made = []
+        for name in names:
+            raw = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=LEVEL)
-            self.compress.append(
+            made.append(
                 zstandard.ZstdCompressor(
                     level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False
                 ).compress
             )
-
-    def sizes(self, raw: bytes) -> np.ndarray:
-        """Compressed bytes of a text's words for each language."""
-        # A short rest goes with the piece before it.
-        cuts = [*range(0, max(1, len(raw) - PIECE // 2), PIECE), len(raw)]
-        pieces = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return np.array([sum(len(compress(piece)) for piece in pieces) for compress in self.compress])
-
-    def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected) of a text."""
-        if text is None or not self.names or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, True
-        raw = letters(text)
+        return made
+
+    def smallest(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes of the best two languages of each text, and the places of their names."""
+        best = np.zeros((len(raws), 0), np.int64)
+        which = best.copy()
+        for k, block in enumerate(self.blocks):
+            compress = self.held[0] if k == 0 else self.compressors(block)
+            sizes = np.array([[sum(map(len, map(c, pieces(raw)))) for c in compress] for raw in raws], np.int64)
+            best = np.hstack([best, sizes.reshape(len(raws), len(block))])
+            which = np.hstack([which, np.broadcast_to(np.arange(len(block)) + k * BLOCK, (len(raws), len(block)))])
+            # Stable: of equal sizes the first by name stays first.
+            order = np.argsort(best, axis=1, kind="stable")[:, :2]
+            best, which = (np.take_along_axis(a, order, axis=1) for a in (best, which))
+        return best, which
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, rejected) of each text."""
+        out = [(UNKNOWN, 0.0, True)] * len(texts)
+        asked = [k for k, t in enumerate(texts) if t is not None and self.names and any(map(str.isalpha, t))]
         if len(self.names) == 1:
-            return self.names[0], 1.0, False
-        sizes = self.sizes(raw)
-        best, second = np.argsort(sizes, kind="stable")[:2]
-        margin = (sizes[second] - sizes[best]) / sizes[second]
-        return self.names[best], float(margin / (margin + MARGIN)), bool(margin < MARGIN)
+            for k in asked:
+                out[k] = (self.names[0], 1.0, False)
+        elif asked:
+            sizes, places = self.smallest([letters(texts[k]) for k in asked])
+            for k, (best, second), place in zip(asked, sizes, places[:, 0], strict=True):
+                margin = (second - best) / second
+                out[k] = (self.names[place], float(margin / (margin + MARGIN)), bool(margin < MARGIN))
+        return out
+
+
+def pieces(raw: bytes) -> list[bytes]:
+    """The bytes in pieces of PIECE; a short rest goes with the piece before it."""
+    cuts = [*range(0, max(1, len(raw) - PIECE // 2), PIECE), len(raw)]
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -114,7 +154,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
         for batch in batches:
-            found = [identifier.judge(value.as_py()) for value in batch.column("text")]
+            found = identifier.judge(batch.column("text").to_pylist())
             names, scores, rejected = zip(*found, strict=True) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [

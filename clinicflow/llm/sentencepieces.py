@@ -64,6 +64,7 @@ class Codec:
     def __init__(self, model_file: str):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = model.get_piece_size()
+        refuse(model)
         pieces = [model.id_to_piece(i) for i in range(n)]
         self.end_id = model.eos_id()
         # The library is asked for the vocabulary only; texts are encoded here.
@@ -219,6 +220,55 @@ def _replaced(raw: bytes) -> str:
     return "".join(out)
 
 
+# Fixed values of the model file's format: what kind the model and its pieces are of, and field numbers.
+BPE, USER_DEFINED = 2, 4
+PIECES, PIECE_TYPE, TRAINER, NORMALIZER = 1, 3, 2, 3
+MODEL_TYPE, TREAT_AS_SUFFIX, CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPED = 3, 24, 2, 3, 4, 5
+
+
+def refuse(model: sentencepiece.SentencePieceProcessor) -> None:
+    """Raise ValueError unless the model merges, and leaves texts as they are but for space marks."""
+    trainer: dict[int, int | bytes] = {}
+    normalizer: dict[int, int | bytes] = {}
+    for number, value in message(model.serialized_model_proto()):
+        if number == PIECES and dict(message(value)).get(PIECE_TYPE) == USER_DEFINED:
+            raise ValueError("the model has user-defined pieces")
+        if number == TRAINER:
+            trainer |= dict(message(value))
+        if number == NORMALIZER:
+            normalizer |= dict(message(value))
+    if trainer.get(MODEL_TYPE) != BPE or trainer.get(TREAT_AS_SUFFIX):
+        raise ValueError("the model does not encode by merging with space marks in front")
+    marks = normalizer.get(DUMMY_PREFIX, 1) and normalizer.get(ESCAPED, 1)
+    if normalizer.get(CHARSMAP) or normalizer.get(EXTRA_SPACES, 1) or not marks:
+        raise ValueError("the model normalises texts")
+
+
+def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a message in the format of the model file."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            yield field, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield field, data[at : at + size]
+        at += size
+
+
 FIELDS = {
     "ids": pa.list_(pa.int32()),
     "decoded": pa.string(),

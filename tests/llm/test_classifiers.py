@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from clinicflow.llm import language, quality, toxicity, url_filter
@@ -107,6 +109,81 @@ def test_language_does_not_learn_from_held_out_rows(spark, tables):
     assert language.dictionaries(docs) == language.dictionaries(other)
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    draw = random.Random(9)
+    names = [f"l{k:03}" for k in range(205)]
+    alphabets = {n: ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for n in names}
+    rows = [
+        (k * 205 + i, " ".join(draw.choices(alphabets[n], k=40)), n) for k in range(9) for i, n in enumerate(names)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert {found[r[0]] for r in rows if held_out(r[0])} == {r[2] for r in rows if held_out(r[0])}
+    assert sum(found[r[0]] == r[2] for r in rows) > 0.99 * len(rows)
+    monkeypatch.setattr(language, "DICTIONARIES", 205 * 300)
+    monkeypatch.setattr(language, "BROADCAST_ROWS", 5)
+    small = language.dictionaries(docs)
+    assert sorted(small) == names and max(map(len, small.values())) <= 300
+
+
+def test_dictionaries_take_evenly_from_whole_texts(spark):
+    assert language.evenly([b"a" * 10, b"bb", b"c" * 9], 12) == [b"aaaaa", b"bb", b"ccccc"]
+    assert language.evenly([b"a", b"b"], 90) == [b"a", b"b"] and language.evenly([], 3) == []
+
+    def word(n):
+        return "".join(chr(97 + n // 26**k % 26) for k in range(5))
+
+    rows = [(k, " ".join(word(4_000 * k + n) for n in range(4_000)), "xx") for k in range(300)]
+    made = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"]
+    assert 0.99 * language.DICTIONARY < len(made) <= language.DICTIONARY
+    owners = Counter()
+    index = {word(n): n for n in range(1_200_000)}
+    for found in made.decode().split():
+        if found in index:
+            owners[index[found] // 4_000] += 1
+    shares = [n for n in owners.values() if n > 10]
+    assert 50 < len(shares) <= language.DOCUMENTS and max(shares) <= min(shares) + 2
+    assert sum(word(4_000 * k).encode() in made for k in owners) <= language.DOCUMENTS // 8
+
+
+def plain_judgement(contents, text):
+    """Compress the text with one dictionary after the other."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw, sizes = language.letters(text), {}
+    for name in sorted(contents):
+        data = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own = zstandard.ZstdCompressor(
+            level=language.LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False
+        )
+        sizes[name] = 0
+        while True:
+            end = language.PIECE if len(raw) >= language.PIECE * 1.5 else len(raw)
+            sizes[name] += len(own.compress(raw[:end]))
+            raw = raw[end:]
+            if not raw:
+                break
+        raw = language.letters(text)
+    (best, name), (second, _) = sorted((size, name) for name, size in sizes.items())[:2]
+    return name, (second - best) / second / ((second - best) / second + language.MARGIN)
+
+
+@pytest.mark.parametrize("block", [language.BLOCK, 2])
+def test_language_by_a_plain_loop(block, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", block)
+    draw = random.Random(4)
+    contents = {n: language.letters(" ".join(draw.choices(w, k=900))) for n, w in WORDS.items()}
+    contents |= {"aa": contents["en"], "zz": b"qq xx", "no": b""}
+    texts = [" ".join(draw.choices(draw.choice(list(WORDS.values())), k=draw.randrange(1, 60))) for _ in range(60)]
+    texts += [None, "", "123 !", "x", " ".join(WORDS["de"]) * 300]
+    found = language.Identifier(contents).judge(texts)
+    for text, (name, score, rejected) in zip(texts, found):
+        want = plain_judgement(contents, text)
+        assert (name, round(score, 12)) == (want[0], round(want[1], 12)) and rejected == (score < 0.5)
+    # Languages that compress alike: the first by name, and no certainty.
+    assert language.Identifier({"b": b"same", "a": b"same"}).judge(["some same words"]) == [("a", 0.0, True)]
+
+
 def test_quality_on_held_out_rows(spark, tables):
     docs, marks, labels = tables
     found = quality.quality(docs, marks).collect()

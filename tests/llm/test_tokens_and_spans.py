@@ -35,6 +35,43 @@ def test_encoding_is_the_librarys(codec, library, text):
     assert codec.decode(ids) == library.decode(ids)
 
 
+def field(number, value):
+    """A field of a model file; numbers here are below 128."""
+    data = value if isinstance(value, bytes) else bytes([value])
+    head = [number << 3 | 2, len(data)] if isinstance(value, bytes) else [number << 3]
+    return bytes(head[:1] if head[0] < 128 else [head[0] & 127 | 128, head[0] >> 7]) + bytes(head[1:]) + data
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        field(2, field(3, 1)),  # the public model as one of the unigram kind
+        field(2, field(24, 1)),  # space marks behind the words
+        field(1, field(1, b"<x>") + field(3, 4)),  # with a user-defined piece
+        field(3, field(4, 1)),  # without extra spaces
+        field(3, field(3, 0)),  # without a mark in front
+        field(3, field(5, 0)),  # without marks
+    ],
+)
+def test_models_that_need_more_are_refused(tmp_path, change):
+    with open(MODEL, "rb") as file:
+        data = file.read()
+    path = tmp_path / "changed.model"
+    path.write_bytes(data + change)
+    sentencepiece.SentencePieceProcessor(model_file=str(path))
+    with pytest.raises(ValueError):
+        sentencepieces.Codec(str(path))
+
+
+def test_normalising_models_are_refused():
+    class Normalising:
+        def serialized_model_proto(self):
+            return field(2, field(3, 2)) + field(3, field(2, b"table") + field(4, 0))
+
+    with pytest.raises(ValueError, match="normalises"):
+        sentencepieces.refuse(Normalising())
+
+
 def test_long_texts_without_spaces(codec, library):
     for text in ("a" * 30_000, "abcde" * 9_000, "漢" * 5_000, "=" * 20_000):
         assert codec.encode(text) == library.encode(text)
