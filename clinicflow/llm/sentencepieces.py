@@ -33,7 +33,7 @@ from clinicflow.llm.shared import held, text_of
 
 SPACE = "▁"
 # Words and pairs of pieces remembered by a Python worker, and the longest word remembered.
-WORDS, PAIRS, WORD_CHARS = 250_000, 150_000, 80
+WORDS, PAIRS, WORD_CHARS = 400_000, 150_000, 80
 
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
