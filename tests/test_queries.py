@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and the shape of its plan."""
 
 import importlib.util
+import sys
 from pathlib import Path
 
 import duckdb
@@ -48,6 +49,19 @@ def test_plans_have_no_cross_joins(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("missing", ["clinicflow.llm.queries", "corpus_pipeline", "zstandard"])
+def test_entry_point_without_optional_parts(monkeypatch, missing):
+    for name in [n for n in sys.modules if n.startswith("clinicflow.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    path = Path(__file__).resolve().parents[1] / "__spark_entry__.py"
+    spec = importlib.util.spec_from_file_location("entry_module", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    assert set(QUERIES) <= set(module.queries())
+    assert "pipeline" not in module.queries()
+
+
 def test_entry_point(spark):
     path = Path(__file__).resolve().parents[1] / "__spark_entry__.py"
     spec = importlib.util.spec_from_file_location("entry_module", path)
