@@ -283,7 +283,7 @@ TABLES: dict[str, str] = {
     "notifications": "select event_id id, cast(event_id%9 as int) retry_count from {events}",
     "support_tickets": """
       select doc_id id, concat('TK-',cast(case when doc_id%17=0 then doc_id-doc_id%34 else doc_id end as {str})) ticket_number,
-        doc_id%1500 user_id, substr(text,1,240+doc_id%30) title,
+        doc_id%1500 user_id, text title,
         case doc_id%6 when 0 then 'Technical ' when 1 then 'question' else 'billing' end category,
         case when doc_id%9=0 then 'urgent' else 'low' end priority,
         case when doc_id%23<>0 then 'open' end status,
