@@ -188,7 +188,7 @@ class NumbersGiven(Summary):
                 self.ranges[on] = (moved[0], there[1] if there else moved[1])
                 self.ranges[before] = None
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
+    def moves(self) -> Iterator[tuple[int, int]]:
         for end, starts in self.ranges.items():
-            if starts is not None and starts != (end, end):
-                yield (*starts, min(end + self.shift, LAST_CORRELATIVE))
+            if starts is not None:
+                yield from ((start, end) for start in range(starts[0], starts[1] + 1) if start != end)

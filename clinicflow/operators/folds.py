@@ -7,7 +7,7 @@ one shuffle by key is all a fold costs.
 A key with more than `chunk_rows` rows is not left to one task. Its rows are cut into
 chunks. Where a fold can say what a chunk does to any start (`summary`), each chunk is
 summarised once, the summaries are chained, and the chunks run from their true starts: three
-passes, however many chunks there are. Otherwise all chunks run at once from an assumed starting
+passes over the rows, however many chunks there are. Otherwise all chunks run at once from an assumed starting
 state, and every chunk whose assumption proves wrong is run again from the corrected one. When
 all assumptions hold the result is exactly the sequential one. Each round settles at least one
 further chunk per key, so the loop always ends; how few rounds it takes depends on how well the
@@ -19,7 +19,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
-from itertools import repeat
+from itertools import islice, repeat
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +33,9 @@ from clinicflow.operators.skew import CHUNK_ROWS, cut, hot_keys, split, written
 
 State = tuple[int | None, ...]
 
+BEFORE = -1  # the place of opening states, ahead of all chunks
+LINES = 20_000  # lines of a summary in one Arrow batch
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -51,7 +55,8 @@ class Fold:
     a third argument, the numbers by name, which it may change.
     summary: makes an empty summary of a chunk for the first state column, if the others never
     change. `add(inputs)` takes the rows in order; `shift` is what the chunk adds to a start,
-    `top` the largest end, and `rows()` the ranges of starts (low, high, end) that end elsewhere.
+    `moves()` the starts that end elsewhere, with their end less the shift, and `top` the value
+    no state exceeds: rows must treat larger ones like it.
     """
 
     keys: Sequence[str]
@@ -73,14 +78,14 @@ class Fold:
 class Summary:
     """What a chunk does to any start: nothing, until a subclass says otherwise."""
 
+    top: ClassVar[int | None] = None
     shift: int = 0
-    top: int | None = None
     unset: int | None = None  # where a start that is not known ends
 
     def add(self, inputs: tuple) -> None:
         raise NotImplementedError
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
+    def moves(self) -> Iterator[tuple[int, int]]:
         raise NotImplementedError
 
 
@@ -229,79 +234,136 @@ def run_fold(
     return cold.unionByName(_run_chunked(hot_rows, hot_open, hot, fold, chunk_rows))
 
 
-def _chained(chunked: DataFrame, opening: DataFrame, fold: Fold) -> DataFrame:
-    """(keys, chunk, state): the true start of every chunk of the keys in `opening`."""
-    keys, first = list(fold.keys), fold.state[0]
-    by_chunk = [*keys, "_chunk"]
-    whole = ["_chunk", "_low", "_high", "_end", "_shift", "_top"]
-    fields = [chunked.schema[k] for k in by_chunk] + [T.StructField(n, T.LongType()) for n in whole[1:]]
-    schema = T.StructType(fields)
+def _same(left: str, right: str, pairs: dict[str, str]) -> Column:
+    """Equality of columns that may be NULL."""
+    return reduce(Column.__and__, [F.col(f"{left}.{a}").eqNullSafe(F.col(f"{right}.{b}")) for a, b in pairs.items()])
+
+
+def _summaries(chunked: DataFrame, fold: Fold) -> DataFrame:
+    """(keys, chunk, start, end, shift): one line per chunk with its shift, and one per start that moves."""
+    by_chunk = [*fold.keys, "_chunk"]
+    fields = [T.StructField(n, T.LongType()) for n in ("_start", "_end", "_shift")]
+    schema = T.StructType([*[chunked.schema[k] for k in by_chunk], *fields])
     arrow = to_arrow_schema(schema)
     n_keys, make = len(by_chunk), fold.summary
 
-    def told(key: tuple, summary: Summary) -> list[tuple]:
-        return [
-            (*key, None, None, summary.unset, summary.shift, summary.top),
-            *((*key, low, high, end, None, None) for low, high, end in summary.rows()),
-        ]
+    def told(key: tuple, summary: Summary) -> Iterator[tuple]:
+        yield *key, None, None, summary.shift
+        if summary.unset is not None:
+            yield *key, None, summary.unset, None
+        yield from ((*key, start, end, None) for start, end in summary.moves())
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         current, summary = None, None
         for batch in batches:
-            out: list[tuple] = []
             inputs = _tuples(batch, range(n_keys, n_keys + len(fold.inputs)))
             for key, row in zip(_tuples(batch, range(n_keys)), inputs):
                 if key != current:
                     if current is not None:
-                        out += told(current, summary)
+                        yield from told(current, summary)
                     current, summary = key, make()
                 summary.add(row)
-            yield pa.RecordBatch.from_arrays(_columns(out, arrow), schema=arrow)
         if current is not None:
-            yield pa.RecordBatch.from_arrays(_columns(told(current, summary), arrow), schema=arrow)
+            yield from told(current, summary)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lines(batches)
+        while some := list(islice(out, LINES)):
+            yield pa.RecordBatch.from_arrays(_columns(some, arrow), schema=arrow)
 
     lead = chunked.select(*by_chunk, *fold.inputs, *[c for c in fold.order if c not in fold.inputs])
-    summaries = lead.repartition(*by_chunk).sortWithinPartitions(*by_chunk, *fold.order).mapInArrow(summarise, schema)
-    # Openings come first, then the chunks in order, each with its shift before its ranges.
-    opened = opening.select(*keys, F.col(first).alias("_end"))
-    lines = opened.unionByName(summaries, allowMissingColumns=True).select(*keys, *whole)
-    found = T.StructType([*[chunked.schema[k] for k in by_chunk], T.StructField("_start", T.LongType())])
-    found_arrow = to_arrow_schema(found)
-    width = len(keys)
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # at: where the chunk starts; then: where it ends, as far as its lines have told.
-        current, chunk, opened, at, then = None, None, False, None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for line in _tuples(batch, range(batch.num_columns)):
-                key, (place, low, high, end, shift, top) = line[:width], line[width:]
-                if place is None:
-                    current, chunk, opened, at, then = key, None, True, end, end
-                    continue
-                if key != current:
-                    # A key without an opening state never gets one.
-                    current, chunk, opened = key, None, False
-                if place != chunk and opened:
-                    chunk, at = place, then
-                    out.append((*key, place, at))
-                if low is None:
-                    if at is None:
-                        then = end
-                    else:
-                        then = at + shift if top is None else min(top, at + shift)
-                elif at is not None and low <= at <= high:
-                    then = end
-            yield pa.RecordBatch.from_arrays(_columns(out, found_arrow), schema=found_arrow)
-
-    ordered = lines.repartition(*keys).sortWithinPartitions(
-        *keys, F.col("_chunk").asc_nulls_first(), F.col("_low").asc_nulls_first()
+    return lead.repartition(*by_chunk).sortWithinPartitions(*by_chunk, *fold.order).mapInArrow(summarise, schema)
+
+
+def _chained(chunked: DataFrame, opening: DataFrame, fold: Fold, chunk_rows: int) -> DataFrame:
+    """(keys, chunk, state): the true start of every chunk of the keys in `opening`.
+
+    Values are counted without the shifts of the chunks before, so a value stays what it is until a
+    chunk moves it. The values a chunk can leave are joined to the next chunk that moves them: per
+    value these are at most two rows a chunk, whatever the key. What is left is a chain of links
+    from the opening value, see `_path`.
+    """
+    keys, first = list(fold.keys), fold.state[0]
+    by_chunk = [*keys, "_chunk"]
+    lines = written(_summaries(chunked, fold))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lines.filter("_shift is not null").select(
+        *by_chunk, F.coalesce(F.sum("_shift").over(earlier), F.lit(0)).alias("_base")
+    )
+    moves = lines.filter("_shift is null").alias("l").join(
+        heads.alias("h"), _same("l", "h", {c: c for c in by_chunk})
+    ).select(*[F.col(f"l.{c}") for c in by_chunk], (F.col("_start") - F.col("_base")).alias("_value"),
+             F.struct(F.col("l._chunk").alias("at"), (F.col("_end") - F.col("_base")).alias("value")).alias("_move"))
+    begins = opening.select(*keys, F.lit(BEFORE).cast("bigint").alias("_chunk"), F.col(first).alias("_value"))
+    left = moves.select(*by_chunk, F.col("_move.value").alias("_value")).distinct().unionByName(begins)
+    later = Window.partitionBy(*keys, "_value").orderBy(F.desc("_chunk")).rangeBetween(Window.unboundedPreceding, -1)
+    links = (
+        left.unionByName(moves, allowMissingColumns=True)
+        .withColumn("_next", F.last("_move", ignorenulls=True).over(later))
+        .filter("_move is null and _next is not null")
+        .select(*by_chunk, "_value", F.col("_next.at").alias("_at"), F.col("_next.value").alias("_to"))
+    )
+    path = _path(written(links), keys, chunk_rows).unionByName(begins)
+    marks = heads.unionByName(
+        path.select(*by_chunk, F.struct("_value").alias("_left")), allowMissingColumns=True
     )
-    starts, rest = ordered.mapInArrow(chain, found).alias("s"), opening.alias("o")
-    same = reduce(Column.__and__, [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
-    return starts.join(rest, same).select(
-        *[F.col(f"s.{k}") for k in by_chunk], F.col("s._start").alias(first), *[F.col(f"o.{s}") for s in fold.state[1:]]
+    upto = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    start, top = F.col("_from._value") + F.col("_base"), fold.summary.top
+    starts = (
+        marks.withColumn("_from", F.last("_left", ignorenulls=True).over(upto))
+        .filter("_base is not null and _from is not null")
+        .select(*by_chunk, (start if top is None else F.when(start > top, top).otherwise(start)).alias(first))
+    )
+    return starts.alias("s").join(opening.alias("o"), _same("s", "o", {k: k for k in keys})).select(
+        *[F.col(f"s.{c}") for c in [*by_chunk, first]], *[F.col(f"o.{s}") for s in fold.state[1:]]
+    )
+
+
+def _path(links: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """(keys, chunk, value) of all values reached from the keys' opening values.
+
+    A link leads from a value that a chunk leaves to the chunk that next moves it and the value
+    it becomes. The links of a key are followed in one task if they are at most `chunk_rows`.
+    Before that, links are taken out round by round: about a quarter of them, drawn by hash so that no two follow each
+    other, and links to one that is out lead on to where that one leads. What they skipped
+    comes back level by level once the rest has been followed.
+    """
+    node = [*keys, "_chunk", "_value"]
+    target = [*keys, F.col("_at").alias("_chunk"), F.col("_to").alias("_value")]
+    levels = [links]
+    while not levels[-1].groupBy(*keys).count().filter(F.col("count") > chunk_rows).isEmpty():
+        heads, tails = [
+            F.xxhash64(F.lit(len(levels)), chunk, value).bitwiseAND(1) == 1
+            for chunk, value in (("_chunk", "_value"), ("_at", "_to"))
+        ]
+        out = heads & ~tails & (F.col("_chunk") > BEFORE)
+        rest, gone = levels[-1].filter(~out).alias("r"), levels[-1].filter(out).alias("g")
+        skips = F.col("g._at").isNotNull()
+        follows = _same("r", "g", {**{k: k for k in keys}, "_at": "_chunk", "_to": "_value"})
+        levels.append(written(rest.join(gone, follows, "left").select(
+            *[F.col(f"r.{c}") for c in node],
+            *[F.when(skips, F.col(f"g.{c}")).otherwise(F.col(f"r.{c}")).alias(c) for c in ("_at", "_to")],
+        )))
+    walk = Fold(
+        keys=keys,
+        order=["_chunk"],
+        inputs=["_chunk", "_value", "_at", "_to"],
+        state=[],
+        outputs=T.StructType([T.StructField("_followed", T.BooleanType())]),
+        step=_follow,
     )
+    reached = run_fold(levels[-1], None, walk, chunk_rows=None).filter("_followed").select(*node)
+    for level in reversed(levels):
+        passed = level.alias("l").join(reached.alias("n"), _same("l", "n", {c: c for c in node}), "left_semi")
+        reached = written(reached.unionByName(passed.select(*target)).distinct())
+    return reached.filter(F.col("_chunk") > BEFORE)
+
+
+def _follow(at: tuple | None, link: tuple) -> tuple[tuple | None, tuple]:
+    chunk, value, *to = link
+    if chunk == BEFORE or (chunk, value) == at:
+        return tuple(to), (True,)
+    return at, (False,)
 
 
 def _run_chunked(
@@ -315,7 +377,7 @@ def _run_chunked(
         fields += [T.StructField(s, T.LongType()) for s in fold.state]
         opening = rows.sparkSession.createDataFrame([], T.StructType(fields))
     if fold.summary is not None:
-        stream = _stream(chunked, _chained(chunked, opening, fold), by_chunk, fold)
+        stream = _stream(chunked, _chained(chunked, opening, fold, chunk_rows), by_chunk, fold)
         return _fold_rows(stream, chunked, by_chunk, fold).drop("_chunk")
     starts = _first_starts(chunked, opening, fold)
     pending, ends = starts, None

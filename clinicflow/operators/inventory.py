@@ -244,11 +244,9 @@ class StockClaimed(Summary):
         there += moved
         self.starts[before], self.starts[after] = [], there
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
+    def moves(self) -> Iterator[tuple[int, int]]:
         for end, starts in self.starts.items():
-            for start in starts:
-                if start != end:
-                    yield start, start, end
+            yield from ((start, end) for start in starts if start != end)
 
 
 def validate_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from clinicflow.functions import texts
-from clinicflow.operators import billing, inventory
+from clinicflow.operators import billing, folds, inventory
 
 DAY0 = datetime(2024, 1, 1, 8)
 CENT = Decimal("0.01")
@@ -198,6 +198,67 @@ def test_validation_matches_a_plain_loop(spark, chunk_rows):
     assert any(w is None for w, *_ in expected.values())
 
 
+def claims_between(seed, n, values, jump):
+    """Claims that start where many chunks can end, so that chains of chunks branch and join."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        was = rnd.randrange(values)
+        becomes = jump(rnd, was)
+        cat = "in" if becomes > was else "out" if becomes < was else "adjustment"
+        rows.append((k, 1, "purchase", cat, Decimal(becomes - was), Decimal(was), Decimal(becomes), False, True,
+                     DAY0 + timedelta(minutes=k)))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("values", "jump"),
+    [
+        (6, lambda rnd, was: rnd.randrange(6)),
+        (60, lambda rnd, was: rnd.randrange(60)),
+        (40, lambda rnd, was: (was + 1) % 40),
+        (90, lambda rnd, was: was // 2),
+    ],
+)
+def test_long_chains_are_followed_in_parts(spark, values, jump):
+    rows, chunk_rows = claims_between(values, 200, values, jump), 5
+    stock, taken = Decimal(rows[0][5]), set()
+    for row in rows:
+        if row[5] == stock:
+            stock = row[6]
+            taken.add(row[0])
+    items = spark.createDataFrame([(1, "x", rows[0][5], D0, D0, D0, None, True)], ITEM)
+    found = inventory.validate_movements(spark.createDataFrame(rows, CLAIM).repartition(3), items, chunk_rows=chunk_rows)
+    assert {r.id for r in found.collect() if r.message is None} == taken
+
+
+def test_tasks_of_a_chain_stay_small(spark, monkeypatch):
+    # 1,000 falling rows: every chunk has a line for each of its starts, but one way out.
+    rows = [
+        (k, 1, "waste", "out", Decimal(-1), Decimal(1000 - k), Decimal(999 - k), False, True, DAY0 + timedelta(minutes=k))
+        for k in range(1000)
+    ]
+    items = spark.createDataFrame([(1, "x", Decimal(1000), D0, D0, D0, None, True)], ITEM)
+    followed, follow = [], folds._path
+
+    def spied(links, keys, chunk_rows):
+        followed.append(links.count())
+        return follow(links, keys, chunk_rows)
+
+    monkeypatch.setattr(folds, "_path", spied)
+    found = inventory.validate_movements(spark.createDataFrame(rows, CLAIM), items, chunk_rows=50).collect()
+    assert all(r.message is None for r in found) and len(found) == 1000
+    assert followed == [20]
+
+
+def test_links_skipped_on_the_way_come_back(spark):
+    # A chain of 300 links, and 300 links that nobody reaches.
+    links = [("a", c - 1, c, c, c + 1) for c in range(300)] + [("a", c, -7, c + 1, -8) for c in range(300)]
+    frame = spark.createDataFrame(links, "k string, _chunk bigint, _value bigint, _at bigint, _to bigint")
+    found = {(r["_chunk"], r["_value"]) for r in folds._path(frame, ["k"], 10).collect()}
+    assert found == {(c, c + 1) for c in range(300)}
+
+
 @pytest.mark.parametrize(("chunk_rows", "share"), [(1_000_000, 0.5), (60, 0.1), (60, 0.9)])
 def test_invoice_admission_matches_a_plain_loop(spark, chunk_rows, share):
     rnd = random.Random(11)
