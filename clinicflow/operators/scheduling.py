@@ -32,6 +32,9 @@ DAY = ["dentist_id", "appointment_date"]
 FREE_STATUSES = ("cancelled", "no_show")
 EMAIL_HOURS, SMS_HOURS = 24, 2
 
+# Seconds of the pieces of a day in which visits meet.
+PIECE = 900
+
 
 def with_end(appointments: DataFrame) -> DataFrame:
     if "end_time" in appointments.columns:
@@ -242,6 +245,68 @@ def overlap_flags(appointments: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(visits: DataFrame, name: str) -> DataFrame:
+    """Visits once for every piece of the day they touch; those without a length touch none."""
+    start, end = F.col("appointment_time"), F.col("end_time")
+    touched = F.sequence(F.floor(start / PIECE), F.floor((end - 1) / PIECE))
+    return with_end(visits).filter(start < end).select(
+        *DAY, F.col("id").alias(f"{name}_id"), start.alias(f"{name}_start"), end.alias(f"{name}_end"),
+        F.explode(touched).alias("piece"),
+    )
+
+
+def conflicts(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Every request with every existing visit of another id that shares its dentist's time, and since when.
+
+    Visits meet in the pieces of the day that both touch, and a pair counts in the piece in which the
+    later of the two begins. So only pairs of which one ends and the other then begins in the
+    same piece are looked at in vain, and a busy dentist's day is spread over its pieces.
+    """
+    begins = F.greatest("request_start", "visit_start")
+    ends = F.least("request_end", "visit_end")
+    return (
+        _pieces(requests, "request")
+        .join(_pieces(existing, "visit"), [*DAY, "piece"])
+        .filter((begins < ends) & (F.floor(begins / PIECE) == F.col("piece")))
+        .filter("request_id <> visit_id")
+        .select("request_id", "visit_id", *DAY, begins.alias("shared_from"), ends.alias("shared_until"))
+    )
+
+
+def first_conflicts(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Requests with the earliest existing visit in their way: `blocked_by`, `blocked_from`, `blocked_until`.
+
+    Of visits that begin together the longest is named, and of those the one with the lowest id;
+    all three are NULL where nothing is in the way. Requests are new, so their ids are not looked at. No
+    pairs are produced: only visits that last longer than all before them can be the first
+    in anybody's way, and of those it is the one that ends next after the request begins.
+    """
+    visits = with_end(existing).filter(F.col("appointment_time") < F.col("end_time"))
+    longest = F.max(F.struct("end_time", (-F.col("id")).alias("id")))
+    before = Window.partitionBy(*DAY).orderBy("appointment_time").rowsBetween(Window.unboundedPreceding, -1)
+    lasting = (
+        visits.groupBy(*DAY, "appointment_time")
+        .agg(longest.alias("last"))
+        .withColumn("reached", F.max("last.end_time").over(before))
+        .filter("reached is null or last.end_time > reached")
+    )
+    ends = lasting.select(
+        *DAY, F.col("last.end_time").alias("at"),
+        F.struct((-F.col("last.id")).alias("id"), "appointment_time", F.col("last.end_time").alias("end_time")).alias("visit"),
+    )
+    slots = distinct_slots(requests).filter(F.col("appointment_time") < F.col("end_time"))
+    later = Window.partitionBy(*DAY).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    met = (
+        slots.withColumn("at", F.col("appointment_time"))
+        .unionByName(ends, allowMissingColumns=True)
+        .withColumn("next", F.last("visit", ignorenulls=True).over(later))
+        .filter((F.col("next.appointment_time") < F.col("end_time")) & F.col("visit").isNull())
+        .select(*SLOT, F.col("next.id").alias("blocked_by"), F.col("next.appointment_time").alias("blocked_from"),
+                F.col("next.end_time").alias("blocked_until"))
+    )
+    return with_end(requests).join(met, SLOT, "left")
+
+
 def within_hours(appointments: DataFrame, working_hours: DataFrame) -> DataFrame:
     """Appointments that lie inside one active working window of their dentist."""
     slots = distinct_slots(appointments)

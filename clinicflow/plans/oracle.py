@@ -98,6 +98,17 @@ from requests x left join (select b.* from bookings b join appointment_statuses
   on b.status_id=s.id where s.name not in ('cancelled','no_show')) y on {_CLASH}
 group by x.id""")
 
+oracle("appointment_conflicts", "requests bookings", f"""
+select x.id request_id, y.id visit_id, x.dentist_id, x.appointment_date,
+  greatest(x.appointment_time,y.appointment_time) shared_from, least(x.end_time,y.end_time) shared_until
+from requests x join bookings y on {_CLASH} and x.id<>y.id""")
+
+oracle("appointment_first_conflicts", "requests bookings", f"""
+select id, blocked_by, blocked_from, blocked_until from (
+  select x.id, y.id blocked_by, y.appointment_time blocked_from, y.end_time blocked_until,
+    row_number() over (partition by x.id order by y.appointment_time, y.end_time desc, y.id) rn
+  from requests x left join bookings y on {_CLASH}) p where rn=1""")
+
 
 def _greedy(candidates: str) -> str:
     """Grant candidate visits in order of id unless they overlap one granted before."""

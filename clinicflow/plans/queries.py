@@ -87,6 +87,18 @@ def appointment_overlap_active(t: Tables) -> DataFrame:
     return checked.select("id", "overlaps", "is_accepted", "message")
 
 
+@query
+def appointment_conflicts(t: Tables) -> DataFrame:
+    return scheduling.conflicts(t.requests, t.bookings)
+
+
+@query
+def appointment_first_conflicts(t: Tables) -> DataFrame:
+    return scheduling.first_conflicts(t.requests, t.bookings).select(
+        "id", "blocked_by", "blocked_from", "blocked_until"
+    )
+
+
 @query
 def appointment_admission(t: Tables) -> DataFrame:
     admitted = scheduling.admit_appointments(t.requests, t.bookings, t.working_hours, t.holidays)

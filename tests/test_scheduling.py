@@ -185,3 +185,45 @@ def test_weekday_names_and_reminders(spark):
         (1, "email", datetime(2024, 1, 7, 9)), (2, "sms", datetime(2024, 1, 9, 7)),
         (2, "email", datetime(2024, 1, 8, 9)),
     ]
+
+
+def overlapping(a, b):
+    return a[1:3] == b[1:3] and None not in a[1:5] + b[1:5] and a[3] < b[3] + b[4] * 60 and b[3] < a[3] + a[4] * 60
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_conflicts_match_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    lengths = [1, 15, 30, 45, 480, 0]
+    # One dentist has most visits of one day; starts on and off the grid, repeated rows, a visit past midnight.
+    booked = [visit(k, rnd.choice([0, 30, 7, rnd.randint(0, 900)]), rnd.choice(lengths), rnd.choice([1, 1, 1, 2]))
+              for k in range(150)]
+    asked = [visit(1000 + k, rnd.choice([0, 30, 44, rnd.randint(0, 900)]), rnd.choice(lengths), rnd.choice([1, 1, 2, 3]),
+                   rnd.choice([MONDAY, MONDAY, TUESDAY])) for k in range(60)]
+    booked += [(200, *booked[0][1:]), visit(201, 890, 480)]
+    asked += [visit(2000, 0, 30, dentist=None), (2001, 1, MONDAY, None, 30, None, 1, 1), booked[5]]
+    requests, existing = (spark.createDataFrame(rows, VISIT).repartition(3) for rows in (asked, booked))
+    timed = [[v for v in rows if v[4]] for rows in (asked, booked)]
+    expected = {
+        (a[0], b[0], max(a[3], b[3]), min(a[3] + a[4] * 60, b[3] + b[4] * 60))
+        for a in timed[0] for b in timed[1] if a[0] != b[0] and overlapping(a, b)
+    }
+    found = scheduling.conflicts(requests, existing).collect()
+    assert len(found) == len(expected)
+    assert {(r.request_id, r.visit_id, r.shared_from, r.shared_until) for r in found} == expected
+
+    first = scheduling.first_conflicts(requests, existing).collect()
+    assert len(first) == len(asked)
+    for row in first:
+        request = next(a for a in asked if a[0] == row.id)
+        ways = [b for b in timed[1] if request[4] and overlapping(request, b)]
+        best = min(ways, key=lambda b: (b[3], -b[4], b[0]), default=None)
+        assert (row.blocked_by, row.blocked_from) == ((best[0], best[3]) if best else (None, None))
+        assert row.blocked_until == (best[3] + best[4] * 60 if best else None)
+
+
+def test_conflicts_with_nothing(spark):
+    nothing = spark.createDataFrame([], VISIT)
+    some = spark.createDataFrame([visit(1, 0, 30)], VISIT)
+    assert scheduling.conflicts(nothing, some).count() == scheduling.conflicts(some, nothing).count() == 0
+    assert [r.blocked_by for r in scheduling.first_conflicts(some, nothing).collect()] == [None]
