@@ -14,7 +14,7 @@ from clinicflow.functions import texts
 from clinicflow.functions.scalars import collated, folded, from_hundredths, hundredths, stored
 from clinicflow.operators.folds import Fold, Summary, run_fold
 from clinicflow.operators.sequences import running_totals
-from clinicflow.operators.skew import CHUNK_ROWS, positioned
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, positioned, split
 
 # How movement types count, and which large ones need approval.
 IN_TYPES = ("purchase", "return")
@@ -112,9 +112,19 @@ def critical_stock_report(
     )
 
 
-def ledger_breaks(movements: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def ledger_breaks(
+    movements: DataFrame, order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Movements that do not continue the item's ledger, or whose stock does not add up."""
-    checked = _expected_by_chunk(positioned(movements, ["item_id", *order]), order)
+    line = Window.partitionBy("item_id").orderBy(*order)
+    expected = F.lag("new_stock").over(line)
+    hot = hot_keys(movements, ["item_id"], chunk_rows)
+    if hot is None:
+        checked = movements.withColumn("expected_stock", expected)
+    else:
+        cold, large = split(movements, hot, ["item_id"])
+        cut = positioned(large, ["item_id", *order])
+        checked = cold.withColumn("expected_stock", expected).unionByName(_expected_by_chunk(cut, order))
     gap = F.col("previous_stock") != F.col("expected_stock")
     wrong = folded(F.col("movement_category")).isin("in", "out") & (
         F.col("new_stock") != F.col("previous_stock") + F.col("quantity")
@@ -151,10 +161,11 @@ def running_stock(
     movements: DataFrame,
     items: DataFrame,
     order: Sequence[str] = ORDER,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Stock after each movement if every movement is accepted."""
     moved = {"_moved": F.col("quantity")}
-    summed = running_totals(movements, ["item_id"], order, moved)
+    summed = running_totals(movements, ["item_id"], order, moved, chunk_rows)
     opening = items.select(F.col("id").alias("item_id"), F.col("current_stock").alias("_open"))
     return (
         summed.join(opening, "item_id", "left")

@@ -1,7 +1,7 @@
 """Running sums and numbers over ordered rows, without one task per large key.
 
 A month or an invoice series may hold most of a table, so numbering never runs a window
-over a whole key. Rows are cut by position into chunks, the partitions of a range partitioning
+over a whole key, and running sums only over keys with few rows. Rows are cut by position into chunks, the partitions of a range partitioning
 by key and order; ids may have gaps, be negative or be hashed. The window runs inside a key's
 rows of a chunk, and a second, small window over the chunk totals supplies what went before.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.functions.scalars import LAST_CODE, blank, code_number, month_key, padded
-from clinicflow.operators.skew import positioned
+from clinicflow.operators.skew import CHUNK_ROWS, hot_keys, positioned, split
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -24,11 +24,23 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    totals: dict[str, Column],
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums per key."""
-    cut = positioned(df, [*keys, *order])
-    return bucketed_totals(cut, keys, F.col("_chunk"), order, totals).drop("_chunk")
+    """Add inclusive running sums per key; only keys with more than `chunk_rows` rows are cut by position."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {name: F.sum(value).over(upto) for name, value in totals.items()}
+    hot = hot_keys(df, keys, chunk_rows)
+    if hot is None:
+        return df.withColumns(sums)
+    cold, large = split(df, hot, keys)
+    cut = positioned(large, [*keys, *order])
+    return cold.withColumns(sums).unionByName(
+        bucketed_totals(cut, keys, F.col("_chunk"), order, totals).drop("_chunk")
+    )
 
 
 def bucketed_totals(

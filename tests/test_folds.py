@@ -309,8 +309,8 @@ def test_chunks_of_null_keys_and_unknown_stock(spark):
     assert {r.id for r in found if r.message is None} == set(range(30))
 
 
-@pytest.mark.parametrize("merged", ["false", "true"])
-def test_running_stock_and_ledger_breaks(spark, merged):
+@pytest.mark.parametrize(("merged", "chunk_rows"), [("false", 0), ("true", 0), ("true", 100), ("true", 1_000_000)])
+def test_running_stock_and_ledger_breaks(spark, merged, chunk_rows):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
     items, item_df = make_items(spark)
     rnd = random.Random(4)
@@ -333,7 +333,7 @@ def test_running_stock_and_ledger_breaks(spark, merged):
             breaks[k] = (gap, wrong)
         last[item] = new
     df = spark.createDataFrame(rows, CLAIM).repartition(3)
-    got = inventory.running_stock(df, item_df).collect()
+    got = inventory.running_stock(df, item_df, chunk_rows=chunk_rows).collect()
     assert {r.id: r.running_stock for r in got} == sums
-    found = inventory.ledger_breaks(df).collect()
+    found = inventory.ledger_breaks(df, chunk_rows=chunk_rows).collect()
     assert {r.id: (r.breaks_chain, r.wrong_sum) for r in found} == breaks
