@@ -29,6 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinicflow.llm.arrays import slices
 from clinicflow.llm.shared import held, text_of
 
 SPACE = "▁"
@@ -301,7 +302,8 @@ def tokenize(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held(("codec", model_file), lambda: Codec(model_file))
         digits = [str(i) for i in range(len(c.out))]
-        for batch in batches:
+        # The ids of a large batch would take many times its size as Python objects.
+        for batch in slices(batches, "text"):
             made: dict[str, list] = {f: [] for f in fields}
             for value in batch.column("text"):
                 ids = c.encode(value.as_py(), end)

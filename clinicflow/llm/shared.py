@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,15 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_doc")
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: a worker otherwise keeps it for itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 _HELD: dict[object, object] = {}
 
 
@@ -62,9 +73,8 @@ def held(key: object, make: Callable[[], T] | None = None) -> T | None:
     memory of one operator is free for the next. Without `make` everything is let go.
     """
     if key not in _HELD:
-        if _HELD:
-            _HELD.clear()
-            gc.collect()
+        _HELD.clear()
+        _give_back()
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)
