@@ -31,13 +31,18 @@ def slices(
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each piece have at most `size` bytes, or are one text."""
     for batch in batches:
-        ends = text_bytes(texts_of(batch, text))[1]
-        at = 0
-        while at < batch.num_rows:
-            upto = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
-            upto = min(max(upto, at + 1), batch.num_rows)
-            yield batch.slice(at, upto - at)
-            at = upto
+        yield from pieces(batch, texts_of(batch, text), size)
+
+
+def pieces(batch: pa.RecordBatch, texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """One batch, cut in the same way."""
+    ends = text_bytes(texts)[1]
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
+        upto = min(max(upto, at + 1), batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

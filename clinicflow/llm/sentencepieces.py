@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicflow.llm.arrays import slices
+from clinicflow.llm.arrays import pieces
 from clinicflow.llm.shared import held, text_of
 
 SPACE = "▁"
@@ -303,7 +303,8 @@ def tokenize(
         c = held(("codec", model_file), lambda: Codec(model_file))
         digits = [str(i) for i in range(len(c.out))]
         # The ids of a large batch would take many times its size as Python objects.
-        for batch in slices(batches, "text"):
+        cut = (piece for batch in batches for piece in pieces(batch, batch.column("text")))
+        for batch in cut:
             made: dict[str, list] = {f: [] for f in fields}
             for value in batch.column("text"):
                 ids = c.encode(value.as_py(), end)
