@@ -33,5 +33,7 @@ DAY_NAMES = ("Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado", "D
 
 # This library's own reason when a month or a series has used all its numbers
 CODES_EXHAUSTED = "no number left in this range"
+# when a supplied code is in use already
+CODE_TAKEN = "code is in use"
 # and when a movement row lacks a stock or its quantity
 INCOMPLETE_MOVEMENT = "stock or quantity is missing"

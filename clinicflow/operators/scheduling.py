@@ -20,14 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinicflow.functions import texts
-from clinicflow.functions.scalars import changed, collated, end_seconds, folded, iso_weekday, moment
+from clinicflow.functions.scalars import (
+    LAST_CODE, blank, changed, code_number, collated, end_seconds, folded, iso_weekday, moment, month_key,
+)
 from clinicflow.operators.folds import Fold, run_fold
-from clinicflow.operators.sequences import assign_codes
+from clinicflow.operators.sequences import assign_codes, code_prefix, last_codes
 from clinicflow.operators.skew import written
 
 SLOT = ["dentist_id", "appointment_date", "appointment_time", "end_time"]
 DAY = ["dentist_id", "appointment_date"]
 
+# Codes of visits, and what a month's key begins with where codes and months are keys together.
+CODE, CODE_KIND = "appointment_code", "CITA"
+MONTH_KEY = "month "
+
 # Statuses whose appointments do not occupy their slot; reminder lead times in hours.
 FREE_STATUSES = ("cancelled", "no_show")
 EMAIL_HOURS, SMS_HOURS = 24, 2
@@ -342,7 +348,7 @@ def overlap_check_active(
 
 
 def _first_come(slots: DataFrame) -> DataFrame:
-    """Grant slots that are `able` in order of `first_id`, unless one granted before overlaps.
+    """Grant slots in order of `first_id`, unless one granted before overlaps.
 
     There is one row per distinct slot, so a dentist's day stays small. The state is the
     sorted list of granted visits, which cannot overlap each other.
@@ -350,7 +356,7 @@ def _first_come(slots: DataFrame) -> DataFrame:
     fold = Fold(
         keys=DAY,
         order=["first_id"],
-        inputs=["able", "appointment_time", "end_time"],
+        inputs=["appointment_time", "end_time"],
         state=[],
         outputs=T.StructType([T.StructField("granted", T.BooleanType())]),
         step=_grant,
@@ -360,9 +366,7 @@ def _first_come(slots: DataFrame) -> DataFrame:
 
 def _grant(granted: list | None, row: tuple) -> tuple[list, tuple]:
     granted = granted or []
-    able, start, end = row
-    if not able:
-        return granted, (False,)
+    start, end = row
     at = bisect_left(granted, (start,))
     free_before = at == 0 or granted[at - 1][1] <= start
     free_after = at == len(granted) or granted[at][0] >= end
@@ -372,6 +376,35 @@ def _grant(granted: list | None, row: tuple) -> tuple[list, tuple]:
     return granted, (False,)
 
 
+def _taken_from(slots: DataFrame, granted: DataFrame) -> DataFrame:
+    """Slots with `taken_from`, the lowest id of a granted visit that overlaps; NULL if none does.
+
+    `granted` has `first_id` and slots that do not overlap each other.
+    """
+    asked = slots.select(*SLOT, F.lit(None).cast("bigint").alias("first_id"), F.lit(True).alias("asks"))
+    rows = granted.select(*SLOT, "first_id", F.lit(False).alias("asks")).unionByName(asked)
+    fold = Fold(
+        keys=DAY,
+        order=["asks", "appointment_time"],
+        inputs=["asks", "appointment_time", "end_time", "first_id"],
+        state=[],
+        outputs=T.StructType([T.StructField("taken_from", T.LongType())]),
+        step=_lowest_met,
+    )
+    return run_fold(rows, None, fold, chunk_rows=None).filter("asks").select(*SLOT, "taken_from")
+
+
+def _lowest_met(day: tuple[list, list, list] | None, row: tuple) -> tuple[tuple, tuple]:
+    starts, ends, ids = day = day or ([], [], [])
+    asks, start, end, first_id = row
+    if asks:
+        return day, (min(ids[bisect_right(ends, start) : bisect_left(starts, end)], default=None),)
+    starts.append(start)
+    ends.append(end)
+    ids.append(first_id)
+    return day, (None,)
+
+
 def _verdict(on_holiday: Column, in_hours: Column, free: Column) -> Column:
     """First reason to refuse, in the order the checks are made; NULL if there is none.
 
@@ -388,35 +421,109 @@ def _verdict(on_holiday: Column, in_hours: Column, free: Column) -> Column:
 def admit_appointments(
     requests: DataFrame, existing: DataFrame, working_hours: DataFrame, holidays: DataFrame
 ) -> DataFrame:
-    """Accept or refuse booking requests in order of their id; accepted ones get codes.
+    """Accept or refuse booking requests in order of their id; accepted ones have codes.
 
-    Of all requests for one and the same slot only the first can succeed, because what
-    stops it, or its own visit, stops the others too. So one candidate per slot is decided
-    and its verdict joined back.
+    A request needs a free slot and a code: the one it brings, if nobody has it yet, or the next of
+    its month. One that is refused for either leaves both to those after it. The message names the
+    slot first. Codes are settled with the slots in rounds, see `settle_admission`.
     """
     requests = with_end(requests)
-    slots = requests.groupBy(*SLOT).agg(F.min("id").alias("first_id"))
-    checked = check_slots(slots, existing, working_hours, holidays)
-    able = ~F.col("on_holiday") & F.col("in_hours") & (F.col("booked") == 0)
-    verdicts = _first_come(checked.withColumn("able", able)).drop("booked", "able")
-    wins = F.col("granted") & (F.col("id") == F.col("first_id"))
-    decided = (
-        requests.join(verdicts, SLOT, "left")
-        .withColumn("message", _verdict(F.col("on_holiday"), F.col("in_hours"), wins))
-        .select(*requests.columns, "message")
-    )
-    coded = assign_codes(
-        decided, existing, "CITA", "appointment_code", F.col("appointment_date"),
-        keep_supplied="appointment_code" in requests.columns, wanted=F.col("message").isNull(),
-    )
-    reason = F.when(F.col("code_overflow"), F.lit(texts.CODES_EXHAUSTED)).otherwise(F.col("message"))
+    if CODE not in requests.columns:
+        requests = requests.withColumn(CODE, F.lit(None).cast("string"))
+    own = ~blank(F.col(CODE))
+    month = F.concat(F.lit(f"{CODE_KIND}-"), month_key(F.col("appointment_date")))
+    keyed = requests.withColumns(
+        {
+            "_own": own,
+            "_key": F.when(own, _code_key(F.col(CODE))).otherwise(F.concat(F.lit(MONTH_KEY), month)),
+        }
+    )
+    checked = written(check_slots(distinct_slots(requests), existing, working_hours, holidays))
+    able = checked.filter(~F.col("on_holiday") & F.col("in_hours") & (F.col("booked") == 0)).select(*SLOT)
+    won, limits, _ = settle_admission(keyed.select("id", *SLOT, CODE, "_own", "_key"), able, existing)
+    slots = checked.join(won.select(*SLOT, "first_id", F.col(CODE).alias("_code")), SLOT, "left")
+    free, late = F.col("id") == F.col("first_id"), F.lit(False)
+    if limits is not None:
+        keyed = keyed.join(limits, "_key", "left")
+        late = F.coalesce(F.col("id") > F.col("_limit"), F.lit(False))
+        asked = able.join(keyed.filter(late), SLOT, "left_semi")
+        slots = slots.join(_taken_from(asked, won), SLOT, "left")
+        untaken = F.col("taken_from").isNull() | (F.col("taken_from") > F.col("id"))
+        free = F.when(late, (F.col("booked") == 0) & untaken).otherwise(free)
+    no_code = F.when(late, F.when(F.col("_own"), F.lit(texts.CODE_TAKEN)).otherwise(F.lit(texts.CODES_EXHAUSTED)))
+    message = F.coalesce(_verdict(F.col("on_holiday"), F.col("in_hours"), free), no_code)
     return (
-        coded.withColumn("message", reason)
+        keyed.join(slots, SLOT, "left")
+        .withColumn("message", message)
         .withColumn("is_accepted", F.col("message").isNull())
-        .drop("code_overflow")
+        .withColumn(CODE, F.when(F.col("is_accepted"), F.col("_code")))
+        .select(*requests.columns, "message", "is_accepted")
     )
 
 
+def settle_admission(
+    requests: DataFrame, able: DataFrame, existing: DataFrame
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """The requests that get their slot and a code, what limits codes, and the rounds it took.
+
+    `requests` has id, slot, code, `_own` (it brings a code) and `_key` (that code, or its month);
+    `able` the slots that nothing stored stops. Limits are (`_key`, `_limit`): requests of that
+    key with a larger id are refused, because the code is in use or the month's last number is.
+    A round grants slots and codes under the limits of the round before and finds the limits
+    that those leave; it is over when they stay. Whether a request is refused depends on those
+    before it only, so each round is right for longer than the one before and the rounds end in
+    what a loop over the requests finds. Without codes that run out or meet there is one round;
+    otherwise the rounds follow the longest chain of requests that free a slot for the next.
+
+    Of all unlimited requests for one slot only the first can succeed, because what stops it, or
+    its own visit, stops the others too. So one candidate per slot is decided.
+    """
+    supplied = requests.filter("_own").select("_key").distinct()
+    if supplied.isEmpty():
+        supplied = None
+    stored = last_codes(existing, CODE).filter(F.col("last_number") >= LAST_CODE)
+    stored = stored.select(F.concat(F.lit(MONTH_KEY), "code_prefix").alias("_key"))
+    if supplied is not None:
+        used = existing.select(_code_key(F.col(CODE)).alias("_key"))
+        stored = stored.unionByName(supplied.join(used, "_key", "left_semi"))
+    # Lower than any id: none of these requests has a code.
+    stored = stored.withColumn("_limit", F.lit(-(1 << 63)).cast("bigint"))
+    limits, rounds = None, 0
+    while True:
+        rounds += 1
+        unlimited = requests
+        if limits is not None:
+            unlimited = requests.join(limits, "_key", "left").filter("_limit is null or id <= _limit")
+        firsts = unlimited.groupBy(*SLOT).agg(F.min_by(F.struct("id", CODE, "_key"), "id").alias("first"))
+        candidates = able.join(firsts, SLOT).select(*SLOT, F.col("first.id").alias("first_id"), f"first.{CODE}", "first._key")
+        granted = _first_come(candidates).filter("granted").drop("granted")
+        won = written(
+            assign_codes(granted, existing, CODE_KIND, CODE, F.col("appointment_date"), "first_id", keep_supplied=True)
+        )
+        found = _limits_left(won, supplied).unionByName(stored).groupBy("_key").agg(F.min("_limit").alias("_limit"))
+        if limits is None and found.isEmpty():
+            return won, None, rounds
+        found = written(found)
+        if limits is not None and found.exceptAll(limits).isEmpty() and limits.exceptAll(found).isEmpty():
+            return won, limits, rounds
+        limits = found
+
+
+def _code_key(code: Column) -> Column:
+    return F.concat(F.lit("code "), folded(code))
+
+
+def _limits_left(won: DataFrame, supplied: DataFrame | None) -> DataFrame:
+    """Months whose last number is given out and supplied codes that somebody has, each since which id."""
+    last = F.coalesce(code_number(F.col(CODE)) >= LAST_CODE, F.lit(False))
+    key = F.when(F.col("code_overflow"), F.col("_key")).otherwise(F.concat(F.lit(MONTH_KEY), code_prefix(F.col(CODE))))
+    limits = won.filter(F.col("code_overflow") | last).select(key.alias("_key"), F.col("first_id").alias("_limit"))
+    if supplied is not None:
+        owned = won.filter(~F.col("code_overflow")).select(_code_key(F.col(CODE)).alias("_key"), F.col("first_id").alias("_limit"))
+        limits = limits.unionByName(owned.join(supplied, "_key", "left_semi"))
+    return limits
+
+
 class Occupied:
     """Visits of a dentist's day, as sorted starts and ends; they may overlap each other."""
 

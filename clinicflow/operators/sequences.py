@@ -141,11 +141,15 @@ def assign_numbers(
     return joined.select(*[F.col(f"l.{c}") for c in new.columns], number.cast("bigint").alias("number"))
 
 
+def code_prefix(code: Column) -> Column:
+    """What a code has before its running number, `KIND-YYYYMM`; empty where it has no such form."""
+    return F.regexp_extract(F.upper(code), r"^([A-Z]+-[0-9]{6})-", 1)
+
+
 def last_codes(existing: DataFrame, code: str) -> DataFrame:
     """(code_prefix, last_number): the largest running number under each code prefix."""
-    prefix = F.regexp_extract(F.upper(code), r"^([A-Z]+-[0-9]{6})-", 1)
     return (
-        existing.select(prefix.alias("code_prefix"), code_number(F.col(code)).alias("n"))
+        existing.select(code_prefix(F.col(code)).alias("code_prefix"), code_number(F.col(code)).alias("n"))
         .filter("code_prefix <> ''")
         .groupBy("code_prefix")
         .agg(F.max("n").alias("last_number"))
@@ -173,9 +177,7 @@ def assign_codes(
     wanted = F.coalesce(wanted, F.lit(False)) if wanted is not None else F.lit(True)
     own = F.col(code) if keep_supplied else F.lit(None).cast("string")
     keeps = wanted & ~blank(own)
-    prefix = F.when(
-        keeps, F.regexp_extract(F.upper(own), r"^([A-Z]+-[0-9]{6})-", 1)
-    ).otherwise(month)
+    prefix = F.when(keeps, code_prefix(own)).otherwise(month)
     keyed = new.select(
         *columns,
         F.when(keeps, own).alias("_own"),

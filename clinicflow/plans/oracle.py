@@ -13,6 +13,8 @@ _DERIVED = {
     "appointments": "appointment_time+duration_minutes*60 end_time",
     "bookings": "appointment_time+duration_minutes*60 end_time",
     "requests": "appointment_time+duration_minutes*60 end_time",
+    "late_bookings": "appointment_time+duration_minutes*60 end_time",
+    "coded_requests": "appointment_time+duration_minutes*60 end_time",
     "appointment_proposals": "appointment_time+duration_minutes*60 end_time",
     "inventory_items": "cast(current_stock-reserved_stock as decimal(10,2)) available_stock",
     "inventory_movements":
@@ -153,6 +155,37 @@ numbered as (select d.*, coalesce(u.last,0)
     + sum(case when d.message is null then 1 else 0 end) over (partition by d.month order by d.id) n
   from decided d left join used u on u.month=d.month)""")
 
+oracle("appointment_admission_codes", "coded_requests late_bookings working_hours holidays", f"""
+select j.id, case when w.why is null and able then j.month||'-'||lpad(cast(w.n as varchar),4,'0') end appointment_code,
+  coalesce(w.why is null and able, false) is_accepted,
+  case when j.holiday then '{texts.HOLIDAY}' when not j.open then '{texts.OUTSIDE_HOURS}'
+    when j.booked then '{texts.SLOT_TAKEN}' else w.why end message
+from judged j left join walk w on w.id=j.id""", f"""
+seen as (select x.*, {_ON_HOLIDAY} holiday, {_IN_HOURS} open,
+  exists(select 1 from late_bookings y where {_CLASH}) booked,
+  appointment_code in (select appointment_code from late_bookings) code_stored,
+  cast(right(appointment_code,4) as int) own, 'CITA-'||strftime(appointment_date,'%Y%m') as month from coded_requests x),
+judged as (select *, not holiday and open and not booked able from seen),
+lined as (select *, row_number() over (partition by month order by id) rn from judged where able),
+walk as (
+  select m.month, 0::bigint rn, []::struct(dentist_id bigint, d date, s int, e int)[] taken, []::int[] used,
+    coalesce((select max(cast(right(appointment_code,4) as int)) from late_bookings b
+      where left(b.appointment_code,11)=m.month),0) as last, null::bigint id, null::int n, null::varchar why
+  from (select distinct month from lined) m
+  union all
+  select month, rn,
+    case when why is null then list_append(taken, {{{{'dentist_id': dentist_id, 'd': d, 's': s, 'e': e}}}}) else taken end,
+    case when why is null then list_append(used, n) else used end,
+    case when why is null then greatest(last, n) else last end, id, n, why
+  from (
+    select l.month, l.rn, w.taken, w.used, w.last, l.id, l.dentist_id, l.appointment_date d, l.appointment_time s,
+      l.end_time e, coalesce(l.own, w.last+1) n,
+      case when len(list_filter(w.taken, lambda t: t.dentist_id=l.dentist_id and t.d=l.appointment_date
+          and t.s<l.end_time and t.e>l.appointment_time))>0 then '{texts.SLOT_TAKEN}'
+        when l.own is not null and (l.code_stored or list_contains(w.used, l.own)) then '{texts.CODE_TAKEN}'
+        when l.own is null and w.last>=9999 then '{texts.CODES_EXHAUSTED}' end why
+    from walk w join lined l on l.month=w.month and l.rn=w.rn+1) n)""".replace("{{", "{").replace("}}", "}"))
+
 oracle("appointment_changes", "appointments appointment_proposals working_hours holidays", """
 select n.id, case when ok then n.dentist_id else o.dentist_id end dentist_id,
   case when ok then n.appointment_date else o.appointment_date end appointment_date,

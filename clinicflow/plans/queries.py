@@ -108,6 +108,13 @@ def appointment_admission(t: Tables) -> DataFrame:
     )
 
 
+@query
+def appointment_admission_codes(t: Tables) -> DataFrame:
+    """Admission where codes run out and requests bring codes of their own."""
+    admitted = scheduling.admit_appointments(t.coded_requests, t.late_bookings, t.working_hours, t.holidays)
+    return admitted.select("id", "appointment_code", "is_accepted", "message")
+
+
 @query
 def appointment_changes(t: Tables) -> DataFrame:
     old = t.appointments

@@ -53,6 +53,14 @@ TABLES: dict[str, str] = {
     "bookings": f"select {_CODE}, {_VISIT} from {{events}} where event_type in ('purchase','signup')",
     "requests": f"""select cast(null as {{str}}) appointment_code, {_VISIT} from {{events}}
       where event_type is null or event_type not in ('purchase','signup')""",
+    # The same where few numbers are left in a month, and some requests bring codes that may be in use.
+    "late_bookings": f"""select concat('CITA-', replace(substr(cast(cast(ts as date) as {{str}}),1,7),'-',''), '-',
+        cast(9700+event_id%200 as {{str}})) appointment_code, {_VISIT} from {{events}}
+      where event_type in ('purchase','signup')""",
+    "coded_requests": f"""select case when event_id%6=0 or event_id%611=0 then concat('CITA-',
+        replace(substr(cast(cast(ts as date) as {{str}}),1,7),'-',''), '-',
+        cast(case when event_id%6=0 then 9600+event_id%140 else 9900+event_id%100 end as {{str}})) end appointment_code,
+      {_VISIT} from {{events}} where event_type is null or event_type not in ('purchase','signup')""",
     # All visits as they were asked for: only those booked have a code.
     "asked_visits": f"""select case when event_type in ('purchase','signup') then {_CODE_VALUE} end appointment_code,
       {_VISIT} from {{events}}""",
@@ -348,5 +356,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, stream: bool = False) ->
             reader = spark.readStream.schema(frames[source].schema)
             # No limit for a trigger: what is there is one ordered batch, however it is cut into files.
             frames[source] = reader.parquet(files)
-    kind = "appointments" if table in ("bookings", "requests", "asked_visits", "appointment_proposals") else table
+    visits = ("bookings", "requests", "late_bookings", "coded_requests", "asked_visits", "appointment_proposals")
+    kind = "appointments" if table in visits else table
     return generated(kind, spark.sql(text, **frames))

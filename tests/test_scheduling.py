@@ -227,3 +227,95 @@ def test_conflicts_with_nothing(spark):
     some = spark.createDataFrame([visit(1, 0, 30)], VISIT)
     assert scheduling.conflicts(nothing, some).count() == scheduling.conflicts(some, nothing).count() == 0
     assert [r.blocked_by for r in scheduling.first_conflicts(some, nothing).collect()] == [None]
+
+
+def loop_with_codes(requests, existing, windows):
+    """Requests one by one: what is in the way, and the code each gets."""
+    taken, written = list(existing), [v[5] for v in existing if v[5]]
+    found = {}
+    for r in sorted(requests, key=lambda r: r[0]):
+        month = r[2].strftime("CITA-%Y%m")
+        own = r[5] if r[5] and r[5].strip() else None
+        # The last four characters count, spaces among them.
+        last = max([int(c[-4:]) for c in written if c.upper().startswith(month + "-")], default=0)
+        code = own or f"{month}-{last + 1:04d}"
+        begin, end = (r[3] - NINE) // 60, (r[3] - NINE) // 60 + r[4]
+        if not any(a <= begin and end <= b for a, b in windows[r[1]]):
+            found[r[0]] = (texts.OUTSIDE_HOURS, None)
+        elif any(overlapping(r, v) for v in taken):
+            found[r[0]] = (texts.SLOT_TAKEN, None)
+        elif own and own.rstrip().lower() in {c.rstrip().lower() for c in written}:
+            found[r[0]] = (texts.CODE_TAKEN, None)
+        elif not own and last >= 9999:
+            found[r[0]] = (texts.CODES_EXHAUSTED, None)
+        else:
+            found[r[0]] = (None, code)
+            taken.append(r)
+            written.append(code)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_slots_and_codes_match_a_plain_loop(spark, seed):
+    rnd = random.Random(seed)
+    february = date(2024, 2, 5)
+
+    def code():
+        month = rnd.choice(["202401", "202401", "202402"])
+        return rnd.choice([None, None, "", f"CITA-{month}-99{rnd.randint(80, 99)}", f"cita-{month}-99{rnd.randint(75, 85)} "])
+
+    existing = [visit(k, 60 * k, 15, code=f"CITA-202401-{9970 + k}") for k in range(3)]
+    requests = [
+        visit(100 + k, 15 * rnd.randint(0, 30), rnd.choice([15, 30, 60]), rnd.choice([1, 1, 2]), rnd.choice([MONDAY, february]), code())
+        for k in range(150)
+    ]
+    working = hours(spark, *[(d, d, 1, NINE, NINE + 7 * 3600, True, date(2024, 1, 1), None) for d in (1, 2)])
+    expected = loop_with_codes(requests, existing, {1: [(0, 420)], 2: [(0, 420)]})
+    rows = admit(spark, requests, existing, working).collect()
+    assert {r.id: (r.message, r.appointment_code) for r in rows} == expected
+    assert {texts.CODE_TAKEN, None} <= {m for m, _ in expected.values()}
+
+
+def test_the_slot_of_a_request_without_a_code_goes_to_the_next(spark):
+    full = visit(1, 400, 15, code="CITA-202401-9999")
+    rows = admit(
+        spark,
+        [
+            visit(10, 0, 30),  # no code left in January
+            visit(11, 15, 30, code="CITA-202401-0007"),  # the slot is still free
+            visit(12, 0, 30),  # taken now, which is named before the code
+            visit(13, 60, 30, code="cita-202401-0007 "),  # in use since 11
+            visit(14, 60, 15, code="CITA-202401-9999"),  # stored
+            visit(15, 75, 15, code="CITA-202401-0008"),
+            visit(16, 60, 30, code="CITA-202401-0009"),  # taken by 15
+        ],
+        existing=[full],
+    ).orderBy("id").collect()
+    assert [r.message for r in rows] == [
+        texts.CODES_EXHAUSTED, None, texts.SLOT_TAKEN, texts.CODE_TAKEN, texts.CODE_TAKEN, None, texts.SLOT_TAKEN,
+    ]
+    assert [r.appointment_code for r in rows if r.is_accepted] == ["CITA-202401-0007", "CITA-202401-0008"]
+
+
+def test_codes_that_meet_along_a_chain(spark):
+    # Each pair shares a slot; the first of a pair brings the code of the pair before, whose second
+    # request therefore decides it.
+    requests = []
+    for k in range(5):
+        requests += [visit(100 + 2 * k, 60 * k, 30, code=f"X-{k}"), visit(101 + 2 * k, 60 * k, 30, code=f"X-{k + 1}")]
+    existing = [visit(1, 400, 15, code="x-0")]
+    rows = admit(spark, requests, existing).orderBy("id").collect()
+    expected = loop_with_codes(requests, existing, {1: [(0, 480)]})
+    assert [(r.message, r.appointment_code) for r in rows] == [expected[r.id] for r in rows]
+    assert [r.is_accepted for r in rows] == [False, True] * 5
+
+    keyed = spark.createDataFrame(requests, VISIT).withColumns(
+        {"_own": F.lit(True), "_key": F.concat(F.lit("code "), F.lower("appointment_code"))}
+    )
+    keyed = scheduling.with_end(keyed).select("id", *scheduling.SLOT, "appointment_code", "_own", "_key")
+    able = keyed.select(*scheduling.SLOT).distinct()
+    _, _, rounds = scheduling.settle_admission(keyed, able, spark.createDataFrame(existing, VISIT))
+    assert rounds <= 7
+    plain = spark.createDataFrame([visit(k, 60 * k, 30) for k in range(5)], VISIT)
+    keyed = scheduling.with_end(plain).withColumns({"_own": F.lit(False), "_key": F.lit("month CITA-202401")})
+    assert scheduling.settle_admission(keyed, able, spark.createDataFrame(existing, VISIT))[1:] == (None, 1)
