@@ -6,9 +6,10 @@ read once for all its row rules.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +74,45 @@ def unknown_choices(df: DataFrame, table: str) -> DataFrame:
     return violations(df, table, broken)
 
 
+def declared_violations(df: DataFrame, table: str) -> DataFrame:
+    """All that the declarations say of single rows, in one look at each: required columns that are
+    NULL (`missing`), texts `too long`, numbers `too small` or `too large`, and values `not permitted`.
+
+    Columns that the input lacks are for `absent_columns`.
+    """
+    broken = {}
+    for name, field in _declared(df, table):
+        column = f"`{name}`"
+        if field.need:
+            broken[f"{name} missing"] = f"{column} is null"
+        if field.longest is not None:
+            broken[f"{name} too long"] = f"char_length({column}) > {field.longest}"
+        if field.low is not None:
+            broken[f"{name} too small"] = f"{column} < {field.low}"
+        if field.high is not None:
+            broken[f"{name} too large"] = f"{column} > {field.high}"
+        if isinstance(field.type, T.DecimalType):
+            broken[f"{name} too large"] = f"abs({column}) >= 1e{field.type.precision - field.type.scale}BD"
+        if field.choices:
+            choices = ", ".join(f"'{c.lower()}'" for c in field.choices)
+            broken[f"{name} not permitted"] = f"lower(rtrim({column})) not in ({choices})"
+    # One text for all rules: a thousand small expressions cost more time than the scan.
+    cases = ", ".join(f"case when {verdict} then '{rule}' end" for rule, verdict in broken.items())
+    found = df.selectExpr("cast(id as bigint) id", f"array_compact(array({cases})) rules").filter("size(rules) > 0")
+    return found.selectExpr(f"'{table}' table_name", "explode(rules) rule", "id")
+
+
+def absent_columns(spark: SparkSession, tables: Iterable[tuple[str, DataFrame]]) -> DataFrame:
+    """One row, without id, for each required column without default that a table lacks, be it empty or not."""
+    found = [
+        (table, f"{name} absent", None)
+        for table, df in tables
+        for name, field in TABLES[table].items()
+        if field.need and field.default is None and name not in df.columns
+    ]
+    return spark.createDataFrame(found, "table_name string, rule string, id bigint")
+
+
 def failed_checks(df: DataFrame, table: str, checks: dict[str, Column]) -> DataFrame:
     """Rows for which a declared check is false; unknown passes."""
     return violations(df, table, {rule: fails(condition) for rule, condition in checks.items()})
@@ -84,15 +124,18 @@ def _comparable(df: DataFrame, column: str) -> Column:
     return collated(F.col(column)) if column in NAMES else folded(F.col(column))
 
 
-def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
+def _keys(df: DataFrame, table: str) -> list[tuple[str, ...]]:
+    return [k for k in (("id",), *UNIQUE.get(table, ())) if set(k) <= set(df.columns)]
+
+
+def duplicate_keys(df: DataFrame, table: str, keys: Sequence[tuple[str, ...]] | None = None) -> DataFrame:
     """Primary and unique keys held by more than one row; keys with a NULL do not count.
 
     `key_value` shows the key as it was compared and `first_id` the lowest row that has it.
+    `keys` are those to look at, all that the input has if not given.
     """
     reports = []
-    for key in (("id",), *UNIQUE.get(table, ())):
-        if not set(key) <= set(df.columns):
-            continue
+    for key in _keys(df, table) if keys is None else keys:
         compared = [_comparable(df, c).alias(f"_{n}") for n, c in enumerate(key)]
         shown = [F.col(f"_{n}").cast("string") for n in range(len(key))]
         reports.append(
@@ -135,3 +178,60 @@ def orphans(df: DataFrame, table: str, parents: dict[str, DataFrame]) -> DataFra
             )
         )
     return stack(reports)
+
+
+def repeated_keys(tables: Iterable[tuple[str, DataFrame]]) -> DataFrame:
+    """The keys of many tables held by more than one row, as `duplicate_keys` reports them.
+
+    Each table is read once and all keys share one shuffle, after they are counted where they were
+    read. Keys with names in them compare by collation and go by themselves.
+    """
+    stacked, apart = [], []
+    for table, df in tables:
+        plain = [k for k in _keys(df, table) if not set(k) & set(NAMES)]
+        named = [k for k in _keys(df, table) if set(k) & set(NAMES)]
+        if named:
+            apart.append(duplicate_keys(df, table, named))
+        text = lambda c: f"lower(rtrim(`{c}`))" if isinstance(df.schema[c].dataType, T.StringType) else f"cast(`{c}` as string)"
+        keys = ", ".join(f"struct('{','.join(k)}' as rule, array({', '.join(map(text, k))}) as key)" for k in plain)
+        if plain:
+            stacked.append(
+                df.selectExpr(
+                    f"'{table}' table_name", "id",
+                    f"inline(filter(array({keys}), r -> not exists(r.key, v -> v is null)))",
+                )
+            )
+    reports = apart
+    if stacked:
+        counted = stack(stacked).groupBy("table_name", "rule", "key").agg(
+            F.count("*").alias("copies"), F.min("id").alias("first_id")
+        )
+        shown = F.concat_ws("|", "key").alias("key_value")
+        reports = [counted.filter("copies > 1").select("table_name", "rule", shown, "copies", "first_id"), *apart]
+    return stack(reports)
+
+
+def lost_references(
+    children: Iterable[tuple[str, DataFrame]], parents: dict[str, DataFrame]
+) -> DataFrame:
+    """Rows of many tables whose foreign keys name no row of their parents.
+
+    Each child is read once, and the references of all to all parents are settled by one join on
+    (parent, value). Rows stay single in it, so a value that fills a third of a table, lost or not, is
+    spread by adaptive skew splitting; parents are broadcast only by Spark's own size check.
+    """
+    stacked = []
+    for table, df in children:
+        found = [(c, p) for c, (p, _) in REFERENCES.get(table, {}).items() if c in df.columns and p in parents]
+        if found:
+            each = ", ".join(
+                f"struct('{c} -> {p}' as rule, '{p}' as parent, cast(`{c}` as bigint) as value)" for c, p in found
+            )
+            stacked.append(
+                df.selectExpr(
+                    f"'{table}' table_name", "cast(id as bigint) id",
+                    f"inline(filter(array({each}), r -> r.value is not null))",
+                )
+            )
+    known = stack([df.selectExpr(f"'{p}' parent", "cast(id as bigint) value") for p, df in parents.items()])
+    return stack(stacked).join(known, ["parent", "value"], "left_anti").select("table_name", "rule", "id", "value")

@@ -7,7 +7,8 @@ recursion over each key's rows.
 from __future__ import annotations
 
 from clinicflow.functions import texts
-from clinicflow.sources.driver_tables import DUCKDB_NAMES, MOVEMENT_ORDER, TABLES, sql
+from clinicflow.sources.driver_tables import DUCKDB_NAMES, MOVEMENT_ORDER, PROJECTIONS, TABLES, sql
+from clinicflow.sources.schemas import TABLES as DECLARED
 
 _DERIVED = {
     "appointments": "appointment_time+duration_minutes*60 end_time",
@@ -16,6 +17,7 @@ _DERIVED = {
     "late_bookings": "appointment_time+duration_minutes*60 end_time",
     "coded_requests": "appointment_time+duration_minutes*60 end_time",
     "appointment_proposals": "appointment_time+duration_minutes*60 end_time",
+    "holiday_rows": "year(date) as year",
     "inventory_items": "cast(current_stock-reserved_stock as decimal(10,2)) available_stock",
     "inventory_movements":
         "cast(abs(quantity)*coalesce(unit_cost,0) as decimal(12,2)) total_cost",
@@ -666,6 +668,106 @@ union all
 select 'support_tickets', 'ticket_number', lower(ticket_number), count(*), min(id)
 from support_tickets group by ticket_number having count(*)>1""")
 
+def _declared(table: str, rows: str) -> list[str]:
+    """Rows as JSON, so that the same text fits whichever columns they have."""
+    fields = DECLARED[table].items()
+    value = "json_extract_string(r.j, v.c)"
+
+    def report(label: str, values: list[str], names: str, broken: str) -> list[str]:
+        if not values:
+            return []
+        return [f"""select '{table}' table_name, v.c||' {label}' as rule, r.id
+          from {rows}_json r, (values {', '.join(values)}) v({names}) where {broken}"""]
+
+    number = f"try_cast({value} as decimal(38,2))"
+    top = {n: f.high + 1 for n, f in fields if f.high is not None}
+    top |= {n: 10 ** (f.type.precision - 2) for n, f in fields if f.type.typeName() == "decimal"}
+    return [
+        f"""select '{table}' table_name, v.c||' absent' as rule, cast(null as bigint) id from (values
+          {', '.join(f"('{n}')" for n, f in fields if f.need and f.default is None)}) v(c)
+          where not list_contains((select json_keys(j) from {rows}_json limit 1), v.c)""",
+        *report("missing", [f"('{n}')" for n, f in fields if f.need], "c", "json_type(r.j, v.c)='NULL'"),
+        *report("too long", [f"('{n}',{f.longest})" for n, f in fields if f.longest], "c, n", f"length({value})>v.n"),
+        *report("too small", [f"('{n}',{f.low})" for n, f in fields if f.low is not None], "c, n", f"{number}<v.n"),
+        *report("too large", [f"('{n}',{limit})" for n, limit in top.items()], "c, n", f"abs({number})>=v.n"),
+        *report("not permitted", [f"('{n}','{'|'.join(f.choices).lower()}')" for n, f in fields if f.choices], "c, n",
+                f"not list_contains(string_split(v.n,'|'), lower(rtrim({value})))"),
+    ]
+
+
+oracle("dq_declared", " ".join(PROJECTIONS.values()),
+       " union all ".join(part for table, rows in PROJECTIONS.items() for part in _declared(table, rows)),
+       ", ".join(f"{rows}_json as materialized (select id, to_json(p) j from {rows} p)" for rows in PROJECTIONS.values()))
+
+
+def _repeated(table: str, rows: str, *columns: str, shown: str = "") -> str:
+    compared = [c.replace("~", "") if "~" not in c else f"lower(rtrim({c[1:]}))" for c in columns]
+    names = [c.replace("~", "") for c in columns]
+    return f"""select '{table}' table_name, '{','.join(names)}' as rule, {shown or f"concat_ws('|',{','.join(compared)})"} key_value,
+      count(*) copies, min(id) first_id from {rows} where {' and '.join(f'{n} is not null' for n in names)}
+      group by {', '.join(compared)} having count(*)>1"""
+
+
+oracle("dq_keys", " ".join(PROJECTIONS.values()), " union all ".join([
+    *[_repeated(t, rows, "id") for t, rows in PROJECTIONS.items() if t not in ("invoice_details", "inventory_movements")],
+    _repeated("appointments", "asked_visits", "~appointment_code"),
+    _repeated("appointments", "asked_visits", "dentist_id", "appointment_date", "appointment_time"),
+    _repeated("services", "service_rows", "~code"),
+    _repeated("treatment_types", "treatment_type_rows", "~code"),
+    _repeated("inventory_categories", "inventory_categories", "~category_code"),
+    _repeated("inventory_items", "inventory_items", "~code"),
+    _repeated("inventory_batches", "inventory_batches", "item_id", "~batch_number"),
+    _repeated("inventory_alerts", "inventory_alerts", "item_id", "~alert_type", "is_resolved"),
+    _repeated("support_tickets", "support_tickets", "~ticket_number"),
+    _repeated("users", "users", "~email"), _repeated("users", "users", "~document_type", "~document_number"),
+    _repeated("user_profiles", "profile_rows", "user_id"),
+    _repeated("payment_methods", "method_rows", "~code"), _repeated("payment_methods", "method_rows", "~name", shown="min(name)"),
+    _repeated("holidays", "holiday_rows", "~name", "is_recurring", "year", shown="concat_ws('|',min(name),is_recurring,year)"),
+    _repeated("roles", "role_rows", "~name", shown="min(name)"),
+    _repeated("permissions", "permission_rows", "~name", shown="min(name)"),
+    _repeated("permissions", "permission_rows", "~module", "~action"),
+    _repeated("role_permissions", "grant_rows", "role_id", "permission_id"),
+    _repeated("system_configurations", "configuration_rows", "~category", "~key_name"),
+]))
+
+_LINKS = {
+    "users": "asked_visits:appointments:patient_id asked_visits:appointments:dentist_id working_hours:working_hours:dentist_id "
+        "unavailability_rows:appointment_unavailabilities:dentist_id unavailability_rows:appointment_unavailabilities:created_by "
+        "unavailability_rows:appointment_unavailabilities:approved_by invoices:invoices:patient_id "
+        "payment_rows:invoice_payments:processed_by movement_rows:inventory_movements:user_id "
+        "movement_rows:inventory_movements:approved_by medical_records:medical_records:patient_id "
+        "medical_records:medical_records:dentist_id file_rows:medical_record_files:uploaded_by "
+        "prescriptions:prescriptions:patient_id prescriptions:prescriptions:dentist_id "
+        "laboratory_orders:laboratory_orders:patient_id laboratory_orders:laboratory_orders:dentist_id "
+        "notification_rows:notifications:user_id audit_logs:audit_logs:user_id support_tickets:support_tickets:user_id "
+        "message_rows:support_ticket_messages:user_id configuration_rows:system_configurations:last_modified_by "
+        "maintenance_rows:system_maintenance:created_by profile_rows:user_profiles:user_id",
+    "appointments": "reminder_rows:appointment_reminders:appointment_id",
+    "appointment_statuses": "asked_visits:appointments:status_id",
+    "invoices": "line_rows:invoice_details:invoice_id payment_rows:invoice_payments:invoice_id",
+    "payment_methods": "invoice_references:invoices:payment_method_id payment_rows:invoice_payments:payment_method_id",
+    "services": "line_rows:invoice_details:service_id",
+    "inventory_categories": "inventory_categories:inventory_categories:parent_id inventory_items:inventory_items:category_id",
+    "inventory_items": "movement_rows:inventory_movements:item_id inventory_batches:inventory_batches:item_id "
+        "inventory_alerts:inventory_alerts:item_id",
+    "medical_records": "treatment_rows:treatment_records:medical_record_id file_rows:medical_record_files:medical_record_id",
+    "treatment_types": "treatment_rows:treatment_records:treatment_type_id",
+    "support_tickets": "message_rows:support_ticket_messages:ticket_id",
+    "roles": "grant_rows:role_permissions:role_id users:users:role_id",
+    "permissions": "grant_rows:role_permissions:permission_id",
+}
+
+
+def _lost(parent: str, link: str) -> str:
+    rows, table, column = link.split(":")
+    known = "select id from users_new where is_active" if parent == "users" else f"select id from {PROJECTIONS[parent]}"
+    return f"""select '{table}' table_name, '{column} -> {parent}' as rule, cast(id as bigint) id, cast({column} as bigint) as value
+      from {rows} where {column} is not null and {column} not in ({known})"""
+
+
+oracle("dq_references", " ".join([*PROJECTIONS.values(), "users_new", "invoice_references"]),
+       " union all ".join(_lost(parent, link) for parent, links in _LINKS.items() for link in links.split()))
+
 _LOST = "not exists(select 1 from users_new u where u.is_active and u.id={0})"
 oracle("dq_orphans", "appointments audit_logs inventory_alerts inventory_items users_new support_tickets", f"""
 select 'appointments' table_name, 'patient_id -> users' as rule, id, patient_id as value

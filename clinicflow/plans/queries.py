@@ -12,8 +12,8 @@ from clinicflow.operators import alerts as al
 from clinicflow.operators import audit, billing, inventory, movements, rules, scheduling, sequences, snapshots
 from clinicflow.operators.checks import CHECKS
 from clinicflow.sources import driver_tables
-from clinicflow.sources.driver_tables import AS_OF, MOVEMENT_ORDER, NOW
-from clinicflow.sources.schemas import CASCADE, RESTRICT, SET_NULL
+from clinicflow.sources.driver_tables import AS_OF, MOVEMENT_ORDER, NOW, PROJECTIONS
+from clinicflow.sources.schemas import CASCADE, REFERENCES, RESTRICT, SET_NULL
 from clinicflow.sources.tables import fill_defaults
 from clinicflow.streaming.reminders import plan_reminders
 from clinicflow.streaming.sinks import run_available
@@ -507,6 +507,33 @@ def dq_orphans(t: Tables) -> DataFrame:
     )
 
 
+@query
+def dq_declared(t: Tables) -> DataFrame:
+    """Required columns, widths, ranges and permitted values of every table, and columns not there at all."""
+    tables = [(table, getattr(t, p)) for table, p in PROJECTIONS.items()]
+    reports = [rules.declared_violations(df, table) for table, df in tables]
+    return rules.stack([rules.absent_columns(t.spark, tables), *reports])
+
+
+@query
+def dq_keys(t: Tables) -> DataFrame:
+    """Every primary and unique key. Lines and movements have no id of their own."""
+    lacking = ("invoice_details", "inventory_movements")
+    return rules.repeated_keys([(table, getattr(t, p)) for table, p in PROJECTIONS.items() if table not in lacking])
+
+
+@query
+def dq_references(t: Tables) -> DataFrame:
+    """Every reference of every table, to all rows of the parents but for users, who must be active."""
+    tables = [(table, getattr(t, p)) for table, p in PROJECTIONS.items()]
+    parents = {
+        table: df for table, df in tables
+        if any(table == p for refs in REFERENCES.values() for p, _ in refs.values())
+    }
+    parents["users"] = t.users_new.filter("is_active")
+    return rules.lost_references([*tables, ("invoices", t.invoice_references)], parents)
+
+
 @query
 def dq_checks(t: Tables) -> DataFrame:
     """Invoice lines and movements have no id of their own and name their document."""

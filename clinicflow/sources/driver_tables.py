@@ -308,6 +308,95 @@ TABLES: dict[str, str] = {
     "user_profiles": """
       select c_custkey id, cast(c_custkey%80 as int) years_experience, cast(c_acctbal as decimal(12,2)) salary
       from {customer}""",
+    # Wider projections, for the declarations that look at whole rows, keys and references.
+    "unavailability_rows": """
+      select event_id id, case when event_id%53<>0 then user_id%20 end dentist_id, cast(ts as date) start_date,
+        cast(ts as date) + cast(event_id%6 as int) end_date, case when event_id%31<>0 then event_type end reason,
+        case event_id%6 when 0 then 'Personal ' when 1 then 'holiday' else 'training' end type,
+        user_id created_by, case when event_id%3=0 then user_id+1 end approved_by
+      from {events}""",
+    "reminder_rows": """
+      select event_id id, event_id+event_id%3 appointment_id,
+        case event_id%5 when 0 then 'fax' else 'email' end reminder_type,
+        case when event_id%29<>0 then cast(ts as timestamp) end send_at, cast(event_id%180 as int) hours_before
+      from {events}""",
+    "service_rows": """
+      select p_partkey id, concat('SV-',cast(p_partkey-(p_partkey%40)%2 as {str})) code, p_name name, p_type category,
+        cast(p_retailprice-1000 as decimal(10,2)) price, cast(p_size*11 as int) duration_minutes
+      from {part}""",
+    "treatment_type_rows": """
+      select p_partkey id, concat(case when p_partkey%2=0 then 'TT-' else 'tt-' end,cast(cast(floor(p_partkey/2) as bigint) as {str})) code,
+        p_name name, p_type category, cast(p_size*10 as int) estimated_duration,
+        cast(p_partkey%30-1 as decimal(10,2)) base_price
+      from {part}""",
+    "payment_rows": """
+      select o_orderkey id, case when o_orderkey%13=0 then -1 else o_orderkey end invoice_id,
+        o_orderkey%9 payment_method_id, cast(o_orderkey%40-1 as decimal(10,2)) amount,
+        case when o_orderkey%37<>0 then cast(o_orderdate as date) end payment_date, o_custkey processed_by
+      from {orders}""",
+    "treatment_rows": """
+      select l_orderkey*10+l_linenumber id, l_orderkey%3000 medical_record_id, l_partkey+l_linenumber treatment_type_id,
+        concat(case when l_linenumber=7 then 'tooth ' else '' end,cast(l_partkey%100 as {str})) tooth_number,
+        cast(l_suppkey%25-1 as decimal(10,2)) final_price,
+        case l_returnflag when 'A' then 'planned' when 'R' then 'COMPLETED' else 'open' end status
+      from {lineitem}""",
+    "file_rows": """
+      select doc_id id, doc_id+doc_id%4 medical_record_id, source file_name, text file_path,
+        'application/pdf' file_type, doc_id%50 file_size, doc_id%1500 uploaded_by
+      from {documents}""",
+    "notification_rows": """
+      select event_id id, user_id, event_type title, case when event_id%43<>0 then props end message,
+        case event_id%4 when 0 then 'notice' else 'info' end type, 'email' method, cast(event_id%300 as int) retry_count
+      from {events}""",
+    "message_rows": """
+      select conv_id*1000+turn id, conv_id ticket_id, turn user_id, text message from {conversations}""",
+    "maintenance_rows": """
+      select s_suppkey id, s_name title, case s_suppkey%3 when 0 then 'Update' when 1 then 'scheduled' else 'repair' end
+        maintenance_type, timestamp '2024-01-10 00:00:00' starts_at, s_suppkey*2 created_by
+      from {supplier}""",
+    "profile_rows": """
+      select c_custkey id, c_custkey-c_custkey%2 user_id, cast(c_custkey%400 as int) years_experience,
+        cast(c_acctbal*200 as decimal(12,2)) salary, c_name department
+      from {customer}""",
+    "login_rows": """
+      select event_id id, concat('u',cast(user_id as {str}),'@x.pe') email,
+        case when event_id%17<>0 then concat('10.0.0.',cast(event_id%256 as {str})) end ip_address,
+        event_id%3=0 is_successful, props failure_reason
+      from {events}""",
+    "reset_rows": """
+      select event_id id, case when event_id%19<>0 then concat('u',cast(user_id as {str}),'@x.pe') end email, props token,
+        cast(ts as timestamp) expires_at
+      from {events}""",
+    "method_rows": """
+      select n_nationkey id, concat('M-',cast(n_nationkey%20 as {str})) code, n_name name,
+        case n_nationkey%3 when 0 then 'Cash' when 1 then 'cheque' else 'card' end type
+      from {nation} where n_nationkey<>7""",
+    "holiday_rows": """
+      select n_nationkey id, case when n_nationkey%5=0 then 'FERIADO' when n_nationkey%7<>0 then n_name end name,
+        date '2024-12-20' + cast(n_nationkey as int) date, n_nationkey%2=0 is_recurring
+      from {nation}""",
+    "role_rows": "select r_regionkey id, case when r_regionkey=3 then 'ASIA' else r_name end name from {region}",
+    "permission_rows": """
+      select n_nationkey id, n_name name, n_name display_name, concat('m',cast(n_regionkey as {str})) module,
+        concat('a',cast(n_nationkey%3 as {str})) action
+      from {nation}""",
+    "grant_rows": """
+      select n_nationkey id, case when n_nationkey%4=0 then n_regionkey+2 else n_regionkey end role_id,
+        case when n_nationkey%5=0 then 100 else n_nationkey-n_nationkey%2 end permission_id
+      from {nation}""",
+    "configuration_rows": """
+      select s_suppkey id, case when s_suppkey%9<>0 then 'general' end category, concat('key ',cast(s_nationkey as {str})) key_name,
+        case when s_suppkey%2=0 then 'string' else 'text' end data_type, s_suppkey*3 last_modified_by
+      from {supplier}""",
+    "line_rows": """
+      select l_orderkey id, l_orderkey+case when l_linenumber=5 then 100000000 else 0 end invoice_id, l_partkey service_id,
+        cast(l_quantity as int) quantity, cast(l_discount*100 as decimal(5,2)) discount_percentage
+      from {lineitem}""",
+    "movement_rows": """
+      select l_orderkey id, l_partkey item_id, l_suppkey user_id, case when l_linenumber=2 then l_suppkey+5 end approved_by,
+        case l_returnflag when 'A' then 'Purchase' when 'R' then 'theft' else 'return' end movement_type,
+        cast(l_quantity*4000000 as decimal(12,2)) quantity
+      from {lineitem}""",
     "audit_logs": """
       select event_id id, case when event_id%8=0 then null else user_id end user_id,
         event_type action, 'users' table_name, user_id record_id,
@@ -319,6 +408,26 @@ TABLES: dict[str, str] = {
 }
 
 
+# A projection for each declared table, the widest there is.
+PROJECTIONS: dict[str, str] = {
+    "appointments": "asked_visits", "appointment_unavailabilities": "unavailability_rows",
+    "appointment_reminders": "reminder_rows", "services": "service_rows", "treatment_types": "treatment_type_rows",
+    "invoice_payments": "payment_rows", "treatment_records": "treatment_rows", "medical_record_files": "file_rows",
+    "notifications": "notification_rows", "support_ticket_messages": "message_rows",
+    "system_maintenance": "maintenance_rows", "user_profiles": "profile_rows", "login_attempts": "login_rows",
+    "password_resets": "reset_rows", "payment_methods": "method_rows", "roles": "role_rows",
+    "permissions": "permission_rows", "holidays": "holiday_rows", "role_permissions": "grant_rows", "system_configurations": "configuration_rows",
+    "invoice_details": "line_rows", "inventory_movements": "movement_rows",
+    **{
+        t: t for t in (
+            "appointment_statuses", "working_hours", "invoices", "inventory_categories", "inventory_items",
+            "inventory_batches", "inventory_alerts", "medical_records", "prescriptions", "laboratory_orders",
+            "audit_logs", "support_tickets", "users",
+        )
+    },
+}
+
+
 def sql(table: str, **names: str) -> str:
     """The projection with engine-specific names put in."""
     text = TABLES[table]
@@ -357,5 +466,5 @@ def read(spark: SparkSession, sf_dir: str, table: str, stream: bool = False) ->
             # No limit for a trigger: what is there is one ordered batch, however it is cut into files.
             frames[source] = reader.parquet(files)
     visits = ("bookings", "requests", "late_bookings", "coded_requests", "asked_visits", "appointment_proposals")
-    kind = "appointments" if table in visits else table
+    kind = "appointments" if table in visits else "holidays" if table == "holiday_rows" else table
     return generated(kind, spark.sql(text, **frames))

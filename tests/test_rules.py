@@ -255,3 +255,66 @@ def test_absent_required_columns_are_reported(spark):
     needed = [n for n, f in TABLES["users"].items() if f.need and n != "id"]
     assert len(found) == 2 * len(needed) > 0
     assert rules.missing_values(users, "users", complete=False).count() == 0
+
+
+def test_declared_rules_of_single_rows(spark):
+    df = spark.createDataFrame(
+        [
+            (1, "x" * 20, "Name", Decimal("1.00"), 30), (2, None, "n" * 101, Decimal("-0.01"), -1),
+            (3, "x" * 21, None, Decimal("1000000.00"), 70000), (4, "c", "n", None, None),
+        ],
+        "id int, code string, name string, price decimal(12,2), duration_minutes int",
+    )
+    found = {(r.rule, r.id) for r in rules.declared_violations(df, "services").collect()}
+    assert found == {
+        ("code missing", 2), ("name too long", 2), ("price too small", 2), ("duration_minutes too small", 2),
+        ("code too long", 3), ("name missing", 3), ("price too large", 3), ("duration_minutes too large", 3),
+        ("price missing", 4), ("duration_minutes missing", 4),
+    }
+    kinds = spark.createDataFrame([(1, "CASH "), (2, "cheque"), (3, None)], "id bigint, type string")
+    found = {(r.rule, r.id) for r in rules.declared_violations(kinds, "payment_methods").collect()}
+    assert found == {("type not permitted", 2), ("type missing", 3)}
+    assert rules.declared_violations(kinds.limit(0), "payment_methods").count() == 0
+
+
+def test_absent_columns_are_named_once(spark):
+    empty = spark.createDataFrame([], "id bigint, email string")
+    found = [tuple(r) for r in rules.absent_columns(spark, [("login_attempts", empty), ("holidays", empty)]).collect()]
+    # Columns with a default are filled, and need not be there.
+    assert found == [
+        ("login_attempts", "ip_address absent", None), ("holidays", "name absent", None), ("holidays", "date absent", None),
+    ]
+    assert rules.absent_columns(spark, []).count() == 0
+
+
+def test_repeated_keys_agree_with_single_reports(spark):
+    rows = [(k, f"IT-{k % 7}" if k % 5 else None, f"b{k}") for k in range(1, 60)] + [(59, "it-3 ", "B1 ")]
+    items = spark.createDataFrame(rows, "id bigint, code string, barcode string")
+    named = spark.createDataFrame([(1, "José"), (2, "jose "), (3, "Ana"), (4, None)], "id bigint, name string")
+    tables = [("inventory_items", items), ("roles", named), ("login_attempts", named.limit(0).select("id"))]
+    found = rules.repeated_keys(tables)
+    expected = rules.stack([rules.duplicate_keys(df, t) for t, df in tables])
+    order = lambda df: sorted((r.table_name, r.rule, r.copies, r.first_id) for r in df.collect())
+    assert order(found) == order(expected)
+    assert ("roles", "name", 2, 1) in order(found)
+    assert {r.key_value for r in found.collect() if r.rule == "code"} == {f"it-{k}" for k in range(7)}
+
+
+def test_lost_references_of_many_tables(spark):
+    users = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id bigint")
+    visits = spark.createDataFrame(
+        [(k, 7 if k % 3 == 0 else 1, 2 if k % 2 else None, "x") for k in range(300)],
+        "id int, patient_id int, dentist_id bigint, value string",
+    )
+    audits = spark.createDataFrame([(1, None), (2, 9), (3, 2)], "id bigint, user_id bigint")
+    loose = spark.createDataFrame([(1, 5)], "id bigint, item_id bigint")  # its parent is not given
+    children = [("appointments", visits), ("audit_logs", audits), ("inventory_batches", loose)]
+    found = sorted(tuple(r) for r in rules.lost_references(children, {"users": users}).collect())
+    assert found == sorted(
+        [("appointments", "patient_id -> users", k, 7) for k in range(0, 300, 3)] + [("audit_logs", "user_id -> users", 2, 9)]
+    )
+    # The report for one child, read by itself, is the same.
+    single = rules.stack([rules.orphans(df, t, {"users": users}) for t, df in children[:2]])
+    assert sorted(tuple(r) for r in single.collect()) == found
+    empty = rules.lost_references([("audit_logs", audits)], {"users": users.limit(0)})
+    assert sorted(r.id for r in empty.collect()) == [2, 3]
