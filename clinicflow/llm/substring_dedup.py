@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -30,14 +31,16 @@ from clinicflow.llm.shared import held, text_of, written
 
 # Length of the strings that may not repeat, and of the pieces whose least hash stands for a string.
 LENGTH, PIECE = 100, 32
-# Strings looked at together; their places fit into 24 bits.
-BLOCK = 1 << 22
+# Strings looked at together; their places fit into 24 bits. Working memory is some hundred bytes for each.
+BLOCK = 1 << 19
 # Bytes of texts in whose runs repeats are found before anything is shuffled.
 SLICE_BYTES = 4 << 20
 # Bytes of runs that enter one suffix array, unless a single anchor has more.
 ARRAY_BYTES = 2 << 20
 # Different runs, of at most 168 bytes each, of one anchor that enter a suffix array.
 ANCHOR_RUNS = 1 << 14
+# Runs that leave a task, or have their strings named, at once.
+RUN_ROWS = 1 << 13
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ def run_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         out = []
         # Prefix sums of a block reach over the longest run.
         for begin in range(0, int(starts[-1]) + 1 if len(starts) else 0, BLOCK):
-            chosen = (starts >= begin) & (starts < begin + BLOCK)
+            chosen = slice(*np.searchsorted(starts, (begin, begin + BLOCK)))
             part = data[begin : begin + BLOCK + 3 * LENGTH]
             powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(part), factor))])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[part] * powers[:-1])])
@@ -121,45 +124,50 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held(None)
     for batch in slices(batches, size=SLICE_BYTES):
-        data, offsets = text_bytes(batch.column("_text"))
-        starts, counts, keys = segments(data, offsets)
-        digests = run_digests(data, starts, starts + counts + LENGTH - 1)
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        starts = starts - offsets[owner]
-        place = _ranks(batch.column("doc_id"), batch.column("h"))[owner] << 32 | starts
-        order = np.lexsort((place, digests, keys))
-        again = np.zeros(len(order), bool)
-        again[1:] = (keys[order[1:]] == keys[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
-        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-        repeat = np.zeros(len(order), bool)
-        repeat[order] = again & (place[order] != place[first])
-        fresh = np.zeros(len(order), bool)
-        fresh[order] = ~again
-        # Runs of a text are in order, and so are their ends.
-        at = np.flatnonzero(repeat)
-        ends = starts[at] + counts[at] + LENGTH - 1
-        new = np.ones(len(at), bool)
-        new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (starts[at[1:]] > ends[:-1])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(at)) - 1 if len(head) else head
-        lengths = ends[tail] - starts[at[head]] - LENGTH + 1
-        rows = np.concatenate([np.flatnonzero(fresh), at[head]])
-        known = np.arange(len(rows)) >= int(fresh.sum())
-        hashes = batch.column("h").to_numpy()[owner[rows]]
-        with np.errstate(over="ignore"):
-            own = mix(hashes.view(np.uint64) + mix(starts[rows].astype(np.uint64) + GOLDEN))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.where(known, own, keys[rows]).view(np.int64)),
-                pa.array(np.where(known, mix(own), digests[rows]).view(np.int64)),
-                batch.column("doc_id").take(pa.array(owner[rows])),
-                pa.array(hashes),
-                pa.array(starts[rows].astype(np.int32)),
-                pa.array(np.concatenate([counts[fresh], lengths]).astype(np.int32)),
-                pa.array(known),
-            ],
-            ["key", "digest", "doc_id", "h", "start", "n", "known"],
-        )
+        yield _runs_of(batch)
+    held(None)
+
+
+def _runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    data, offsets = text_bytes(batch.column("_text"))
+    starts, counts, keys = segments(data, offsets)
+    digests = run_digests(data, starts, starts + counts + LENGTH - 1)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    starts = starts - offsets[owner]
+    place = _ranks(batch.column("doc_id"), batch.column("h"))[owner] << 32 | starts
+    order = np.lexsort((place, digests, keys))
+    again = np.zeros(len(order), bool)
+    again[1:] = (keys[order[1:]] == keys[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
+    first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    repeat = np.zeros(len(order), bool)
+    repeat[order] = again & (place[order] != place[first])
+    fresh = np.zeros(len(order), bool)
+    fresh[order] = ~again
+    # Runs of a text are in order, and so are their ends.
+    at = np.flatnonzero(repeat)
+    ends = starts[at] + counts[at] + LENGTH - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (starts[at[1:]] > ends[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1 if len(head) else head
+    lengths = ends[tail] - starts[at[head]] - LENGTH + 1
+    rows = np.concatenate([np.flatnonzero(fresh), at[head]])
+    known = np.arange(len(rows)) >= int(fresh.sum())
+    hashes = batch.column("h").to_numpy()[owner[rows]]
+    with np.errstate(over="ignore"):
+        own = mix(hashes.view(np.uint64) + mix(starts[rows].astype(np.uint64) + GOLDEN))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.where(known, own, keys[rows]).view(np.int64)),
+            pa.array(np.where(known, mix(own), digests[rows]).view(np.int64)),
+            batch.column("doc_id").take(pa.array(owner[rows])),
+            pa.array(hashes),
+            pa.array(starts[rows].astype(np.int32)),
+            pa.array(np.concatenate([counts[fresh], lengths]).astype(np.int32)),
+            pa.array(known),
+        ],
+        ["key", "digest", "doc_id", "h", "start", "n", "known"],
+    )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +185,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs asked for."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
+        id_type = batch.schema.field("doc_id").type
         out: list[tuple] = []
         for doc, h, packed, asked in zip(*(batch.column(c) for c in ("doc_id", "h", "packed", "asked")), strict=True):
             raw = unpack(packed.as_py())
@@ -184,23 +193,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run in asked.as_py():
                 start, n = run["start"], run["n"]
                 out.append((run["key"], doc, h, start, raw[start : start + n + LENGTH - 1]))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(columns[0], pa.int64()),
-                pa.array(columns[1], batch.schema.field("doc_id").type),
-                pa.array(columns[2], pa.int64()),
-                pa.array(columns[3], pa.int32()),
-                pa.array(columns[4], pa.binary()),
-            ],
-            ["key", "doc_id", "h", "start", "bytes"],
-        )
+                if len(out) >= RUN_ROWS:
+                    yield _run_rows(out, id_type)
+                    out = []
+        if out:
+            yield _run_rows(out, id_type)
+
+
+def _run_rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = (pa.int64(), id_type, pa.int64(), pa.int32(), pa.binary())
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "h", "start", "bytes"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the runs as a digest of 16 bytes."""
     digest = hashlib.blake2b
-    for batch in batches:
+    for batch in (b.slice(at, RUN_ROWS) for b in batches for at in range(0, b.num_rows, RUN_ROWS)):
         runs = batch.column("bytes").to_pylist()
         counts = np.array([len(r) - LENGTH + 1 for r in runs], np.int64)
         at = np.repeat(np.arange(len(runs)), counts)
@@ -227,6 +236,26 @@ def _repeated_strings(cut: DataFrame, id_type: str) -> DataFrame:
     return again.select("doc_id", "h", F.col("start").cast("bigint"), (F.col("start") + LENGTH).cast("bigint").alias("end"))
 
 
+def _pairs(values: np.ndarray, apart: int, bits: int) -> np.ndarray:
+    """Each value of at most `bits` bits and the one `apart` places on, as one number."""
+    out = values[:-apart].astype(np.uint64)
+    out <<= np.uint64(bits)
+    out |= values[apart:]
+    return out
+
+
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """The order of each value among the distinct ones."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.zeros(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    del values
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.cumsum(new, dtype=np.uint32)
+    return rank
+
+
 class SuffixArray:
     """Suffixes of the runs of a chunk that are at least LENGTH long, in order, with common prefixes."""
 
@@ -235,36 +264,36 @@ class SuffixArray:
         so a suffix comes before the longer ones that it begins, and prefixes end with their run.
         """
         runs = np.arange(len(offsets) - 1)
-        symbols = np.zeros(len(data) + len(runs) + 2 * LENGTH, np.uint64)
-        symbols[np.arange(len(data)) + np.repeat(runs, np.diff(offsets))] = data.astype(np.uint64) + np.uint64(1)
+        symbols = np.zeros(len(data) + len(runs) + 2 * LENGTH, np.uint16)
+        symbols[np.arange(len(data)) + np.repeat(runs, np.diff(offsets))] = data.astype(np.uint16) + 1
         begins, ends = offsets[:-1] + runs, offsets[1:] + runs
         counts = ends - begins - LENGTH + 1
-        self.owner = np.repeat(runs, counts)
-        self.places = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts - begins, counts)
-        room = ends[self.owner] - self.places
-        # ranks[s]: the order of the s symbols from each place, by doubling.
-        two = symbols[:-1] << np.uint64(9) | symbols[1:]
-        rank, size = np.unique(two[:-2] << np.uint64(18) | two[2:], return_inverse=True)[1].astype(np.uint64), 4
-        ranks = {1: symbols, 2: two, 4: rank}
-        while size < 64:
-            rank = np.unique(rank[:-size] << np.uint64(32) | rank[size:], return_inverse=True)[1].astype(np.uint64)
-            size *= 2
-            ranks[size] = rank
-        whole = rank[self.places] << np.uint64(32) | rank[self.places + LENGTH - 64]
-        # Suffixes with the same LENGTH bytes are told apart by what follows in their run.
-        tails = [ranks[64][np.minimum(self.places + LENGTH, len(ranks[64]) - 1)], whole]
-        order = np.lexsort(tails)
-        self.places, self.owner, room = self.places[order], self.owner[order], room[order]
-        # common[i]: bytes shared with the suffix before, up to the end of either run.
-        a, b = self.places[:-1], self.places[1:]
-        most = np.minimum(room[:-1], room[1:])
-        same = whole[order][1:] == whole[order][:-1]
-        shared = np.zeros(len(a), np.int64)
-        for step in (64, 64, 32, 16, 8, 4, 2, 1):
-            own = ranks[step]
-            equal = own[np.minimum(a + shared, len(own) - 1)] == own[np.minimum(b + shared, len(own) - 1)]
-            shared += np.where(equal & (shared + step <= most), step, 0)
-        self.common = np.concatenate([[0], np.where(same, np.maximum(shared, LENGTH), np.minimum(shared, LENGTH - 1)), [0]])
+        owner = np.repeat(runs, counts)
+        places = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - begins, counts)
+        # rank[s]: the order of the 64 symbols from each place, by doubling; only the last order is kept.
+        rank = _ranked(_pairs(_pairs(symbols, 1, 9), 2, 18))
+        for size in (4, 8, 16, 32):
+            rank = _ranked(_pairs(rank, size, 32))
+        whole = _pairs(rank, LENGTH - 64, 32)[places]
+        # Suffixes with the same LENGTH bytes are told apart by what follows in their run, up to 68 bytes.
+        last = len(rank) - 1
+        tails = [rank[np.minimum(places + LENGTH + k, last)] for k in (LENGTH - PIECE - 64, 0)]
+        order = np.lexsort([*tails, whole])
+        del rank, tails
+        same = np.diff(whole[order]) == 0
+        del whole
+        self.places, self.owner = places[order], owner[order]
+        del places, owner, order
+        # common[i]: bytes shared with the suffix before, up to the end of either run; 0 if fewer than LENGTH.
+        self.common = np.zeros(len(self.places) + 1, np.int64)
+        self.common[1:-1][same] = LENGTH
+        at = np.flatnonzero(same) + 1
+        shared = LENGTH
+        while len(at):
+            follows = symbols[self.places[at] + shared]
+            at = at[(follows == symbols[self.places[at - 1] + shared]) & (follows > 0)]
+            shared += 1
+            self.common[at] = shared
         inside = self.places > begins[self.owner]
         self.before = np.where(inside, symbols[self.places - 1].astype(np.int64), -1 - self.owner)
         # From now on: where a suffix begins in its run.
@@ -277,13 +306,11 @@ class SuffixArray:
         falls below its own. It is maximal if not all its occurrences follow the same byte; at
         the start of a run nothing is before, which differs from everything.
         """
-        long = np.flatnonzero(self.common >= LENGTH)
-        if not len(long):
-            return
-        for group in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
-            # Suffixes group[0] - 1 to group[-1] share at least LENGTH bytes.
-            at = int(group[0]) - 1
-            lengths = self.common[group].tolist()
+        edges = np.diff((self.common >= LENGTH).astype(np.int8), prepend=0)
+        for begin, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+            # Suffixes begin - 1 to end - 1 share at least LENGTH bytes.
+            at = begin - 1
+            lengths = self.common[begin:end].tolist()
             left = self.before[at : at + len(lengths) + 1].tolist()
             stack: list[list] = []
             for k, length in enumerate([*lengths, 0]):
@@ -301,25 +328,30 @@ class SuffixArray:
                     stack.append([length, begin, byte])
 
 
-def repeats(runs: list[bytes], order: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each run the parts (start, end in the text) that occur earlier in the other runs.
+def repeats(data: np.ndarray, offsets: np.ndarray, order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, start, end in the text) of the parts of each run that occur earlier in the other runs.
 
-    `order` ranks the texts of the runs; runs of the same text go by their start.
+    Run i is data[offsets[i] : offsets[i + 1]]. `order` ranks the texts of the runs; runs of the same
+    text go by their start.
     """
-    sizes = np.array([len(r) for r in runs])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    array = SuffixArray(np.frombuffer(b"".join(runs), np.uint8), offsets)
-    inner = array.places
-    rank = order[array.owner].astype(np.int64) << 32 | (inner + starts[array.owner])
-    out: list[list[tuple[int, int]]] = [[] for _ in runs]
+    array = SuffixArray(data, offsets)
+    rank = order[array.owner].astype(np.int64) << 32 | (array.places + starts[array.owner])
+    # Of a suffix only its longest repeat matters that another occurrence comes before.
+    reach = np.zeros(len(rank), np.int64)
     for length, first, last in array.maximal_repeats():
-        own = slice(first, last + 1)
-        keep = int(np.argmin(rank[own]))
-        for k, (run, place) in enumerate(zip(array.owner[own].tolist(), inner[own].tolist(), strict=True)):
-            if k != keep:
-                begin = int(starts[run]) + place
-                out[run].append((begin, begin + length))
-    return [joined(x) for x in out]
+        keep = first + int(rank[first : last + 1].argmin())
+        for own in (reach[first:keep], reach[keep + 1 : last + 1]):
+            np.maximum(own, length, out=own)
+    at = np.flatnonzero(reach)
+    at = at[np.lexsort((array.places[at], array.owner[at]))]
+    run = array.owner[at]
+    begin = starts[run] + array.places[at]
+    # Ends so far, those of later runs beyond all of the runs before.
+    far = np.maximum.accumulate(run << 32 | (begin + reach[at]))
+    new = np.ones(len(at), bool)
+    new[1:] = (run[1:] << 32 | begin[1:]) > far[:-1]
+    head = np.flatnonzero(new)
+    return run[head], begin[head], far[np.append(head[1:], len(at))[: len(head)] - 1] & 0xFFFFFFFF
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -334,42 +366,48 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs with their bytes, a chunk of whole anchors at a time, through suffix arrays."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Sorted runs with their bytes, a chunk of whole anchors at a time, through suffix arrays.
+
+    A chunk has at most ARRAY_BYTES bytes of runs, unless it is a single anchor.
+    """
+    held(None)
+    for chunk in _chunks(batches):
+        yield _found(chunk)
+    held(None)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        keys = batch.column("key").to_numpy()
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        # A chunk may end where the anchor changes.
-        if held and keys[0] != held[-1].column("key")[-1].as_py() and size >= ARRAY_BYTES:
-            yield _found(held)
-            held, size = [], 0
-        if len(edges) and size + batch.nbytes >= ARRAY_BYTES:
-            yield _found([*held, batch.slice(0, int(edges[-1]))])
-            held, size = [], 0
-            batch = batch.slice(int(edges[-1]))
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield _found(held)
-
-
-def _found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(held).combine_chunks()
-    ids = rows.column("doc_id").combine_chunks()
-    order = _ranks(ids, rows.column("h").combine_chunks())
-    parts = repeats(rows.column("bytes").to_pylist(), order, rows.column("start").to_numpy().astype(np.int64))
-    at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    spans = np.array([s for p in parts for s in p], np.int64).reshape(-1, 2)
+        rows = pa.concat_batches([*rest, batch]) if rest else batch
+        filled = np.cumsum(pc.binary_length(rows.column("bytes")).to_numpy())
+        # A chunk may end where the anchor changes; the last anchor may go on in the next batch.
+        edges = np.flatnonzero(np.diff(rows.column("key").to_numpy())) + 1
+        at = 0
+        while len(edges) and edges[-1] > at and filled[-1] - (filled[at - 1] if at else 0) > ARRAY_BYTES:
+            most = ARRAY_BYTES + (filled[at - 1] if at else 0)
+            fit = edges[(edges > at) & (filled[edges - 1] <= most)]
+            upto = int(fit[-1] if len(fit) else edges[edges > at][0])
+            yield rows.slice(at, upto - at)
+            at = upto
+        rest = [rows.slice(at)] if at < rows.num_rows else []
+    yield from rest
+
+
+def _found(rows: pa.RecordBatch) -> pa.RecordBatch:
+    ids = rows.column("doc_id")
+    order = _ranks(ids, rows.column("h"))
+    runs, begins, ends = repeats(*text_bytes(rows.column("bytes")), order, rows.column("start").to_numpy().astype(np.int64))
+    at = pa.array(runs)
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(at)), rows.column("h").combine_chunks().take(pa.array(at)), pa.array(spans[:, 0]), pa.array(spans[:, 1])],
-        ["doc_id", "h", "start", "end"],
+        [ids.take(at), rows.column("h").take(at), pa.array(begins), pa.array(ends)], ["doc_id", "h", "start", "end"]
     )
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
+        ids, first, size = batch.column("doc_id"), 0, 0
         out: list[tuple] = []
         for packed, spans, again in zip(*(batch.column(c) for c in ("packed", "spans", "again")), strict=True):
             raw = unpack(packed.as_py())
@@ -383,12 +421,20 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(raw[at:])
             rest = b"".join(kept)
             out.append((len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        arrays = [pa.array(c, t) for c, t in zip(columns[:4], (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *arrays, pa.array(columns[4], pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+            size += len(rest)
+            if size >= SLICE_BYTES:
+                yield _what_is_left(ids.slice(first, len(out)), out)
+                first, size, out = first + len(out), 0, []
+        if out:
+            yield _what_is_left(ids.slice(first), out)
+
+
+def _what_is_left(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [ids, *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    )
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_bytes: bool = True) -> DataFrame:

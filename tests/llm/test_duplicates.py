@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clinicflow.llm import exact_dedup, near_dedup, substring_dedup
@@ -211,6 +213,67 @@ def test_repeats_of_repeated_rows(spark):
     assert substring_dedup.remove_repeats(frame.limit(0), doc_id="h", text="key").count() == 0
 
 
+def test_repeats_that_differ_before_and_in_the_last_bytes(spark):
+    draw, runs = random.Random(7), []
+    while not runs:
+        text = "".join(draw.choices("abcdefgh", k=5_000))
+        starts, counts, _ = substring_dedup.segments(np.frombuffer(text.encode(), np.uint8), np.array([0, 5_000]))
+        runs = [text[s : s + 168] for s in starts[counts == 69].tolist()]
+    # The longest runs: they share 166 bytes, and with some others the last as well.
+    docs = [*enumerate(a + runs[0][1:167] + z for a in "abcdefgh" for z in "hgfedcba")]
+    draw.shuffle(docs)
+    found = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == without_repeats(
+        sorted(docs)
+    )
+
+
+def anchors(n, each, draw):
+    """Batches of sorted runs, `each` (at most 256) of an anchor, which share all but their first 14 bytes."""
+    rows = []
+    for key in range(n):
+        common = draw.randbytes(120)
+        rows += [(key, len(rows) + k, 0, 0, draw.randbytes(13) + bytes([k]) + common) for k in range(each)]
+    names = ("key", "doc_id", "h", "start", "bytes")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.Table.from_arrays(columns, list(names)).to_batches(max_chunksize=999)
+
+
+def test_arrays_are_bounded(monkeypatch):
+    sizes, array = [], substring_dedup.SuffixArray
+
+    def watched(data, offsets):
+        sizes.append((len(data), len(offsets) - 1))
+        return array(data, offsets)
+
+    monkeypatch.setattr(substring_dedup, "SuffixArray", watched)
+    # Within a batch, over two batches, and anchors that are larger than the bound by themselves.
+    for limit, each in ((20_000, 5), (100_000, 5), (20_000, 250)):
+        monkeypatch.setattr(substring_dedup, "ARRAY_BYTES", limit)
+        sizes.clear()
+        batches = anchors(3_000 // each, each, random.Random(each))
+        found = [r for b in substring_dedup._scan_arrays(iter(batches)) for r in b.to_pylist()]
+        assert Counter((r["doc_id"], r["start"], r["end"]) for r in found) == Counter(
+            (d, 14, 134) for d in range(3_000) if d % each
+        )
+        assert sum(n for _, n in sizes) == 3_000
+        assert all(size <= limit or n == each for size, n in sizes)
+
+
+def test_memory_of_an_array():
+    batches = anchors(1_500, 5, random.Random(1))
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in substring_dedup._scan_arrays(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 6_000
+    # A megabyte of runs in one array; 75 bytes of working memory for each of theirs.
+    assert peak < 75 * 7_500 * 134
+
+
 def test_long_text_in_blocks(monkeypatch):
     draw = random.Random(3)
     data = np.frombuffer("".join(draw.choices("abcd", k=5_000)).encode(), np.uint8)
