@@ -40,16 +40,16 @@ SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Remembered(dict):
-    """Ids of words, encoded when first asked for. At most WORDS are held; then it starts anew."""
+    """Ids of words, encoded when first asked for. At most `most` are held; then it starts anew."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = WORDS):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple(self.encode(word))
         if len(word) <= WORD_CHARS:
-            if len(self) >= WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -62,7 +62,7 @@ class Codec:
     space marks are refused, because they would need more than this encoder does.
     """
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, remembered: int = WORDS):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = model.get_piece_size()
         refuse(model)
@@ -98,8 +98,8 @@ class Codec:
         self.agree = lru_cache(PAIRS)(self._agree)
         # Two characters that no piece has side by side are never merged: a text can be cut there.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.parts = Remembered(self.stretch)
-        self.words = Remembered(lambda word: self.segment(SPACE + word))
+        self.parts = Remembered(self.stretch, remembered)
+        self.words = Remembered(lambda word: self.segment(SPACE + word), remembered)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, then leftmost."""
@@ -289,18 +289,20 @@ def tokenize(
     text: str = "text",
     fields: tuple[str, ...] = ("ids", "decoded"),
     end: bool = True,
+    remembered: int = WORDS,
 ) -> DataFrame:
     """doc_id and the asked `fields` for every row: ids, decoded, n_tokens, ids_sha256, decoded_sha256.
 
     `decoded` is decoded from the ids, not copied from the text. A null text counts as empty and
     has the end id alone. Rows are handled one by one, so repeated rows and null ids stay as they
     are; no rows give no rows. Other columns of `docs` are not read. The model file must be at
-    the same path on all machines.
+    the same path on all machines. A Python worker remembers at most `remembered` words and as many
+    parts of words: fewer take less of its memory and more time.
     """
     columns = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held(("codec", model_file), lambda: Codec(model_file))
+        c = held(("codec", model_file, remembered), lambda: Codec(model_file, remembered))
         digits = [str(i) for i in range(len(c.out))]
         # The ids of a large batch would take many times its size as Python objects.
         cut = (piece for batch in batches for piece in pieces(batch, batch.column("text")))

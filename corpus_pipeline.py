@@ -12,6 +12,9 @@ from clinicflow.llm import decontamination, exact_dedup, near_dedup, sentencepie
 from clinicflow.llm.queries import PIECE_MODEL, table
 from clinicflow.llm.shared import written
 
+# The executor's JVM has grown in the stages before, so workers remember fewer words than those of op1.
+REMEMBERED = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fields = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    return sentencepieces.tokenize(docs, PIECE_MODEL, fields=fields)
+    return sentencepieces.tokenize(docs, PIECE_MODEL, fields=fields, remembered=REMEMBERED)
 
 
 STAGES = [

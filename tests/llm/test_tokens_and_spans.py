@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -217,3 +218,16 @@ def test_fm_index_finds_all_occurrences():
         }
         assert set(zip(which.tolist(), at.tolist(), strict=True)) == expected
         assert len(which) == len(expected)
+
+
+def test_pieces_remember_no_more_words_than_asked(monkeypatch):
+    codec = sentencepieces.Codec(MODEL, 40)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for n in range(200):
+        text = f"word{n} and.{n}, the {n * n}!"
+        assert codec.encode(text) == library.encode(text)
+        assert len(codec.words) <= 40 and len(codec.parts) <= 40
+    asked = {}
+    monkeypatch.setattr(sentencepieces, "tokenize", lambda docs, model, **more: asked.update(more))
+    corpus_pipeline.tokenize(None, None, "")
+    assert asked["remembered"] == corpus_pipeline.REMEMBERED < sentencepieces.WORDS
