@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import GOLDEN, mix, slices, text_bytes, words
-from clinicflow.llm.shared import held, text_of, whole, written
+from clinicflow.llm.shared import forget, held, text_of, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -384,6 +384,7 @@ def _unmet(finer: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _joined(pairs: DataFrame, bags: DataFrame, labels: DataFrame | None) -> DataFrame | None:
     """New labels after the pairs (a, b, label_a, label_b) met; None if nothing was linked."""
     links = written(_verified(pairs, bags).distinct())
+    forget(links.sparkSession)
     if links.count() == 0:
         return None
     # Classes are joined as a graph of their labels, which is small after the first turn.
@@ -410,6 +411,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
         labels, turn = more, turn + 1
     # No turn proves that a bucket holds no more links; the pairs that have not met do.
     labels = _joined(_unmet(finer, labels), bags, labels) or labels
+    forget(docs.sparkSession)
     if labels is None:
         return keys.select("node", F.col("node").alias("label")).limit(0)
     return labels

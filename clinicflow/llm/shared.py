@@ -54,8 +54,8 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_doc")
 
 
-def _give_back() -> None:
-    """Return freed memory to the machine: a worker otherwise keeps it for itself."""
+def give_back() -> None:
+    """Return freed memory to the machine: a Python process otherwise keeps it for itself."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
@@ -63,6 +63,16 @@ def _give_back() -> None:
         trim(0)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of what Spark keeps for tables that nothing reads any more.
+
+    It drops their shuffle files and broadcasts when the driver's garbage is collected, which without
+    a call may be long after an operator of many tables has gone on.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _HELD: dict[object, object] = {}
 
 
@@ -74,7 +84,7 @@ def held(key: object, make: Callable[[], T] | None = None) -> T | None:
     """
     if key not in _HELD:
         _HELD.clear()
-        _give_back()
+        give_back()
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicflow.llm.arrays import texts_of
-from clinicflow.llm.shared import fold, held, text_of, whole
+from clinicflow.llm.shared import fold, give_back, held, text_of, whole
 
 # Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
@@ -191,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = [np.frombuffer(bag[2], np.int32) for bag in found]
     weights = [np.frombuffer(bag[3], np.float32) for bag in found]
     del found  # train lets go of rare subwords text by text
-    return train(rows, weights, toxic)
+    model = train(rows, weights, toxic)
+    del rows, weights
+    give_back()  # the driver goes on with the model alone
+    return model
 
 
 def average(known: WordScores, text: str) -> float:

@@ -1,14 +1,17 @@
 """Learned operators: held-out accuracy, folds, and odd rows."""
 
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from clinicflow.llm import language, quality, toxicity, url_filter
+from clinicflow.llm.shared import give_back
 from clinicflow.llm.url_filter import Rule
 
 
@@ -86,6 +89,25 @@ def test_toxicity_without_two_kinds_of_labels(spark, tables):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+def own_memory():
+    """MB of this process that are not mapped files."""
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="needs Linux")
+def test_driver_keeps_no_memory_of_the_sample(spark):
+    draw = random.Random(2)
+    docs = [(k, " ".join(f"w{draw.randrange(10**5)}" for _ in range(1_500)), k % 2) for k in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    toxicity.fit(frame.limit(100), frame)
+    give_back()
+    before = own_memory()
+    fitted = toxicity.fit(frame, frame)
+    grown = own_memory() - before
+    assert fitted.values.any()
+    assert grown < 12, f"{grown:.0f} MB"
+
+
 def test_language_on_held_out_rows(spark, tables):
     docs, _, _ = tables
     found = language.identify(docs).collect()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from clinicflow.llm import exact_dedup, near_dedup, substring_dedup
+from clinicflow.llm.shared import forget
 
 
 def test_exact_duplicates_with_a_hot_text(spark):
@@ -122,6 +124,19 @@ def test_near_duplicates_of_edited_copies(spark):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in found) == near_classes(docs)
 
 
+def test_broadcasts_of_finished_steps_are_forgotten(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore()
+    docs = list(enumerate(t for seed in range(3) for t in edited_copies(seed, 20)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    forget(spark)
+    time.sleep(2)  # Spark drops them in the background
+    before = blocks.memoryUsed()
+    near_dedup.near_duplicates(frame)
+    time.sleep(2)
+    kept = (blocks.memoryUsed() - before) / 1e6
+    assert kept < 2, f"{kept:.1f} MB"
+
+
 def test_signatures_estimate_weighted_similarity():
     draw = np.random.default_rng(0)
     errors = []
